@@ -1,2 +1,418 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The queries of the spatial-graph operators and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.functions import geometry as G
+from terrafold.operators import adjacency, attention, features, graph, metrics, raster, results, similarity, spatial
+from terrafold.plans import fixtures as X
+from terrafold.plans.lineage import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
+    # adding 0 turns -0.0 into 0.0
+    return df.withColumns({c: F.round(F.col(c), to) + F.lit(0.0) for c in names or [n for n, t in df.dtypes if t == "double"]})
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING} SELECT d.district_id, count(*) AS n_buildings FROM d JOIN b ON
+    b.minx + 200*b.district_id <= d.maxx + 200*d.district_id AND b.maxx + 200*b.district_id >= 200*d.district_id AND b.miny <= 60 AND b.maxy >= 0
+    GROUP BY ALL"""
+)
+def district_building_counts(spark, sf_dir):
+    pairs = spatial.within_districts(X.buildings(spark, sf_dir, X.SPREAD), X.districts(spark, sf_dir, X.SPREAD))
+    return pairs.groupBy("district_id").agg(F.count("*").alias("n_buildings"))
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING} SELECT d.district_id, b.building_id, CAST((least(b.maxx, d.maxx) - greatest(b.minx, 0)) * (least(b.maxy, 60) - greatest(b.miny, 0)) AS DOUBLE) AS area
+    FROM d JOIN b USING (district_id)"""
+)
+def clipped_buildings(spark, sf_dir):
+    clipped = spatial.clip_to_districts(X.buildings(spark, sf_dir, X.SPREAD), X.districts(spark, sf_dir, X.SPREAD))
+    return rounded(clipped.select("district_id", "building_id", G.area(F.col("geometry")).alias("area")))
+
+
+FEATURE_SQL = f"""WITH {X.SQL_BUILDING},
+t AS (SELECT district_id, min(minx) AS x0, min(miny) AS y0, max(maxx) AS x1, max(maxy) AS y1 FROM b GROUP BY ALL),
+s AS (SELECT b.*, CAST(maxx-minx AS DOUBLE) AS w, CAST(maxy-miny AS DOUBLE) AS h FROM b),
+f AS (SELECT district_id, building_id, w*h AS area, 2*(w+h) AS perimeter, w AS bbox_width, h AS bbox_height,
+  least(1.0, 4*pi()*w*h/(4*(w+h)*(w+h))) AS compactness, h/w AS elongation, CAST(1 AS DOUBLE) AS rectangularity,
+  CAST(0 AS DOUBLE) AS orientation, CAST(1 AS DOUBLE) AS convexity, CAST(4 AS DOUBLE) AS vertices, 2*(w+h)/sqrt(w*h) AS shape_index,
+  sqrt(pow((minx+maxx)/2.0-(x0+x1)/2.0,2)+pow((miny+maxy)/2.0-(y0+y1)/2.0,2))/greatest(x1-x0,y1-y0) AS centre_distance, CAST(0 AS DOUBLE) AS floor
+  FROM s JOIN t USING (district_id))"""
+_LONG_SQL = FEATURE_SQL + """,
+l AS (SELECT district_id, building_id, CAST(k - 1 AS INT) AS place, [area, perimeter, bbox_width, bbox_height, compactness, elongation, rectangularity,
+  orientation, convexity, vertices, shape_index, centre_distance, floor][k] AS value FROM f, range(1, 14) t(k)),
+st AS (SELECT place, avg(value) AS mean, CASE WHEN stddev_pop(value) > 1e-12 THEN stddev_pop(value) ELSE 1 END AS sd FROM l GROUP BY place)"""
+
+
+@query(FEATURE_SQL + " SELECT district_id, building_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in features.NAMES) + " FROM f")
+def building_features(spark, sf_dir):
+    return rounded(features.building_features(X.buildings(spark, sf_dir)))
+
+
+@query(_LONG_SQL + " SELECT place, round(mean, 6) AS mean, round(sd, 6) AS sd FROM st")
+def feature_stats(spark, sf_dir):
+    return rounded(features.feature_stats(features.feature_vectors(features.building_features(X.buildings(spark, sf_dir)))))
+
+
+@query(_LONG_SQL + " SELECT district_id, building_id, place, round((value - mean) / sd, 5) + 0.0 AS value FROM l JOIN st USING (place)")
+def standardized_features(spark, sf_dir):
+    vectors = cut(features.feature_vectors(features.building_features(X.buildings(spark, sf_dir))))
+    out = features.standardize(vectors, features.feature_stats(vectors))
+    return rounded(out.select("district_id", "building_id", F.posexplode("features").alias("place", "value")), to=5)
+
+
+def _burnt(spark, sf_dir):
+    return raster.burn(X.buildings(spark, sf_dir), X.districts(spark, sf_dir))
+
+
+def _grown(spark, sf_dir):
+    return cut(raster.grow(_burnt(spark, sf_dir)))
+
+
+def _adjacent(spark, sf_dir):
+    pairs = adjacency.touching_regions(_grown(spark, sf_dir))
+    return adjacency.adjacency_edges(pairs, X.buildings(spark, sf_dir))
+
+
+CELL_SQL = X.SQL_BUILDING + """,
+cell AS (SELECT district_id, r, c FROM d, range(60) t(r), range(100) u(c) WHERE c < maxx),
+rd AS (SELECT cell.district_id, r, c, min(greatest(0, minx - c, c - b.maxx + 1, miny - r, r - b.maxy + 1)) AS k,
+  coalesce(max(CASE WHEN c >= minx AND c < b.maxx AND r >= miny AND r < b.maxy THEN building_id END), 0) AS own
+  FROM cell JOIN b USING (district_id) GROUP BY ALL)"""
+GROWN_SQL = CELL_SQL + """,
+g AS (SELECT district_id, r, c, k, own AS label FROM rd WHERE k = 0
+  UNION ALL SELECT m.district_id, m.r, m.c, m.k, max(g.label) FROM g JOIN rd m ON m.district_id = g.district_id AND m.k = g.k + 1
+  AND m.r BETWEEN g.r - 1 AND g.r + 1 AND m.c BETWEEN g.c - 1 AND g.c + 1 WHERE g.k < 30 GROUP BY ALL),
+v AS (SELECT rd.district_id, CAST(59 - rd.r AS INT) AS "row", CAST(rd.c AS INT) AS col, CAST(coalesce(g.label, -999) AS BIGINT) AS label, rd.own
+  FROM rd LEFT JOIN g USING (district_id, r, c)),
+touch AS (SELECT DISTINCT a.district_id, least(a.label, o.label) AS src, greatest(a.label, o.label) AS dst FROM v a
+  JOIN (SELECT v.*, dr, dc FROM v, (VALUES (0,1),(1,-1),(1,0),(1,1)) s(dr, dc)) o
+  ON a.district_id = o.district_id AND a."row" = o."row" + dr AND a.col = o.col + dc WHERE a.label > 0 AND o.label > 0 AND a.label <> o.label),
+adj AS (SELECT t.district_id, t.src, t.dst, sqrt(pow(greatest(0, p.minx - q.maxx, q.minx - p.maxx), 2) + pow(greatest(0, p.miny - q.maxy, q.miny - p.maxy), 2)) AS distance
+  FROM touch t JOIN b p ON p.district_id = t.district_id AND p.building_id = t.src JOIN b q ON q.district_id = t.district_id AND q.building_id = t.dst),
+edge AS (SELECT * FROM adj UNION ALL SELECT district_id, dst, src, distance FROM adj)"""
+
+
+@query(f"""WITH {CELL_SQL} SELECT district_id, CAST(59 - r AS INT) AS "row", CAST(c AS INT) AS col, CAST(own AS BIGINT) AS label FROM rd""")
+def raster_burn(spark, sf_dir):
+    return _burnt(spark, sf_dir)
+
+
+@query(f"""WITH {CELL_SQL} SELECT district_id, count(*) AS n_cells, count(*) FILTER (own > 0) AS n_building_cells, round(avg(CASE WHEN own > 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM rd GROUP BY ALL""")
+def raster_coverage(spark, sf_dir):
+    return rounded(raster.coverage(_burnt(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {GROWN_SQL} SELECT district_id, "row", col, label FROM v""")
+def voronoi_growth(spark, sf_dir):
+    return raster.grow(_burnt(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {GROWN_SQL} SELECT district_id, label AS building_id, count(*) AS n_cells, CAST(count(*) AS DOUBLE) AS area FROM v WHERE label > 0 GROUP BY ALL""")
+def voronoi_region_area(spark, sf_dir):
+    return raster.region_areas(raster.grow(_burnt(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {GROWN_SQL} SELECT a.district_id, a."row", a.col FROM v a JOIN v o ON a.district_id = o.district_id
+    AND o."row" BETWEEN a."row" - 1 AND a."row" + 1 AND o.col BETWEEN a.col - 1 AND a.col + 1
+    WHERE a.own = 0 GROUP BY ALL HAVING min(o.label) <> max(o.label)"""
+)
+def boundary_cells(spark, sf_dir):
+    burnt = cut(_burnt(spark, sf_dir))
+    return raster.boundary_cells(cut(raster.grow(burnt)), burnt)
+
+
+@query(f"""WITH RECURSIVE {GROWN_SQL} SELECT district_id, src, dst, round(distance, 6) AS distance FROM edge""")
+def voronoi_adjacency(spark, sf_dir):
+    return rounded(_adjacent(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {GROWN_SQL} SELECT district_id, CAST(count(*) FILTER (distance > 0) // 2 AS BIGINT) AS n_edges, round(min(distance) FILTER (distance > 0), 6) AS min_distance,
+    round(max(distance) FILTER (distance > 0), 6) AS max_distance, round(avg(distance) FILTER (distance > 0), 6) AS mean_distance FROM edge GROUP BY ALL"""
+)
+def adjacency_stats(spark, sf_dir):
+    return rounded(adjacency.adjacency_stats(_adjacent(spark, sf_dir)))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS district_id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS VARCHAR) AS fault WHERE FALSE")
+def adjacency_faults(spark, sf_dir):
+    return adjacency.adjacency_faults(cut(_adjacent(spark, sf_dir)))
+
+
+@query()
+def voronoi_polygons(spark, sf_dir):
+    return rounded(raster.region_polygons(_grown(spark, sf_dir)).select("district_id", "building_id", "area", G.vertex_count(F.col("geometry")).alias("vertices")))
+
+
+@query()
+def voronoi_boundary_lines(spark, sf_dir):
+    burnt = cut(_burnt(spark, sf_dir))
+    thin = raster.thin_boundaries(raster.boundary_cells(cut(raster.grow(burnt)), burnt))
+    return rounded(raster.boundary_lines(thin).select("district_id", "line_id", F.size("points").alias("n_points"), "length"))
+
+
+@query(f"WITH {X.SQL_NODE} SELECT district_id, src, dst, round(distance, 6) AS distance FROM e")
+def edge_list_threshold(spark, sf_dir):
+    return rounded(X.edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {X.SQL_NODE}, dg AS (SELECT n.district_id, n.building_id, count(e.dst) AS degree FROM n LEFT JOIN e ON e.district_id = n.district_id AND e.src = n.building_id GROUP BY ALL)
+    SELECT district_id, count(*) AS num_nodes, CAST(sum(degree) AS BIGINT) AS num_edges, round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree, min(degree) AS min_degree,
+    CAST(quantile_disc(degree, 0.5) AS BIGINT) AS median_degree, round(CASE WHEN count(*) > 1 THEN sum(degree) / (count(*) * (count(*) - 1)) ELSE 0 END, 6) AS density,
+    count(*) FILTER (degree = 0) AS isolated FROM dg GROUP BY ALL"""
+)
+def graph_stats(spark, sf_dir):
+    return rounded(graph.graph_stats(X.nodes(spark, sf_dir), X.edges(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {X.SQL_NODE}, reach AS (SELECT district_id, building_id, building_id AS root FROM n
+      UNION SELECT e.district_id, e.dst, r.root FROM reach r JOIN e ON e.district_id = r.district_id AND e.src = r.building_id),
+    low AS (SELECT district_id, building_id, min(root) AS root FROM reach GROUP BY ALL)
+    SELECT district_id, building_id, CAST(dense_rank() OVER (PARTITION BY district_id ORDER BY root) - 1 AS INT) AS component FROM low"""
+)
+def connected_components(spark, sf_dir):
+    return graph.connected_components(X.nodes(spark, sf_dir), X.edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {X.SQL_NODE} SELECT district_id, src, dst,
+    round(distance / sum(distance) OVER w, 9) AS by_sum, round(distance / max(distance) OVER w, 6) AS by_max,
+    round(CASE WHEN max(distance) OVER w > min(distance) OVER w THEN (distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w) ELSE 1 END, 6) AS by_minmax,
+    round((distance - avg(distance) OVER w) / CASE WHEN stddev_samp(distance) OVER w > 0 THEN stddev_samp(distance) OVER w ELSE 1 END, 6) AS by_standard
+    FROM e WINDOW w AS (PARTITION BY district_id)"""
+)
+def edge_weight_normalize(spark, sf_dir):
+    e = X.edges(spark, sf_dir)
+    by = {f"by_{m}": F.round(graph.normalized_weights(e, m, "distance"), 9 if m == "sum" else 6) + F.lit(0.0) for m in ("sum", "max", "minmax", "standard")}
+    return e.select("district_id", "src", "dst", *(v.alias(k) for k, v in by.items()))
+
+
+@query(f"WITH {X.SQL_NODE} SELECT district_id, src, dst, round(distance, 6) AS weight FROM e UNION ALL SELECT district_id, building_id, building_id, 1.0 FROM n")
+def self_loops(spark, sf_dir):
+    return rounded(graph.with_self_loops(X.edges(spark, sf_dir).withColumnRenamed("distance", "weight"), X.nodes(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {X.SQL_NODE},
+    h0 AS (SELECT district_id, 0 AS hop, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY district_id, dst ORDER BY (src*7919 + dst*104729 + 42) % 1000003, src) AS k FROM e) WHERE k <= 15),
+    h1 AS (SELECT district_id, 1 AS hop, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY district_id, dst ORDER BY (src*7919 + dst*104729 + 43) % 1000003, src) AS k
+      FROM e WHERE (district_id, dst) IN (SELECT (district_id, src) FROM h0)) WHERE k <= 10)
+    SELECT * FROM h0 UNION ALL SELECT * FROM h1"""
+)
+def neighbor_sample(spark, sf_dir):
+    return graph.sampled_edges(X.edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {X.SQL_NODE}, s AS (SELECT district_id, count(*) AS num_nodes FROM n GROUP BY ALL)
+    SELECT district_id, num_nodes, num_nodes <= 2000 AS is_full, CAST(CASE WHEN num_nodes <= 2000 THEN 1 ELSE ceil(num_nodes / 1024.0) END AS BIGINT) AS n_batches, district_id % 4 AS graph_batch FROM s"""
+)
+def sampling_plan(spark, sf_dir):
+    return graph.sampling_plan(X.nodes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {X.SQL_NODE} SELECT district_id, building_id,
+    row_number() OVER (PARTITION BY district_id ORDER BY (building_id*7919 + 42) % 1000003, building_id) <= floor(count(*) OVER (PARTITION BY district_id) * 0.8) AS is_train FROM n"""
+)
+def train_val_split(spark, sf_dir):
+    return graph.split(X.nodes(spark, sf_dir).select("district_id", "building_id"), "building_id", 0.8, "district_id")
+
+
+@query(f"WITH {X.SQL_NODE} SELECT district_id, CAST(k - 1 AS INT) AS place, round(avg(features[k]), 6) AS mean, round(max(features[k]), 6) AS max FROM n, range(1, 65) t(k) GROUP BY ALL")
+def global_pool(spark, sf_dir):
+    both = graph.global_pool(X.nodes(spark, sf_dir), "mean_max").select("district_id", F.slice("pooled", 1, 64).alias("a"), F.slice("pooled", 65, 64).alias("b"))
+    rows = both.select("district_id", F.posexplode(F.arrays_zip("a", "b")).alias("place", "v"))
+    return rounded(rows.select("district_id", "place", F.col("v.a").alias("mean"), F.col("v.b").alias("max")))
+
+
+@query(
+    f"""WITH {X.SQL_NODE}, raw AS (SELECT p.district_id, i, j, CASE WHEN i = j THEN 0 ELSE 0.5*(cosine+1)/2 + 0.3*CASE WHEN i%3 = j%3 THEN 1 ELSE 0 END
+      + 0.2*CASE WHEN cosine >= 0.15 AND 1-cosine <> 0 THEN exp(-(1-cosine)) ELSE 0 END END AS a FROM pair p),
+    s AS (SELECT district_id, min(a) AS lo, max(a) AS hi FROM raw GROUP BY ALL)
+    SELECT district_id, i, j, round(CASE WHEN i = j THEN 1 WHEN hi > lo THEN (a-lo)/(hi-lo) ELSE a END, 6) AS affinity FROM raw JOIN s USING (district_id)"""
+)
+def pairwise_affinity(spark, sf_dir):
+    n = X.nodes(spark, sf_dir)
+    labels = n.select("district_id", "building_id", (F.col("building_id") % 3).alias("gat_label"))
+    return rounded(similarity.affinity(similarity.pairwise_cosine(n), X.edges(spark, sf_dir), labels))
+
+
+@query()
+def spectral_clusters(spark, sf_dir):
+    n = X.nodes(spark, sf_dir)
+    labels = n.select("district_id", "building_id", (F.col("building_id") % 3).alias("gat_label"))
+    return similarity.spectral_clusters(similarity.affinity(similarity.pairwise_cosine(n), X.edges(spark, sf_dir), labels))
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING}, v AS (SELECT district_id, building_id % 4 AS spectral_cluster, CAST(label AS BIGINT) AS gat_label, count(*) AS votes FROM b GROUP BY ALL)
+    SELECT district_id, spectral_cluster, gat_label, votes FROM v QUALIFY row_number() OVER (PARTITION BY district_id, spectral_cluster ORDER BY votes DESC, gat_label) = 1"""
+)
+def majority_vote(spark, sf_dir):
+    rows = X.rectangles(spark, sf_dir).select("district_id", "building_id", (F.col("building_id") % 4).alias("spectral_cluster"), F.col("label").cast("long").alias("gat_label"))
+    return similarity.majority_vote(rows)
+
+
+@query(f"WITH {X.SQL_NODE}, {X.SQL_PRED}, c AS (SELECT y AS c FROM p UNION SELECT pred FROM p) SELECT a.c AS y, o.c AS pred, (SELECT count(*) FROM p WHERE p.y = a.c AND p.pred = o.c) AS n FROM c a, c o")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(X.predictions(spark, sf_dir))
+
+
+REPORT_SQL = f"""WITH {X.SQL_NODE}, {X.SQL_PRED}, c AS (SELECT y AS c FROM p UNION SELECT pred FROM p),
+r AS (SELECT c AS class, count(*) FILTER (y = c AND pred = c) AS tp, count(*) FILTER (y = c) AS support, count(*) FILTER (pred = c) AS said FROM c, p GROUP BY ALL),
+q AS (SELECT class, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, 2 * tp / (said + support) AS f1, support FROM r)"""
+
+
+@query(REPORT_SQL + " SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM q")
+def classification_report(spark, sf_dir):
+    return rounded(metrics.class_report(X.predictions(spark, sf_dir)))
+
+
+@query(
+    REPORT_SQL
+    + """ SELECT round((SELECT avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) FROM p), 6) AS accuracy, round((SELECT avg(f1) FROM q), 6) AS f1_macro,
+    round((SELECT avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) FROM p), 6) AS f1_micro"""
+)
+def accuracy_f1(spark, sf_dir):
+    return rounded(metrics.accuracy_f1(X.predictions(spark, sf_dir)))
+
+
+LOGIT_SQL = """lg AS (SELECT district_id, building_id, features[1:9] AS z FROM n),
+lp AS (SELECT district_id, building_id, list_transform(z, lambda v: v - list_max(z) - ln(list_sum(list_transform(z, lambda u: exp(u - list_max(z)))))) AS lp FROM lg)"""
+
+
+@query(
+    f"""WITH {X.SQL_NODE}, {LOGIT_SQL},
+    m AS (SELECT district_id, avg(distance) AS mean FROM e GROUP BY ALL),
+    k AS (SELECT e.district_id, exp(-distance / (mean + 1e-8)) AS sim, list_sum([exp(q.lp[k]) * (q.lp[k] - s.lp[k]) for k in range(1, 10)]) AS one,
+      list_sum([exp(s.lp[k]) * (s.lp[k] - q.lp[k]) for k in range(1, 10)]) AS two
+      FROM e JOIN m USING (district_id) JOIN lp s ON s.district_id = e.district_id AND s.building_id = e.src JOIN lp q ON q.district_id = e.district_id AND q.building_id = e.dst),
+    f AS (SELECT district_id, avg(one * sim) AS loss, avg((one + two) / 2 * sim) AS loss_both FROM k GROUP BY ALL)
+    SELECT d.district_id, round(coalesce(loss, 0), 6) AS loss, round(coalesce(loss_both, 0), 6) AS loss_both FROM (SELECT DISTINCT district_id FROM n) d LEFT JOIN f USING (district_id)"""
+)
+def smoothness_loss(spark, sf_dir):
+    logits = X.nodes(spark, sf_dir).select("district_id", "building_id", F.slice("features", 1, 9).alias("logits"))
+    e = X.edges(spark, sf_dir)
+    both = attention.smoothness_loss(logits, e, both=True).withColumnRenamed("loss", "loss_both")
+    return rounded(attention.smoothness_loss(logits, e).join(both, "district_id"))
+
+
+@query(f"WITH {X.SQL_NODE}, {LOGIT_SQL} SELECT district_id, round(avg(-lp[1 + building_id % 9]), 6) AS loss, count(*) AS n FROM lp GROUP BY ALL")
+def cross_entropy(spark, sf_dir):
+    rows = X.nodes(spark, sf_dir).select("district_id", F.slice("features", 1, 9).alias("logits"), (F.col("building_id") % 9).cast("int").alias("y"))
+    return rounded(attention.cross_entropy(rows))
+
+
+def small_layer() -> attention.Layer:
+    """One head with two outputs and weights by rule."""
+    weight = np.array([[[((i * 7 + o * 3) % 11 - 5) / 10 for o in range(2)] for i in range(64)]])
+    return attention.Layer(weight, np.array([[0.3, -0.2]]), np.array([[0.1, 0.4]]), np.array([0.05, -0.05]))
+
+
+@query(
+    f"""WITH {X.SQL_NODE},
+    h AS (SELECT district_id, building_id, list_sum([features[i+1] * ((i*7)%11 - 5) / 10 for i in range(64)]) AS h0, list_sum([features[i+1] * ((i*7+3)%11 - 5) / 10 for i in range(64)]) AS h1 FROM n),
+    l AS (SELECT district_id, src, dst FROM e UNION ALL SELECT district_id, building_id, building_id FROM n),
+    s AS (SELECT l.*, a.h0, a.h1, 0.3*a.h0 - 0.2*a.h1 + 0.1*t.h0 + 0.4*t.h1 AS z FROM l JOIN h a ON a.district_id = l.district_id AND a.building_id = src JOIN h t ON t.district_id = l.district_id AND t.building_id = dst),
+    w AS (SELECT *, exp(CASE WHEN z > 0 THEN z ELSE 0.2*z END) AS w FROM s)
+    SELECT district_id, dst AS building_id, round(sum(w*h0)/sum(w) + 0.05, 6) AS out0, round(sum(w*h1)/sum(w) - 0.05, 6) AS out1 FROM w GROUP BY ALL"""
+)
+def attention_layer(spark, sf_dir):
+    out = attention.attention_layer(X.nodes(spark, sf_dir), X.edges(spark, sf_dir), small_layer())
+    return rounded(out.select("district_id", "building_id", F.get("features", F.lit(0)).alias("out0"), F.get("features", F.lit(1)).alias("out1")))
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING} SELECT district_id, building_id, CAST(CASE WHEN district_id % 3 = 0 THEN 10 + label ELSE label END AS BIGINT) AS gat_label, CAST(building_id % 4 AS BIGINT) AS spectral_cluster FROM b"""
+)
+def prediction_upsert(spark, sf_dir):
+    old = X.rectangles(spark, sf_dir).select("district_id", "building_id", F.col("label").cast("long").alias("gat_label"), (F.col("building_id") % 4).alias("spectral_cluster"))
+    new = old.where(F.col("district_id") % 3 == 0).withColumn("gat_label", F.col("gat_label") + 10)
+    return results.upserted(old, new)
+
+
+@query(f"WITH {X.SQL_BUILDING} SELECT district_id FROM d WHERE district_id % 3 <> 0")
+def resume_pending(spark, sf_dir):
+    todo = X.districts(spark, sf_dir).select("district_id")
+    return results.pending(todo, todo.where(F.col("district_id") % 3 == 0))
+
+
+@query(
+    f"""WITH {X.SQL_NODE} SELECT count(DISTINCT district_id) AS num_graphs, count(*) AS total_nodes, (SELECT count(*) FROM e) AS total_edges,
+    round(count(*) / count(DISTINCT district_id), 6) AS avg_nodes, round((SELECT count(*) FROM e) / count(DISTINCT district_id), 6) AS avg_edges,
+    count(DISTINCT building_id % 9) AS num_classes, CAST(max(len(features)) AS BIGINT) AS num_features FROM n"""
+)
+def dataset_statistics(spark, sf_dir):
+    n = X.nodes(spark, sf_dir).withColumn("y", (F.col("building_id") % 9).cast("int"))
+    return rounded(graph.dataset_stats(n, X.edges(spark, sf_dir)))
+
+
+@query(f"WITH {X.SQL_BUILDING} SELECT count(*) AS total_rows, count(DISTINCT district_id) AS districts, count(DISTINCT label) AS labels, count(DISTINCT building_id % 4) AS clusters FROM b")
+def result_summary(spark, sf_dir):
+    rows = X.rectangles(spark, sf_dir).select("district_id", F.col("label").alias("gat_label"), (F.col("building_id") % 4).alias("spectral_cluster"))
+    return results.result_summary(rows)
+
+
+@query(f"WITH {X.SQL_NODE}, g AS (SELECT district_id, count(*) AS num_nodes, max(len(features)) AS k FROM n GROUP BY ALL) SELECT count(*) AS districts, CAST(sum(num_nodes) AS BIGINT) AS total_nodes, CAST(max(k) AS INT) AS embedding_dim FROM g")
+def run_summary(spark, sf_dir):
+    g = X.nodes(spark, sf_dir).groupBy("district_id").agg(F.count("*").alias("num_nodes"), F.max(F.size("features")).alias("embedding_dim"))
+    return results.run_summary(g)
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING}, s AS (SELECT 0 AS t, building_id AS k, label FROM b WHERE label <= 4 UNION ALL SELECT 1, building_id, label FROM b WHERE label > 4)
+    SELECT CAST(row_number() OVER (ORDER BY t, k) AS BIGINT) AS segment_id, label FROM s"""
+)
+def segments_merge(spark, sf_dir):
+    s = X.rectangles(spark, sf_dir).select(F.col("building_id").alias("segment_id"), "label")
+    return spatial.merge_segments([s.where("label <= 4"), s.where("label > 4")])
+
+
+@query(
+    f"""WITH {X.SQL_BUILDING}, s AS (SELECT district_id*1000 + k AS segment_id, 200*district_id + k*maxx/4.0 AS x0, 200*district_id + (k+1)*maxx/4.0 AS x1 FROM d, range(4) t(k))
+    SELECT segment_id, count(building_id) AS n_buildings FROM s LEFT JOIN b ON b.minx + 200*b.district_id <= x1 AND b.maxx + 200*b.district_id >= x0 AND s.segment_id // 1000 = b.district_id GROUP BY ALL"""
+)
+def segment_building_count(spark, sf_dir):
+    width = (60 + 40 * (F.col("district_id") % 2)) / 4
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    s = X.districts(spark, sf_dir).select("district_id", k)
+    x0 = F.col("district_id") * X.SPREAD + F.col("k") * width
+    segments = s.select((F.col("district_id") * 1000 + F.col("k")).alias("segment_id"), G.rectangle(x0, F.lit(0), x0 + width, F.lit(60)).alias("geometry"))
+    return spatial.count_in_segments(segments, X.buildings(spark, sf_dir, X.SPREAD))
+
+
+@query(f"WITH {X.SQL_NODE}, i AS (SELECT district_id, building_id, CAST(row_number() OVER (PARTITION BY district_id ORDER BY building_id) - 1 AS INT) AS k FROM n) SELECT e.district_id, e.src, e.dst, a.k AS src_idx, o.k AS dst_idx FROM e JOIN i a ON a.district_id = e.district_id AND a.building_id = src JOIN i o ON o.district_id = e.district_id AND o.building_id = dst")
+def graph_construction(spark, sf_dir):
+    own = graph.indexed_nodes(X.nodes(spark, sf_dir).select("district_id", "building_id"))
+    return graph.indexed_edges(X.edges(spark, sf_dir), own).select("district_id", "src", "dst", "src_idx", "dst_idx")
+
+
+FLAGSHIP = voronoi_adjacency
