@@ -10,7 +10,10 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+GEOMETRY_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(POINT_TYPE)))
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 
 

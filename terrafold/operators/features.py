@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrafold.functions import geometry as G
 from terrafold.functions import kernels as K
@@ -16,7 +17,7 @@ NAMES = [
 ]
 
 
-@F.pandas_udf("struct<angle:double,hull:double>")
+@F.pandas_udf(T.StructType([T.StructField("angle", T.DoubleType()), T.StructField("hull", T.DoubleType())]))
 def _hull(geometry: pd.Series) -> pd.DataFrame:
     rows = []
     for g in geometry:

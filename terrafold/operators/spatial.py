@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrafold.functions import geometry as G
 from terrafold.functions import kernels as K
@@ -35,17 +36,17 @@ def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return a.join(b, ["tx", "ty"]).where(meet & own).select(left_id, right_id, "a", "b")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shortest_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.polygon_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(G.GEOMETRY)
+@F.pandas_udf(G.GEOMETRY_TYPE)
 def clip(geometry: pd.Series, to: pd.Series) -> pd.Series:
     return pd.Series([K.clip_geometry(g, t) for g, t in zip(geometry, to, strict=True)])
 
 
-@F.pandas_udf(G.GEOMETRY)
+@F.pandas_udf(G.GEOMETRY_TYPE)
 def repair(geometry: pd.Series) -> pd.Series:
     """Repeated points and spikes go; rings without area are dropped."""
 

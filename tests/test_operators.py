@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from terrafold.functions import geometry as G
 from terrafold.operators import adjacency, attention, features, graph, metrics, raster, results, similarity, spatial, training
 
-RECT = "SELECT {} AS {}, {} AS x0, {} AS y0, {} AS x1, {} AS y1"
-
 
 def shapes(spark, name, rows):
-    df = spark.createDataFrame(rows, f"{name} long, x0 double, y0 double, x1 double, y1 double")
+    df = spark.createDataFrame([(k, *map(float, box)) for k, *box in rows], f"{name} long, x0 double, y0 double, x1 double, y1 double")
     return df.select(name, G.rectangle(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("geometry"))
 
 
@@ -22,7 +20,7 @@ def test_geometry(spark):
     ).first()
     assert (row.a, row.p, row.v) == (15, 20, 4) and abs(row.c.x - (32 - 1.5) / 15) < 1e-9 and row.b.maxx == 4
     east = spark.range(1).select(G.utm_from_wgs84(F.lit(117.0), F.lit(30.0)).alias("p"), G.utm_from_wgs84(F.lit(118.0), F.lit(30.0)).alias("q")).first()
-    assert abs(east.p.x - 500000) < 1e-6 and abs(east.p.y - 3318785.35) < 0.1 and abs(east.q.x - 596479.67) < 0.5
+    assert abs(east.p.x - 500000) < 1e-6 and abs(east.p.y - 3318785.35) < 0.1 and abs(east.q.x - 596450.1) < 1
 
 
 def test_spatial_joins(spark):
@@ -100,7 +98,7 @@ def test_attention_forms_and_gradient(spark):
     net = attention.Network.random(3, 2, 3, layers=2, heads=2)
     x, links = rng.normal(size=(5, 3)), np.array([(0, 1), (1, 0), (1, 2), (2, 1), (3, 4), (4, 3)])
     n = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "district_id long, building_id long, features array<double>")
-    e = spark.createDataFrame([(1, int(a), int(b), 1.0 + a) for a, b in links], "district_id long, src long, dst long, distance double")
+    e = spark.createDataFrame([(1, int(a), int(b), float(1 + a)) for a, b in links], "district_id long, src long, dst long, distance double")
     got = np.array([r.logits for r in attention.forward(n, e, net).orderBy("building_id").collect()])
     assert np.allclose(got, attention.forward_numpy(net, x, links)[-1]["z"], atol=1e-9)
     with pytest.raises(ValueError):
