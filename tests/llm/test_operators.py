@@ -1,0 +1,255 @@
+import math
+import os
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrafold.llm import ann, byte_bpe, chat, jaccard_join, licenses, line_rules, mixing, ngram_lm, quality, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, block string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def docs_of(spark, texts, sources=None):
+    """Documents with nulls and with names that operators use themselves."""
+    rows = [(i, t, None, (sources or {}).get(i), None, None, None, None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def random_texts(n, seed, length=(5, 60)):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(WORDS, rng.integers(*length))) for _ in range(n)]
+
+
+EDGE = [None, "", "  \n\t ", "one", "one two", "x" * 5000, "a b c d e\n" * 3]
+
+
+def components(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def near_copies(seed):
+    rng = np.random.default_rng(seed)
+    base = [list(rng.choice(WORDS, 120)) for _ in range(4)]
+    passage = list(rng.choice(WORDS, 30))
+    out = []
+    for k in range(60):
+        w = list(base[k % 4])
+        for at in rng.choice(len(w), rng.integers(0, 5), replace=False):
+            w[at] = f"n{rng.integers(10**6)}"
+        out.append(" ".join(w + (passage if k % 3 == 0 else [])))
+    return out + [" ".join(passage), out[0], out[0].upper()]
+
+
+@pytest.mark.parametrize("n,percent,seed", [(4, 85, 1), (5, 80, 2), (1, 50, 3)])
+def test_jaccard_is_exact(spark, n, percent, seed):
+    texts = EDGE + near_copies(seed) + random_texts(20, seed)
+    got = jaccard_join.jaccard_components(docs_of(spark, texts), n, percent).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == components(texts, n, percent)
+
+
+def test_jaccard_repeated_rows_nulls_and_empty(spark):
+    d = docs_of(spark, ["a b c d e", "a b c d e", "z"])
+    again = d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = Counter(tuple(r)[:3] for r in jaccard_join.jaccard_components(again).collect())
+    assert got == {(0, 1, 0): 2, (1, 1, 0): 2, (2, 1, 2): 2, (None, None, None): 1}
+    assert jaccard_join.jaccard_components(d.limit(0)).count() == 0
+
+
+def test_line_rules_against_plain_counts(spark):
+    texts = EDGE + random_texts(10, 4, (40, 90)) + ["the cat sat the cat sat on\nhome | menu\nhome | menu\n$$$ ### a"]
+    got = {r.doc_id: r for r in line_rules.clean_lines(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {k for j, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words, got[i].n_dup_lines) == (len(w), sum(map(len, w)), len(cover), len(lines) - len(set(lines)))
+    last = got[len(texts) - 1]
+    assert last.cleaned == "the cat sat the cat sat on" and not last.kept
+    assert got[len(EDGE)].kept == (got[len(EDGE)].n_words >= 50)
+
+
+def test_licenses(spark):
+    texts = [None, "", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "licensed under the Apache License, 2.0", "All Rights Reserved; all rights reserved", "general public licence", "Copyright (c) 2020 Jo Doe. All rights reserved."]
+    got = [r for r in licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert [r.labels for r in got] == ["", "", "cc-by,cc-by-nc", "mit", "apache-2.0", "reserved", "", "copyright,reserved"]
+    assert (got[5].n_base, got[5].first_word, got[5].last_word, got[0].first_word) == (2, 0, 3, None)
+    auto = licenses.Automaton.compile("a <<optional>>b<</optional>> c <<any:2>> d")
+    accepts = {s: auto.longest(s.encode().split(), 0) for s in ("a c d", "a b c x d", "a c x y d", "a c x y z d", "a b d")}
+    assert accepts == {"a c d": 3, "a b c x d": 5, "a c x y d": 5, "a c x y z d": 0, "a b d": 0}
+
+
+def test_mixing(spark):
+    d = docs_of(spark, ["t"] * 3000, {i: "big" if i % 3 else None for i in range(3000)})
+    out = mixing.mix_sources(d, {"big": 1.0, "": 1.0}, epochs=2.0)
+    rates = {r.source: r.mix_rate for r in out.select("source", "mix_rate").distinct().collect()}
+    assert abs(rates["big"] - 1.5) < 1e-9 and abs(rates[None] - 3.0) < 1e-9
+    copies = Counter(out.groupBy("doc_id").count().select("count").toPandas()["count"])
+    assert abs(sum(k * v for k, v in copies.items()) - 6000) < 350
+    assert {tuple(r) for r in out.select("doc_id", "mix_copy").collect()} == {tuple(r) for r in mixing.mix_sources(d.repartition(7), {"big": 1.0, "": 1.0}, epochs=2.0).select("doc_id", "mix_copy").collect()}
+    assert mixing.mix_sources(d.limit(0)).count() == 0
+    u = [0.01, 0.3, 0.5, 0.9, 0.9999]
+    got = spark.createDataFrame([(x,) for x in u], "u double").select(mixing.poisson_count(F.col("u"), F.lit(1.3)).alias("k")).collect()
+    want = []
+    for x in u:
+        k, p = 0, math.exp(-1.3)
+        f = p
+        while f < x:
+            k += 1
+            p *= 1.3 / k
+            f += p
+        want.append(k)
+    assert [r.k for r in got] == want
+
+
+def test_chat(spark):
+    call = '{"tool_calls":[{"id":"c1","name":"add","arguments":{"b":2,"a":1}},{"id":"c2","name":"add","arguments":{"a":"x"}},{"id":"c3","name":"nope","arguments":"{"}]}'
+    rows = [(1, 0, "user", "hi"), (1, 1, "tool", '{"tool_call_id":"c1","content":"3"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"zz","content":"?"}'), (2, 0, None, None), (2, 1, "user", "{bad")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): r for r in chat.format_chats(chat.parse_messages(m), {"add": {"a": ("integer", True), "b": ("integer", False)}}).collect()}
+    asked = out[1, 2]
+    assert (asked.n_calls, asked.n_answered, asked.n_invalid) == (3, 1, 2)
+    assert '"arguments":{"a":1,"b":2},"id":"c1","name":"add","valid":true' in asked.json
+    assert out[1, 1].level == 3 and not out[1, 1].cyclic and out[1, 3].orphan
+    assert out[2, 1].json == '{"calls":[],"content":"{bad","result_of":"","role":"user"}' and out[2, 0].json == '{"calls":[],"content":"","result_of":"","role":""}'
+    assert chat.format_chats(chat.parse_messages(m.limit(0)), {}).count() == 0
+
+
+def test_search(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[100:400] = x[7]  # a vector that many rows share
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    found = total = 0
+    for q, own in got.items():
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(len(x)), -np.round(s, 9))) if i != q][:20]
+        assert [a for a, _, _ in sorted(own)] == list(range(1, 21)) and all(abs(s[i] - b) < 1e-9 for _, i, b in own)
+        found, total = found + len({i for _, i, _ in own} & set(want)), total + 20
+    assert len(got) == 60 and found / total >= 0.9
+    few = v.where("vec_id < 5")
+    assert ann.nearest(few, few.where("vec_id = 0"), 20).count() == 4 and ann.nearest(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_language_model(spark):
+    texts = EDGE + random_texts(60, 8)
+    got = {r.doc_id: r for r in ngram_lm.score_texts(docs_of(spark, texts), 7, 2).collect()}
+    train, words = [], [(t or "").encode().lower().split() for t in texts]
+    for i, w in enumerate(words):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.append(w)
+    c = Counter(x for w in train for x in [*w, None])
+    pairs = Counter(p for w in train for p in zip(["<s>", *w], [*w, None], strict=True))
+    after, types = Counter(), Counter()
+    for (v, _), k in pairs.items():
+        after[v] += k
+        types[v] += 1
+    n, kinds = sum(c.values()), len(c)
+    for i, w in enumerate(words):
+        base = score = 0.0
+        for v, x in zip(["<s>", *w], [*w, None], strict=True):
+            p = (c[x] + 1) / (n + kinds + 1)
+            base += math.log10(p)
+            spare = ngram_lm.STRENGTH * types[v]
+            score += math.log10((pairs[v, x] + spare * p) / (after[v] + spare) if spare else p)
+        r = got[i]
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
+    assert ngram_lm.score_texts(docs_of(spark, []), 7, 2).count() == 0
+
+
+def test_classifiers(spark):
+    good, bad = random_texts(150, 9, (40, 80)), [t.upper().replace(" ", "!! ") for t in random_texts(150, 10, (40, 80))]
+    texts = [t for both in zip(good, bad, strict=True) for t in both] + EDGE
+    d = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    voter = quality.fit_quality(d, labels, 3, 1)
+    q = {r.doc_id: r.score for r in quality.score_quality(d, voter).collect()}
+    assert len(q) == len(texts) and all((q[i] >= 0.5) == (i % 2 == 0) for i in range(300)) and all(0 <= s <= 1 for s in q.values())
+    assert quality.keep(d, voter, 0.5).columns == d.columns
+    insults = [f"{t} jerk{k}" if k % 2 else t for k, t in enumerate(random_texts(300, 11, (40, 80)))]
+    e = docs_of(spark, insults + EDGE)
+    machine = toxicity.fit_toxicity(e, labels, 4, 2)
+    s = {r.doc_id: r.score for r in toxicity.score_toxicity(e, machine).collect()}
+    assert sum((s[i] >= 0.3) == (i % 2 == 1) for i in range(300)) > 290
+    kept = toxicity.keep(e, machine, 0.3)
+    assert kept.columns == e.columns and abs(kept.where("doc_id < 300").count() - 150) <= 10
+    for none in (labels.limit(0), labels.where("quality = 1")):
+        assert quality.score_quality(d, quality.fit_quality(d, none, 3, 1)).count() == len(texts)
+        assert toxicity.score_toxicity(d, toxicity.fit_toxicity(d, none, 4, 2)).count() == len(texts)
+
+
+def test_machine_learns_a_pair():
+    """Two terms that mean nothing alone and label 1 together."""
+    rng = np.random.default_rng(2)
+    samples, labels = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        noise = rng.choice(np.arange(100, 50_000), 6, replace=False)
+        samples.append(np.unique(np.concatenate([noise, [1] * int(a), [2] * int(b)]).astype(np.int64)))
+        labels.append(float(a and b))
+    m = toxicity.FactorizationMachine.fit(samples, np.array(labels))
+    assert sum((m.score(s) >= 0.5) == bool(y) for s, y in zip(samples, labels, strict=True)) > 1450
+
+
+@pytest.mark.parametrize("memo", [0, 50])
+def test_byte_bpe_like_the_library(spark, memo):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = EDGE[:-1] + ["it's we'll  two spaces x\n\n y ", "Ünïcödé 汉字 🙂🙂 العربية", "aaaaaaaaaa !!!!!!! 1234567", "<|endoftext|> end"]
+    bpe = byte_bpe.ByteBpe(ranks, P.PATTERN, memo_pieces=memo)
+    out = bpe.decode(bpe.encode(docs_of(spark, texts))).orderBy("doc_id").collect()
+    for r, t in zip(out, texts, strict=True):
+        assert r.ids == library.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_pipeline_against_its_parts(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in C.STAGES[:2]:
+        after = stage(spark, docs, SF).cache()
+        assert after.columns == columns and 0.6 * n < after.count() <= n, name
+        docs = after
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id for r in C.STAGES[2][1](spark, docs, SF).collect()}
+    ids = [i for i, _ in rows]
+    assert got == {ids[i] for i, _, c in components([t for _, t in rows], 5, 80) if i == c}
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
