@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 #: The seed of Spark's xxhash64.
 SPARK_SEED = 42
 #: Lists (powers of two) of the literal rank map, and of the memo.
-RANK_LISTS, MEMO_LISTS = 16_384, 65_536
+RANK_LISTS, MEMO_LISTS = 16_384, 32_768
 #: The memo holds so many frequent pieces of at most so many bytes each, whatever the
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
-MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 262_144, 64, 20_000
+MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 131_072, 64, 20_000
 NO_RANK = 2**31 - 1
 
 
@@ -142,9 +142,12 @@ class ByteBpe:
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
-        memo = _literal_lists(
-            ((row.piece, row.ids) for row in self.frequent(df, text).toLocalIterator()), MEMO_LISTS, "array<int>"
-        )
+        # the lists come as JSON, so the driver never holds the memo as objects
+        lists = ["{}"] * MEMO_LISTS
+        one_list = F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))))
+        for row in self.frequent(df, text).groupBy(_list_of(F.col("piece"), MEMO_LISTS).alias("list")).agg(one_list.alias("json")).collect():
+            lists[row["list"]] = row["json"]
+        memo = _from_json(f"[{','.join(lists)}]", "array<int>")
         tables = F.array(F.struct(memo.alias("memo"), self.rank_map().alias("ranks")))
 
         def one(t: Column, piece: Column) -> Column:
@@ -186,4 +189,8 @@ def _literal_lists(entries: Iterable[tuple[str, object]], lists: int, kind: str)
     maps: list[dict[str, object]] = [{} for _ in range(lists)]
     for key, value in entries:
         maps[xxhash.xxh64_intdigest(key.encode(), SPARK_SEED) % lists][key] = value
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{kind}>>")
+    return _from_json(json.dumps(maps, separators=(",", ":")), kind)
+
+
+def _from_json(lists: str, kind: str) -> Column:
+    return F.from_json(F.lit(lists), f"array<map<string,{kind}>>")
