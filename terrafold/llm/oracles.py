@@ -2,4 +2,20 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # the table's texts hold no tool JSON: user turns are calls, the next assistant turns their results
+    "op4_tool_calls": """
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT *, role = 'user' AS asks, role = 'assistant' AND turn > 0 AS answers, CAST(conv_id AS VARCHAR) AS c FROM m),
+asked AS (SELECT DISTINCT conv_id, turn FROM k WHERE asks),
+told AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM k WHERE answers),
+j AS (SELECT k.*, a.turn AS call_turn, (k.asks AND t.turn IS NOT NULL) AS answered FROM k
+  LEFT JOIN asked a ON k.answers AND a.conv_id = k.conv_id AND a.turn = k.turn - 1
+  LEFT JOIN told t ON t.conv_id = k.conv_id AND t.turn = k.turn)
+SELECT conv_id, turn, turn AS level, FALSE AS cyclic, CAST(CASE WHEN asks THEN 1 ELSE 0 END AS BIGINT) AS n_calls,
+  CAST(CASE WHEN answered THEN 1 ELSE 0 END AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_invalid,
+  (answers AND call_turn IS NULL) AS orphan,
+  '{"calls":[' || CASE WHEN asks THEN '{"arguments":{"chars":' || length(text) || '},"id":"' || c || ':' || turn || '","name":"reply","valid":true}' ELSE '' END
+  || '],"content":' || CAST(to_json(text) AS VARCHAR) || ',"result_of":"' || CASE WHEN answers THEN c || ':' || (turn - 1) ELSE '' END || '","role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
+FROM j""",
+}
