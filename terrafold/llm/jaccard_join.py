@@ -22,7 +22,7 @@ N-grams are 64-bit hashes reduced to 40 bits within a fragment.  Defined
 results: texts that are null or hold no word have an empty set and link with
 nothing, each its own component; texts shorter than n words are one n-gram;
 rows that repeat a doc_id are returned as often as they stand (with different
-texts, one of them stands for the id); rows without a doc_id link with nothing and
+texts, the least of them stands for the id); rows without a doc_id link with nothing and
 have no component; other columns don't matter; an empty table gives an empty table.
 """
 
@@ -218,7 +218,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     first = classes.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     fragments = max(8, -(-size // FRAGMENT_BYTES))
-    texts = rows.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # one text an id, in an order of its own: a task that is run again makes the same blocks
+    texts = rows.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).sortWithinPartitions("doc_id")
     sent = texts.mapInArrow(_send(n, fragments), "fragment int, block string, docs binary, sizes binary, grams binary")
     told = sent.groupBy("fragment").applyInArrow(_count, TOLD)
     kept = cut(told.groupBy("block").applyInArrow(_gather(fragments, percent), KEPT))
