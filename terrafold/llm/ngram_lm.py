@@ -10,10 +10,11 @@ all unknown words.  A text is one left-to-right walk from the state of
 the start mark: its next state is always the word just read.
 
 The model grows with the corpus and is never gathered in one place.  Texts form
-blocks; a block sends the distinct keys that it needs, with its training counts,
+blocks by a hash of their rows; a block sends the distinct keys that it needs, with its training counts,
 to the fragment of each key, fragments add the counts up, and each block gets
 the totals of its own keys back: the part of the automaton that its texts can
-reach.  Two passes over the same scan give blocks the same names.
+reach.  What a block holds depends on its rows only, so both passes agree however
+tasks are cut, also after an executor was lost.
 
 A pair goes to the fragment of its first word, which so knows t(v) too.  Keys:
 words by 64-bit hashes, second words by 40 bits.  Defined
@@ -24,14 +25,12 @@ don't matter; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, blocks, cut, fold_of, hash64, pack5, unpack5, utf8
+from .common import Numbering, cut, fold_of, hash64, pack5, unpack5, utf8
 
 #: Hashes of the start and end marks: they hold spaces, so they are no words.
 START, END = hash64(b" start "), hash64(b" end ")
@@ -40,8 +39,8 @@ BLOCK_BYTES = 16 << 20
 FRAGMENT_BYTES = 12 << 20
 STRENGTH = 4.0  # K
 
-ASK = "fragment int, block string, words binary, word_counts binary, followers binary, pairs binary, pair_counts binary"
-TOLD = "block string, fragment int, word_counts binary, word_types binary, pair_counts binary, n_types long, n_tokens long"
+ASK = "fragment int, block long, words binary, word_counts binary, followers binary, pairs binary, pair_counts binary"
+TOLD = "block long, fragment int, word_counts binary, word_types binary, pair_counts binary, n_types long, n_tokens long"
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 )
@@ -86,33 +85,34 @@ def _split(own: np.ndarray, fragments: int) -> list[np.ndarray]:
 
 
 def _asks(fragments: int):
-    names = ["fragment", "block", "words", "word_counts", "followers", "pairs", "pair_counts"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, keys_of, texts in blocks(batches, BLOCK_BYTES):
-            block = Block(texts)
-            train = ~np.array([k["held_out"] for k in keys_of], bool)
-            token = np.repeat(train, block.lengths)
-            word_n = np.bincount(block.ids[token], minlength=len(block.words))
-            word_n[block.start] = train.sum()
-            pair_n = np.bincount(block.pair[token], minlength=len(block.pair_first))
-            followers = np.bincount(block.pair_first, minlength=len(block.words))
-            for fragment, (w, p) in enumerate(block.by_fragment(fragments)):
-                if len(w):
-                    blobs = [
-                        block.words[w].astype("<u8").tobytes(),
-                        word_n[w].astype("<u4").tobytes(),
-                        followers[w].astype("<u4").tobytes(),
-                        pack5(block.words[block.pair_second[p]]),
-                        _counts(pair_n[p]),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([fragment], pa.int32()), pa.array([name]), *(pa.array([x], pa.binary()) for x in blobs)], names=names
-                    )
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        block = Block(_texts(texts))
+        train = ~np.array(texts["held_out"].to_pylist(), bool)
+        token = np.repeat(train, block.lengths)
+        word_n = np.bincount(block.ids[token], minlength=len(block.words))
+        word_n[block.start] = train.sum()
+        pair_n = np.bincount(block.pair[token], minlength=len(block.pair_first))
+        followers = np.bincount(block.pair_first, minlength=len(block.words))
+        own = [(f, w, p) for f, (w, p) in enumerate(block.by_fragment(fragments)) if len(w)]
+        blobs = {
+            "words": [block.words[w].astype("<u8").tobytes() for _, w, _ in own],
+            "word_counts": [word_n[w].astype("<u4").tobytes() for _, w, _ in own],
+            "followers": [followers[w].astype("<u4").tobytes() for _, w, _ in own],
+            "pairs": [pack5(block.words[block.pair_second[p]]) for _, _, p in own],
+            "pair_counts": [_counts(pair_n[p]) for _, _, p in own],
+        }
+        return pa.table(
+            {"fragment": pa.array([f for f, _, _ in own], pa.int32()), "block": pa.array([key[0].as_py()] * len(own), pa.int64())}
+            | {k: pa.array(v, pa.binary()) for k, v in blobs.items()}
+        )
 
     return run
 
 
+def _texts(group: pa.Table) -> list[bytes]:
+    return [text for batch in group.select(["text"]).to_batches() for text in utf8(batch)]
+
+
 def _counts(n: np.ndarray) -> bytes:
     """A byte a count, and the counts over 254 (as 255) in full behind them."""
     return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u4").tobytes()
@@ -189,7 +189,7 @@ def walk(block: Block, counts: np.ndarray, types: np.ndarray, pair_n: np.ndarray
 
 def _scores(fragments: int, n_tokens: int, n_types: int, strength: float):
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(utf8(texts.combine_chunks().to_batches()[0]))
+        block = Block(_texts(texts))
         counts, types, pair_n = (np.zeros(n, np.int64) for n in (len(block.words), len(block.words), len(block.pair_first)))
         places = block.by_fragment(fragments)
         for row in told.to_pylist():
@@ -205,34 +205,17 @@ def _scores(fragments: int, n_tokens: int, n_types: int, strength: float):
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the name of their block."""
-    for name, rows, texts in blocks(batches, BLOCK_BYTES):
-        for at in range(0, len(rows), 4096):
-            own = rows[at : at + 4096]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(own)),
-                    pa.array([k["doc_id"] for k in own], pa.int64()),
-                    pa.array([k["held_out"] for k in own], pa.bool_()),
-                    pa.array(texts[at : at + 4096], pa.binary()).cast(pa.string()),
-                ],
-                names=["block", "doc_id", "held_out", "text"],
-            )
-
-
 def score_texts(documents: DataFrame, folds: int, held_out: int, strength: float = STRENGTH) -> DataFrame:
     """A row for each document: tokens, known tokens, base and model scores."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    size = size["b"] + 16 * size["n"]
+    blocks, fragments = max(8, -(-size // BLOCK_BYTES)), max(8, -(-size // FRAGMENT_BYTES))
     held = (fold_of("doc_id", folds) == held_out).alias("held_out")
-    rows = documents.select(F.struct("doc_id", held).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(
-        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")
-    ).first()
-    fragments = max(8, -(-size["b"] // FRAGMENT_BYTES))
-    told = cut(rows.mapInArrow(_asks(fragments), ASK).groupBy("fragment").applyInArrow(_add_up, TOLD))
+    rows = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    told = cut(rows.groupBy("block").applyInArrow(_asks(fragments), ASK).groupBy("fragment").applyInArrow(_add_up, TOLD))
     whole = told.agg(F.coalesce(F.sum("n_types"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
-    named = rows.mapInArrow(_named, "block string, doc_id long, held_out boolean, text string")
-    scored = named.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+    scored = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         _scores(fragments, whole["n"], whole["v"], strength), SCORED
     )
     return scored.withColumn("train_tokens", F.lit(whole["n"]).cast("long"))
