@@ -15,7 +15,10 @@ fragments by hash.  The join goes like this:
    its documents to its most central one; candidates' sets are cut by fragment,
    the overlaps of each pair counted in each fragment and summed.  Then only
    pairs that share a prefix n-gram and are not yet in one component are counted,
-   so a group of near copies isn't expanded into all its pairs.
+   so a group of near copies isn't expanded into all its pairs.  A bitmap of
+   each set bounds the difference of two sets from below.  The documents of such
+   an n-gram meet in blocks of bounded size, large components in blocks of their
+   own that don't meet each other, and only pairs that may link leave a block.
 4. Components take their smallest doc_id; classes and repeated rows join them.
 
 N-grams are 64-bit hashes reduced to 40 bits within a fragment.  Defined
@@ -42,6 +45,10 @@ BLOCK_BYTES = 16 << 20
 FRAGMENT_BYTES = 8 << 20
 #: Fragments of the pairs' overlaps.
 PAIR_FRAGMENTS = 8
+#: 64-bit words of a set's bitmap; more of them rule out more pairs, links don't depend on it.
+BITMAP = 16
+#: Documents of a block in which those of an n-gram meet.
+MEETING = 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,7 +140,7 @@ def _count(group: pa.Table) -> pa.Table:
 
 
 TOLD = "block string, fragment int, docs binary, unshared binary, grams binary, holders binary"
-KEPT = "doc_id long, n_shingles long, unshared long, grams array<long>"
+KEPT = "doc_id long, n_shingles long, unshared long, grams array<long>, bits array<long>"
 
 
 def _gather(fragments: int, percent: int):
@@ -158,16 +165,64 @@ def _gather(fragments: int, percent: int):
         own = hopeful[doc]
         doc, key, count = doc[own], key[own], count[own]
         order = np.lexsort((key, count, doc))
-        doc, key = doc[order], key[order].astype(np.int64)
+        doc, key = doc[order], key[order]
         starts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        offsets = pa.array(starts, pa.int32())
+        filled = np.concatenate([[0], np.cumsum(starts[1:] > starts[:-1])])
+        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.astype(np.int64)))
         return pa.table(
-            {"doc_id": ids, "n_shingles": sizes, "unshared": unshared, "grams": pa.ListArray.from_arrays(offsets, pa.array(key, pa.int64()))}
+            {"doc_id": ids, "n_shingles": sizes, "unshared": unshared, "grams": lists(starts, key), "bits": lists(BITMAP * filled, _bitmaps(filled[doc], key, filled[-1]))}
         )
 
     return run
 
 
+def _bitmaps(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The bitmaps of n sets, one after another."""
+    bit = mix(key * _MULTIPLIER) % np.uint64(64 * BITMAP)
+    out = np.zeros(n * BITMAP, np.uint64)
+    np.bitwise_or.at(out, doc * BITMAP + (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
+    return out
+
+
+def _meetings(percent: int):
+    """Pairs of two blocks of an n-gram that may link: of different components, with
+    enough n-grams from the shared one on, and bitmaps that don't differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x_at, x), (y_at, y) = _lists(batch.column(0)), _lists(batch.column(1))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row, same in enumerate(batch.column(2).to_pylist()):
+                i = slice(x_at[row], x_at[row + 1])
+                j = slice(y_at[row], y_at[row + 1])
+                col = lambda name: x[name][i][:, None]  # noqa: E731, B023
+                both = col("n") + y["n"][j]
+                reach = np.minimum(col("place"), y["place"][j]) + np.minimum(col("shared") - col("place"), y["shared"][j] - y["place"][j])
+                left = (100 - percent) * both - (100 + percent) * (col("u") + y["u"][j])
+                open_ = (col("c") != y["c"][j]) & (reach * (100 + percent) >= percent * both) & (left >= 0)
+                if same:
+                    open_ = np.triu(open_, 1)
+                p, q = np.nonzero(open_)
+                for at in range(0, len(p), 1 << 18):
+                    pc, qc = p[at : at + (1 << 18)], q[at : at + (1 << 18)]
+                    apart = np.bitwise_count(x["bits"][i][pc] ^ y["bits"][j][qc]).sum(1, dtype=np.int64)
+                    near = (100 + percent) * apart <= left[pc, qc]
+                    a.append(x["doc_id"][i][pc[near]])
+                    b.append(y["doc_id"][j][qc[near]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "right_b"])
+
+    return run
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's documents start, and their fields."""
+    offsets, docs = column.offsets.to_numpy(), column.flatten()
+    fields = {f.name: docs.field(f.name) for f in docs.type}
+    bits = fields.pop("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITMAP)
+    return offsets - offsets[0], {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()} | {"bits": bits}
+
+
 def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
     """Smallest overlap o with 100 o >= percent (na + nb - o)."""
     return F.ceil((na + nb) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -250,18 +305,26 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
 
     # the rest: pairs of different components that share a prefix n-gram
     placed = prefix.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
-    open_grams = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("gram")
-    placed = cut(placed.join(open_grams, "gram", "left_semi"))
-    sides = placed.select("gram", "c").distinct()
-    meet = sides.select("gram", F.col("c").alias("ca")).join(sides.select("gram", F.col("c").alias("cb")), "gram").where("ca < cb")
-    x = placed.select("gram", F.col("c").alias("ca"), F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("unshared").alias("ux"), F.col("place").alias("px"), F.col("shared").alias("sx"))
-    y = placed.select("gram", F.col("c").alias("cb"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("unshared").alias("uy"), F.col("place").alias("py"), F.col("shared").alias("sy"))
-    reach = F.least("px", "py") + 1 + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) - 1
+    of_side = placed.groupBy("gram", "c").agg(F.count("*").alias("m"))
+    small = F.when(F.col("m") <= MEETING, F.col("m"))
+    of_gram = of_side.groupBy("gram").agg(F.coalesce(F.sum(small), F.lit(0)).alias("few"), F.count("*").alias("sides")).where("sides > 1").drop("sides")
+    large = F.col("m") > MEETING
+    number = F.when(large, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / MEETING))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("few") / MEETING)))
+    doc = F.struct("doc_id", "c", F.col("n_shingles").alias("n"), F.col("unshared").alias("u"), F.col("place").cast("long").alias("place"), F.col("shared").cast("long").alias("shared"), "bits")
+    meeting = cut(
+        placed.join(of_side.join(of_gram, "gram"), ["gram", "c"])
+        .join(sets.select("doc_id", "bits"), "doc_id")
+        .groupBy("gram", F.when(large, F.col("c")).alias("whole"), number.alias("number"))
+        .agg(F.collect_list(doc).alias("docs"))  # about MEETING documents
+        .withColumn("block", F.struct(F.coalesce("whole", F.lit(-(2**63))).alias("whole"), "number"))
+    )
+    x = meeting.select("gram", F.col("block").alias("bx"), F.col("docs").alias("x"), F.col("whole").alias("wx"))
+    y = meeting.select("gram", F.col("block").alias("by"), F.col("docs").alias("y"), F.col("whole").alias("wy"))
     rest = (
-        meet.join(x, ["gram", "ca"])
-        .join(y, ["gram", "cb"])
-        .where(F.least(reach, F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")) >= _least_overlap(F.col("nx"), F.col("ny"), percent))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("right_b"))
+        x.join(y, "gram")
+        .where((F.col("bx") <= F.col("by")) & ~F.coalesce(F.col("wx") == F.col("wy"), F.lit(False)))
+        .select("x", "y", (F.col("bx") == F.col("by")).alias("same"))
+        .mapInArrow(_meetings(percent), "a long, right_b long")
         .distinct()
         .join(tried, ["a", "right_b"], "left_anti")
     )
