@@ -68,6 +68,13 @@ def test_jaccard_is_exact(spark, n, percent, seed):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == components(texts, n, percent)
 
 
+def test_jaccard_meets_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEETING", 2)
+    texts = near_copies(7)
+    got = jaccard_join.jaccard_components(docs_of(spark, texts), 4, 85).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == components(texts, 4, 85)
+
+
 def test_jaccard_repeated_rows_nulls_and_empty(spark):
     d = docs_of(spark, ["a b c d e", "a b c d e", "z"])
     again = d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
