@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 #: The seed of Spark's xxhash64.
 SPARK_SEED = 42
 #: Lists (powers of two) of the literal rank map, and of the memo.
@@ -140,6 +142,7 @@ class ByteBpe:
         ids = F.transform(F.array(self.rank_map()), lambda m: self.fold(F.col("piece"), m))[0]
         return spread.select("piece", ids.alias("ids"))
 
+    @releasing
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
         # the lists come as JSON, so the driver never holds the memo as objects

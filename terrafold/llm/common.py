@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def releasing(work: Callable) -> Callable:
+    """``work`` on the driver, after which memory that it has freed goes back to
+    the system (the C library would keep it); nothing is done where that's unknown."""
+
+    @functools.wraps(work)
+    def run(*args, **named):
+        out = work(*args, **named)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        return out
+
+    return run
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the decimal doc_id (null: of the empty text), modulo ``folds``."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import filtered, hash64, labelled_sample, scored, utf8
+from .common import filtered, hash64, labelled_sample, releasing, scored, utf8
 
 TERMS, SHAPES = 1 << 14, 1 << 8
 SAMPLE, RANK, NEIGHBOURS = 2500, 64, 15
@@ -154,6 +154,7 @@ def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / (nv or 1) + SHAPE_WEIGHT * s / (ns or 1)
 
 
+@releasing
 def fit_quality(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int = SAMPLE) -> LatentVoter:
     sample = labelled_sample(documents, labels, "quality", folds, held_out, per_class)
 

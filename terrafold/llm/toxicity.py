@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import filtered, hash64, labelled_sample, scored, utf8
+from .common import filtered, hash64, labelled_sample, releasing, scored, utf8
 
 TERMS = 1 << 20
 #: Letters of a word's beginning: inflected and compounded words share it.
@@ -117,6 +117,7 @@ class FactorizationMachine:
         return cls(index, b, w, v)
 
 
+@releasing
 def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int = SAMPLE) -> FactorizationMachine:
     sample = labelled_sample(documents, labels, "toxic", folds, held_out, per_class)
 
