@@ -36,7 +36,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each component of five-word shingles
     with a similarity of 0.8 or more; all documents without words stay."""
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
+    found = jaccard_join.jaccard_components(docs, n=5, percent=80, count_links=False)
     kept = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     unnumbered = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unnumbered)

@@ -20,6 +20,10 @@ fragments by hash.  The join goes like this:
    an n-gram meet in blocks of bounded size, large components in blocks of their
    own that don't meet each other, and only pairs that may link leave a block.
 4. Components take their smallest doc_id; classes and repeated rows join them.
+5. Both documents of a link are in one component, so links are counted within
+   components: documents of equal sets form classes with a weight, a component is
+   dealt to blocks of bounded size, each two blocks meet in one task, all overlaps
+   of their documents are matrix products, and only counts leave the task.
 
 N-grams are 64-bit hashes reduced to 40 bits within a fragment.  Defined
 results: texts that are null or hold no word have an empty set and link with
@@ -49,6 +53,11 @@ PAIR_FRAGMENTS = 8
 BITMAP = 16
 #: Documents of a block in which those of an n-gram meet.
 MEETING = 1024
+#: Documents of a block in which links are counted (a large component has up to WIDE in a block),
+#: blocks of a component until they are that wide, and n-grams of a block.
+NARROW, WIDE, SIDES, BLOCK_GRAMS = 128, 4096, 16, 1 << 19
+#: Documents and n-grams of a matrix product.
+TILE = 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -264,9 +273,98 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
 
 
-def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _overlaps(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray) -> np.ndarray:
+    """Common n-grams of each document of x and of y (sorted by document, from x_at and y_at on)."""
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(x_at) - 1, len(y_at) - 1), np.float32)
+
+    def places(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.searchsorted(common, grams)
+        known = column < len(common)
+        known[known] = common[column[known]] == grams[known]
+        column, doc = column[known], np.repeat(np.arange(len(at) - 1), np.diff(at))[known]
+        order = np.argsort(column, kind="stable")
+        return column[order], doc[order]
+
+    (cx, dx), (cy, dy) = places(x, x_at), places(y, y_at)
+    for c in range(0, len(common), TILE):
+        sides = []
+        for column, doc, n in ((cx, dx, len(x_at) - 1), (cy, dy, len(y_at) - 1)):
+            own = slice(*np.searchsorted(column, [c, c + TILE]))
+            m = np.zeros((n, min(TILE, len(common) - c)), np.float32)
+            m[doc[own], column[own] - c] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _links_within(percent: int):
+    """(doc_id, links) of the documents of two blocks of a component, or of one
+    block of whole components with itself."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("number", "ascending"), ("c", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        number, c, n, weight = (group[k].to_numpy() for k in ("number", "c", "n_shingles", "weight"))
+        lists = group["grams"].chunk(0)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        grams, at = lists.flatten().to_numpy(), at - at[0]
+        links = np.zeros(len(n), np.int64)
+        starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (c[1:] != c[:-1]), True])
+        parts = [slice(a, b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        across = group["p"][0].as_py() != group["q"][0].as_py()  # one of the two blocks may be empty
+        for i, j in [tuple(parts)] * (len(parts) == 2) if across else [(own, own) for own in parts]:
+            for a in range(i.start, i.stop, TILE):
+                for b in range(j.start if across else a, j.stop, TILE):
+                    p, q = slice(a, min(a + TILE, i.stop)), slice(b, min(b + TILE, j.stop))
+                    x_at, y_at = at[p.start : p.stop + 1], at[q.start : q.stop + 1]
+                    both = n[p][:, None] + n[q]
+                    o = _overlaps(grams[x_at[0] : x_at[-1]], x_at, grams[y_at[0] : y_at[-1]], y_at).astype(np.int64)
+                    linked = 100 * o >= percent * (both - o)
+                    if p == q:
+                        np.fill_diagonal(linked, False)
+                    else:
+                        links[q] += linked.T @ weight[p]
+                    links[p] += linked @ weight[q]
+        return pa.table({"doc_id": group["doc_id"], "links": links})
+
+    return run
+
+
+def _link_counts(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links): the links of each document of the components ``found``."""
+    # sets without unshared n-grams may be equal
+    equal = F.when(F.col("unshared") == 0, F.concat_ws(":", F.xxhash64("grams"), F.hash("grams"))).otherwise(F.concat_ws(":", F.lit("one"), "doc_id"))
+    members = cut(sets.join(found, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("c"), equal.alias("equal"), F.size("grams").alias("k")))
+    classes = cut(members.groupBy("c", "equal").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.max("k").alias("k")))
+    wide = F.least(F.greatest(F.col("m") / SIDES, F.lit(float(NARROW))), F.lit(float(WIDE)))
+    sizes = cut(classes.groupBy("c").agg(F.count("*").alias("m"), F.sum("k").alias("k")).withColumn("sides", F.greatest(F.ceil(F.col("m") / wide), F.ceil(F.col("k") / BLOCK_GRAMS))))
+    few = sizes.where("sides = 1").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+    bins = max(1, -(-few["m"] // NARROW), -(-few["k"] // BLOCK_GRAMS))
+    # a component of several blocks has more than NARROW documents or BLOCK_GRAMS n-grams: they are few
+    large = F.broadcast(sizes.where("sides > 1").select("c", "sides"))
+    many = F.col("sides").isNotNull()
+    number = F.when(many, F.pmod(F.xxhash64("doc_id"), F.col("sides"))).otherwise(F.pmod(F.xxhash64("c"), F.lit(bins)))
+    other = F.explode(F.when(many, F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).otherwise(F.array("number")))
+    counted = (
+        sets.select("doc_id", "n_shingles", "grams")
+        .join(classes.select("doc_id", "c", "weight"), "doc_id")
+        .join(large, "c", "left")
+        .withColumn("number", number)
+        .withColumn("other", other)
+        .select("doc_id", "c", "weight", "n_shingles", "grams", "number", F.when(many, F.col("c")).alias("whole"), F.least("number", "other").alias("p"), F.greatest("number", "other").alias("q"))
+        .groupBy("whole", "p", "q")
+        .applyInArrow(_links_within(percent), "doc_id long, links long")
+        .groupBy("doc_id")
+        .agg(F.sum("links").alias("links"))
+    )
+    of_class = classes.join(counted, "doc_id").select("c", "equal", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    return members.join(of_class, ["c", "equal"]).select(F.col("doc_id").alias("node"), "n_links")
+
+
+def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``documents``;
-    n_links counts the verified links between different texts that were needed."""
+    n_links counts the other texts that a row's text links to (byte-equal texts are
+    one).  Without ``count_links`` that column is left out."""
     everything = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = everything.where(F.col("doc_id").isNotNull())
     classes = cut(rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same")))
@@ -331,21 +429,18 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     more = cut(_verified(rest, sets, percent))
     all_links = links.unionByName(more)
     final = components(all_links) if more.limit(1).count() else found
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
 
     # classes and repeated rows take over from their smallest document
-    of_first = (
-        kept.select(F.col("doc_id").alias("first"), "n_shingles")
-        .dropDuplicates(["first"])
-        .join(final.withColumnRenamed("node", "first"), "first", "left")
-        .join(degree.withColumnRenamed("node", "first"), "first", "left")
-    )
+    of_first = kept.select(F.col("doc_id").alias("first"), "n_shingles").dropDuplicates(["first"]).join(final.withColumnRenamed("node", "first"), "first", "left")
+    if count_links:
+        of_first = of_first.join(_link_counts(sets, final, percent).withColumnRenamed("node", "first"), "first", "left")
+    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     of_class = first.withColumnRenamed("doc_id", "first").join(of_first, "first", "left")
     joined = classes.join(of_class, "same").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        *counts,
     )
-    none = everything.where(F.col("doc_id").isNull()).select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")), F.lit(0).cast("long").alias("n_links"))
+    none = everything.where(F.col("doc_id").isNull()).select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     return joined.unionByName(none)

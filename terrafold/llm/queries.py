@@ -30,7 +30,7 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,23 @@ def test_jaccard_repeated_rows_nulls_and_empty(spark):
     assert jaccard_join.jaccard_components(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("narrow,grams", [(128, 1 << 19), (8, 1 << 19), (8, 400)])
+def test_jaccard_counts_every_link(spark, monkeypatch, narrow, grams):
+    monkeypatch.setattr(jaccard_join, "NARROW", narrow)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    texts = EDGE + near_copies(6)
+    texts += [t.upper() for t in texts[10:14]] + [t.replace(" ", "  ") for t in texts[10:40]] + texts[20:23] + random_texts(10, 6)
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    one = {(t or ""): i for i, t in reversed(list(enumerate(texts)))}
+    want = [sum(j != one[t or ""] and bool(a) and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]) for j in one.values()) for t, a in zip(texts, sets, strict=True)]
+    got = jaccard_join.jaccard_components(docs_of(spark, texts), 4, 85).orderBy("doc_id").collect()
+    assert max(want) > 10 and [r.n_links for r in got] == want
+
+
 def test_line_rules_against_plain_counts(spark):
     texts = EDGE + random_texts(10, 4, (40, 90)) + ["the cat sat the cat sat on\nhome | menu\nhome | menu\n$$$ ### a"]
     got = {r.doc_id: r for r in line_rules.clean_lines(docs_of(spark, texts)).collect()}
