@@ -8,8 +8,10 @@ apart in training; the score is the logistic function of
 mention counts beyond its two terms.
 
 The fit uses at most SAMPLE training rows of each class (a documented bound);
-terms that aren't significantly more or less frequent in one class get no
-weight.  Defined results: null and empty texts have no terms and score
+terms get a weight and a vector that are significantly more or less frequent in
+one class, or alone or in a pair tell what the machine of those terms doesn't
+know: a pair counts also if each of its terms is as frequent in both classes.
+Without that test, with all terms in, the machine learns its training rows by heart.  Defined results: null and empty texts have no terms and score
 ``logistic(w0)``; without labelled rows of both classes every text gets the
 share of label 1 (0 without labels); repeated rows and other columns don't
 matter; an empty table gives an empty table.
@@ -33,9 +35,12 @@ TERMS = 1 << 20
 BEGIN = 4
 SAMPLE = 6000
 RANK, ROUNDS, RATE, DECAY = 6, 30, 0.1, 1e-4
-#: Documents that must hold a term, how many standard errors its rate must differ
-#: by, and how many against the most telling term's.
-MIN_DOCUMENTS, MIN_Z, MIN_SHARE_OF_Z = 4, 5.0, 0.25
+#: Documents that must hold a term, and how many standard errors its rate must differ by.
+MIN_DOCUMENTS, MIN_Z = 4, 5.0
+#: The same of a pair of terms, against what the machine of the terms above expects of its documents.
+PAIR_DOCUMENTS, PAIR_Z = 20, 6.5
+#: Terms whose pairs are tried at a time.
+PAIR_BLOCK = 256
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -92,7 +97,16 @@ class FactorizationMachine:
         both = (df[0] + df[1]) / (n0 + n1)
         z = np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
         z[df.sum(0) < MIN_DOCUMENTS] = 0
-        chosen = np.flatnonzero(z >= max(MIN_Z, MIN_SHARE_OF_Z * z.max()))
+        chosen = np.flatnonzero(z >= MIN_Z)
+        alone = cls._fitted(samples, labels, chosen, n1, n0, seed)
+        p = np.array([alone.score(t) for t in samples])
+        more = _in_pairs(samples, labels - p, p * (1 - p), df.sum(0))
+        both = np.union1d(chosen, more)
+        return alone if len(both) == len(chosen) else cls._fitted(samples, labels, both, n1, n0, seed)
+
+    @classmethod
+    def _fitted(cls, samples: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, n1: int, n0: int, seed: int) -> FactorizationMachine:
+        index = np.full(TERMS, -1, np.int32)
         index[chosen] = np.arange(len(chosen), dtype=np.int32)
         rng = np.random.default_rng(seed)
         w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), RANK)), float(np.log(n1 / n0))
@@ -117,6 +131,40 @@ class FactorizationMachine:
         return cls(index, b, w, v)
 
 
+def _in_pairs(samples: list[np.ndarray], rest: np.ndarray, spread: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Terms of the pairs (of a term with itself too) whose documents' labels differ
+    from what is expected: ``rest`` is that difference, ``spread`` its variance."""
+    tried = np.flatnonzero(df >= PAIR_DOCUMENTS)
+    place = np.full(TERMS, -1, np.int32)
+    place[tried] = np.arange(len(tried))
+    sizes = [int((place[t] >= 0).sum()) for t in samples]
+    row = np.repeat(np.arange(len(samples), dtype=np.int32), sizes)
+    column = np.concatenate([place[t][place[t] >= 0] for t in samples])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+
+    def block(at: int) -> np.ndarray:
+        own = slice(*np.searchsorted(column, [at, at + PAIR_BLOCK]))
+        out = np.zeros((min(PAIR_BLOCK, len(tried) - at), len(samples)), np.float32)
+        out[column[own] - at, row[own]] = 1
+        return out
+
+    telling = np.zeros(len(tried), bool)
+    spread = np.maximum(spread, 1e-3)
+    for a in range(0, len(tried), PAIR_BLOCK):
+        x = block(a)
+        off, noise = x * rest.astype(np.float32), x * spread.astype(np.float32)
+        for b in range(a, len(tried), PAIR_BLOCK):
+            y = block(b).T
+            found = np.abs(off @ y) >= PAIR_Z * np.sqrt(noise @ y)
+            if not found.any():
+                continue
+            found &= x @ y >= PAIR_DOCUMENTS
+            telling[a : a + PAIR_BLOCK] |= found.any(1)
+            telling[b : b + PAIR_BLOCK] |= found.any(0)
+    return tried[telling]
+
+
 @releasing
 def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int = SAMPLE) -> FactorizationMachine:
     sample = labelled_sample(documents, labels, "toxic", folds, held_out, per_class)

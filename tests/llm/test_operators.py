@@ -241,6 +241,30 @@ def test_machine_learns_a_pair():
     assert sum((m.score(s) >= 0.5) == bool(y) for s, y in zip(samples, labels, strict=True)) > 1450
 
 
+def test_machine_learns_a_pair_of_terms_that_are_alike_in_both_classes():
+    rng = np.random.default_rng(4)
+    samples, labels = [], []
+    for k in range(3000):
+        a, b = rng.random(2) < 0.5
+        noise = rng.choice(np.arange(100, 5000), 40, replace=False)
+        samples.append(np.unique(np.concatenate([noise, [1] * int(a), [2] * int(b)]).astype(np.int64)))
+        labels.append(float(a == b))
+    m = toxicity.FactorizationMachine.fit(samples, np.array(labels))
+    assert sum((m.score(s) >= 0.5) == bool(y) for s, y in zip(samples, labels, strict=True)) > 2900
+
+
+def test_machine_keeps_a_rare_insult_beside_strong_ones():
+    rng = np.random.default_rng(5)
+    samples, labels = [], []
+    for k in range(4000):
+        strong, rare = k % 2 == 0 and k % 40 > 0, k % 40 == 0
+        noise = rng.choice(np.arange(100, 5000), 40, replace=False)
+        samples.append(np.unique(np.concatenate([noise, [1] * int(strong), [2] * int(rare)]).astype(np.int64)))
+        labels.append(float(strong or rare))
+    m = toxicity.FactorizationMachine.fit(samples, np.array(labels))
+    assert m.index[2] >= 0 and m.score(np.array([2])) >= 0.5
+
+
 @pytest.mark.parametrize("memo", [0, 50])
 def test_byte_bpe_like_the_library(spark, memo):
     P = pytest.importorskip("public_tokenizers")
