@@ -11,7 +11,8 @@ Centres are fitted on at most SAMPLE vectors (a documented bound); every row is
 coded.  Queries go in blocks of QUERY_BLOCK, broadcast one block at a time.
 Defined results: vectors that are null, of another length than the first, zero,
 or hold null or non-finite components take no part; ties go to the smaller
-vec_id; repeated rows are candidates once each; with fewer candidates than k all
+vec_id; repeated rows are candidates once each; a query's vec_id is asked once (with
+different vectors, the least); with fewer candidates than k all
 are returned; an empty table gives an empty table; other columns don't matter.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 CENTRES = 16
 SAMPLE, QUERY_BLOCK, ROW_BLOCK, RERANK = 10_000, 4096, 8192, 120
+#: Rows of a block that are ranked again, for each one asked for, where that's more than RERANK.
+RERANK_SHARE = 6
 #: Inner products above this share of the largest possible are those that matter.
 THRESHOLD = 0.2
 
@@ -175,7 +178,7 @@ def _search_rows(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k:
                 codes = book.encode(x)
                 for q0 in range(0, len(query_ids), 256):
                     near = book.scan(codes, tables[:, :, q0 : q0 + 256])
-                    want = min(RERANK, len(near))
+                    want = min(max(RERANK, RERANK_SHARE * k), len(near))
                     kth = np.partition(near, len(near) - want, axis=0)[len(near) - want]
                     for j in range(near.shape[1]):
                         q = q0 + j
@@ -213,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     if book is None:
         return spark.createDataFrame([], schema)
     rows = usable(vectors).where(F.size("v") == size)
-    asked = usable(queries).where(F.size("v") == size)
+    asked = usable(queries).where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
     # query blocks by ranges of a hash, so that each is of bounded size however many there are
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
     found = None

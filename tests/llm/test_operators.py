@@ -180,6 +180,15 @@ def test_search(spark):
     assert ann.nearest(few, few.where("vec_id = 0"), 20).count() == 4 and ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_search_repeated_queries_and_large_k(spark):
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id = 3")
+    got = [r.vec_id for r in ann.nearest(v, q.unionByName(q).unionByName(q), 20).collect()]
+    assert len(got) == len(set(got)) == 20
+    assert ann.nearest(v.coalesce(1), q, 399).count() == 399
+
+
 def test_language_model(spark):
     texts = EDGE + random_texts(60, 8)
     got = {r.doc_id: r for r in ngram_lm.score_texts(docs_of(spark, texts), 7, 2).collect()}
