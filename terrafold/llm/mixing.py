@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_SOURCES = 50_000
 #: The inversion counts terms of the distribution function up to mean + TAIL * sqrt(mean) + TAIL.
 TAIL = 10
+#: Means above this start at mean - TAIL * sqrt(mean) - TAIL, as exp(-mean) would come to 0 in doubles.
+LARGE = 500.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -33,7 +35,13 @@ def uniform(key: Column, seed: str) -> Column:
 def poisson_count(u: Column, mean: Column) -> Column:
     """Smallest k whose distribution function reaches u: terms are added in a fold."""
     steps = (mean + F.lit(float(TAIL)) * F.sqrt(mean) + F.lit(float(TAIL))).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("f"), F.lit(0).alias("k"))
+    large = mean > LARGE
+    first = F.when(large, F.floor(mean - F.lit(float(TAIL)) * F.sqrt(mean) - F.lit(float(TAIL)))).otherwise(0).cast("int")
+    # Stirling's series for the factorial, right to doubles where it is used
+    k = F.greatest(first, F.lit(1)).cast("double")
+    log_factorial = (k + 0.5) * F.log(k) - k + F.lit(0.5 * math.log(2 * math.pi)) + F.lit(1 / 12) / k - F.lit(1 / 360) / F.pow(k, F.lit(3.0))
+    p = F.when(large, F.exp(first * F.log(mean) - mean - log_factorial)).otherwise(F.exp(-mean))
+    start = F.struct(p.alias("p"), p.alias("f"), first.alias("k"))
 
     def add(acc: Column, i: Column) -> Column:
         p = acc["p"] * mean / i
@@ -44,7 +52,7 @@ def poisson_count(u: Column, mean: Column) -> Column:
             F.when(more, i).otherwise(acc["k"]).alias("k"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, add, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(first + 1, F.greatest(steps, F.lit(1))), start, add, lambda acc: acc["k"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float, source: str) -> DataFrame:

@@ -147,6 +147,13 @@ def test_mixing(spark):
     assert [r.k for r in got] == want
 
 
+def test_poisson_of_a_large_mean(spark):
+    u = [0.001, 0.2, 0.5, 0.8, 0.999]
+    got = spark.createDataFrame([(x,) for x in u], "u double").select(mixing.poisson_count(F.col("u"), F.lit(1000.0)).alias("k")).collect()
+    terms = np.cumsum([math.exp(k * math.log(1000) - 1000 - math.lgamma(k + 1)) for k in range(1500)])
+    assert [r.k for r in got] == [int(np.searchsorted(terms, x)) for x in u]
+
+
 def test_chat(spark):
     call = '{"tool_calls":[{"id":"c1","name":"add","arguments":{"b":2,"a":1}},{"id":"c2","name":"add","arguments":{"a":"x"}},{"id":"c3","name":"nope","arguments":"{"}]}'
     rows = [(1, 0, "user", "hi"), (1, 1, "tool", '{"tool_call_id":"c1","content":"3"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"zz","content":"?"}'), (2, 0, None, None), (2, 1, "user", "{bad")]
