@@ -1,17 +1,21 @@
 """Byte-level BPE: encoding and decoding with higher-order functions.
 
-A text is cut by the splitting pattern; each piece becomes an array of its
-bytes, and ``aggregate`` folds ranked merges over it: every step joins the
-leftmost adjacent pair whose concatenation has the smallest rank, until no pair
-has one.  Ranks come from a literal map (an array of small maps, chosen by a
-hash of the key, because a lookup in one large Spark map scans it).  Frequent
-distinct pieces are folded once and their ids kept in a memo of bounded size;
-all other pieces are folded where they stand.  Decoding concatenates the binary
-pieces of the ids.
+A text is cut by the splitting pattern.  Each piece becomes an array of its
+bytes, framed by two marks, and ``aggregate`` folds ranked merges over it: an
+element holds the rank of a part joined with the next one, the part's offset and
+its id; every step takes the smallest element, so the leftmost pair of the smallest
+rank, joins the pair and looks up the two ranks that change, until no pair has one.  Ranks come from a literal map of
+pairs of ids, laid out as a perfect hash table in two literal arrays (a lookup
+in one large Spark map scans it).  Frequent distinct pieces are folded once and
+their ids kept in a memo of bounded size; of all other pieces a text folds each
+distinct one where it stands.  Decoding concatenates the binary pieces of the
+ids, in groups of groups, so that long texts aren't copied once for each id.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; other
-columns and repeated rows pass through; an empty table gives an empty table.  A
-fold of an n-byte piece takes at most n - 1 steps over at most n parts.
+columns and repeated rows pass through (a column named as the result is
+replaced); an empty table gives an empty table; very long texts are encoded
+whole, in one task.  A fold of an n-byte piece takes at most n - 1 steps over at
+most n + 2 elements, so one unbroken run of letters costs the square of its length.
 """
 
 from __future__ import annotations
@@ -19,22 +23,27 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Iterable
+from collections import defaultdict
 
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import releasing
 
-#: The seed of Spark's xxhash64.
-SPARK_SEED = 42
-#: Lists (powers of two) of the literal rank map, and of the memo.
-RANK_LISTS, MEMO_LISTS = 16_384, 32_768
+#: Bits of an id or a rank; the mark that frames a piece is also the rank of pairs without one.
+BITS, NONE = 18, (1 << 18) - 1
+#: An element is rank | offset | id: the bits of the offset and id, and of the offset.
+LOW, OFFSET = (1 << 45) - 1, (1 << 45) - (1 << 18)
+#: Buckets and least places of the table of ranks.
+BUCKETS, PLACES = 50_021, 150_001
 #: The memo holds so many frequent pieces of at most so many bytes each, whatever the
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
-MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 131_072, 64, 20_000
-NO_RANK = 2**31 - 1
+MEMO_LISTS = 1 << 17
+MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 300_000, 64, 32_000
+#: An id stands in a string as the character of this number and the id; marks before a piece of the memo and before its ids.
+CHARACTER, PIECE, IDS = 0x10000, "\x01", "\x02"
+#: Binary pieces that are joined at a time.
+JOINED = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,8 +62,32 @@ def java_pattern(pattern: str) -> str:
     return inside.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
 
 
-def _list_of(key: Column, lists: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(lists - 1).cast("int")
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Key of two ids -> rank of their pieces joined."""
+    found = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            if piece[:i] in ranks and piece[i:] in ranks:
+                found[ranks[piece[:i]] << BITS | ranks[piece[i:]]] = rank
+    return found
+
+
+def hash_table(found: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(shift of each bucket, places): key k stands at the place
+    ``k % PLACES + shift[k % BUCKETS]``, as ``k << BITS | rank``."""
+    buckets: dict[int, list[int]] = defaultdict(list)
+    for key in found:
+        buckets[key % BUCKETS].append(key)
+    shift, taken = [0] * BUCKETS, {}
+    for bucket, keys in sorted(buckets.items(), key=lambda b: (-len(b[1]), b[0])):
+        at = [k % PLACES for k in keys]
+        if len(set(at)) < len(at):
+            raise ValueError("two pairs can't be told apart")
+        while any(a + shift[bucket] in taken for a in at):
+            shift[bucket] += 1
+        taken.update((a + shift[bucket], k << BITS | found[k]) for a, k in zip(at, keys, strict=True))
+    empty = 1 << (3 * BITS)  # no key's entry
+    return shift, [taken.get(i, empty) for i in range(PLACES + max(shift))]
 
 
 class ByteBpe:
@@ -63,61 +96,64 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_pieces: int = MEMO_PIECES):
         if not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError("every single byte needs a rank")
-        self.pattern, self.memo_pieces = java_pattern(pattern), memo_pieces
-        self._ranks = ranks
+        if max(ranks.values()) >= NONE:
+            raise ValueError(f"ids need at most {BITS} bits")
+        self.pattern, self.memo_pieces, self._ranks = java_pattern(pattern), memo_pieces, ranks
 
     # -- literals ---------------------------------------------------------
     def rank_map(self) -> Column:
-        """array<map<piece, rank>> as a literal, by hash of the piece."""
-        return _literal_lists(((k.decode("latin-1"), v) for k, v in self._ranks.items()), RANK_LISTS, "int")
+        """The literal rank map: struct of ``shift``, ``place``, the ids of the ``byte``
+        values and the ``character`` of each id."""
+        shift, place = hash_table(pair_ranks(self._ranks))
+        return F.struct(
+            _literal(shift, "array<bigint>").alias("shift"),
+            _literal(place, "array<bigint>").alias("place"),
+            _literal([self._ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("byte"),
+            _literal([chr(CHARACTER + i) for i in range(max(self._ranks.values()) + 1)], "array<string>").alias("character"),
+        )
 
     def vocabulary(self) -> Column:
-        """Hexadecimal piece of each id, as a literal array."""
+        """The binary piece of each id, as a literal array."""
         pieces = [""] * (max(self._ranks.values()) + 1)
         for piece, rank in self._ranks.items():
-            pieces[rank] = piece.hex()
-        return F.split(F.lit(",".join(pieces)), ",")
+            pieces[rank] = base64.b64encode(piece).decode()
+        return _literal(pieces, "array<binary>")
 
     # -- the fold ---------------------------------------------------------
-    @staticmethod
-    def _rank(lists: Column, piece: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(lists, _list_of(piece, RANK_LISTS)), piece), F.lit(NO_RANK))
-
-    def fold(self, piece: Column, lists: Column) -> Column:
-        """ids of one piece; its bytes stand as characters of the same number."""
-        n = F.octet_length(piece)
-        start = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
-
-        def pair_ranks(parts: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.size(parts) - 2),
-                lambda i: self._rank(lists, F.concat(F.get(parts, i), F.get(parts, i + 1))),
-            )
-
-        def merge(acc: Column) -> Column:
-            # the pair at `at` (from 1) becomes one part; only its two neighbours' ranks change
-            parts, ranks, at = acc["parts"], acc["ranks"], acc["at"]
-            size = F.size(parts)
-            joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            left = F.when(
-                at > 1, F.array(self._rank(lists, F.concat(F.get(parts, at - 2), joined)))
-            ).otherwise(F.slice(ranks, 1, 0))
-            right = F.when(
-                at + 1 < size, F.array(self._rank(lists, F.concat(joined, F.get(parts, at + 1))))
-            ).otherwise(F.slice(ranks, 1, 0))
-            return _state(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, size)),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, size)),
-            )
-
-        first = F.transform(F.array(start), lambda parts: _state(parts, pair_ranks(parts)))[0]
-        merged = F.aggregate(
-            F.sequence(F.lit(2), n),
-            first,
-            lambda acc, _: F.when(acc["at"] == 0, acc).otherwise(merge(acc)),
-            lambda acc: F.transform(acc["parts"], lambda part: self._rank(lists, part)),
+    def fold(self, piece: Column, table: Column) -> Column:
+        """ids of one piece."""
+        bits = lambda x, mask: x.bitwiseAND(F.lit(mask).cast("long"))
+
+        def element(pair: Column) -> Column:
+            # of offset | id | next id: the rank of both ids above offset | id; other keys' entries differ above the rank
+            key = bits(pair, (1 << 2 * BITS) - 1)
+            entry = F.get(table["place"], key % F.lit(PLACES) + F.get(table["shift"], key % F.lit(BUCKETS)))
+            rank = F.least(entry.bitwiseXOR(F.shiftleft(key, BITS)), F.lit(NONE).cast("long"))
+            return F.shiftleft(rank, 45).bitwiseOR(F.shiftright(pair, BITS))
+
+        def merge(parts: Column, at: Column, least: Column) -> Column:
+            # the pair at `at` (from 1, never the first) becomes the part whose id is its rank
+            joined = F.shiftright(least, 45)
+            before = F.shiftleft(bits(F.get(parts, at - 2), LOW), BITS).bitwiseOR(joined)
+            after = F.shiftleft(bits(least, OFFSET).bitwiseOR(joined), BITS).bitwiseOR(bits(F.get(parts, at + 1), NONE))
+            return F.concat(F.slice(parts, F.lit(1), at - 2), F.transform(F.array(before, after), element), F.slice(parts, at + 2, F.size(parts)))
+
+        def step(parts: Column, least: Column) -> Column:
+            # the smallest element is the leftmost of the smallest rank
+            at = F.array_position(parts, least).cast("int")
+            return F.when(least >= F.lit(NONE << 45), parts).otherwise(_let(at, lambda at: merge(parts, at, least)))
+
+        chars = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
+        mark = F.lit(NONE).cast("long")
+        ids = F.concat(F.array(mark), F.transform(chars, lambda c: F.get(table["byte"], F.ascii(c))), F.array(mark, mark))
+        pair = lambda ids, i: F.shiftleft(F.shiftleft(i.cast("long"), BITS).bitwiseOR(F.get(ids, i)), BITS).bitwiseOR(F.get(ids, i + 1))
+        start = _let(ids, lambda ids: F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: element(pair(ids, i))))
+        return F.aggregate(
+            F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2))),
+            start,
+            lambda parts, _: _let(F.array_min(parts), lambda least: step(parts, least)),
+            lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda e: bits(e, NONE).cast("int")),
         )
-        return F.when(n == 1, F.transform(start, lambda part: self._rank(lists, part))).otherwise(merged)
 
     # -- operators --------------------------------------------------------
     def pieces(self, text: Column) -> Column:
@@ -127,73 +163,78 @@ class ByteBpe:
     def frequent(self, df: DataFrame, text: str = "text") -> DataFrame:
         """(piece, ids) of at most MEMO_PIECES pieces that are frequent in about
         MEMO_DOCUMENTS documents: what the memo holds, not what is encoded."""
-        n = df.count()
-        some = df if n <= MEMO_DOCUMENTS else df.sample(MEMO_DOCUMENTS / n, seed=7)
         top = (
-            some.select(F.explode(self.pieces(F.col(text))).alias("piece"))
+            df.sample(min(1.0, MEMO_DOCUMENTS / max(1, df.count())), seed=7)
+            .select(F.explode(self.pieces(F.col(text))).alias("piece"))
             .groupBy("piece")
             .count()
-            .where((F.octet_length("piece") <= MEMO_BYTES) & (F.col("count") > 1))
+            .where((F.octet_length("piece") <= MEMO_BYTES) & (F.col("count") > 1) & ~F.contains("piece", F.lit(PIECE)) & ~F.contains("piece", F.lit(IDS)))
             .orderBy(F.desc("count"), "piece")
             .limit(self.memo_pieces)
             .select("piece")
         )
         spread = top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-        ids = F.transform(F.array(self.rank_map()), lambda m: self.fold(F.col("piece"), m))[0]
-        return spread.select("piece", ids.alias("ids"))
+        return spread.select("piece", _let(self.rank_map(), lambda table: self._characters(self.fold(F.col("piece"), table), table)).alias("ids"))
+
+    def _characters(self, ids: Column, table: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda i: F.get(table["character"], i)), "")
 
     @releasing
+    def memo(self, df: DataFrame, text: str = "text") -> Column:
+        """A literal array of strings, each the pieces of a list and their ids."""
+        lists = [""] * MEMO_LISTS
+        one = F.concat(F.lit(PIECE), "piece", F.lit(IDS), "ids")
+        told = self.frequent(df, text).groupBy(_list_of(F.col("piece")).alias("list")).agg(F.array_join(F.collect_list(one), "").alias("known"))
+        for batch in told.toArrow().to_batches(max_chunksize=4096):
+            for at, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lists[at] = known
+        return _literal(lists, "array<string>")
+
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
-        # the lists come as JSON, so the driver never holds the memo as objects
-        lists = ["{}"] * MEMO_LISTS
-        one_list = F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))))
-        for row in self.frequent(df, text).groupBy(_list_of(F.col("piece"), MEMO_LISTS).alias("list")).agg(one_list.alias("json")).collect():
-            lists[row["list"]] = row["json"]
-        memo = _from_json(f"[{','.join(lists)}]", "array<int>")
-        tables = F.array(F.struct(memo.alias("memo"), self.rank_map().alias("ranks")))
-
-        def one(t: Column, piece: Column) -> Column:
-            known = F.element_at(F.get(t["memo"], _list_of(piece, MEMO_LISTS)), piece)
-            return F.coalesce(known, self.fold(piece, t["ranks"]))
-
-        pieces = self.pieces(F.col(text))
-        each = F.transform(tables, lambda t: F.flatten(F.transform(pieces, lambda p: one(t, p))))[0]
-        return df.withColumn(ids, each)
+        tables = F.struct(self.memo(df, text).alias("memo"), self.rank_map().alias("ranks"))
+
+        def known(t: Column, piece: Column) -> Column:
+            # what follows the piece up to the next one; empty if it isn't there
+            list_ = F.get(t["memo"], _list_of(piece))
+            after = F.call_function("substring_index", list_, F.concat(F.lit(PIECE), piece, F.lit(IDS)), F.lit(-1))
+            return F.when(F.contains(piece, F.lit(PIECE)), F.lit("")).otherwise(F.substring_index(after, PIECE, 1))
+
+        def of(pieces: Column, t: Column) -> Column:
+            found = F.transform(pieces, lambda p: known(t, p))
+            both = F.zip_with(pieces, found, lambda p, k: F.when(k == "", self._characters(self.fold(p, t["ranks"]), t["ranks"])).otherwise(k))
+            return F.array_join(both, "")
+
+        told = _let(tables, lambda t: _let(self.pieces(F.col(text)), lambda pieces: of(pieces, t)))
+        number = _let(told, lambda s: F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c) - CHARACTER)))
+        return df.withColumn(ids, number)
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``df`` with the bytes of a column of ids."""
-        hexes = F.transform(
-            F.array(self.vocabulary()), lambda v: F.array_join(F.transform(F.col(ids), lambda i: F.get(v, i)), "")
-        )[0]
-        return df.withColumn(to, F.unhex(hexes))
-
-
-def _state(parts: Column, ranks: Column) -> Column:
-    """A step's struct; ``at`` is the leftmost place of the smallest rank, 0 if none."""
-    return F.transform(
-        F.array(F.struct(parts.alias("parts"), ranks.alias("ranks"))),
-        lambda s: F.struct(
-            s["parts"].alias("parts"),
-            s["ranks"].alias("ranks"),
-            F.transform(
-                F.array(F.array_min(s["ranks"])),
-                lambda m: F.when(
-                    m.isNull() | (m == NO_RANK), F.lit(0)
-                ).otherwise(F.array_position(s["ranks"], m).cast("int")),
-            )[0].alias("at"),
-        ),
-    )[0]
-
-
-def _literal_lists(entries: Iterable[tuple[str, object]], lists: int, kind: str) -> Column:
-    """Pairs of a bounded table as a literal array of maps: the optimizer folds
-    the JSON into its value, so tasks get the value."""
-    maps: list[dict[str, object]] = [{} for _ in range(lists)]
-    for key, value in entries:
-        maps[xxhash.xxh64_intdigest(key.encode(), SPARK_SEED) % lists][key] = value
-    return _from_json(json.dumps(maps, separators=(",", ":")), kind)
-
-
-def _from_json(lists: str, kind: str) -> Column:
-    return F.from_json(F.lit(lists), f"array<map<string,{kind}>>")
+        return df.withColumn(to, _let(self.vocabulary(), lambda v: _joined(F.transform(F.col(ids), lambda i: F.get(v, i)))))
+
+
+def _list_of(piece: Column) -> Column:
+    return F.xxhash64(piece).bitwiseAND(MEMO_LISTS - 1).cast("int")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the end of a fold over nothing
+    (an item of a transformed array would have its type derived for every row)."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
+
+
+def _joined(pieces: Column) -> Column:
+    """An array of binaries as one, by groups of groups."""
+    one = lambda parts: F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+
+    def groups(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / JOINED)), lambda g: one(F.slice(parts, (g * JOINED + 1).cast("int"), F.lit(JOINED))))
+
+    return _let(pieces, lambda p: F.when(F.size(p) == 0, F.lit(b"")).otherwise(_let(groups(p), lambda g: one(groups(g)))))
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A bounded table as a literal: the optimizer folds the JSON into its value,
+    so tasks get the value."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
