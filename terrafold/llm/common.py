@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     temporary one."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = f"{tempfile.gettempdir()}/terrafold-checkpoints"
     return there.rstrip("/")
 
@@ -79,9 +81,10 @@ def labelled_sample(
     )
     # two top-k reports (one a class), each a bounded heap per task
     both = [picked.where(F.col("label") == y).orderBy("at", "doc_id").limit(per_class) for y in (0, 1)]
-    keys = both[0].unionByName(both[1]).dropDuplicates(["doc_id"])
+    keys = both[0].unionByName(both[1]).groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(keys), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    # of repeated ids the least text, so that a fit doesn't depend on the order of rows
+    return texts.join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

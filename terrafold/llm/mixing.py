@@ -8,7 +8,9 @@ another hash, which shuffles them globally.
 
 Defined results: rows without a source form a source of their own (null);
 sources without a weight get 1, a weight of 0 drops a source; equal rows draw
-equal numbers; an empty table gives an empty table; other columns pass through.
+equal numbers; null and empty texts draw by their id; long texts enter by their
+md5; an empty table gives an empty table; other columns pass through, but columns
+named as a result (RESULTS) are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,9 +20,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Sources up to this number are broadcast (a source takes about 100 bytes); more are joined by shuffle.
 MAX_BROADCAST_SOURCES = 50_000
-#: The inversion counts terms of the distribution function up to mean + TAIL * sqrt(mean) + TAIL.
+#: Parts into which a source's documents are dealt where they're joined.
+SALTS = 32
+RESULTS = ("mix_rate", "mix_copies", "mix_copy", "mix_order")
+#: The inversion counts terms of the distribution function up to mean + TAIL * sqrt(mean) + TAIL.  Uniform
+#: numbers have 48 bits, and more is drawn with a probability below 2**-49 for any mean (at 0.1 about
+#: 1e-23, at 1 about 1e-20, from 100 on below exp(-45)), so no draw is cut off.
 TAIL = 10
 #: Means above this start at mean - TAIL * sqrt(mean) - TAIL, as exp(-mean) would come to 0 in doubles.
 LARGE = 500.0
@@ -76,7 +85,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float
     )
 
 
-def mix_sources(
+def mixed_rows(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     power: float = 0.7,
@@ -86,26 +95,34 @@ def mix_sources(
     text: str = "text",
     id_column: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` replicated, with ``mix_rate``, ``mix_copies``, ``mix_copy`` (from 1)
-    and ``mix_order`` (the shuffled order)."""
+    """A row for each copy: the document as the struct ``row``, and RESULTS."""
     if not (math.isfinite(epochs) and epochs >= 0):
         raise ValueError("epochs must be finite and not negative")
-    rates = source_rates(docs, weights, power, epochs, source)
-    # the number of sources is checked before they're broadcast
-    few = docs.select(source).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    side = F.broadcast(rates) if few else rates
+    rates = cut(source_rates(docs, weights, power, epochs, source))  # a row a source
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     key = F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    rows = docs.select(row.alias("row"), F.col(source).alias("mix_source"), key.alias("key"))
+    if rates.count() <= MAX_BROADCAST_SOURCES:  # checked before they're broadcast
+        joined = rows.join(F.broadcast(rates.withColumnRenamed("mix_source", "of")), F.col("mix_source").eqNullSafe(F.col("of")))
+    else:
+        # a source may hold a third of all documents: it's dealt by a salt
+        salted = rates.withColumnRenamed("mix_source", "of").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(
+            salted, F.col("mix_source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("part"))
+        )
     drawn = (
-        docs.withColumn("mix_source", F.col(source))
-        .alias("d")
-        .join(side.alias("r"), F.col("d.mix_source").eqNullSafe(F.col("r.mix_source")))
-        .select("d.*", F.col("r.rate").alias("mix_rate"))
-        .drop("mix_source")
-        .withColumn("mix_key", key)
-        .withColumn("mix_copies", poisson_count(uniform(F.col("mix_key"), seed), F.col("mix_rate")))
+        joined.select("row", "key", F.col("rate").alias("mix_rate"))
+        .withColumn("mix_copies", poisson_count(uniform(F.col("key"), seed), F.col("mix_rate")))
         .where(F.col("mix_copies") > 0)
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .withColumn("mix_order", uniform(F.concat_ws(":", "mix_key", F.col("mix_copy").cast("string")), seed + ":order"))
-        .drop("mix_key")
+        .withColumn("mix_order", uniform(F.concat_ws(":", "key", F.col("mix_copy").cast("string")), seed + ":order"))
+        .drop("key")
     )
     return drawn.repartition(F.col("mix_order")).sortWithinPartitions("mix_order")
+
+
+def mix_sources(docs: DataFrame, *args, **named) -> DataFrame:
+    """``docs`` replicated, with ``mix_rate``, ``mix_copies``, ``mix_copy`` (from 1)
+    and ``mix_order`` (the shuffled order); arguments as those of ``mixed_rows``."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in RESULTS]
+    return mixed_rows(docs, *args, **named).select(*own, *RESULTS)

@@ -3,6 +3,22 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {
+    "op2_poisson_mixing": """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+whole AS (SELECT sum(n) AS all_n, sum(power(CAST(n AS DOUBLE), 0.7)) AS all_target FROM n),
+rates AS (SELECT source, 1.0::DOUBLE * (power(CAST(n AS DOUBLE), 0.7) / all_target) * all_n / n AS rate FROM n, whole),
+terms(source, rate, k, p, f) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM terms WHERE k < rate + 10 * sqrt(rate) + 10),
+d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) AS key FROM documents),
+u AS (SELECT *, (CAST('0x' || substr(md5(key || ':mix-1'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d),
+c AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.key, t.rate, CAST(min(t.k) AS INTEGER) AS copies
+  FROM u JOIN terms t ON u.source IS NOT DISTINCT FROM t.source AND t.f >= u.u GROUP BY ALL),
+e AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM c)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, copies AS mix_copies, CAST(copy AS INTEGER) AS mix_copy,
+  round((CAST('0x' || substr(md5(key || ':' || copy || ':mix-1:order'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE, 12) AS mix_order
+FROM e""",
     # the table's texts hold no tool JSON: user turns are calls, the next assistant turns their results
     "op4_tool_calls": """
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),

@@ -12,8 +12,9 @@ The fit uses at most SAMPLE training rows of each class (a documented bound, so
 what is broadcast is bounded: 2 * SAMPLE * RANK + TERMS * RANK floats).  Defined
 results: null and empty texts have a zero vector, no positive similarity, and
 score the sample's share of label 1; without labels every score is 0.5; ties
-among neighbours go to the smaller doc_id; repeated rows and other columns don't
-matter; an empty table gives an empty table.
+among neighbours go to the smaller doc_id; of rows that repeat a doc_id the least
+text and the least label count in the fit, and each row is scored; very long texts
+are read whole; other columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -172,9 +173,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int, held_out: i
                 names=["doc_id", "terms", "counts", "label"],
             )
 
-    got = sorted(sample.mapInArrow(run, "doc_id long, terms binary, counts binary, label int").collect())
-    rows = [(np.frombuffer(r.terms, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(float)) for r in got]
-    return LatentVoter.fit(rows, np.array([r.label for r in got], float))
+    # at most 2 * per_class sparse vectors, in the order of doc_id
+    got = sample.mapInArrow(run, "doc_id long, terms binary, counts binary, label int").toArrow().combine_chunks().sort_by("doc_id")
+    rows = [(np.frombuffer(t, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(float)) for t, c in zip(got["terms"].to_pylist(), got["counts"].to_pylist(), strict=True)]
+    return LatentVoter.fit(rows, got["label"].to_numpy().astype(float))
 
 
 def _scorer(model: LatentVoter):

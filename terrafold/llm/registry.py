@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import ORACLE_SQL, run
-
 from .oracles import ORACLES
+from .pipeline import ORACLE_SQL, run
 from .queries import QUERIES
 
 

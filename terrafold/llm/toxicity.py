@@ -11,10 +11,13 @@ The fit uses at most SAMPLE training rows of each class (a documented bound);
 terms get a weight and a vector that are significantly more or less frequent in
 one class, or alone or in a pair tell what the machine of those terms doesn't
 know: a pair counts also if each of its terms is as frequent in both classes.
-Without that test, with all terms in, the machine learns its training rows by heart.  Defined results: null and empty texts have no terms and score
-``logistic(w0)``; without labelled rows of both classes every text gets the
-share of label 1 (0 without labels); repeated rows and other columns don't
-matter; an empty table gives an empty table.
+Without that test, with all terms in, the machine learns its training rows by heart.
+
+Defined results: null and empty texts have no terms and score ``logistic(w0)``;
+without labelled rows of both classes every text scores about the share of label
+1 (about 0 without labels); of rows that repeat a doc_id the least text and the
+least label count in the fit, and each row is scored; very long texts are read
+whole; other columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ TERMS = 1 << 20
 #: Letters of a word's beginning: inflected and compounded words share it.
 BEGIN = 4
 SAMPLE = 6000
-RANK, ROUNDS, RATE, DECAY = 6, 30, 0.1, 1e-4
+RANK, ROUNDS, BATCH, RATE, DECAY = 6, 30, 16, 0.1, 1e-4
 #: Documents that must hold a term, and how many standard errors its rate must differ by.
 MIN_DOCUMENTS, MIN_Z = 4, 5.0
 #: The same of a pair of terms, against what the machine of the terms above expects of its documents.
 PAIR_DOCUMENTS, PAIR_Z = 20, 6.5
+#: The least variance of a document's label that is assumed.
+MIN_SPREAD = 1e-3
 #: Terms whose pairs are tried at a time.
 PAIR_BLOCK = 256
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -112,34 +117,45 @@ class FactorizationMachine:
         w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), RANK)), float(np.log(n1 / n0))
         gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), RANK), 1e-6), 1e-6
         rows = [r[r >= 0] for r in (index[t] for t in samples)]
-        for _ in range(ROUNDS):  # Adagrad, a sample at a time
-            for i in rng.permutation(len(rows)):
-                own = rows[i]
-                vi = v[own]
-                s = vi.sum(0)
-                x = b + w[own].sum() + 0.5 * (s @ s - (vi * vi).sum())
-                g = 1 / (1 + np.exp(-np.clip(x, -30, 30))) - labels[i]
-                gb += g * g
-                b -= RATE * g / np.sqrt(gb)
-                if len(own):
-                    dw = g + DECAY * w[own]
-                    gw[own] += dw * dw
-                    w[own] -= RATE * dw / np.sqrt(gw[own])
-                    dv = g * (s - vi) + DECAY * vi
-                    gv[own] += dv * dv
-                    v[own] -= RATE * dv / np.sqrt(gv[own])
+        for _ in range(ROUNDS):  # Adagrad, a batch of samples at a time
+            order = rng.permutation(len(rows))
+            for at in range(0, len(rows), BATCH):
+                own = order[at : at + BATCH]
+                x = np.zeros((len(own), len(chosen)))
+                for i, k in enumerate(own):
+                    x[i, rows[k]] = 1
+                s = x @ v
+                margin = b + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+                g = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[own]
+                held, told = x.sum(0), g @ x
+                gb += g.sum() ** 2
+                b -= RATE * g.sum() / np.sqrt(gb)
+                dw = told + DECAY * held * w
+                gw += dw * dw
+                w -= RATE * dw / np.sqrt(gw)
+                dv = x.T @ (g[:, None] * s) - told[:, None] * v + DECAY * held[:, None] * v
+                gv += dv * dv
+                v -= RATE * dv / np.sqrt(gv)
         return cls(index, b, w, v)
 
 
 def _in_pairs(samples: list[np.ndarray], rest: np.ndarray, spread: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Terms of the pairs (of a term with itself too) whose documents' labels differ
     from what is expected: ``rest`` is that difference, ``spread`` its variance."""
-    tried = np.flatnonzero(df >= PAIR_DOCUMENTS)
+    spread = np.maximum(spread, MIN_SPREAD)
+    # no pair's difference exceeds the sum of |rest| over the documents of either term; where that is at
+    # most 1/2 everywhere, the variance of a document is at least half of it
+    off, wrong = np.zeros(TERMS), np.zeros(TERMS, bool)
+    for terms, r in zip(samples, np.abs(rest), strict=True):
+        off[terms] += r
+        wrong[terms] |= r > 0.5
+    least = np.where(wrong, PAIR_Z * np.sqrt(PAIR_DOCUMENTS * MIN_SPREAD), PAIR_Z**2 / 2)
+    tried = np.flatnonzero((df >= PAIR_DOCUMENTS) & (off >= least))
     place = np.full(TERMS, -1, np.int32)
     place[tried] = np.arange(len(tried))
-    sizes = [int((place[t] >= 0).sum()) for t in samples]
-    row = np.repeat(np.arange(len(samples), dtype=np.int32), sizes)
-    column = np.concatenate([place[t][place[t] >= 0] for t in samples])
+    own = [place[t][place[t] >= 0] for t in samples]
+    row = np.repeat(np.arange(len(samples), dtype=np.int32), [len(x) for x in own])
+    column = np.concatenate(own) if own else np.zeros(0, np.int32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
 
@@ -150,13 +166,12 @@ def _in_pairs(samples: list[np.ndarray], rest: np.ndarray, spread: np.ndarray, d
         return out
 
     telling = np.zeros(len(tried), bool)
-    spread = np.maximum(spread, 1e-3)
     for a in range(0, len(tried), PAIR_BLOCK):
         x = block(a)
-        off, noise = x * rest.astype(np.float32), x * spread.astype(np.float32)
+        differ, noise = x * rest.astype(np.float32), x * spread.astype(np.float32)
         for b in range(a, len(tried), PAIR_BLOCK):
             y = block(b).T
-            found = np.abs(off @ y) >= PAIR_Z * np.sqrt(noise @ y)
+            found = np.abs(differ @ y) >= PAIR_Z * np.sqrt(noise @ y)
             if not found.any():
                 continue
             found &= x @ y >= PAIR_DOCUMENTS
@@ -175,8 +190,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, folds: int, held_out:
             terms = [terms_of(t, cache).astype("<i4").tobytes() for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), batch.column(2)], names=["doc_id", "terms", "label"])
 
-    got = sorted(sample.mapInArrow(run, "doc_id long, terms binary, label int").collect())
-    return FactorizationMachine.fit([np.frombuffer(r.terms, "<i4").astype(np.int64) for r in got], np.array([r.label for r in got], float))
+    # at most 2 * per_class sets, of four bytes a term, in one piece of memory
+    got = sample.mapInArrow(run, "doc_id long, terms binary, label int").toArrow().combine_chunks().sort_by("doc_id")
+    return FactorizationMachine.fit([np.frombuffer(t.as_buffer(), "<i4") if t.as_buffer().size else np.zeros(0, "<i4") for t in got["terms"]], got["label"].to_numpy().astype(float))
 
 
 def _scorer(model: FactorizationMachine):
