@@ -1,71 +1,7 @@
-"""A training corpus from raw documents: each stage keeps the columns of its
-input, works on all that the stage before kept, and is written and reread."""
+"""The pipeline of the text operators, from raw documents to a training corpus."""
 
 from __future__ import annotations
 
+from terrafold.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from terrafold.llm import jaccard_join, mixing, quality, toxicity
-from terrafold.llm.common import cut, table
-from terrafold.llm.queries import (
-    QUALITY_FOLDS,
-    QUALITY_HELD_OUT,
-    TOXIC_FOLDS,
-    TOXIC_HELD_OUT,
-    TOXIC_LIMIT,
-    digests,
-    tokenizer,
-)
-
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't reject."""
-    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), TOXIC_FOLDS, TOXIC_HELD_OUT)
-    return toxicity.keep(docs, model, TOXIC_LIMIT)
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the neighbours' vote doesn't reject."""
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), QUALITY_FOLDS, QUALITY_HELD_OUT)
-    return quality.keep(docs, model, 0.5)
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of five-word shingles
-    with a similarity of 0.8 or more; all documents without words stay."""
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80, count_links=False)
-    kept = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    unnumbered = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unnumbered)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights, in shuffled order."""
-    return mixing.mix_sources(docs).select(docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded texts."""
-    return digests(docs, tokenizer())
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality", drop_poor),
-    ("ngram_jaccard", one_of_each_group),
-    ("mixing", mix),
-    ("byte_bpe", encode),
-]
-#: The stages fit models and fold merges, which SQL can't express; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's rows written and reread."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
