@@ -38,10 +38,12 @@ LOW, OFFSET = (1 << 45) - 1, (1 << 45) - (1 << 18)
 BUCKETS, PLACES = 50_021, 150_001
 #: The memo holds so many frequent pieces of at most so many bytes each, whatever the
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
-MEMO_LISTS = 1 << 17
-MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 300_000, 64, 32_000
+MEMO_LISTS = 1 << 16
+MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 131_072, 64, 20_000
 #: An id stands in a string as the character of this number and the id; marks before a piece of the memo and before its ids.
 CHARACTER, PIECE, IDS = 0x10000, "\x01", "\x02"
+#: The setting that bounds descriptions of plans.
+PLAN_LENGTH = "spark.sql.maxPlanStringLength"
 #: Binary pieces that are joined at a time.
 JOINED = 64
 
@@ -136,7 +138,7 @@ class ByteBpe:
             joined = F.shiftright(least, 45)
             before = F.shiftleft(bits(F.get(parts, at - 2), LOW), BITS).bitwiseOR(joined)
             after = F.shiftleft(bits(least, OFFSET).bitwiseOR(joined), BITS).bitwiseOR(bits(F.get(parts, at + 1), NONE))
-            return F.concat(F.slice(parts, F.lit(1), at - 2), F.transform(F.array(before, after), element), F.slice(parts, at + 2, F.size(parts)))
+            return F.flatten(F.array(F.slice(parts, F.lit(1), at - 2), F.transform(F.array(before, after), element), F.slice(parts, at + 2, F.size(parts))))
 
         def step(parts: Column, least: Column) -> Column:
             # the smallest element is the leftmost of the smallest rank
@@ -192,6 +194,10 @@ class ByteBpe:
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
+        spark = df.sparkSession
+        if spark.conf.get(PLAN_LENGTH, None) is None:
+            # the literals would be printed whole into every description of the plan
+            spark.conf.set(PLAN_LENGTH, "100000")
         tables = F.struct(self.memo(df, text).alias("memo"), self.rank_map().alias("ranks"))
 
         def known(t: Column, piece: Column) -> Column:
