@@ -19,19 +19,35 @@ e AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM c)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, copies AS mix_copies, CAST(copy AS INTEGER) AS mix_copy,
   round((CAST('0x' || substr(md5(key || ':' || copy || ':mix-1:order'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE, 12) AS mix_order
 FROM e""",
-    # the table's texts hold no tool JSON: user turns are calls, the next assistant turns their results
+    # the table's texts hold no tool JSON: calls and results are derived as `turns_as_calls` says
     "op4_tool_calls": """
-WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-k AS (SELECT *, role = 'user' AS asks, role = 'assistant' AND turn > 0 AS answers, CAST(conv_id AS VARCHAR) AS c FROM m),
-asked AS (SELECT DISTINCT conv_id, turn FROM k WHERE asks),
-told AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM k WHERE answers),
-j AS (SELECT k.*, a.turn AS call_turn, (k.asks AND t.turn IS NOT NULL) AS answered FROM k
-  LEFT JOIN asked a ON k.answers AND a.conv_id = k.conv_id AND a.turn = k.turn - 1
-  LEFT JOIN told t ON t.conv_id = k.conv_id AND t.turn = k.turn)
-SELECT conv_id, turn, turn AS level, FALSE AS cyclic, CAST(CASE WHEN asks THEN 1 ELSE 0 END AS BIGINT) AS n_calls,
-  CAST(CASE WHEN answered THEN 1 ELSE 0 END AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_invalid,
-  (answers AND call_turn IS NULL) AS orphan,
-  '{"calls":[' || CASE WHEN asks THEN '{"arguments":{"chars":' || length(text) || '},"id":"' || c || ':' || turn || '","name":"reply","valid":true}' ELSE '' END
-  || '],"content":' || CAST(to_json(text) AS VARCHAR) || ',"result_of":"' || CASE WHEN answers THEN c || ':' || (turn - 1) ELSE '' END || '","role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
-FROM j""",
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, CAST(conv_id AS VARCHAR) AS c FROM conversations),
+k AS (SELECT *, CASE
+    WHEN role = 'assistant' AND n % 11 = 0 THEN c || ':' || (turn + 1)
+    WHEN role = 'assistant' AND n % 13 = 0 THEN 'none:' || turn
+    WHEN role = 'assistant' THEN c || ':' || (turn - 1)
+    WHEN role = 'user' AND n % 6 = 0 THEN c || ':' || (turn + 2)
+    WHEN role = 'user' AND n % 9 = 0 THEN c || ':' || (turn - 2) END AS result_of FROM m),
+calls AS (
+  SELECT conv_id, turn, 1 AS pos, CASE WHEN n % 5 = 0 THEN c || ':' || (turn - 2) ELSE c || ':' || turn END AS id, CASE WHEN n % 7 = 0 THEN 'search' ELSE 'reply' END AS name,
+    CASE WHEN n % 3 = 0 THEN '{"chars":"' || n || '"}' ELSE '{"chars":' || n || '}' END AS args, n % 7 <> 0 AND n % 3 <> 0 AS valid FROM k WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 2, c || ':' || turn || ':b', 'reply', '{"chars":' || n || ',"extra":1}', FALSE FROM k WHERE role = 'user' AND n % 4 = 0),
+owner AS (SELECT conv_id, id, min(turn) AS call_turn FROM calls GROUP BY ALL),
+told AS (SELECT DISTINCT conv_id, result_of AS id FROM k WHERE result_of IS NOT NULL),
+answered AS (SELECT conv_id, call_turn AS turn, count(*) AS n_answered FROM owner JOIN told USING (conv_id, id) GROUP BY ALL),
+arc AS (SELECT k.conv_id, k.turn, max(o.call_turn) AS up FROM k JOIN owner o ON o.conv_id = k.conv_id AND o.id = k.result_of GROUP BY ALL),
+reach(conv_id, turn, top) AS (SELECT conv_id, turn, up FROM arc UNION SELECT r.conv_id, r.turn, a.up FROM reach r JOIN arc a ON a.conv_id = r.conv_id AND a.turn = r.top),
+cycle AS (SELECT DISTINCT conv_id, turn FROM reach WHERE top = turn),
+free AS (SELECT * FROM arc ANTI JOIN cycle USING (conv_id, turn)),
+way(conv_id, turn, top, behind) AS (
+  SELECT DISTINCT conv_id, turn, turn, 0 FROM k
+  UNION ALL SELECT w.conv_id, w.turn, f.up, w.behind + CASE WHEN f.up >= f.turn THEN 1 ELSE 0 END FROM way w JOIN free f ON f.conv_id = w.conv_id AND f.turn = w.top),
+level AS (SELECT conv_id, turn, max(top + behind) AS level FROM way GROUP BY ALL),
+made AS (SELECT conv_id, turn, count(*) AS n_calls, sum(CASE WHEN valid THEN 0 ELSE 1 END) AS n_invalid,
+    string_agg('{"arguments":' || args || ',"id":' || CAST(to_json(id) AS VARCHAR) || ',"name":' || CAST(to_json(name) AS VARCHAR) || ',"valid":' || valid || '}', ',' ORDER BY pos) AS json FROM calls GROUP BY ALL)
+SELECT k.conv_id, k.turn, CAST(l.level AS BIGINT) AS level, y.turn IS NOT NULL AS cyclic, CAST(coalesce(d.n_calls, 0) AS BIGINT) AS n_calls, CAST(coalesce(a.n_answered, 0) AS BIGINT) AS n_answered,
+  CAST(coalesce(d.n_invalid, 0) AS BIGINT) AS n_invalid, k.result_of IS NOT NULL AND o.call_turn IS NULL AS orphan,
+  '{"calls":[' || coalesce(d.json, '') || '],"content":' || CAST(to_json(k.text) AS VARCHAR) || ',"result_of":' || CAST(to_json(coalesce(k.result_of, '')) AS VARCHAR) || ',"role":' || CAST(to_json(k.role) AS VARCHAR) || '}' AS json
+FROM k JOIN level l USING (conv_id, turn) LEFT JOIN cycle y USING (conv_id, turn) LEFT JOIN made d USING (conv_id, turn) LEFT JOIN answered a USING (conv_id, turn)
+  LEFT JOIN owner o ON o.conv_id = k.conv_id AND o.id = k.result_of""",
 }

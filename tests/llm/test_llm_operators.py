@@ -167,6 +167,26 @@ def test_chat(spark):
     assert chat.format_chats(chat.parse_messages(m.limit(0)), {}).count() == 0
 
 
+def call_of(i):
+    return '{"tool_calls":[{"id":"%s","name":"f","arguments":{}}],"content":""}' % i
+
+
+def test_chat_orders_long_chains_and_finds_cycles(spark):
+    # conversation 1: message t is the result of the call of t + 1 and makes call t itself
+    both = lambda own, of: '  {"tool_calls":[{"id":"%s","name":"f","arguments":{}}],"tool_call_id":"%s","content":""}' % (own, of)
+    rows = [(1, t, "tool", both(t, t + 1)) for t in range(100)] + [(1, 100, "assistant", call_of(100))]
+    # 2: a cycle of three with a tail, and a message apart; 3: its own call; 4: nothing late
+    rows += [(2, 0, "a", both("a", "b")), (2, 1, "a", both("b", "c")), (2, 2, "a", both("c", "a")), (2, 3, "a", both("d", "c")), (2, 4, "a", both("e", "d")), (2, 5, "u", "x")]
+    rows += [(3, 0, "a", both("z", "z")), (4, 0, "a", call_of("q")), (4, 1, "t", '{"tool_call_id":"q","content":"r"}'), (4, 1, "t", "same turn")]
+    m = spark.createDataFrame(rows * 2 + [(None, None, None, None)], "conv_id long, turn long, role string, text string").withColumns({"level": F.lit(1), "id": F.lit("x"), "calls": F.lit(2)})
+    got = chat.format_chats(chat.parse_messages(m), {}).collect()
+    assert len(got) == 2 * len(rows) + 1
+    level = {(r.conv_id, r.turn): (r.level, r.cyclic) for r in got}
+    assert [level[1, t] for t in range(101)] == [(200 - t, False) for t in range(101)]
+    assert [level[2, t] for t in range(6)] == [(0, True), (1, True), (2, True), (3, False), (4, False), (5, False)]
+    assert level[3, 0] == (0, True) and level[4, 0] == (0, False) and level[4, 1] == (1, False)
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1200, 16))
