@@ -11,6 +11,7 @@ from terrafold.llm import ann, byte_bpe, chat, jaccard_join, licenses, line_rule
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, block string"
 WORDS = [f"w{i}" for i in range(400)]
+SF = "/root/testdata/sf0.001"
 
 
 def docs_of(spark, texts, sources=None):
@@ -124,6 +125,53 @@ def test_licenses(spark):
     assert accepts == {"a c d": 3, "a b c x d": 5, "a c x y d": 5, "a c x y z d": 0, "a b d": 0}
 
 
+def test_license_markup_nests_and_matches():
+    auto = licenses.Automaton.compile("a <<optional>>b <<optional>>c<</optional>> d<</optional>> <<match:[0-9]+>> e")
+    runs = {s: auto.longest(s.encode().split(), 0) for s in ("a 1 e", "a b d 12 e", "a b c d 1 e", "a c 1 e", "a b 1 e", "a x e", "a 1 e e")}
+    assert runs == {"a 1 e": 3, "a b d 12 e": 5, "a b c d 1 e": 6, "a c 1 e": 0, "a b 1 e": 0, "a x e": 0, "a 1 e e": 3}
+    with pytest.raises(ValueError):
+        licenses.Automaton.compile("a <<optional>>b")
+    whole = licenses.LicenseScanner().scan(b"Foo is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.")
+    assert "gpl-header" in whole["labels"].split(",") and whole["base_labels"] == "gpl" and whole["score"] > 0.9
+
+
+def as_regex(template):
+    """A template as a regular expression over words that each end in a blank."""
+    import re
+
+    out = ""
+    for part in re.findall(r"<<.*?>>|[^<]+", template):
+        if part in ("<<optional>>", "<</optional>>"):
+            out += "(?:" if part[2] == "o" else ")?"
+        elif part.startswith("<<any:"):
+            out += r"(?:[^ ]+ ){0,%s}" % part[6:-2]
+        elif part.startswith("<<match:"):
+            out += "(?:%s) " % part[8:-2]
+        else:
+            out += "".join(re.escape(w.decode()) + " " for w in licenses.words_of(part.encode()))
+    return re.compile("(?: )(?=(%s))" % out)
+
+
+def test_licenses_against_regular_expressions_and_plain_counts(spark):
+    import re
+
+    whole = [b" ".join(licenses.words_of(re.sub(r"<<any:\d+>>|<</?optional>>", " ", re.sub(r"<<match:([0-9a-z]*).*?>>", lambda m: m[1] or "3", t)).encode())).decode() for t in licenses.TEMPLATES.values()]
+    texts = EDGE + whole + [w.upper().replace(" ", ", ", 3) for w in whole] + [" x ".join(whole)] + [w.rsplit(" ", 1)[0] for w in whole]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] if os.path.isdir(SF) else []
+    patterns = {k: as_regex(t) for k, t in licenses.TEMPLATES.items()}
+    d = docs_of(spark, texts)
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+        places = [(k, v.decode() if isinstance(v, bytes) else v) for p, v in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        line = " " + "".join(w.decode() + " " for w in words)
+        labels = {v for _, v in places} | {k for k, p in patterns.items() if any(m[1] for m in p.finditer(line))}
+        r = got[i]
+        assert (r.n_words, r.n_base, r.labels, r.base_labels) == (len(words), len(places), ",".join(sorted(labels)), ",".join(sorted({v for _, v in places})))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None)) and 0 <= r.score < 1
+    assert licenses.scan_licenses(d.limit(0)).count() == 0 and licenses.scan_licenses(d.unionByName(d)).count() == 2 * len(texts)
+
+
 def test_mixing(spark):
     d = docs_of(spark, ["t"] * 3000, {i: "big" if i % 3 else None for i in range(3000)})
     out = mixing.mix_sources(d, {"big": 1.0, "": 1.0}, epochs=2.0)
@@ -314,9 +362,6 @@ def test_byte_bpe_like_the_library(spark, memo):
         assert r.ids == library.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
 
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline as C
