@@ -34,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start
-    from files that survive a lost executor instead of from its lineage."""
+    from files that survive a lost executor instead of from its lineage.  With
+    ``tidy`` the driver collects its garbage, on which Spark deletes the shuffle
+    files that only led to this table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -265,30 +265,45 @@ def test_search_repeated_queries_and_large_k(spark):
 
 
 def test_language_model(spark):
-    texts = EDGE + random_texts(60, 8)
+    """Against a plain backoff model that looks contexts up in counters."""
+    texts = EDGE + random_texts(60, 8) + [" ".join(f"w{i % 7}" for i in range(k, k + 50)) for k in range(30)]
+    texts += texts[10:40]
     got = {r.doc_id: r for r in ngram_lm.score_texts(docs_of(spark, texts), 7, 2).collect()}
     train, words = [], [(t or "").encode().lower().split() for t in texts]
     for i, w in enumerate(words):
         if zlib.crc32(str(i).encode()) % 7 != 2:
             train.append(w)
     c = Counter(x for w in train for x in [*w, None])
-    pairs = Counter(p for w in train for p in zip(["<s>", *w], [*w, None], strict=True))
-    after, types = Counter(), Counter()
-    for (v, _), k in pairs.items():
-        after[v] += k
-        types[v] += 1
+    grams = Counter(g for w in train for n in (2, 3) for g in zip(*(["<s>", *w, None][k:] for k in range(n)), strict=False))
     n, kinds = sum(c.values()), len(c)
+    context = Counter(c) + Counter({"<s>": len(train)})
+
+    def p(v, x):
+        if not v:
+            return (c[x] + 1) / (n + kinds + 1)
+        of, k = (context[v[0]], ngram_lm.STRENGTH[0]) if len(v) == 1 else (grams[v], ngram_lm.STRENGTH[1])
+        if of < (1 if len(v) == 1 else ngram_lm.LEAST):
+            return p(v[1:], x)
+        return (grams[(*v, x)] + k * p(v[1:], x)) / (of + k)
+
+    seen = 0
     for i, w in enumerate(words):
         base = score = 0.0
-        for v, x in zip(["<s>", *w], [*w, None], strict=True):
-            p = (c[x] + 1) / (n + kinds + 1)
-            base += math.log10(p)
-            spare = ngram_lm.STRENGTH * types[v]
-            score += math.log10((pairs[v, x] + spare * p) / (after[v] + spare) if spare else p)
+        whole = ["<s>", *w, None]
+        for at in range(1, len(whole)):
+            base += math.log10(p((), whole[at]))
+            score += math.log10(p(tuple(whole[max(0, at - 2) : at]), whole[at]))
+            seen += grams[tuple(whole[max(0, at - 2) : at + 1])] > 0
         r = got[i]
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
+    assert seen > 1000
+    total = sum(p(("w1", "w2"), x) for x in [*c, "unknown"])
+    assert abs(total - 1) < 1e-9
     assert ngram_lm.score_texts(docs_of(spark, []), 7, 2).count() == 0
+    d = docs_of(spark, ["a b", "a b"])
+    twice = ngram_lm.score_texts(d.unionByName(d), 7, 2).collect()
+    assert len(twice) == 4 and {r.train_tokens for r in twice} == {6 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in (0, 1))}
 
 
 def test_classifiers(spark):
