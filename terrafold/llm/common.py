@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,7 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if tidy:
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -125,18 +127,28 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def pack5(keys: np.ndarray) -> bytes:
-    """The low 40 bits of each key as five bytes."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def pack7(keys: np.ndarray) -> bytes:
+    """Keys below 2**56 in seven bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def unpack5(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
+def unpack7(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
     return out.view("<u8").reshape(-1)
 
 
+def pack_counts(n: np.ndarray) -> bytes:
+    """A byte a count, and the counts over 254 (as 255) in full behind them."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(blob: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<u8", offset=size)
+    return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[str, list, list[bytes]]]:
     """(block name, values of the first column, texts) of about ``max_bytes`` of text each.
 

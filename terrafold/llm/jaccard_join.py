@@ -1,8 +1,7 @@
 """Jaccard join of word shingles by vertical partitioning.
 
-Documents are sets of word n-grams.  All n-grams have one global order: by the
-number of documents that hold them, then by hash.  The order is cut into
-fragments by hash.  The join goes like this:
+Documents are sets of word n-grams.  All n-grams have one global order, that of
+their 64-bit hashes, which is cut into ranges: the fragments.  The join goes like this:
 
 1. Byte-equal texts form classes; only the smallest doc_id of a class goes on.
 2. Texts form blocks, and a block sends each fragment its part of every set.
@@ -10,8 +9,8 @@ fragments by hash.  The join goes like this:
    how many n-grams of a document no other document holds, and its other
    n-grams with their counts.  Sums over fragments give a document's unshared
    n-grams: with more of them than a link allows it has no partner at all.
-3. The documents that are left order their shared n-grams globally.  Two that
-   link must share an n-gram of their prefixes.  First each prefix n-gram links
+3. The documents that are left sort their shared n-grams by the number of documents
+   that hold them, then by hash.  Two that link must share an n-gram of their prefixes.  First each prefix n-gram links
    its documents to its most central one; candidates' sets are cut by fragment,
    the overlaps of each pair counted in each fragment and summed.  Then only
    pairs that share a prefix n-gram and are not yet in one component are counted,
@@ -25,12 +24,12 @@ fragments by hash.  The join goes like this:
    dealt to blocks of bounded size, each two blocks meet in one task, all overlaps
    of their documents are matrix products, and only counts leave the task.
 
-N-grams are 64-bit hashes reduced to 40 bits within a fragment.  Defined
-results: texts that are null or hold no word have an empty set and link with
+Defined results: texts that are null or hold no word have an empty set and link with
 nothing, each its own component; texts shorter than n words are one n-gram;
 rows that repeat a doc_id are returned as often as they stand (with different
-texts, the least of them stands for the id); rows without a doc_id link with nothing and
-have no component; other columns don't matter; an empty table gives an empty table.
+texts, the least of them stands for the id); rows without a doc_id have the size of
+their set, link with nothing and have no component; very long texts are read whole;
+other columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,13 +41,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, blocks, cut, mix, pack5, unpack5
+from .common import HashCache, blocks, cut, hash64, mix, pack7, pack_counts, unpack7, unpack_counts, utf8
 
 BLOCK_BYTES = 16 << 20
 #: Text bytes that a fragment stands for (about a million n-grams).
 FRAGMENT_BYTES = 8 << 20
-#: Fragments of the pairs' overlaps.
-PAIR_FRAGMENTS = 8
+#: The least number of fragments: with 256, what a fragment doesn't know of a hash has seven bytes.
+LEAST_FRAGMENTS = 256
+#: Fragments of the pairs' overlaps, as bits of a hash.
+PAIR_BITS = 3
+#: Parts into which the rows of one key are dealt.
+SALTS = 8
+#: Classes with more than a thousandth of all rows are broadcast: there are fewer than that.
+HOT_SHARE = 1000
 #: 64-bit words of a set's bitmap; more of them rule out more pairs, links don't depend on it.
 BITMAP = 16
 #: Documents of a block in which those of an n-gram meet.
@@ -80,42 +85,60 @@ def sets_of(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [shingles(t, n, cache) for t in texts]
 
 
+def _set_sizes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(x) for x in sets_of(utf8(batch), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
+
+    return run
+
+
+def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+
+
+def _least_gram(fragment: int, fragments: int) -> np.uint64:
+    return np.uint64(-(-(fragment << 32) // fragments) << 32)
+
+
+def _sizes(n: np.ndarray) -> bytes:
+    """A number a document of a block."""
+    return len(n).to_bytes(4, "little") + pack_counts(n)
+
+
+def _sizes_back(blob: bytes) -> np.ndarray:
+    return unpack_counts(blob[4:], int.from_bytes(blob[:4], "little"))
+
+
 def _send(n: int, fragments: int):
-    """Blocks to fragments: sizes go to fragment -1, n-grams to their own."""
+    """Blocks to fragments: n-grams to their own; ids and sizes under a negative number, a block's own."""
     schema = pa.schema([("fragment", pa.int32()), ("block", pa.string()), ("docs", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
 
+    def row(fragment: int, name: str, docs: bytes, sizes: np.ndarray, grams: bytes) -> pa.RecordBatch:
+        values = [[fragment], [name], [docs], [_sizes(sizes)], [grams]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, texts in blocks(batches, BLOCK_BYTES):
             sets = sets_of(texts, n)
             sizes = np.array([len(s) for s in sets], np.int64)
             grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             doc = np.repeat(np.arange(len(sets)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int32()), pa.array([name]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([b""], pa.binary())],
-                schema=schema,
-            )
-            own = (grams % np.uint64(fragments)).astype(np.int64)
+            yield row(-1 - (hash64(name.encode()) >> 34), name, np.array(ids, "<i8").tobytes(), sizes, b"")
+            own = _fragment(grams, fragments)
             order = np.argsort(own, kind="stable")  # by document within a fragment
-            small = pack_source((grams // np.uint64(fragments))[order])
             cuts = np.searchsorted(own[order], np.arange(fragments + 1))
             for fragment in range(fragments):
-                a, b = cuts[fragment], cuts[fragment + 1]
-                if b > a:
-                    counts = np.bincount(doc[order[a:b]], minlength=len(sets))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([fragment], pa.int32()), pa.array([name]), pa.array([b""], pa.binary()), pa.array([counts.astype("<i4").tobytes()], pa.binary()), pa.array([pack5(small[a:b])], pa.binary())],
-                        schema=schema,
-                    )
+                part = order[cuts[fragment] : cuts[fragment + 1]]
+                if len(part):
+                    yield row(fragment, name, b"", np.bincount(doc[part], minlength=len(sets)), pack7(grams[part] - _least_gram(fragment, fragments)))
 
     return run
 
 
-def pack_source(keys: np.ndarray) -> np.ndarray:
-    return keys & np.uint64((1 << 40) - 1)
-
-
 def _count(group: pa.Table) -> pa.Table:
-    """One fragment: document counts of its n-grams, told to each block."""
+    """One fragment: document counts of its n-grams, told to each block; ids and sizes pass."""
     rows = group.to_pylist()
     if rows[0]["fragment"] < 0:
         return pa.table(
@@ -128,19 +151,19 @@ def _count(group: pa.Table) -> pa.Table:
                 "holders": pa.array([b""] * len(rows), pa.binary()),
             }
         )
-    grams = [unpack5(r["grams"]) for r in rows]
+    grams = [unpack7(r["grams"]) for r in rows]
     _, inverse, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     holders = count[inverse]
     out: dict[str, list] = {k: [] for k in ("docs", "unshared", "grams", "holders")}
     at = 0
     for r, own in zip(rows, grams, strict=True):
-        sizes = np.frombuffer(r["sizes"], "<i4")
+        sizes = _sizes_back(r["sizes"])
         doc, n = np.repeat(np.arange(len(sizes)), sizes), holders[at : at + len(own)]
         at += len(own)
         alone = n == 1
-        out["unshared"].append(np.bincount(doc[alone], minlength=len(sizes)).astype("<i4").tobytes())
-        out["docs"].append(doc[~alone].astype("<i4").tobytes())
-        out["grams"].append(pack5(own[~alone]))
+        out["unshared"].append(_sizes(np.bincount(doc[alone], minlength=len(sizes))))
+        out["docs"].append(_sizes(np.bincount(doc[~alone], minlength=len(sizes))))
+        out["grams"].append(pack7(own[~alone]))
         out["holders"].append(np.minimum(n[~alone], 2**31 - 1).astype("<i4").tobytes())
     return pa.table(
         {"block": [r["block"] for r in rows], "fragment": pa.array([r["fragment"] for r in rows], pa.int32())}
@@ -159,14 +182,14 @@ def _gather(fragments: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         head = next(r for r in rows if r["fragment"] < 0)
-        ids, sizes = np.frombuffer(head["docs"], "<i8"), np.frombuffer(head["unshared"], "<i4").astype(np.int64)
+        ids, sizes = np.frombuffer(head["docs"], "<i8"), _sizes_back(head["unshared"])
         unshared = np.zeros(len(ids), np.int64)
         docs, keys, holders = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for r in rows:
             if r["fragment"] >= 0:
-                unshared += np.frombuffer(r["unshared"], "<i4")
-                docs.append(np.frombuffer(r["docs"], "<i4").astype(np.int64))
-                keys.append(unpack5(r["grams"]) * np.uint64(fragments) + np.uint64(r["fragment"]))
+                unshared += _sizes_back(r["unshared"])
+                docs.append(np.repeat(np.arange(len(ids)), _sizes_back(r["docs"])))
+                keys.append(unpack7(r["grams"]) + _least_gram(r["fragment"], fragments))
                 holders.append(np.frombuffer(r["holders"], "<i4").astype(np.int64))
         doc, key, count = np.concatenate(docs), np.concatenate(keys), np.concatenate(holders)
         # a partner must share at least percent/100 of the set
@@ -238,13 +261,15 @@ def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps in each fragment, summed per pair."""
-    part = sets.select(
-        "doc_id",
-        "n_shingles",
-        F.explode(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1))).alias("f"),
-        "grams",
-    ).select("doc_id", "n_shingles", "f", F.filter("grams", lambda g: F.pmod(g, F.lit(PAIR_FRAGMENTS)) == F.col("f")).alias("part"))
+    """The pairs (a, b) that link: overlaps in each fragment (a range of the n-grams'
+    order), summed per pair."""
+    asked = pairs.select(F.explode(F.array("a", "right_b")).alias("doc_id")).distinct()
+    fragment = lambda g: F.shiftrightunsigned(g, 64 - PAIR_BITS).cast("int")
+    part = (
+        sets.join(asked, "doc_id", "left_semi")
+        .select("doc_id", "n_shingles", F.explode(F.sequence(F.lit(0), F.lit((1 << PAIR_BITS) - 1))).alias("f"), "grams")
+        .select("doc_id", "n_shingles", "f", F.filter("grams", lambda g: fragment(g) == F.col("f")).alias("part"))
+    )
     left = part.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), "f", F.col("part").alias("pa"))
     right = part.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("f").alias("g"), F.col("part").alias("pb"))
     counted = (
@@ -266,8 +291,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         told = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("hearer")).agg(F.min("component").alias("heard"))
         heard = labels.join(told, labels.node == told.hearer).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        after = cut(heard.join(jump, F.col("component") == F.col("via")).select("node", "was", F.least("component", "further").alias("component")))
+        # all of a giant component may go through one node: rows are dealt by a salt, and only nodes
+        # that would change a label are asked
+        jump = labels.where(F.col("component") < F.col("node")).select(
+            F.col("node").alias("via"), F.col("component").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        )
+        dealt = heard.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        after = cut(
+            dealt.join(jump, (F.col("component") == F.col("via")) & (F.col("deal") == F.col("salt")), "left").select(
+                "node", "was", F.least("component", F.coalesce("further", "component")).alias("component")
+            )
+        )
         if after.where(F.col("component") < F.col("was")).limit(1).count() == 0:
             return after.select("node", "component")
         labels = after.select("node", "component")
@@ -368,9 +402,9 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, coun
     everything = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = everything.where(F.col("doc_id").isNotNull())
     classes = cut(rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same")))
-    first = classes.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    first = classes.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    fragments = max(8, -(-size // FRAGMENT_BYTES))
+    fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT_BYTES))
     # one text an id, in an order of its own: a task that is run again makes the same blocks
     texts = rows.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).sortWithinPartitions("doc_id")
     sent = texts.mapInArrow(_send(n, fragments), "fragment int, block string, docs binary, sizes binary, grams binary")
@@ -435,12 +469,16 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, coun
     if count_links:
         of_first = of_first.join(_link_counts(sets, final, percent).withColumnRenamed("node", "first"), "first", "left")
     counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    of_class = first.withColumnRenamed("doc_id", "first").join(of_first, "first", "left")
-    joined = classes.join(of_class, "same").select(
+    of_class = cut(first.withColumnRenamed("doc_id", "first").join(of_first, "first", "left"))
+    # a class may hold a third of all rows: the few large ones meet their rows by broadcast
+    hot = of_class.where(F.col("rows") > F.lit(classes.count() // HOT_SHARE + HOT_SHARE))
+    cold = classes.join(F.broadcast(hot.select("same")), "same", "left_anti").join(of_class, "same")
+    joined = classes.join(F.broadcast(hot), "same").unionByName(cold).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first")).alias("component_id"),
         *counts,
     )
-    none = everything.where(F.col("doc_id").isNull()).select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
+    sized = everything.where(F.col("doc_id").isNull()).mapInArrow(_set_sizes(n), "doc_id long, n_shingles long")
+    none = sized.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     return joined.unionByName(none)

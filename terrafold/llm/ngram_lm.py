@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, cut, fold_of, hash64, mix, utf8
+from .common import Numbering, cut, fold_of, hash64, mix, pack7, pack_counts, unpack7, unpack_counts, utf8
 
 #: Hashes of the start and end marks: they hold spaces, so they are no words.
 START, END = hash64(b" start "), hash64(b" end ")
@@ -113,29 +113,6 @@ def _by_fragment(grams: np.ndarray, fragments: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(own[order], np.arange(1, fragments)))
 
 
-def _pack(grams: np.ndarray, fragments: int) -> bytes:
-    """What a fragment doesn't know of its n-grams' hashes, in seven bytes each."""
-    rest = (grams // np.uint64(fragments)).astype("<u8")
-    return np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
-    return out.view("<u8").reshape(-1)
-
-
-def _counts(n: np.ndarray) -> bytes:
-    """A byte a count, and the counts over 254 (as 255) in full behind them."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
-
-
-def _counts_back(blob: bytes, size: int) -> np.ndarray:
-    out = np.frombuffer(blob, np.uint8, size).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, "<u8", offset=size)
-    return out
-
-
 def _asked(key: tuple, fragments: int, words: np.ndarray, word_n: np.ndarray, grams: np.ndarray, gram_n: np.ndarray) -> pa.Table:
     """A block's messages: to each fragment its words, then its longer n-grams."""
     both = zip(_by_fragment(words, fragments), _by_fragment(grams, fragments), strict=True)
@@ -145,8 +122,8 @@ def _asked(key: tuple, fragments: int, words: np.ndarray, word_n: np.ndarray, gr
             "fragment": pa.array([f for f, _, _ in own], pa.int32()),
             "block": pa.array([key[0].as_py()] * len(own), pa.int64()),
             "n_words": pa.array([len(w) for _, w, _ in own], pa.int32()),
-            "grams": pa.array([_pack(np.concatenate([words[w], grams[g]]), fragments) for _, w, g in own], pa.binary()),
-            "counts": pa.array([_counts(np.concatenate([word_n[w], gram_n[g]])) for _, w, g in own], pa.binary()),
+            "grams": pa.array([pack7(np.concatenate([words[w], grams[g]]) // np.uint64(fragments)) for _, w, g in own], pa.binary()),
+            "counts": pa.array([pack_counts(np.concatenate([word_n[w], gram_n[g]])) for _, w, g in own], pa.binary()),
         }
     )
 
@@ -178,7 +155,7 @@ def _totals(block: Block, told: pa.Table, fragments: int) -> tuple[np.ndarray, n
     words, pairs = _by_fragment(block.words, fragments), _by_fragment(block.pairs, fragments)
     for fragment, blob in zip(told["fragment"].to_pylist(), told["counts"].to_pylist(), strict=True):
         w, p = words[fragment], pairs[fragment]
-        both = _counts_back(blob, len(w) + len(p))
+        both = unpack_counts(blob, len(w) + len(p))
         counts[w], pair_n[p] = both[: len(w)], both[len(w) :]
     return counts, pair_n
 
@@ -200,8 +177,8 @@ def _add_up(fragments: int):
 
     def run(group: pa.Table) -> pa.Table:
         """One fragment: totals of its n-grams, told to each block that asked."""
-        grams = [_unpack(blob) for blob in group["grams"].to_pylist()]
-        counts = [_counts_back(blob, len(g)) for blob, g in zip(group["counts"].to_pylist(), grams, strict=True)]
+        grams = [unpack7(blob) for blob in group["grams"].to_pylist()]
+        counts = [unpack_counts(blob, len(g)) for blob, g in zip(group["counts"].to_pylist(), grams, strict=True)]
         n_words = group["n_words"].to_pylist()
         totals = [np.zeros(len(g), np.int64) for g in grams]
         n_types = n_tokens = 0
@@ -225,7 +202,7 @@ def _add_up(fragments: int):
             {
                 "block": group["block"],
                 "fragment": group["fragment"],
-                "counts": pa.array([_counts(t) for t in totals], pa.binary()),
+                "counts": pa.array([pack_counts(t) for t in totals], pa.binary()),
                 "n_types": pa.array([n_types if h else 0 for h in head], pa.int64()),
                 "n_tokens": pa.array([n_tokens if h else 0 for h in head], pa.int64()),
             }
@@ -307,7 +284,7 @@ def _scores(fragments: int, n_tokens: int, n_types: int, strength: tuple[float,
         places = _by_fragment(block.triple_grams(keys), fragments)
         own = told.filter(pa.array(longer))
         for fragment, blob in zip(own["fragment"].to_pylist(), own["counts"].to_pylist(), strict=True):
-            triple_n[places[fragment]] = _counts_back(blob, len(places[fragment]))
+            triple_n[places[fragment]] = unpack_counts(blob, len(places[fragment]))
         automaton = BackoffAutomaton(block, counts, pair_n, keys, triple_n, n_tokens, n_types, strength)
         add = lambda x: np.add.reduceat(x, block.begin) if len(block.begin) else x
         return pa.table(

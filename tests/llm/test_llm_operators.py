@@ -80,10 +80,27 @@ def test_jaccard_repeated_rows_nulls_and_empty(spark):
     d = docs_of(spark, ["a b c d e", "a b c d e", "z"])
     again = d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     got = Counter(tuple(r)[:3] for r in jaccard_join.jaccard_components(again).collect())
-    assert got == {(0, 1, 0): 2, (1, 1, 0): 2, (2, 1, 2): 2, (None, None, None): 1}
+    got_size = 1  # the null id's text is one of these, of one n-gram
+    assert got == {(0, 1, 0): 2, (1, 1, 0): 2, (2, 1, 2): 2, (None, got_size, None): 1}
     assert jaccard_join.jaccard_components(d.limit(0)).count() == 0
 
 
+def test_fragments_are_ranges_that_keep_whole_hashes():
+    g = np.concatenate([np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64, endpoint=False), np.array([0, 2**64 - 1], np.uint64)])
+    for fragments in (256, 257, 1000, 4097):
+        own = jaccard_join._fragment(g, fragments)
+        least = np.array([jaccard_join._least_gram(int(f), fragments) for f in own], np.uint64)
+        assert own.min() >= 0 and own.max() < fragments and (np.diff(own[np.argsort(g)]) >= 0).all()
+        assert np.array_equal(jaccard_join.unpack7(jaccard_join.pack7(g - least)) + least, g)
+
+
+def test_jaccard_of_a_hot_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 3)
+    texts = ["a b c d e f"] * 30 + random_texts(6, 12) + ["a b c d e f"]
+    got = jaccard_join.jaccard_components(docs_of(spark, texts), 4, 85).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == components(texts, 4, 85) and {r.n_links for r in got} == {0}
+
+
 @pytest.mark.parametrize("narrow,grams", [(128, 1 << 19), (8, 1 << 19), (8, 400)])
 def test_jaccard_counts_every_link(spark, monkeypatch, narrow, grams):
     monkeypatch.setattr(jaccard_join, "NARROW", narrow)
