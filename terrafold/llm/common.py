@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,8 +45,10 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if tidy:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what listeners still hold is free at the second time
+            time.sleep(0.5)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
