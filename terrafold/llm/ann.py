@@ -8,12 +8,13 @@ a table of 16 products per pair and query over all codes; the best RERANK of
 each block of rows are ranked again by exact inner products in double precision.
 
 Centres are fitted on at most SAMPLE vectors (a documented bound); every row is
-coded.  Queries go in blocks of QUERY_BLOCK, broadcast one block at a time.
-Defined results: vectors that are null, of another length than the first, zero,
-or hold null or non-finite components take no part; ties go to the smaller
-vec_id; repeated rows are candidates once each; a query's vec_id is asked once (with
-different vectors, the least); with fewer candidates than k all
-are returned; an empty table gives an empty table; other columns don't matter.
+coded once, and the blocks of codes are written with their vectors.  Queries go in
+blocks of QUERY_BLOCK, broadcast one block at a time; each scans the written codes.
+Defined results: vectors that are null, of another length than most of the sample,
+zero, or hold null or non-finite components take no part; ties go to the smaller
+vec_id; each repeated row is a candidate of its own; a query's vec_id is asked once
+(with different vectors, the least); with fewer candidates than k all are returned; an
+empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CENTRES = 16
 SAMPLE, QUERY_BLOCK, ROW_BLOCK, RERANK = 10_000, 4096, 8192, 120
 #: Rows of a block that are ranked again, for each one asked for, where that's more than RERANK.
@@ -163,19 +166,39 @@ def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return x[first], members, np.concatenate([[0], np.cumsum(count)[:-1]]), count
 
 
-def _search_rows(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    tables = book.tables(queries)
+CODED = "members binary, counts binary, vectors binary, codes binary"
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _code_blocks(book: Codebook):
+    """Blocks of rows: ids of the distinct vectors' rows, how many each has, vectors and codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_ids = [np.zeros(0, np.int64)] * len(query_ids)
-        top_scores = [np.zeros(0)] * len(query_ids)
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                x, members, start, count = _distinct(ids, x)
-                codes = book.encode(x)
+                x, members, _, count = _distinct(ids, x)
+                blobs = (members.astype("<i8"), count.astype("<i8"), x.astype("<f8"), book.encode(x))
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs], names=[c.split()[0] for c in CODED.split(", ")])
+
+    return run
+
+
+def _search_blocks(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """A task's best k rows of each query."""
+    tables = book.tables(queries)
+    size = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top_ids = [np.zeros(0, np.int64)] * len(query_ids)
+        top_scores = [np.zeros(0)] * len(query_ids)
+        for batch in batches:
+            for members, counts, vectors, codes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                members, count = np.frombuffer(members, "<i8"), np.frombuffer(counts, "<i8")
+                start = np.cumsum(count) - count
+                x, codes = np.frombuffer(vectors, "<f8").reshape(-1, size), np.frombuffer(codes, np.uint8).reshape(-1, book.pairs)
                 for q0 in range(0, len(query_ids), 256):
                     near = book.scan(codes, tables[:, :, q0 : q0 + 256])
                     want = min(max(RERANK, RERANK_SHARE * k), len(near))
@@ -185,25 +208,21 @@ def _search_rows(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k:
                         pick = np.flatnonzero(near[:, j] >= kth[j])
                         score = exact(queries[q], x[pick])
                         # each distinct vector stands for its rows of smallest vec_id, one more than asked
-                        size = np.minimum(count[pick], k + 1)
-                        own = np.concatenate([members[s : s + n] for s, n in zip(start[pick], size, strict=True)])
-                        score = np.repeat(score, size)
+                        n = np.minimum(count[pick], k + 1)
+                        own = np.concatenate([members[s : s + m] for s, m in zip(start[pick], n, strict=True)])
+                        score = np.repeat(score, n)
                         other = own != query_ids[q]
                         all_ids = np.concatenate([top_ids[q], own[other]])
                         all_scores = np.concatenate([top_scores[q], score[other]])
                         keep = best(all_ids, all_scores, k)
                         top_ids[q], top_scores[q] = all_ids[keep], all_scores[keep]
-        full = [i for i in range(len(query_ids)) if len(top_ids[i])]
-        for at in range(0, len(full), 512):
-            own = full[at : at + 512]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(query_ids[i]) for i in own], pa.int64()),
-                    pa.array([top_ids[i].tolist() for i in own], pa.list_(pa.int64())),
-                    pa.array([top_scores[i].tolist() for i in own], pa.list_(pa.float64())),
-                ],
-                names=["query_id", "ids", "scores"],
-            )
+        for at in range(0, len(query_ids), 512):
+            own = [i for i in range(at, min(at + 512, len(query_ids))) if len(top_ids[i])]
+            if own:
+                asked = np.repeat(query_ids[own], [len(top_ids[i]) for i in own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked, pa.int64()), pa.array(np.concatenate([top_ids[i] for i in own])), pa.array(np.concatenate([top_scores[i] for i in own]))], names=["query_id", "vec_id", "score"]
+                )
 
     return run
 
@@ -212,25 +231,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     """(query_id, rank, vec_id, score) of each query's ``k`` nearest rows."""
     spark = SparkSession.active()
     book, size = fit_codebook(vectors, sample)
-    schema = "query_id long, rank int, vec_id long, score double"
     if book is None:
-        return spark.createDataFrame([], schema)
-    rows = usable(vectors).where(F.size("v") == size)
-    asked = usable(queries).where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    coded = cut(usable(vectors).where(F.size("v") == size).mapInArrow(_code_blocks(book), CODED))
+    asked = cut(usable(queries).where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v")))
     # query blocks by ranges of a hash, so that each is of bounded size however many there are
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
-    found = None
+    found = spark.createDataFrame([], FOUND)
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toPandas()
-        if len(own):
-            run = _search_rows(book, own["vec_id"].to_numpy(), np.array(own["v"].tolist()), k)
-            part = rows.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c"))
-    # at most k of each task for a query are left
-    top = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c.scores")).alias("s"), F.col("c.ids").alias("i")))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "c")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.i").alias("vec_id"), (-F.col("c.s")).alias("score")
-    )
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
+        if own.num_rows:
+            x = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+            found = found.unionByName(coded.mapInArrow(_search_blocks(book, own["vec_id"].to_numpy(), x, k), FOUND))
+    # tasks' best rows are sorted, cut to k before the shuffle and again behind it, never gathered
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -119,13 +119,15 @@ def test_jaccard_counts_every_link(spark, monkeypatch, narrow, grams):
 
 
 def test_line_rules_against_plain_counts(spark):
-    texts = EDGE + random_texts(10, 4, (40, 90)) + ["the cat sat the cat sat on\nhome | menu\nhome | menu\n$$$ ### a"]
+    texts = EDGE + random_texts(10, 4, (40, 90)) + ["é #*# <b> $5 100% a&b | x", "w " * 40_000, "é" * 300_000] + ["the cat sat the cat sat on\nhome | menu\nhome | menu\n$$$ ### a"]
     got = {r.doc_id: r for r in line_rules.clean_lines(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         w = (t or "").split()
         windows = Counter(zip(w, w[1:], w[2:], strict=False))
         cover = {k for j, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for k in (j, j + 1, j + 2)}
         lines = [x for x in (t or "").split("\n") if x.split()]
+        assert got[i].n_symbols == sum(c in "#*$%&|<>" for c in t or "") and got[i].base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+        assert not (got[i].kept and got[i].base_failed)
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words, got[i].n_dup_lines) == (len(w), sum(map(len, w)), len(cover), len(lines) - len(set(lines)))
     last = got[len(texts) - 1]
     assert last.cleaned == "the cat sat the cat sat on" and not last.kept
@@ -257,7 +259,8 @@ def test_search(spark):
     x = rng.normal(size=(1200, 16))
     x[100:400] = x[7]  # a vector that many rows share
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "score": F.lit("x"), "query_id": F.lit(None), "rank": F.lit(2), "members": F.lit(0)})
+    v = v.unionByName(v.where("vec_id between 10 and 20"))  # repeated rows
     got = {}
     for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -268,7 +271,7 @@ def test_search(spark):
         assert [a for a, _, _ in sorted(own)] == list(range(1, 21)) and all(abs(s[i] - b) < 1e-9 for _, i, b in own)
         found, total = found + len({i for _, i, _ in own} & set(want)), total + 20
     assert len(got) == 60 and found / total >= 0.9
-    few = v.where("vec_id < 5")
+    few = v.where("vec_id < 5").dropDuplicates(["vec_id"])
     assert ann.nearest(few, few.where("vec_id = 0"), 20).count() == 4 and ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
@@ -394,20 +397,119 @@ def test_byte_bpe_like_the_library(spark, memo):
         assert r.ids == library.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
 
 
+def test_votes_against_plain_cosines():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 50, 12), return_counts=True) for _ in range(40)]
+    rows += rows[:20] + [(np.zeros(0, np.int64), np.zeros(0))]  # ties among neighbours, and an empty text
+    rows = [(t.astype(np.int64), c.astype(float)) for t, c in rows]
+    voter = quality.LatentVoter.fit(rows, rng.integers(0, 2, len(rows)).astype(float))
+    asked = [np.unique(rng.integers(0, 50, 9), return_counts=True) for _ in range(30)] + rows[-1:]
+    latent = voter.latent([(t.astype(np.int64), c.astype(float)) for t, c in asked])
+    got = voter.vote(latent)
+    for cosines, score in zip(latent @ voter.vectors.T, got, strict=True):
+        near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[: quality.NEIGHBOURS]
+        weight = [max(0.0, float(cosines[i])) for i in near]
+        want = sum(w * voter.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else voter.labels.mean()
+        assert abs(score - want) < 1e-6 and 0 <= score <= 1
+    assert got[-1] == voter.labels.mean()
+
+
+def test_machine_against_all_pairs():
+    rng = np.random.default_rng(6)
+    index = np.full(toxicity.TERMS, -1, np.int32)
+    index[[5, 9, 77, 1000]] = np.arange(4)
+    m = toxicity.FactorizationMachine(index, -0.3, rng.normal(size=4), rng.normal(size=(4, toxicity.RANK)))
+    for own in ([], [5], [5, 9], [5, 9, 77, 1000], [3, 4]):
+        rows = [int(index[t]) for t in own if index[t] >= 0]
+        x = m.bias + sum(m.weights[i] for i in rows) + sum(float(m.vectors[i] @ m.vectors[j]) for i in rows for j in rows if i < j)
+        assert abs(m.score(np.array(own, np.int64)) - 1 / (1 + math.exp(-x))) < 1e-9
+
+
+def test_empty_and_repeated_rows(spark):
+    d = docs_of(spark, [*random_texts(4, 1), "x " * 50_000, None, ""])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    P = pytest.importorskip("public_tokenizers")
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    models = quality.fit_quality(d, labels, 3, 1), toxicity.fit_toxicity(d, labels, 4, 2)
+    runs = {
+        "quality": lambda x: quality.score_quality(x, models[0]),
+        "toxicity": lambda x: toxicity.score_toxicity(x, models[1]),
+        "licenses": licenses.scan_licenses,
+        "lines": line_rules.clean_lines,
+        "bpe": lambda x: bpe.decode(bpe.encode(x)).select("doc_id", "ids", "decoded"),
+        "lm": lambda x: ngram_lm.score_texts(x, 7, 2),
+        "mix": lambda x: mixing.mix_sources(x),
+    }
+    for name, run in runs.items():
+        assert run(d.limit(0)).count() == 0, name
+        if name != "mix":
+            rows = Counter(str(r) for r in run(d.unionByName(d)).collect())
+            assert len(rows) == 7 and set(rows.values()) == {2}, name
+    assert quality.score_quality(d, quality.fit_quality(d.limit(0), labels, 3, 1)).count() == 7
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    d = docs_of(spark, random_texts(20, 2)).withColumns({"mix_source": F.lit("s"), "mix_key": F.lit(7), "mix_rate": F.lit("old"), "row": F.lit(1), "rate": F.lit(2), "key": F.lit(3)})
+    out = mixing.mix_sources(d, epochs=3.0)
+    assert set(out.columns) == set(d.columns) | set(mixing.RESULTS) and out.schema["mix_rate"].dataType.simpleString() == "double"
+    assert {(r.mix_source, r.mix_key, r.row, r.rate, r.key) for r in out.collect()} == {("s", 7, 1, 2, 3)}
+
+
+def test_mixing_by_a_salted_join(spark, monkeypatch):
+    d = docs_of(spark, random_texts(200, 2), {i: f"s{i % 3}" for i in range(0, 200, 2)})
+    want = Counter((r.doc_id, r.mix_copy) for r in mixing.mix_sources(d).collect())
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 1)
+    assert Counter((r.doc_id, r.mix_copy) for r in mixing.mix_sources(d).collect()) == want
+
+
+def test_one_of_each_group_where_ids_repeat(spark):
+    from terrafold.llm.pipeline import one_of_each_group
+
+    a, b, c = random_texts(3, 5, (40, 41))
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b + " x"), (4, c), (None, a), (5, ""), (6, None)]
+    d = spark.createDataFrame([(i, t, None, None, None, 1.0, 1, "x") for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in one_of_each_group(spark, d, "").collect())
+    assert got[None, a] == got[4, c] == got[5, ""] == got[6, None] == 1 and sum(n for (_, t), n in got.items() if t == a) == 2
+    assert sum(n for (_, t), n in got.items() if t in (b, b + " x")) == 1 and sum(got.values()) == 6
+    assert one_of_each_group(spark, d.limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-def test_pipeline_against_its_parts(spark):
+def test_pipeline_run_against_brute_force(spark):
+    """Models are the stages' own; everything that they decide is done again row by row."""
+    import hashlib
+
     import corpus_pipeline as C
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for name, stage in C.STAGES[:2]:
-        after = stage(spark, docs, SF).cache()
-        assert after.columns == columns and 0.6 * n < after.count() <= n, name
-        docs = after
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    got = {r.doc_id for r in C.STAGES[2][1](spark, docs, SF).collect()}
-    ids = [i for i, _ in rows]
-    assert got == {ids[i] for i, _, c in components([t for _, t in rows], 5, 80) if i == c}
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    columns = docs.columns
+    machine, cache = toxicity.fit_toxicity(docs, labels, 4, 2), toxicity.TermCache()
+    rows = [r for r in docs.collect() if machine.score(toxicity.terms_of((r.text or "").encode(), cache)) < 0.3]
+    docs = spark.createDataFrame(rows, docs.schema)
+    assert C.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).columns == columns
+    voter, words = quality.fit_quality(docs, labels, 3, 1), quality.WordCache()
+    score = lambda t: voter.vote(voter.latent([quality.features((t or "").encode(), words)]))[0]
+    rows = sorted((r for r in rows if score(r.text) >= 0.5), key=lambda r: r.doc_id)
+    rows = [rows[i] for i, _, c in components([r.text for r in rows], 5, 80) if i == c]
+    count = Counter(r.source for r in rows)
+    target = {s: n**0.7 for s, n in count.items()}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for r in rows:
+        rate = target[r.source] / sum(target.values()) * len(rows) / count[r.source]
+        u = (int(hashlib.md5(f"{r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}:mix-1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        k, p = 0, math.exp(-rate)
+        f = p
+        while f < u:
+            k += 1
+            p *= rate / k
+            f += p
+        ids = library.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += k
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in C.run(spark, SF).collect())
+    assert len(got) > 50 and got == +want
 
 
 def test_queries_are_registered():
