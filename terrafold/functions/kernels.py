@@ -79,11 +79,16 @@ def polygon_distance(a, b) -> float:
     sa, sb = segments_of(a), segments_of(b)
     if not len(sa) or not len(sb):
         return float("nan")
-    if inside(sa[:1, 0], sb)[0] or inside(sb[:1, 0], sa)[0] or _any_cross(sa, sb):
+    if inside(_first_points(a), sb).any() or inside(_first_points(b), sa).any() or _any_cross(sa, sb):
         return 0.0
     return float(min(_point_segment(sa[:, 0], sb).min(), _point_segment(sb[:, 0], sa).min()))
 
 
+def _first_points(geometry) -> np.ndarray:
+    """A point of each part: parts may lie apart."""
+    return np.array([(part[0][0]["x"], part[0][0]["y"]) for part in geometry if len(part) and len(part[0])], float).reshape(-1, 2)
+
+
 def _any_cross(sa: np.ndarray, sb: np.ndarray) -> bool:
     def side(p, q, r):
         return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
@@ -92,43 +97,138 @@ def _any_cross(sa: np.ndarray, sb: np.ndarray) -> bool:
     return bool(((side(a0, a1, b0) * side(a0, a1, b1) < 0) & (side(b0, b1, a0) * side(b0, b1, a1) < 0)).any())
 
 
-def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """Part of an open ring inside a convex one (counter-clockwise), by half planes."""
-    out = ring
-    for p, q in zip(convex, np.roll(convex, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        side = cross2(q - p, out - p)
-        after, side2 = np.roll(out, -1, axis=0), np.roll(side, -1)
-        new = []
-        for u, v, s, t in zip(out, after, side, side2, strict=True):
-            if s >= 0:
-                new.append(u)
-            if s * t < 0:
-                new.append(u + (v - u) * s / (s - t))
-        out = np.array(new).reshape(-1, 2)
-    return out
+#: Decimals to which points of an overlay are brought, and how far beside an edge its sides are probed.
+SNAP, BESIDE = 7, 1e-5
+
+
+def split_segments(segments: np.ndarray) -> np.ndarray:
+    """Distinct pieces (undirected) of segments, cut wherever they meet."""
+    if not len(segments):
+        return segments
+    out = []
+    lo, hi = segments.min(1) - BESIDE, segments.max(1) + BESIDE
+    for s, a, b in zip(segments, lo, hi, strict=True):
+        near = segments[((lo <= b) & (hi >= a)).all(1)]
+        p, d = s[0], s[1] - s[0]
+        size = float(d @ d)
+        if size == 0:
+            continue
+        e = near[:, 1] - near[:, 0]
+        turn = d[0] * e[:, 1] - d[1] * e[:, 0]
+        apart = near[:, 0] - p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = cross2(apart, e) / turn, cross2(apart, d) / turn
+        slack = BESIDE / np.sqrt(size)
+        meets = (np.abs(turn) > 1e-12 * size) & (t > -slack) & (t < 1 + slack) & (u >= -1e-9) & (u <= 1 + 1e-9)
+        ends = near.reshape(-1, 2)
+        along = (ends - p) @ d / size
+        on = np.abs(cross2(d[None], ends - p)) <= 10.0**-SNAP * np.sqrt(size)
+        at = np.unique(np.clip(np.concatenate([[0, 1], t[meets], along[on & (along > 0) & (along < 1)]]), 0, 1))
+        points = np.round(p + at[:, None] * d, SNAP) + 0.0
+        out.append(np.stack([points[:-1], points[1:]], 1))
+    pieces = np.concatenate(out)
+    pieces = pieces[(pieces[:, 0] != pieces[:, 1]).any(1)]
+    swap = (pieces[:, 0, 0] > pieces[:, 1, 0]) | ((pieces[:, 0, 0] == pieces[:, 1, 0]) & (pieces[:, 0, 1] > pieces[:, 1, 1]))
+    pieces[swap] = pieces[swap][:, ::-1]
+    return np.unique(pieces.reshape(-1, 4), axis=0).reshape(-1, 2, 2)
+
+
+def area_within(segments: np.ndarray, within):
+    """The geometry of all points that ``within`` accepts, whose border runs along
+    the segments; None if it has no area.  Each piece of a segment is kept where the
+    points just beside it differ, directed with the area to its left, and pieces are
+    chained to rings with the sharpest left turns."""
+    pieces = split_segments(segments)
+    if not len(pieces):
+        return None
+    d = pieces[:, 1] - pieces[:, 0]
+    unit = d / np.hypot(*d.T)[:, None]
+    left = np.stack([-unit[:, 1], unit[:, 0]], 1) * np.minimum(BESIDE, np.hypot(*d.T) / 4)[:, None]
+    middle = pieces.mean(1)
+    a, b = within(middle + left), within(middle - left)
+    kept = np.concatenate([pieces[a & ~b], pieces[b & ~a][:, ::-1]])
+    leaving: dict[tuple, list[tuple]] = {}
+    for p, q in kept.tolist():
+        leaving.setdefault(tuple(p), []).append(tuple(q))
+    rings = []
+    while leaving:
+        start = at = min(leaving)
+        ring, came = [start], None
+        while True:
+            choices = leaving[at]
+            pick = choices[0] if came is None or len(choices) == 1 else max(choices, key=lambda q: _left_turn(came, at, q))
+            choices.remove(pick)
+            if not choices:
+                del leaving[at]
+            came, at = at, pick
+            ring.append(at)
+            if at == start or at not in leaving:
+                break
+        if ring[0] == ring[-1] and len(ring) > 3:
+            rings.append(straightened(np.array(ring)))
+    outer = [r for r in rings if signed_area(r) > 10.0**-SNAP]
+    parts = [[r] for r in sorted(outer, key=signed_area)]
+    for hole in (r for r in rings if signed_area(r) < -(10.0**-SNAP)):
+        p = (hole[:1] + hole[1:2]) / 2
+        owner = next((part for part in parts if inside(p, np.stack([part[0][:-1], part[0][1:]], 1))[0]), None)
+        if owner is not None:
+            owner.append(hole)
+    return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in part] for part in parts] or None
+
+
+def _left_turn(came: tuple, at: tuple, to: tuple) -> float:
+    a = np.arctan2(to[1] - at[1], to[0] - at[0]) - np.arctan2(at[1] - came[1], at[0] - came[0])
+    turn = (a + np.pi) % (2 * np.pi) - np.pi
+    return -np.pi if turn >= np.pi - 1e-12 else float(turn)
+
+
+def signed_area(ring: np.ndarray) -> float:
+    """Of a closed ring: positive if counter-clockwise."""
+    return float(cross2(ring[:-1] - ring[0], ring[1:] - ring[0]).sum()) / 2
+
+
+def straightened(ring: np.ndarray) -> np.ndarray:
+    """A closed ring without the points where it goes straight on."""
+    p = ring[:-1]
+    d, e = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
+    bent = np.abs(cross2(d, e)) > 1e-9 * np.hypot(*d.T) * np.hypot(*e.T)
+    p = p[bent] if bent.sum() > 2 else p
+    return np.concatenate([p, p[:1]])
 
 
 def clip_geometry(geometry, clip):
-    """Intersection with a geometry whose exterior rings are convex; None if empty."""
-    parts = []
-    for target in clip:
-        hull = ring_array(target[0])[:-1]
-        x, y = hull[:, 0], hull[:, 1]
-        if x @ np.roll(y, -1) - y @ np.roll(x, -1) < 0:
-            hull = hull[::-1]
-        for part in geometry:
-            rings = []
-            for ring in part:
-                got = clip_ring(ring_array(ring)[:-1], hull)
-                if len(got) > 2 and polygon_area(got) > 0:
-                    rings.append([{"x": float(a), "y": float(b)} for a, b in [*got, got[0]]])
-                elif not rings:
-                    break
-            if rings:
-                parts.append(rings)
-    return parts or None
+    """Intersection of any two polygon geometries, with their holes and parts; None without area."""
+    a, b = segments_of(geometry), segments_of(clip)
+    if not len(a) or not len(b):
+        return None
+    lo, hi = a.min((0, 1)) - 1, a.max((0, 1)) + 1
+    near = b[((b.min(1) <= hi) & (b.max(1) >= lo)).all(1)]
+    return area_within(np.concatenate([a, near]), lambda p: inside(p, a) & inside(p, b))
+
+
+def dissolve(geometries: list):
+    """Union of polygon geometries, taken two by two so that each overlay stays small; None without area."""
+    todo = [g for g in geometries if g is not None and len(g)]
+    while len(todo) > 1:
+        pairs = [todo[i : i + 2] for i in range(0, len(todo), 2)]
+        todo = [g for pair in pairs if (g := pair[0] if len(pair) == 1 else _union(*pair)) is not None]
+    return todo[0] if todo else None
+
+
+def _union(a, b):
+    sa, sb = segments_of(a), segments_of(b)
+    return area_within(np.concatenate([sa, sb]), lambda p: inside(p, sa) | inside(p, sb))
+
+
+def repair_geometry(geometry):
+    """A valid geometry of the area that the rings enclose by the even-odd rule: repeated
+    points, spikes and crossings of a ring with itself go; None without area."""
+    rings = [[repair_ring(ring_array(r)) for r in part if len(r)] for part in geometry]
+    segments = [np.stack([r[:-1], r[1:]], 1) for part in rings for r in part if len(r) > 3]
+    if not segments:
+        return None
+    own = np.concatenate(segments)
+    return area_within(own, lambda p: inside(p, own)) if np.isfinite(own).all() else None
 
 
 def repair_ring(ring: np.ndarray) -> np.ndarray:

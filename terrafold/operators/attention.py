@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
+from terrafold.plans.lineage import cut
 
 SLOPE = 0.2
 
@@ -28,6 +31,24 @@ class Layer:
 class Network:
     layers: list[Layer] = field(default_factory=list)
 
+    def __repr__(self) -> str:
+        shapes = " -> ".join(f"{layer.weight.shape[1]} x {layer.weight.shape[0]} heads x {layer.weight.shape[2]}" for layer in self.layers)
+        return f"Network({shapes}, {sum(p.size for x in self.layers for p in (x.weight, x.source, x.target, x.bias))} parameters)"
+
+    def reset(self, seed: int = 42) -> None:
+        """New random parameters of the same shapes."""
+        first, last = self.layers[0].weight.shape, self.layers[-1].weight.shape
+        self.layers = Network.random(first[1], first[2], last[2], len(self.layers), first[0], seed).layers
+
+    def attention(self, nodes: DataFrame, edges: DataFrame, at: int, head: int = 0) -> DataFrame:
+        """(district_id, src, dst, alpha, h) of one layer, from the network's input."""
+        if not 0 <= at < len(self.layers):
+            raise ValueError(f"no layer {at}")
+        x = nodes.select("district_id", "building_id", "features")
+        for layer in self.layers[:at]:
+            x = cut(attention_layer(x, edges, layer).withColumn("features", elu(F.col("features"))))
+        return attention_weights(x, edges, self.layers[at], head)
+
     @classmethod
     def random(cls, inputs: int, hidden: int, classes: int, layers: int = 3, heads: int = 8, seed: int = 42) -> Network:
         rng, out = np.random.default_rng(seed), cls()
@@ -72,18 +93,59 @@ def attention_weights(nodes: DataFrame, edges: DataFrame, layer: Layer, head: in
     return scored.select("district_id", "src", "dst", (F.col("w") / F.sum("w").over(own)).alias("alpha"), "h")
 
 
-def attention_layer(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
-    """(district_id, building_id, features): heads concatenated or averaged, plus the bias."""
-    each = None
-    for head in range(len(layer.weight)):
-        got = attention_weights(nodes, edges, layer, head).select("district_id", F.col("dst").alias("building_id"), F.lit(head).alias("head"), "alpha", F.posexplode("h").alias("place", "v"))
-        each = got if each is None else each.unionByName(got)
-    sums = each.groupBy("district_id", "building_id", "head", "place").agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
-    if not layer.concat:
-        sums = sums.groupBy("district_id", "building_id", "place").agg(F.avg("v").alias("v")).withColumn("head", F.lit(0))
-    rows = sums.groupBy("district_id", "building_id").agg(F.array_sort(F.collect_list(F.struct("head", "place", "v"))).alias("r"))
-    vector = F.zip_with(F.transform("r", lambda x: x["v"]), _constant(layer.bias), lambda v, b: v + b)
-    return rows.select("district_id", "building_id", vector.alias("features"))
+#: Edges that meet in one task's matrix.
+EDGE_BLOCK = 8192
+
+
+def _projected(nodes: DataFrame, layer: Layer) -> DataFrame:
+    """(district_id, building_id, h, es, et): all heads' projections by one matrix
+    product a batch, and their attention terms.  The weights are broadcast."""
+    heads, inputs, out = layer.weight.shape
+    shared = nodes.sparkSession.sparkContext.broadcast((layer.weight.transpose(1, 0, 2).reshape(inputs, heads * out), layer.source, layer.target))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, source, target = shared.value
+        for batch in batches:
+            if len(batch):
+                h = np.stack(batch["features"].to_list()).astype(float) @ weight
+                each = h.reshape(len(h), heads, out)
+                es, et = (each * source).sum(2), (each * target).sum(2)
+                yield pd.DataFrame({"district_id": batch["district_id"], "building_id": batch["building_id"], "h": list(h), "es": list(es), "et": list(et)})
+
+    return nodes.select("district_id", "building_id", "features").mapInPandas(run, "district_id long, building_id long, h array<double>, es array<double>, et array<double>")
+
+
+def attention_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, blocks: int | None = None) -> DataFrame:
+    """(district_id, building_id, features): heads concatenated or averaged, plus the bias.
+
+    In-edges of a node go to one of ``blocks`` groups by a hash of the node, about
+    EDGE_BLOCK edges each, where all heads' softmax and sums are array operations."""
+    heads, _, out = layer.weight.shape
+    linked = looped(edges, nodes)
+    if blocks is None:
+        blocks = max(1, -(-linked.count() // EDGE_BLOCK))
+    projected = _projected(nodes, layer)
+    src = projected.select("district_id", F.col("building_id").alias("src"), "h", "es")
+    dst = projected.select("district_id", F.col("building_id").alias("dst"), "et")
+    rows = linked.join(dst, ["district_id", "dst"]).join(src, ["district_id", "src"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("district_id", "dst"), F.lit(blocks)))
+    concat, bias = layer.concat, layer.bias
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["district_id", "dst", "src"])
+        d, t = group["district_id"].to_numpy(), group["dst"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+        size = np.diff(np.r_[start, len(d)])
+        e = np.stack(group["es"].to_list()) + np.stack(group["et"].to_list())
+        e = np.where(e > 0, e, SLOPE * e)
+        w = np.exp(e - np.repeat(np.maximum.reduceat(e, start), size, 0))
+        alpha = w / np.repeat(np.add.reduceat(w, start), size, 0)
+        h = np.stack(group["h"].to_list()).reshape(len(d), heads, out)
+        sums = np.add.reduceat(h * alpha[:, :, None], start)
+        values = (sums.reshape(len(start), -1) if concat else sums.mean(1)) + bias
+        return pd.DataFrame({"district_id": d[start], "building_id": t[start], "features": list(values)})
+
+    return rows.groupBy("block").applyInPandas(run, "district_id long, building_id long, features array<double>")
 
 
 def elu(vector: Column) -> Column:
@@ -93,19 +155,23 @@ def elu(vector: Column) -> Column:
 def forward(nodes: DataFrame, edges: DataFrame, net: Network) -> DataFrame:
     """(district_id, building_id, embedding, logits, gat_label): the embedding is the input of the last layer."""
     x = nodes.select("district_id", "building_id", "features")
+    blocks = max(1, -(-looped(edges, nodes).count() // EDGE_BLOCK))
     for layer in net.layers[:-1]:
-        x = attention_layer(x, edges, layer).withColumn("features", elu(F.col("features")))
-    logits = attention_layer(x, edges, net.layers[-1]).withColumnRenamed("features", "logits")
+        # written: the next layer reads its input three times
+        x = cut(attention_layer(x, edges, layer, blocks).withColumn("features", elu(F.col("features"))))
+    logits = attention_layer(x, edges, net.layers[-1], blocks).withColumnRenamed("features", "logits")
     return x.withColumnRenamed("features", "embedding").join(logits, ["district_id", "building_id"]).withColumn("gat_label", G.argmax(F.col("logits")).cast("long"))
 
 
-def forward_numpy(net: Network, x: np.ndarray, edges: np.ndarray) -> list[dict]:
-    """The same for one graph with all that the gradient needs, layer by layer."""
+def forward_numpy(net: Network, x: np.ndarray, edges: np.ndarray, masks: list[np.ndarray] | None = None) -> list[dict]:
+    """The same for one graph with all that the gradient needs, layer by layer;
+    ``masks`` (dropout) are multiplied with each layer's input."""
     edges = edges[edges[:, 0] != edges[:, 1]]
     src, dst = np.concatenate([edges, np.repeat(np.arange(len(x))[:, None], 2, 1)]).T
     steps = []
     for i, layer in enumerate(net.layers):
-        h = np.einsum("ni,hio->hno", x, layer.weight)
+        x = x if masks is None else x * masks[i]
+        h = np.einsum("ni,hio->hno", x, layer.weight, optimize=True)
         raw = np.einsum("hno,ho->hn", h, layer.source)[:, src] + np.einsum("hno,ho->hn", h, layer.target)[:, dst]
         e = np.where(raw > 0, raw, SLOPE * raw)
         top = np.full((len(e), len(x)), -np.inf)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions import geometry as G
+
 
 def confusion_matrix(rows: DataFrame) -> DataFrame:
     """(y, pred, n), dense over all classes seen."""
     counts = rows.groupBy("y", "pred").agg(F.count("*").alias("n"))
     classes = rows.select(F.explode(F.array("y", "pred")).alias("c")).distinct()
-    grid = classes.select(F.col("c").alias("y")).join(F.broadcast(classes.select(F.col("c").alias("pred"))))  # classes x classes
+    grid = classes.select(F.col("c").alias("y")).join(classes.select(F.col("c").alias("pred")))  # the result itself has classes x classes rows
     return grid.join(counts, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -41,3 +43,11 @@ def accuracy_f1(rows: DataFrame) -> DataFrame:
     macro = class_report(rows).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1_macro"))
     acc = rows.agg(F.coalesce(F.avg((F.col("y") == F.col("pred")).cast("double")), F.lit(0.0)).alias("accuracy"))
     return acc.join(F.broadcast(macro)).select("accuracy", "f1_macro", F.col("accuracy").alias("f1_micro"))
+
+
+def metric_bundle(rows: DataFrame, mask: str | None = None) -> DataFrame:
+    """One row: loss (mean cross-entropy of ``logits``), accuracy, macro and micro F1
+    and the number of rows; with ``mask`` only rows where that column is true count."""
+    own = rows if mask is None else rows.where(F.col(mask))
+    loss = own.agg(F.coalesce(F.avg(-F.get(G.log_softmax(F.col("logits")), F.col("y"))), F.lit(0.0)).alias("loss"), F.count("*").alias("n"))
+    return accuracy_f1(own).join(F.broadcast(loss)).select("loss", "accuracy", "f1_macro", "f1_micro", "n")  # one row each

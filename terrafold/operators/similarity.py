@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,10 +60,11 @@ def affinity(
     diagonal = F.col("i") == F.col("j")
     raw = weights[0] * (F.col("cosine") + 1) / 2 + weights[1] * same + weights[2] * closeness
     raw = F.when(diagonal, 0.0).otherwise(raw)
-    own = Window.partitionBy("district_id")
     pairs = pairs.withColumn("raw", raw)
-    lo, hi = F.min("raw").over(own), F.max("raw").over(own)
-    scaled = F.when(hi > lo, (F.col("raw") - lo) / (hi - lo)).otherwise(F.col("raw"))
+    # two numbers a district, summed up before the shuffle: no district's pairs meet in one task
+    ends = pairs.groupBy("district_id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    pairs = pairs.join(ends, "district_id")
+    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("raw"))
     return pairs.withColumn("scaled", scaled).select("district_id", "i", "j", F.when(diagonal, 1.0).otherwise(F.col("scaled")).alias("affinity"))
 
 
@@ -144,5 +143,30 @@ def voted_labels(assigned: DataFrame, cluster: str = "spectral_cluster", label:
     return assigned.join(votes, ["district_id", cluster], "left")
 
 
-Kernel = Callable[[pd.DataFrame], pd.DataFrame]
-cosine = G.cosine
+def principal_plane(nodes: DataFrame, dimensions: int = 2) -> DataFrame:
+    """(district_id, building_id, projection): features on the leading principal
+    directions of all nodes.  Second moments are summed on the cluster; the driver
+    gets one matrix of features x features."""
+    size = nodes.select(F.size("features").alias("n")).first()
+    if size is None:
+        return nodes.select("district_id", "building_id", F.col("features").alias("projection"))
+
+    def moments(batches):
+        total, outer, n = np.zeros(size["n"]), np.zeros((size["n"], size["n"])), 0
+        for batch in batches:
+            x = np.stack(batch["features"].to_list()).astype(float) if len(batch) else np.zeros((0, size["n"]))
+            total, outer, n = total + x.sum(0), outer + x.T @ x, n + len(x)
+        yield pd.DataFrame({"place": np.arange(outer.size + len(total) + 1), "v": np.concatenate([outer.ravel(), total, [n]])})
+
+    sums = nodes.select("features").mapInPandas(moments, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").toPandas()["v"].to_numpy()
+    d, n = size["n"], sums[-1]
+    mean = sums[d * d : -1] / n
+    _, vectors = np.linalg.eigh(sums[: d * d].reshape(d, d) / n - np.outer(mean, mean))
+    axes = vectors[:, ::-1][:, :dimensions]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)  # signs don't depend on the solver
+
+    @F.pandas_udf("array<double>")
+    def project(features: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(features.to_list()).astype(float) - mean) @ axes)) if len(features) else pd.Series([], dtype=object)
+
+    return nodes.select("district_id", "building_id", project("features").alias("projection"))

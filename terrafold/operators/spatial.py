@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.functions import geometry as G
 from terrafold.functions import kernels as K
+from terrafold.plans.lineage import cut
 
 
 def with_tiles(df: DataFrame, tile: float, geometry: str = "geometry") -> DataFrame:
@@ -48,18 +49,45 @@ def clip(geometry: pd.Series, to: pd.Series) -> pd.Series:
 
 @F.pandas_udf(G.GEOMETRY_TYPE)
 def repair(geometry: pd.Series) -> pd.Series:
-    """Repeated points and spikes go; rings without area are dropped."""
+    """Valid geometries of the same area; those without area become null."""
+    return pd.Series([K.repair_geometry(g) if g is not None else None for g in geometry])
 
-    def one(g):
-        parts = []
-        for part in g:
-            rings = [K.repair_ring(K.ring_array(r)) for r in part if len(r)]
-            rings = [r for r in rings if len(r) > 3 and K.polygon_area(r[:-1]) > 0]
-            if rings:
-                parts.append([[{"x": float(x), "y": float(y)} for x, y in r] for r in rings])
-        return parts
 
-    return pd.Series([one(g) if g is not None else None for g in geometry])
+@F.pandas_udf(G.GEOMETRY_TYPE)
+def union_of(geometries: pd.Series) -> pd.Series:
+    return pd.Series([K.dissolve(list(g)) for g in geometries])
+
+
+def faulty(shapes: DataFrame, key: str) -> DataFrame:
+    """(key, error) of geometries that no operator can take."""
+    flat = F.flatten(F.flatten("geometry"))
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    error = (
+        F.when(F.col("geometry").isNull() | (F.size("geometry") == 0), "no geometry")
+        .when(F.exists(F.flatten("geometry"), lambda r: F.size(r) < 4), "a ring has less than four points")
+        .when(~F.forall(flat, lambda p: number(p["x"]) & number(p["y"])), "a coordinate is no number")
+    )
+    return shapes.select(key, error.alias("error")).where(F.col("error").isNotNull())
+
+
+def cluster_geometry(members: DataFrame, cluster: str = "spectral_cluster", fan_in: int = 64) -> DataFrame:
+    """(district_id, cluster, geometry, n): the union of a cluster's geometries.  Unions
+    are taken of at most ``fan_in`` neighbours (by position along the lower left corner)
+    at a time, level by level, so that no task holds a whole cluster's shapes."""
+    key = ["district_id", cluster]
+    box = G.bounds(F.col("geometry"))
+    rows = members.select(*key, "geometry", box["minx"].alias("x"), F.lit(1).cast("long").alias("n"))
+    while True:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("x")) - 1
+        grouped = rows.withColumn("g", F.floor(place / fan_in)).groupBy(*key, "g").agg(F.collect_list("geometry").alias("all"), F.min("x").alias("x"), F.sum("n").alias("n"))
+        rows = cut(grouped.select(*key, union_of("all").alias("geometry"), "x", "n"))
+        if rows.groupBy(*key).count().where("count > 1").limit(1).count() == 0:
+            return rows.select(*key, "geometry", "n")
+
+
+def first_geometry(shapes: DataFrame, key: str = "district_id") -> DataFrame:
+    """(key, geometry) of the first row of each key."""
+    return shapes.groupBy(key).agg(F.min_by("geometry", "row_pos").alias("geometry"))
 
 
 def within_districts(buildings: DataFrame, districts: DataFrame, tile: float = 64.0) -> DataFrame:
@@ -100,9 +128,8 @@ def merge_segments(tables: list[DataFrame], renumber: bool = True) -> DataFrame
 def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
     """``df`` with consecutive numbers in the order of a column: rows are ranged
     into partitions, numbered inside, and shifted by the rows of earlier ones."""
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    # written first: ranges taken twice could differ
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     shift = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))  # a row a partition
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order))

@@ -4,7 +4,8 @@ where the graphs are, and summed; the driver takes Adam steps."""
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,15 @@ class TrainConfig:
     lambda_smooth: float = 0.0
     temperature: float = 1.0
     seed: int = 42
+    dropout: float = 0.0
+    weight_decay: float = 0.0
+    min_delta: float = 0.0
+    fan_out: tuple[int, ...] = (15, 10)
+    node_threshold: int = 2000
+    batch_size: int = 1024
+    graph_batches: int = 1
+    accumulation: int = 1
+    checkpoint_interval: int = 50
 
 
 def flat(net: Network) -> np.ndarray:
@@ -49,14 +59,19 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def loss_and_gradient(net: Network, x: np.ndarray, edges: np.ndarray, distance: np.ndarray, y: np.ndarray, smooth: float = 0.0, temperature: float = 1.0):
-    """(loss, correct, gradient) of one graph: cross-entropy plus ``smooth`` times
-    the smoothness loss, backward through every layer."""
-    steps = forward_numpy(net, x, edges)
+def loss_and_gradient(
+    net: Network, x: np.ndarray, edges: np.ndarray, distance: np.ndarray, y: np.ndarray, smooth: float = 0.0, temperature: float = 1.0, seeds: np.ndarray | None = None, masks: list[np.ndarray] | None = None
+):
+    """(loss, correct, gradient) of one graph: cross-entropy of the ``seeds`` (all
+    nodes) plus ``smooth`` times the smoothness loss of all, backward through every
+    layer; ``masks`` are those of dropout."""
+    steps = forward_numpy(net, x, edges, masks)
     z, n = steps[-1]["z"], len(x)
+    own = np.arange(n) if seeds is None else seeds
     lp = _log_softmax(z)
-    loss = -lp[np.arange(n), y].mean()
-    back = (np.exp(lp) - np.eye(z.shape[1])[y]) / n
+    loss = -lp[own, y[own]].mean()
+    back = np.zeros_like(z)
+    back[own] = (np.exp(lp[own]) - np.eye(z.shape[1])[y[own]]) / len(own)
     if smooth and len(edges):
         lt = _log_softmax(z / temperature)
         s, d = edges.T
@@ -88,14 +103,42 @@ def loss_and_gradient(net: Network, x: np.ndarray, edges: np.ndarray, distance:
             np.add.at(et, dst, ge)
             gh[k] += es[:, None] * layer.source[k] + et[:, None] * layer.target[k]
             gs[k], gt[k] = es @ h[k], et @ h[k]
-        gw = np.einsum("ni,hno->hio", st["x"], gh)
+        gw = np.einsum("ni,hno->hio", st["x"], gh, optimize=True)
         grads.append((gw, gs, gt, back.sum(0)))
-        back = np.einsum("hno,hio->ni", gh, layer.weight)
-    return loss, int((lp.argmax(1) == y).sum()), np.concatenate([p.ravel() for layer in reversed(grads) for p in layer])
-
-
-def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig) -> DataFrame:
-    """(district_id, n, loss, correct, gradient) of each graph."""
+        back = np.einsum("hno,hio->ni", gh, layer.weight, optimize=True)
+        if masks is not None:
+            back = back * masks[i]
+    return loss, int((lp[own].argmax(1) == y[own]).sum()), np.concatenate([p.ravel() for layer in reversed(grads) for p in layer])
+
+
+def dropped(net: Network, n: int, rate: float, rng: np.random.Generator) -> list[np.ndarray] | None:
+    """Dropout masks of every layer's input, scaled so that means stay."""
+    if not rate:
+        return None
+    return [(rng.random((n, layer.weight.shape[1])) >= rate) / (1 - rate) for layer in net.layers]
+
+
+def neighbourhood(seeds: np.ndarray, edges: np.ndarray, fan_out: tuple[int, ...], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, places of edges) of a sampled batch: each hop takes at most so many
+    in-edges of each node that the hop before reached."""
+    order = rng.permutation(len(edges))
+    order = order[np.argsort(edges[order, 1], kind="stable")]  # by target, shuffled within
+    target = edges[order, 1]
+    start = np.searchsorted(target, target)
+    rank = np.arange(len(order)) - start
+    frontier, taken = np.unique(seeds), []
+    for limit in fan_out:
+        pick = order[np.isin(target, frontier) & (rank < limit)]
+        taken.append(pick)
+        frontier = np.unique(edges[pick, 0])
+    places = np.unique(np.concatenate(taken)) if taken else np.zeros(0, int)
+    return np.unique(np.concatenate([seeds, edges[places].ravel()])), places
+
+
+def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig, number: int = 0, training: bool = True) -> DataFrame:
+    """(district_id, n, loss, correct, gradient) of each graph.  In training, graphs
+    over ``node_threshold`` nodes are taken in sampled batches of ``batch_size`` seeds:
+    the loss is that of the seeds, the smoothness that of all nodes of a batch."""
 
     def run(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = rows["building_id"].to_numpy()
@@ -103,21 +146,67 @@ def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig)
         rows, ids = rows.iloc[order], ids[order]
         x, y = np.stack(rows["features"].to_list()).astype(float), rows["y"].to_numpy()
         e = np.stack([np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])], 1) if len(links) else np.zeros((0, 2), int)
-        loss, correct, grad = loss_and_gradient(net, x, e, links["distance"].to_numpy(), y, config.lambda_smooth, config.temperature)
-        if not np.isfinite(loss):
-            raise ValueError(f"district {key[0]}: the loss is not finite")
-        return pd.DataFrame({"district_id": [key[0]], "n": [len(x)], "loss": [loss], "correct": [correct], "gradient": [grad.tolist()]})
+        distance = links["distance"].to_numpy()
+        rng = np.random.default_rng((config.seed, number, int(key[0]) % 2**32))
+        out = []
+
+        def one(x, e, distance, y, seeds):
+            masks = dropped(net, len(x), config.dropout, rng) if training else None
+            loss, correct, grad = loss_and_gradient(net, x, e, distance, y, config.lambda_smooth, config.temperature, seeds, masks)
+            if not np.isfinite(loss):
+                raise ValueError(f"district {key[0]}: the loss is not finite")
+            out.append((key[0], len(x) if seeds is None else len(seeds), loss, correct, grad))
+
+        if training and len(x) > config.node_threshold:
+            # the order of edges doesn't depend on how they arrived
+            known = np.lexsort((distance, e[:, 1], e[:, 0]))
+            e, distance = e[known], distance[known]
+            dealt = rng.permutation(len(x))
+            for at in range(0, len(x), config.batch_size):
+                seeds = np.sort(dealt[at : at + config.batch_size])
+                own, places = neighbourhood(seeds, e, config.fan_out, rng)
+                one(x[own], np.searchsorted(own, e[places]), distance[places], y[own], np.searchsorted(own, seeds))
+            total = sum(n for _, n, *_ in out)
+            mean = [sum(row[1] * row[k] for row in out) / total for k in (2, 4)]
+            out[:] = [(key[0], total, mean[0], sum(row[3] for row in out), mean[1])]
+        else:
+            one(x, e, distance, y, None)
+        return pd.DataFrame([(d, n, loss, correct, grad.tolist()) for d, n, loss, correct, grad in out], columns=["district_id", "n", "loss", "correct", "gradient"])
 
     return nodes.groupBy("district_id").cogroup(edges.groupBy("district_id")).applyInPandas(run, "district_id long, n long, loss double, correct long, gradient array<double>")
 
 
+#: Rows of the model's size that the driver gets from an epoch.
+SUMS = 8
+
+
 def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray]:
-    """(loss, accuracy, gradient) over all graphs, weighted by their nodes; sums
-    are taken on the cluster, and one row of the model's size comes back."""
-    each = graphs.select("n", "loss", "correct", F.posexplode("gradient").alias("place", "g"))
-    grad = each.groupBy("place").agg((F.sum(F.col("g") * F.col("n")) / F.sum("n")).alias("g"))
-    total = graphs.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), (F.sum("correct") / F.sum("n")).alias("accuracy")).first()
-    return total["loss"], total["accuracy"], np.array([r["g"] for r in sorted(grad.collect())])
+    """(loss, accuracy, gradient) over all graphs, weighted by their nodes, in one
+    action: each task adds its graphs up, SUMS tasks add these up, the driver the rest."""
+    schema = "n long, loss double, correct long, gradient array<double>"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, loss, correct, gradient = 0, 0.0, 0, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = np.asarray(row.gradient, float) * row.n
+                n, loss, correct = n + int(row.n), loss + row.loss * row.n, correct + int(row.correct)
+                gradient = own if gradient is None else gradient + own
+        if n:
+            yield pd.DataFrame({"n": [n], "loss": [loss / n], "correct": [correct], "gradient": [gradient / n]})
+
+    partial = graphs.select("n", "loss", "correct", "gradient").mapInPandas(add, schema)
+    rows = partial.repartition(SUMS).mapInPandas(add, schema).collect()
+    n = sum(r["n"] for r in rows)
+    if not n:
+        raise ValueError("there are no graphs to train on")
+    gradient = sum(np.array(r["gradient"]) * (r["n"] / n) for r in rows)
+    return sum(r["loss"] * r["n"] for r in rows) / n, sum(r["correct"] for r in rows) / n, gradient
+
+
+def evaluate(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig) -> tuple[float, float]:
+    """(loss, accuracy) of whole graphs, without dropout."""
+    return summed(epoch(nodes, edges, net, config, training=False))[:2]
 
 
 class EarlyStopping:
@@ -140,30 +229,61 @@ class EarlyStopping:
         return self.bad >= self.patience
 
 
-def train(nodes: DataFrame, edges: DataFrame, config: TrainConfig, val: tuple[DataFrame, DataFrame] | None = None, start: dict | None = None) -> dict:
+def _stepped(state: dict, gradient: np.ndarray, config: TrainConfig) -> None:
+    """One Adam step, with weight decay and a clipped norm."""
+    gradient = gradient + config.weight_decay * state["params"]
+    gradient = gradient * min(1.0, config.clip / (np.linalg.norm(gradient) + 1e-12))
+    state["steps"] += 1
+    at = state["steps"]
+    state["m"] = 0.9 * state["m"] + 0.1 * gradient
+    state["v"] = 0.999 * state["v"] + 0.001 * gradient**2
+    state["params"] = state["params"] - state["rate"] * (state["m"] / (1 - 0.9**at)) / (np.sqrt(state["v"] / (1 - 0.999**at)) + 1e-8)
+
+
+def train(
+    nodes: DataFrame,
+    edges: DataFrame,
+    config: TrainConfig,
+    val: tuple[DataFrame, DataFrame] | None = None,
+    start: dict | None = None,
+    saved: Callable[[dict, bool], None] | None = None,
+) -> dict:
     """Trains and returns a state: parameters, Adam moments, epoch, history.  A
-    state given as ``start`` is continued at its next epoch."""
+    state given as ``start`` is continued at its next epoch.  An epoch goes through
+    ``graph_batches`` groups of districts; every ``accumulation`` groups their mean
+    gradient makes a step.  ``saved`` is called with the state and whether it is the best
+    so far, each time it is and every ``checkpoint_interval`` epochs."""
     inputs = len(nodes.select("features").first()["features"])
     net = Network.random(inputs, config.hidden, config.classes, config.layers, config.heads, config.seed)
     state = start or {"params": flat(net), "m": 0.0, "v": 0.0, "epoch": 0, "rate": config.rate, "history": [], "best": None, "best_params": None}
-    stop, stale = EarlyStopping(config.patience), 0
+    state.setdefault("steps", state["epoch"])
+    stop, stale = EarlyStopping(config.patience, gain=config.min_delta), 0
     stop.best = state["best"]
+    of_batch = lambda df, b: df if config.graph_batches == 1 else df.where(F.pmod(F.xxhash64("district_id"), F.lit(config.graph_batches)) == b)
+    batches = [(of_batch(nodes, b), of_batch(edges, b)) for b in range(config.graph_batches)]
+    batches = [b for b in batches if config.graph_batches == 1 or b[0].limit(1).count()]
     for at in range(state["epoch"] + 1, config.epochs + 1):
-        loss, accuracy, grad = summed(epoch(nodes, edges, unflat(net, state["params"]), config))
-        norm = np.linalg.norm(grad)
-        grad = grad * min(1.0, config.clip / (norm + 1e-12))
-        state["m"] = 0.9 * state["m"] + 0.1 * grad
-        state["v"] = 0.999 * state["v"] + 0.001 * grad**2
-        state["params"] = state["params"] - state["rate"] * (state["m"] / (1 - 0.9**at)) / (np.sqrt(state["v"] / (1 - 0.999**at)) + 1e-8)
+        seen, kept = [], []
+        for k, (own, links) in enumerate(batches):
+            loss, accuracy, gradient = summed(epoch(own, links, unflat(net, state["params"]), config, at))
+            seen.append((loss, accuracy))
+            kept.append(gradient)
+            if len(kept) == config.accumulation or k == len(batches) - 1:
+                _stepped(state, sum(kept) / len(kept), config)
+                kept = []
+        loss, accuracy = np.mean(seen, axis=0).tolist()
         state["epoch"] = at
-        checked, checked_accuracy = (loss, accuracy) if val is None else summed(epoch(*val, unflat(net, state["params"]), config))[:2]
+        checked, checked_accuracy = (loss, accuracy) if val is None else evaluate(*val, unflat(net, state["params"]), config)
         state["history"].append({"epoch": at, "train_loss": loss, "train_accuracy": accuracy, "val_loss": checked, "val_accuracy": checked_accuracy, "lr": state["rate"]})
-        if stop.is_better(checked):
+        better = stop.is_better(checked)
+        if better:
             state["best"], state["best_params"], stale = checked, state["params"], 0
         else:
             stale += 1
             if stale >= max(1, config.patience // 2):
                 state["rate"], stale = state["rate"] / 2, 0
+        if saved is not None and (better or at % config.checkpoint_interval == 0):
+            saved(state, better)
         if stop(checked):
             break
     state["network"] = unflat(net, state["best_params"])
@@ -176,16 +296,32 @@ def history_rows(spark: SparkSession, state: dict) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, split string, metric string, value double")
 
 
+def write_history(spark: SparkSession, state: dict, path: str) -> None:
+    """The history as JSON lines, an epoch each."""
+    spark.createDataFrame([(json.dumps(h),) for h in state["history"]], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def save_checkpoint(spark: SparkSession, state: dict, scaler: DataFrame, config: TrainConfig, path: str) -> None:
     """Parameters, moments, settings and the scaler under one path."""
-    kept = {k: v for k, v in state.items() if k in ("epoch", "rate", "best", "history")}
-    arrays = [(k, np.broadcast_to(state[k], state["params"].shape).tolist()) for k in ("params", "m", "v", "best_params")]
+    kept = {k: v for k, v in state.items() if k in ("epoch", "steps", "rate", "best", "history")}
+    arrays = [(k, np.broadcast_to(state[k], state["params"].shape).tolist()) for k in ("params", "m", "v", "best_params") if state.get(k) is not None]
     spark.createDataFrame(arrays, "name string, data array<double>").write.mode("overwrite").parquet(f"{path}/arrays")
     spark.createDataFrame([(json.dumps(kept), json.dumps(vars(config)))], "state string, config string").write.mode("overwrite").parquet(f"{path}/state")
     scaler.write.mode("overwrite").parquet(f"{path}/scaler")
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[dict, TrainConfig, DataFrame]:
+    """A saved state; what an older one lacks has its default."""
     row = spark.read.parquet(f"{path}/state").first()
     arrays = {r["name"]: np.array(r["data"]) for r in spark.read.parquet(f"{path}/arrays").collect()}
-    return json.loads(row["state"]) | arrays, TrainConfig(**json.loads(row["config"])), spark.read.parquet(f"{path}/scaler")
+    absent = {"m": 0.0, "v": 0.0, "epoch": 0, "rate": TrainConfig().rate, "history": [], "best": None, "best_params": arrays["params"]}
+    known = {f.name for f in fields(TrainConfig)}
+    settings = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(row["config"]).items() if k in known}
+    return absent | json.loads(row["state"]) | arrays, TrainConfig(**settings), spark.read.parquet(f"{path}/scaler")
+
+
+def saved_network(spark: SparkSession, path: str, inputs: int) -> tuple[Network, DataFrame]:
+    """The best network of a checkpoint, for so many features, and its scaler."""
+    state, config, scaler = load_checkpoint(spark, path)
+    shape = Network.random(inputs, config.hidden, config.classes, config.layers, config.heads)
+    return unflat(shape, np.asarray(state["best_params"])), scaler

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to ``spark.checkpoint.dir`` (a temporary folder only where
-    that is unset) and read it back, so that a lost executor costs no recomputing
-    of earlier steps."""
+    """Write ``df`` to ``spark.checkpoint.dir`` (a temporary folder only on one
+    machine, where that is unset) and read it back, so that a lost executor costs no
+    recomputing of earlier steps."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/terrafold-checkpoints"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"{tempfile.gettempdir()}/terrafold-checkpoints"
     path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

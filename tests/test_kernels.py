@@ -62,3 +62,67 @@ def test_lines():
     assert K.thin(np.ones((3, 9), bool)).sum() < 12
     merged = K.merge_lines([np.array([(0, 0), (0, 1)]), np.array([(0, 3), (0, 1)])])
     assert [x.tolist() for x in merged] == [[[0, 0], [0, 1], [0, 3]]] or [x[::-1].tolist() for x in merged] == [[[0, 0], [0, 1], [0, 3]]]
+
+
+def shape(*rings):
+    return [[[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]] for r in rings]]
+
+
+def area_of(geometry):
+    return sum(abs(K.signed_area(K.ring_array(r))) * (1 if k == 0 else -1) for part in geometry or [] for k, r in enumerate(part))
+
+
+def cells_in(geometry, n):
+    centres = np.stack(np.meshgrid(np.arange(n) + 0.5, np.arange(n) + 0.5), -1).reshape(-1, 2)
+    return K.inside(centres, K.segments_of(geometry))
+
+
+U = shape([(0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10)])
+RING = shape([(1, 1), (9, 1), (9, 9), (1, 9)], [(3, 3), (7, 3), (7, 7), (3, 7)])
+
+
+def test_clip_to_concave_holed_and_multi_part():
+    box = shape([(0, 4), (10, 4), (10, 10), (0, 10)])
+    got = K.clip_geometry(box, U)
+    assert len(got) == 2 and area_of(got) == 36
+    assert area_of(K.clip_geometry(box, RING)) == area_of(K.clip_geometry(RING, box)) == 40 - 12
+    assert area_of(K.clip_geometry(RING, U)) == (cells_in(RING, 10) & cells_in(U, 10)).sum()
+    two = shape([(0, 8), (2, 8), (2, 9), (0, 9)]) + shape([(20, 20), (21, 20), (21, 21), (20, 21)])
+    assert area_of(K.clip_geometry(two, U)) == 2 and K.clip_geometry(two[1:], U) is None
+    assert len(K.clip_geometry(RING, shape([(0, 0), (10, 0), (10, 10), (0, 10)]))[0]) == 2  # the hole stays
+
+
+def test_distance_looks_at_every_part():
+    far_then_inside = shape([(50, 50), (51, 50), (51, 51), (50, 51)]) + shape([(1, 1), (2, 1), (2, 2), (1, 2)])
+    assert K.polygon_distance(far_then_inside, U) == 0 == K.polygon_distance(U, far_then_inside)
+    assert K.polygon_distance(shape([(4, 5), (6, 5), (6, 6), (4, 6)]), U) == 1
+    assert K.polygon_distance(shape([(4, 4), (6, 4), (6, 6), (4, 6)]), RING) == 1  # in its hole
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=40, deadline=None)
+def test_overlays_like_cells(seed):
+    rng = np.random.default_rng(seed)
+
+    def stairs():
+        # a region under random steps: concave, with many edges on common lines
+        h = rng.integers(1, 9, 8)
+        ring = [(0, 0), (8, 0)]
+        for i in range(7, -1, -1):
+            ring += [(i + 1, h[i]), (i, h[i])]
+        return shape([p for k, p in enumerate(ring) if p != ring[k - 1]])
+
+    a, b = moved(stairs(), 0, 0), moved(stairs(), int(rng.integers(0, 5)), int(rng.integers(0, 5)))
+    x, y = cells_in(a, 14), cells_in(b, 14)
+    assert abs(area_of(K.clip_geometry(a, b)) - (x & y).sum()) < 1e-6
+    assert abs(area_of(K.dissolve([a, b])) - (x | y).sum()) < 1e-6
+
+
+def test_repair_and_union():
+    bow = shape([(0, 0), (4, 4), (4, 0), (0, 4)])
+    fixed = K.repair_geometry(bow)
+    assert len(fixed) == 2 and area_of(fixed) == 8
+    spike = shape([(0, 0), (4, 0), (4, 0), (4, 4), (4, 9), (4, 4), (0, 4)])
+    assert area_of(K.repair_geometry(spike)) == 16 and K.repair_geometry(shape([(0, 0), (1, 1)])) is None
+    four = [moved(SQUARE, 4 * i, 4 * j) for i in range(2) for j in range(2)]
+    assert [len(r) for part in K.dissolve(four) for r in part] == [5] and area_of(K.dissolve(four)) == 64
