@@ -284,21 +284,49 @@ def grow(labels: np.ndarray, mask: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def components4(labels: np.ndarray) -> np.ndarray:
-    """Number (from 1) of the 4-connected component of equal positive labels, row by row."""
-    out, found = np.zeros(labels.shape, np.int64), 0
-    for start in zip(*np.nonzero(labels > 0), strict=True):
-        if out[start]:
-            continue
-        found += 1
-        todo = [start]
-        out[start] = found
-        while todo:
-            r, c = todo.pop()
-            for s in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-                if 0 <= s[0] < labels.shape[0] and 0 <= s[1] < labels.shape[1] and not out[s] and labels[s] == labels[start]:
-                    out[s] = found
-                    todo.append(s)
-    return out
+    """Number (from 1) of the 4-connected component of equal positive labels, row by
+    row: runs of a row are joined with those that they touch in the row above."""
+    height, width = labels.shape
+    out = np.zeros(labels.shape, np.int64)
+    if not (labels > 0).any():
+        return out
+    flat = labels.ravel()
+    column = np.arange(flat.size) % width
+    new = np.ones(flat.size, bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (column[1:] == 0)
+    run = np.cumsum(new) - 1
+    root = np.arange(run[-1] + 1)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above, below = run[: flat.size - width], run[width:]
+    touch = (flat[width:] == flat[: flat.size - width]) & (flat[width:] > 0)
+    for a, b in np.unique(np.stack([above[touch], below[touch]], 1), axis=0).tolist():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    own = np.array([find(i) for i in range(len(root))])[run]
+    own[flat <= 0] = -1
+    # numbered by first cell, which is the root's
+    kept, number = np.unique(own, return_inverse=True)
+    return (number + (kept[0] >= 0)).reshape(labels.shape)
+
+
+def components_at(parts: np.ndarray) -> list[tuple[int, tuple[slice, slice]]]:
+    """(number, place) of each component: the smallest window that holds it, all in one pass."""
+    rows, cols = np.nonzero(parts)
+    if not len(rows):
+        return []
+    number = parts[rows, cols]
+    n = int(number.max()) + 1
+    lo, hi = np.full((2, n), max(parts.shape)), np.full((2, n), -1)
+    for k, place in enumerate((rows, cols)):
+        np.minimum.at(lo[k], number, place)
+        np.maximum.at(hi[k], number, place)
+    return [(k, (slice(lo[0, k], hi[0, k] + 1), slice(lo[1, k], hi[1, k] + 1))) for k in range(1, n) if hi[0, k] >= 0]
 
 
 def crop(shape: np.ndarray) -> tuple[slice, slice]:
@@ -309,17 +337,8 @@ def crop(shape: np.ndarray) -> tuple[slice, slice]:
 
 def filled(shape: np.ndarray) -> np.ndarray:
     """A component with its holes: all that the border can't reach by 4-steps outside it."""
-    free = np.pad(~shape, 1, constant_values=True)
-    out = np.zeros_like(free)
-    todo = [(0, 0)]
-    out[0, 0] = True
-    while todo:
-        r, c = todo.pop()
-        for s in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-            if 0 <= s[0] < free.shape[0] and 0 <= s[1] < free.shape[1] and free[s] and not out[s]:
-                out[s] = True
-                todo.append(s)
-    return ~out[1:-1, 1:-1]
+    outside = components4(np.pad(~shape, 1, constant_values=True).astype(np.int64))
+    return outside[1:-1, 1:-1] != outside[0, 0]
 
 
 def trace_exterior(cells: np.ndarray) -> list[tuple[int, int]]:
@@ -398,17 +417,22 @@ def trace_lines(mask: np.ndarray) -> list[np.ndarray]:
 
 
 def merge_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Lines joined at end points where exactly two of them meet."""
+    """Lines joined at end points where exactly two of them meet, each end looked at once."""
     lines = [np.asarray(x) for x in lines]
-    while True:
-        ends: dict[tuple, list[tuple[int, int]]] = {}
-        for i, x in enumerate(lines):
-            for side in (0, -1):
-                ends.setdefault(tuple(x[side]), []).append((i, side))
-        pair = next((v for v in ends.values() if len(v) == 2 and v[0][0] != v[1][0]), None)
-        if pair is None:
-            return lines
-        (i, a), (j, b) = pair
-        first = lines[i] if a == -1 else lines[i][::-1]
-        second = lines[j] if b == 0 else lines[j][::-1]
-        lines = [x for k, x in enumerate(lines) if k not in (i, j)] + [np.concatenate([first, second[1:]])]
+    ends: dict[tuple, list[int]] = {}
+    for i, x in enumerate(lines):
+        for side in (0, -1):
+            ends.setdefault(tuple(x[side]), []).append(i)
+    left, out = dict(enumerate(lines)), []
+    while left:
+        i, line = next(iter(left.items()))
+        del left[i]
+        for side in (-1, 0):
+            while len(at := ends[tuple(line[side])]) == 2 and (j := next((k for k in at if k in left), None)) is not None:
+                other = left.pop(j)
+                if side == -1:
+                    line = np.concatenate([line, (other if tuple(other[0]) == tuple(line[-1]) else other[::-1])[1:]])
+                else:
+                    line = np.concatenate([(other if tuple(other[-1]) == tuple(line[0]) else other[::-1])[:-1], line])
+        out.append(line)
+    return out

@@ -214,26 +214,47 @@ def region_polygons(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
         labels, _, r0, c0 = _dense(group)
         parts = K.components4(labels)
         rows = []
-        for k in range(1, parts.max() + 1):
-            own = parts == k
-            ring = np.array(K.trace_exterior(own), float) + [c0, r0]
+        for k, part in K.components_at(parts):
+            own = parts[part] == k
+            ring = np.array(K.trace_exterior(own), float) + [c0 + part[1].start, r0 + part[0].start]
             if tolerance:
                 ring = K.simplify(ring, tolerance)
-            rows.append((group["district_id"].iloc[0], int(labels[own][0]), [[[{"x": x, "y": y} for x, y in ring.tolist()]]]))
+            rows.append((group["district_id"].iloc[0], int(labels[part][own][0]), [[[{"x": x, "y": y} for x, y in ring.tolist()]]]))
         return pd.DataFrame(rows, columns=["district_id", "building_id", "geometry"])
 
     out = cells.where(F.col("label") > 0).groupBy("district_id").applyInPandas(run, f"district_id long, building_id long, geometry {G.GEOMETRY}")
     return out.withColumn("area", G.area(F.col("geometry")))
 
 
+def segment_polygons(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(district_id, label, geometry, area): a geometry a label, of the (disjoint)
+    exteriors of all its components in the order of their corners."""
+    each = region_polygons(cells, tolerance)
+    parts = F.flatten(F.array_sort(F.collect_list("geometry")))
+    return each.groupBy("district_id", F.col("building_id").alias("label")).agg(parts.alias("geometry")).withColumn("area", G.area(F.col("geometry")))
+
+
+def placed(polygons: DataFrame, grids: DataFrame) -> DataFrame:
+    """Geometries in cell corners as places of their district's grid."""
+    g = F.col("grid")
+    point = lambda p: G.point(g["x0"] + p["x"] * g["xres"], g["y1"] - p["y"] * g["yres"])
+    moved = F.transform("geometry", lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+    return polygons.join(grids.select("district_id", "grid"), "district_id").withColumn("geometry", moved).withColumn("area", G.area(F.col("geometry"))).drop("grid")
+
+
+def label_colours(labels: DataFrame, seed: int = 42) -> DataFrame:
+    """(label, red, green, blue): the same colour for a label in every run; 0 and below are grey."""
+    part = lambda k: F.when(F.col("label") > 0, F.pmod(F.xxhash64("label", F.lit(seed + k)), F.lit(206)) + 50).otherwise(200).cast("int")
+    return labels.select("label").distinct().select("label", part(0).alias("red"), part(1).alias("green"), part(2).alias("blue"))
+
+
 def enclosures(cells: DataFrame) -> DataFrame:
     """(district_id, src, dst): regions whose cells lie within another's filled exterior."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         labels, _, _, _ = _dense(group)
         parts, out = K.components4(labels), set()
-        for k in range(1, parts.max() + 1):
-            part = K.crop(parts == k)
+        for k, part in K.components_at(parts):
             own = parts[part] == k
             holes = K.filled(own) & ~own
             if holes.any():

@@ -42,9 +42,43 @@ def export_cells(cells: DataFrame, path: str) -> None:
 
 
 def export_matrix(edges: DataFrame, path: str) -> None:
-    """One district's edges as a square CSV matrix, 0 where there is no edge."""
-    wide = edges.groupBy("src").pivot("dst").agg(F.first("distance")).na.fill(0.0)
-    wide.orderBy("src").write.mode("overwrite").option("header", True).csv(path)
+    """One district's edges as a square CSV matrix, 0 where there is no edge: a line
+    a building, ordered, of any number of buildings."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    names = ids.agg(F.array_sort(F.collect_list("id")).alias("ids"))  # one district's ids
+    rows = edges.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "distance"))).alias("to"))
+    cell = lambda i: F.coalesce(F.element_at("to", i), F.lit(0.0)).cast("string")
+    own = ids.join(rows, F.col("id") == F.col("src"), "left").join(F.broadcast(names))
+    line = F.concat_ws(",", F.col("id").cast("string"), F.when(F.col("to").isNull(), F.transform("ids", lambda i: F.lit("0.0"))).otherwise(F.transform("ids", cell)))
+    head = names.select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("src,"), F.array_join(F.col("ids").cast("array<string>"), ",")).alias("value"))
+    own.select("id", line.alias("value")).unionByName(head).orderBy(F.asc_nulls_first("id")).select("value").write.mode("overwrite").text(path)
+
+
+def missing(wanted: DataFrame, found: DataFrame, key: str = "district_id") -> DataFrame:
+    """(key) of what was asked for and isn't there."""
+    return wanted.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
+
+
+def export_raster(cells: DataFrame, grids: DataFrame, path: str, crs: str = "EPSG:32650", nodata: int = -999) -> None:
+    """Raster cells by district, and beside them a row a district with the transform
+    from cells to places, the size, the reference system and the value of no data."""
+    write_upsert(cells, f"{path}/cells")
+    g = F.col("grid")
+    transform = F.array(g["xres"], F.lit(0.0), g["x0"], F.lit(0.0), -g["yres"], g["y1"])
+    about = grids.select("district_id", transform.alias("transform"), g["width"].alias("width"), g["height"].alias("height"), F.lit(crs).alias("crs"), F.lit(nodata).alias("nodata"))
+    write_upsert(about, f"{path}/about")
+
+
+def prediction_record(nodes: DataFrame, forward: DataFrame, labels: DataFrame) -> DataFrame:
+    """(district_id, building_id, original_label, embedding, logits, gat_label,
+    spectral_cluster, final_label, error): all that inference knows of a node."""
+    key = ["district_id", "building_id"]
+    original = F.col("label").cast("long") if "label" in nodes.columns else F.lit(None).cast("long")
+    return (
+        nodes.select(*key, original.alias("original_label"))
+        .join(forward.select(*key, "embedding", "logits"), key, "left")
+        .join(labels.select(*key, "gat_label", "spectral_cluster", "final_label", "error"), key, "left")
+    )
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:

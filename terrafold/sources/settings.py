@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import os
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 from terrafold.operators.training import TrainConfig
@@ -32,11 +34,33 @@ class ExtractConfig:
         return self
 
 
+#: Other names of settings in YAML files, and settings of the machine that have no meaning on a cluster.
+NAMES = {
+    "hidden_dim": "hidden", "num_heads": "heads", "num_layers": "layers", "num_classes": "classes", "lr": "rate", "smooth_temperature": "temperature",
+    "num_neighbors": "fan_out", "gradient_accumulation_steps": "accumulation",
+}
+UNUSED = {"num_workers", "use_amp", "device", "enable_tensorboard", "log_interval", "train_ratio", "district_ids", "negative_slope", "add_self_loops"}
+
+
 def train_config(path: str, **overrides) -> TrainConfig:
-    """Settings of a YAML file (groups are flattened; unknown keys are ignored)."""
+    """Settings of a YAML file (groups are flattened; unknown keys are reported)."""
     import yaml
 
     raw = yaml.safe_load(Path(path).read_text()) or {}
     flat = {k: v for group in raw.values() if isinstance(group, dict) for k, v in group.items()} | {k: v for k, v in raw.items() if not isinstance(v, dict)}
     known = {f.name for f in fields(TrainConfig)}
+    flat = {NAMES.get(k, k): tuple(v) if isinstance(v, list) else v for k, v in flat.items()}
+    if unknown := sorted(set(flat) - known - UNUSED):
+        logging.getLogger("terrafold").warning("settings without a meaning here: %s", ", ".join(unknown))
     return replace(TrainConfig(**{k: v for k, v in flat.items() if k in known}), **overrides)
+
+
+def backup(config: object, path: str) -> bool:
+    """A copy of the settings as JSON; a copy that can't be written only warns."""
+    try:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(asdict(config), indent=1, default=str))
+    except OSError as error:
+        logging.getLogger("terrafold").warning("no copy of the settings: %s", error)
+        return False
+    return True

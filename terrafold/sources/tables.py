@@ -47,6 +47,37 @@ def load_shapes(df: DataFrame, id_name: str, crs: str | None = None) -> DataFram
     return out.where(F.size("geometry") > 0).withColumn("box", G.bounds(F.col("geometry")))
 
 
+def crs_of(spark: SparkSession, path: str) -> str | None:
+    """The reference system that the .prj file beside a shapefile names, None
+    without one: EPSG:4326 for plain WGS 84, EPSG:32650 for its UTM zone 50 north."""
+    found = spark.read.text(path.removesuffix(".shp") + ".prj", wholetext=True).first() if _exists(spark, path.removesuffix(".shp") + ".prj") else None
+    if found is None:
+        return None
+    text = found["value"].upper().replace("_", " ")
+    if "UTM ZONE 50N" in text:
+        return "EPSG:32650"
+    if text.lstrip().startswith("GEOGCS") and "WGS" in text and "84" in text:
+        return "EPSG:4326"
+    raise ValueError(f"can't project from {found['value'][:60]!r}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def required(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df``, where it has these columns."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"the table lacks {', '.join(missing)}")
+    return df
+
+
+def row_at(df: DataFrame, position: int) -> DataFrame:
+    """The row of a position (from 0)."""
+    return df.where(F.col("row_pos") == position)
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
