@@ -28,7 +28,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import releasing
+from .common import cut, releasing
 
 #: Bits of an id or a rank; the mark that frames a piece is also the rank of pairs without one.
 BITS, NONE = 18, (1 << 18) - 1
@@ -101,11 +101,18 @@ class ByteBpe:
         if max(ranks.values()) >= NONE:
             raise ValueError(f"ids need at most {BITS} bits")
         self.pattern, self.memo_pieces, self._ranks = java_pattern(pattern), memo_pieces, ranks
+        self._table: Column | None = None
 
     # -- literals ---------------------------------------------------------
     def rank_map(self) -> Column:
         """The literal rank map: struct of ``shift``, ``place``, the ids of the ``byte``
         values and the ``character`` of each id."""
+        if self._table is None:
+            self._table = self._rank_table()
+        return self._table
+
+    @releasing
+    def _rank_table(self) -> Column:
         shift, place = hash_table(pair_ranks(self._ranks))
         return F.struct(
             _literal(shift, "array<bigint>").alias("shift"),
@@ -175,7 +182,8 @@ class ByteBpe:
             .limit(self.memo_pieces)
             .select("piece")
         )
-        spread = top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+        # written first, so that the plan with the literals is small and planned once
+        spread = cut(top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), tidy=True)
         return spread.select("piece", _let(self.rank_map(), lambda table: self._characters(self.fold(F.col("piece"), table), table)).alias("ids"))
 
     def _characters(self, ids: Column, table: Column) -> Column:
@@ -186,10 +194,10 @@ class ByteBpe:
         """A literal array of strings, each the pieces of a list and their ids."""
         lists = [""] * MEMO_LISTS
         one = F.concat(F.lit(PIECE), "piece", F.lit(IDS), "ids")
-        told = self.frequent(df, text).groupBy(_list_of(F.col("piece")).alias("list")).agg(F.array_join(F.collect_list(one), "").alias("known"))
+        told = self.frequent(df, text).select(_list_of(F.col("piece")).alias("list"), one.alias("known"))
         for batch in told.toArrow().to_batches(max_chunksize=4096):
             for at, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lists[at] = known
+                lists[at] += known
         return _literal(lists, "array<string>")
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
