@@ -59,14 +59,19 @@ def releasing(work: Callable) -> Callable:
     @functools.wraps(work)
     def run(*args, **named):
         out = work(*args, **named)
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        release()
         return out
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the decimal doc_id (null: of the empty text), modulo ``folds``."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -171,6 +176,7 @@ def blocks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[
                 number, ids, texts, total = number + 1, [], [], 0
     if ids:
         yield f"{part}-{number}", ids, texts
+    release()
 
 
 #: From batches to (part of a batch, score of each row).
@@ -183,6 +189,7 @@ def scored(documents: DataFrame, scores: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in scores(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.float64())], names=["doc_id", "score"])
+        release()  # the worker waits for its next task with what this one took
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -193,5 +200,6 @@ def filtered(documents: DataFrame, scores: Scorer, good: Callable[[float], bool]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in scores(batches):
             yield part.filter(pa.array([good(s) for s in own], pa.bool_()))
+        release()
 
     return documents.mapInArrow(run, documents.schema)

@@ -32,7 +32,9 @@ TERMS, SHAPES = 1 << 14, 1 << 8
 SAMPLE, RANK, NEIGHBOURS = 2500, 64, 15
 #: Weight of the family of shape terms against that of words.
 SHAPE_WEIGHT = 2.0
-ROWS = 1024  # of a block of cosines
+ROWS = 256  # of a block of cosines
+#: Words that a task keeps the terms of.
+CACHED = 100_000
 
 
 
@@ -40,7 +42,7 @@ class WordCache(dict):
     """word -> (word term, shape term), of frequent words; starts anew when it grows large."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 500_000:
+        if len(self) > CACHED:
             self.clear()
         got = self[word] = (hash64(word.lower().strip(b".,;:!?\"'()[]{}#*$%&|<>")) % TERMS, hash64(shape_of(word)) % SHAPES)
         return got

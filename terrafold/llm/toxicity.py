@@ -44,6 +44,8 @@ MIN_DOCUMENTS, MIN_Z = 4, 5.0
 PAIR_DOCUMENTS, PAIR_Z = 20, 6.5
 #: The least variance of a document's label that is assumed.
 MIN_SPREAD = 1e-3
+#: Words that a task keeps the terms of.
+CACHED = 100_000
 #: Terms whose pairs are tried at a time.
 PAIR_BLOCK = 256
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -53,7 +55,7 @@ class TermCache(dict):
     """word -> hashed terms of the word and of its beginning; starts anew when it grows large."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 500_000:
+        if len(self) > CACHED:
             self.clear()
         begin = word.decode("utf-8", "replace")[:BEGIN].encode()
         got = self[word] = (hash64(word) % TERMS, hash64(begin + b"*") % TERMS)
