@@ -38,8 +38,8 @@ LOW, OFFSET = (1 << 45) - 1, (1 << 45) - (1 << 18)
 BUCKETS, PLACES = 50_021, 150_001
 #: The memo holds so many frequent pieces of at most so many bytes each, whatever the
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
-MEMO_LISTS = 1 << 16
-MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 131_072, 64, 20_000
+MEMO_LISTS = 1 << 17
+MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 400_000, 64, 32_000
 #: An id stands in a string as the character of this number and the id; marks before a piece of the memo and before its ids.
 CHARACTER, PIECE, IDS = 0x10000, "\x01", "\x02"
 #: The setting that bounds descriptions of plans.
@@ -189,24 +189,26 @@ class ByteBpe:
     def _characters(self, ids: Column, table: Column) -> Column:
         return F.array_join(F.transform(ids, lambda i: F.get(table["character"], i)), "")
 
-    @releasing
-    def memo(self, df: DataFrame, text: str = "text") -> Column:
-        """A literal array of strings, each the pieces of a list and their ids."""
-        lists = [""] * MEMO_LISTS
+    def tables(self, df: DataFrame, text: str = "text") -> Column:
+        """The literal rank map and the memo (an array of strings, each the pieces of a
+        list and their ids), as one constant that is read from a written row: as
+        literals in the plan they'd be printed whole into each of its descriptions."""
+        spark = df.sparkSession
         one = F.concat(F.lit(PIECE), "piece", F.lit(IDS), "ids")
-        told = self.frequent(df, text).select(_list_of(F.col("piece")).alias("list"), one.alias("known"))
-        for batch in told.toArrow().to_batches(max_chunksize=4096):
-            for at, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lists[at] += known
-        return _literal(lists, "array<string>")
+        lists = self.frequent(df, text).groupBy(_list_of(F.col("piece")).cast("long").alias("id")).agg(F.array_join(F.collect_list(one), "").alias("known"))
+        every = spark.range(MEMO_LISTS).join(lists, "id", "left").select("id", F.coalesce("known", F.lit("")).alias("known"))
+        memo = cut(every.agg(F.array_sort(F.collect_list(F.struct("id", "known"))).alias("lists")), tidy=True)
+        both = F.struct(F.col("lists.known").alias("memo"), self.rank_map().alias("ranks"))
+        return cut(memo.select(both.alias("tables")), tidy=True).scalar()
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
         spark = df.sparkSession
         if spark.conf.get(PLAN_LENGTH, None) is None:
-            # the literals would be printed whole into every description of the plan
             spark.conf.set(PLAN_LENGTH, "100000")
-        tables = F.struct(self.memo(df, text).alias("memo"), self.rank_map().alias("ranks"))
+        # a subquery can't stand inside a higher-order function; as a column of its own, used once, it's
+        # put in its place by the optimizer
+        held = next(c for c in (f"_tables{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
 
         def known(t: Column, piece: Column) -> Column:
             # what follows the piece up to the next one; empty if it isn't there
@@ -219,9 +221,9 @@ class ByteBpe:
             both = F.zip_with(pieces, found, lambda p, k: F.when(k == "", self._characters(self.fold(p, t["ranks"]), t["ranks"])).otherwise(k))
             return F.array_join(both, "")
 
-        told = _let(tables, lambda t: _let(self.pieces(F.col(text)), lambda pieces: of(pieces, t)))
+        told = _let(F.col(held), lambda t: _let(self.pieces(F.col(text)), lambda pieces: of(pieces, t)))
         number = _let(told, lambda s: F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c) - CHARACTER)))
-        return df.withColumn(ids, number)
+        return df.withColumn(held, self.tables(df, text)).withColumn(ids, number).drop(held)
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``df`` with the bytes of a column of ids."""
