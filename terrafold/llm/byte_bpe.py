@@ -101,18 +101,12 @@ class ByteBpe:
         if max(ranks.values()) >= NONE:
             raise ValueError(f"ids need at most {BITS} bits")
         self.pattern, self.memo_pieces, self._ranks = java_pattern(pattern), memo_pieces, ranks
-        self._table: Column | None = None
+        self._written: DataFrame | None = None
 
     # -- literals ---------------------------------------------------------
     def rank_map(self) -> Column:
         """The literal rank map: struct of ``shift``, ``place``, the ids of the ``byte``
         values and the ``character`` of each id."""
-        if self._table is None:
-            self._table = self._rank_table()
-        return self._table
-
-    @releasing
-    def _rank_table(self) -> Column:
         shift, place = hash_table(pair_ranks(self._ranks))
         return F.struct(
             _literal(shift, "array<bigint>").alias("shift"),
@@ -128,6 +122,16 @@ class ByteBpe:
             pieces[rank] = base64.b64encode(piece).decode()
         return _literal(pieces, "array<binary>")
 
+    @releasing
+    def constant(self, df: DataFrame, name: str) -> Column:
+        """The literal ``ranks`` or ``vocabulary``, as a constant that is read from a written
+        row: in the plans themselves they'd be printed whole into each description.  A
+        subquery can't stand inside a higher-order function; as a column of its own, used
+        once, the optimizer puts it there."""
+        if self._written is None:
+            self._written = cut(df.sparkSession.range(1).select(self.rank_map().alias("ranks"), self.vocabulary().alias("vocabulary")), tidy=True)
+        return self._written.select(name).scalar()
+
     # -- the fold ---------------------------------------------------------
     def fold(self, piece: Column, table: Column) -> Column:
         """ids of one piece."""
@@ -184,31 +188,25 @@ class ByteBpe:
         )
         # written first, so that the plan with the literals is small and planned once
         spread = cut(top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), tidy=True)
-        return spread.select("piece", _let(self.rank_map(), lambda table: self._characters(self.fold(F.col("piece"), table), table)).alias("ids"))
+        held = spread.withColumn("ranks", self.constant(df, "ranks"))
+        return held.select("piece", _let(F.col("ranks"), lambda table: self._characters(self.fold(F.col("piece"), table), table)).alias("ids"))
 
     def _characters(self, ids: Column, table: Column) -> Column:
         return F.array_join(F.transform(ids, lambda i: F.get(table["character"], i)), "")
 
-    def tables(self, df: DataFrame, text: str = "text") -> Column:
-        """The literal rank map and the memo (an array of strings, each the pieces of a
-        list and their ids), as one constant that is read from a written row: as
-        literals in the plan they'd be printed whole into each of its descriptions."""
-        spark = df.sparkSession
+    def memo(self, df: DataFrame, text: str = "text") -> Column:
+        """An array of strings, each the pieces of a list and their ids, as a constant."""
         one = F.concat(F.lit(PIECE), "piece", F.lit(IDS), "ids")
         lists = self.frequent(df, text).groupBy(_list_of(F.col("piece")).cast("long").alias("id")).agg(F.array_join(F.collect_list(one), "").alias("known"))
-        every = spark.range(MEMO_LISTS).join(lists, "id", "left").select("id", F.coalesce("known", F.lit("")).alias("known"))
-        memo = cut(every.agg(F.array_sort(F.collect_list(F.struct("id", "known"))).alias("lists")), tidy=True)
-        both = F.struct(F.col("lists.known").alias("memo"), self.rank_map().alias("ranks"))
-        return cut(memo.select(both.alias("tables")), tidy=True).scalar()
+        every = df.sparkSession.range(MEMO_LISTS).join(lists, "id", "left").select("id", F.coalesce("known", F.lit("")).alias("known"))
+        return cut(every.agg(F.array_sort(F.collect_list(F.struct("id", "known"))).alias("lists")), tidy=True).select("lists.known").scalar()
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
         spark = df.sparkSession
         if spark.conf.get(PLAN_LENGTH, None) is None:
             spark.conf.set(PLAN_LENGTH, "100000")
-        # a subquery can't stand inside a higher-order function; as a column of its own, used once, it's
-        # put in its place by the optimizer
-        held = next(c for c in (f"_tables{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
+        held = _unused(df)
 
         def known(t: Column, piece: Column) -> Column:
             # what follows the piece up to the next one; empty if it isn't there
@@ -223,11 +221,19 @@ class ByteBpe:
 
         told = _let(F.col(held), lambda t: _let(self.pieces(F.col(text)), lambda pieces: of(pieces, t)))
         number = _let(told, lambda s: F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c) - CHARACTER)))
-        return df.withColumn(held, self.tables(df, text)).withColumn(ids, number).drop(held)
+        tables = F.struct(self.memo(df, text).alias("memo"), self.constant(df, "ranks").alias("ranks"))
+        return df.withColumn(held, tables).withColumn(ids, number).drop(held)
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``df`` with the bytes of a column of ids."""
-        return df.withColumn(to, _let(self.vocabulary(), lambda v: _joined(F.transform(F.col(ids), lambda i: F.get(v, i)))))
+        held = _unused(df)
+        bytes_ = _let(F.col(held), lambda v: _joined(F.transform(F.col(ids), lambda i: F.get(v, i))))
+        return df.withColumn(held, self.constant(df, "vocabulary")).withColumn(to, bytes_).drop(held)
+
+
+def _unused(df: DataFrame) -> str:
+    """A name that no column has."""
+    return next(c for c in (f"_held{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
 
 
 def _list_of(piece: Column) -> Column:
