@@ -7,9 +7,9 @@ its id; every step takes the smallest element, so the leftmost pair of the small
 rank, joins the pair and looks up the two ranks that change, until no pair has one.  Ranks come from a literal map of
 pairs of ids, laid out as a perfect hash table in two literal arrays (a lookup
 in one large Spark map scans it).  Frequent distinct pieces are folded once and
-their ids kept in a memo of bounded size; of all other pieces a text folds each
-distinct one where it stands.  Decoding concatenates the binary pieces of the
-ids, in groups of groups, so that long texts aren't copied once for each id.
+their ids kept in a memo of bounded size; all other pieces, which are rare, are
+folded where they stand.  Decoding concatenates the binary pieces of the ids in
+one pass over them.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; other
 columns and repeated rows pass through (a column named as the result is
@@ -40,12 +40,8 @@ BUCKETS, PLACES = 50_021, 150_001
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
 MEMO_LISTS = 1 << 17
 MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 400_000, 64, 32_000
-#: An id stands in a string as the character of this number and the id; marks before a piece of the memo and before its ids.
-CHARACTER, PIECE, IDS = 0x10000, "\x01", "\x02"
 #: The setting that bounds descriptions of plans.
 PLAN_LENGTH = "spark.sql.maxPlanStringLength"
-#: Binary pieces that are joined at a time.
-JOINED = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,14 +101,12 @@ class ByteBpe:
 
     # -- literals ---------------------------------------------------------
     def rank_map(self) -> Column:
-        """The literal rank map: struct of ``shift``, ``place``, the ids of the ``byte``
-        values and the ``character`` of each id."""
+        """The literal rank map: struct of ``shift``, ``place`` and the ids of the ``byte`` values."""
         shift, place = hash_table(pair_ranks(self._ranks))
         return F.struct(
             _literal(shift, "array<bigint>").alias("shift"),
             _literal(place, "array<bigint>").alias("place"),
             _literal([self._ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("byte"),
-            _literal([chr(CHARACTER + i) for i in range(max(self._ranks.values()) + 1)], "array<string>").alias("character"),
         )
 
     def vocabulary(self) -> Column:
@@ -152,8 +146,9 @@ class ByteBpe:
             return F.flatten(F.array(F.slice(parts, F.lit(1), at - 2), F.transform(F.array(before, after), element), F.slice(parts, at + 2, F.size(parts))))
 
         def step(parts: Column, least: Column) -> Column:
-            # the smallest element is the leftmost of the smallest rank
-            at = F.array_position(parts, least).cast("int")
+            # the smallest element is the leftmost of the smallest rank; offsets rise, so those before it are counted
+            # (array_position leaves its loop by an exception, which costs more than the whole step)
+            at = _let(bits(least, LOW), lambda low: F.size(F.filter(parts, lambda e: bits(e, LOW) < low)) + 1)
             return F.when(least >= F.lit(NONE << 45), parts).otherwise(_let(at, lambda at: merge(parts, at, least)))
 
         chars = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
@@ -181,7 +176,7 @@ class ByteBpe:
             .select(F.explode(self.pieces(F.col(text))).alias("piece"))
             .groupBy("piece")
             .count()
-            .where((F.octet_length("piece") <= MEMO_BYTES) & (F.col("count") > 1) & ~F.contains("piece", F.lit(PIECE)) & ~F.contains("piece", F.lit(IDS)))
+            .where((F.octet_length("piece") <= MEMO_BYTES) & (F.col("count") > 1))
             .orderBy(F.desc("count"), "piece")
             .limit(self.memo_pieces)
             .select("piece")
@@ -189,51 +184,58 @@ class ByteBpe:
         # written first, so that the plan with the literals is small and planned once
         spread = cut(top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), tidy=True)
         held = spread.withColumn("ranks", self.constant(df, "ranks"))
-        return held.select("piece", _let(F.col("ranks"), lambda table: self._characters(self.fold(F.col("piece"), table), table)).alias("ids"))
-
-    def _characters(self, ids: Column, table: Column) -> Column:
-        return F.array_join(F.transform(ids, lambda i: F.get(table["character"], i)), "")
+        return held.select("piece", _let(F.col("ranks"), lambda table: self.fold(F.col("piece"), table)).alias("ids"))
 
     def memo(self, df: DataFrame, text: str = "text") -> Column:
-        """An array of strings, each the pieces of a list and their ids, as a constant."""
-        one = F.concat(F.lit(PIECE), "piece", F.lit(IDS), "ids")
-        lists = self.frequent(df, text).groupBy(_list_of(F.col("piece")).cast("long").alias("id")).agg(F.array_join(F.collect_list(one), "").alias("known"))
-        every = df.sparkSession.range(MEMO_LISTS).join(lists, "id", "left").select("id", F.coalesce("known", F.lit("")).alias("known"))
-        return cut(every.agg(F.array_sort(F.collect_list(F.struct("id", "known"))).alias("lists")), tidy=True).select("lists.known").scalar()
+        """An array of small maps, each of the pieces of a list to their ids, as a constant."""
+        one = F.map_from_entries(F.collect_list(F.struct("piece", "ids")))
+        lists = self.frequent(df, text).groupBy(_list_of(F.col("piece")).cast("long").alias("id")).agg(one.alias("known"))
+        every = df.sparkSession.range(MEMO_LISTS).join(lists, "id", "left")
+        # maps have no order, so the lists are ordered by their numbers alone
+        lists = F.array_sort(F.collect_list(F.struct("id", "known")), lambda a, b: (a["id"] - b["id"]).cast("int"))
+        return cut(every.agg(lists.alias("lists")).select(F.col("lists.known").alias("memo")), tidy=True).scalar()
+
+    def ids_of(self, text: Column, held: Column) -> Column:
+        """The ids of a text; ``held`` has the ``memo`` and the ``ranks``."""
+
+        def one(t: Column, piece: Column) -> Column:
+            return F.coalesce(F.get(t["memo"], _list_of(piece))[piece], self.fold(piece, t["ranks"]))
+
+        return _let(held, lambda t: F.flatten(F.transform(self.pieces(text), lambda p: one(t, p))))
+
+    def bytes_of(self, ids: Column, vocabulary: Column) -> Column:
+        """The bytes of ids.  A string here is any run of bytes: the binary pieces are
+        joined in one pass, not by a copy for each id."""
+        return _let(vocabulary, lambda v: F.array_join(F.transform(ids, lambda i: F.get(v, i).cast("string")), "").cast("binary"))
+
+    def tables(self, df: DataFrame, text: str) -> Column:
+        """The memo and the ranks, as a column of its own that is used once."""
+        if df.sparkSession.conf.get(PLAN_LENGTH, None) is None:
+            df.sparkSession.conf.set(PLAN_LENGTH, "100000")
+        return F.struct(self.memo(df, text).alias("memo"), self.constant(df, "ranks").alias("ranks"))
+
+    def both(self, df: DataFrame, result, text: str = "text") -> DataFrame:
+        """``df`` with the columns of ``result``, a struct of ids and decoded bytes.  In one
+        expression, as a table that is a column of its own between two steps is copied for each row."""
+        held, vocabulary, to = _unused(df, 3)
+        rows = df.withColumns({held: self.tables(df, text), vocabulary: self.constant(df, "vocabulary")})
+        made = _let(self.ids_of(F.col(text), F.col(held)), lambda ids: _let(self.bytes_of(ids, F.col(vocabulary)), lambda decoded: result(ids, decoded)))
+        return rows.withColumn(to, made).select(*(F.col(f"`{c}`") for c in df.columns), f"{to}.*")
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with a column of ids."""
-        spark = df.sparkSession
-        if spark.conf.get(PLAN_LENGTH, None) is None:
-            spark.conf.set(PLAN_LENGTH, "100000")
-        held = _unused(df)
-
-        def known(t: Column, piece: Column) -> Column:
-            # what follows the piece up to the next one; empty if it isn't there
-            list_ = F.get(t["memo"], _list_of(piece))
-            after = F.call_function("substring_index", list_, F.concat(F.lit(PIECE), piece, F.lit(IDS)), F.lit(-1))
-            return F.when(F.contains(piece, F.lit(PIECE)), F.lit("")).otherwise(F.substring_index(after, PIECE, 1))
-
-        def of(pieces: Column, t: Column) -> Column:
-            found = F.transform(pieces, lambda p: known(t, p))
-            both = F.zip_with(pieces, found, lambda p, k: F.when(k == "", self._characters(self.fold(p, t["ranks"]), t["ranks"])).otherwise(k))
-            return F.array_join(both, "")
-
-        told = _let(F.col(held), lambda t: _let(self.pieces(F.col(text)), lambda pieces: of(pieces, t)))
-        number = _let(told, lambda s: F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), lambda c: F.ascii(c) - CHARACTER)))
-        tables = F.struct(self.memo(df, text).alias("memo"), self.constant(df, "ranks").alias("ranks"))
-        return df.withColumn(held, tables).withColumn(ids, number).drop(held)
+        (held,) = _unused(df, 1)
+        return df.withColumn(held, self.tables(df, text)).withColumn(ids, self.ids_of(F.col(text), F.col(held))).drop(held)
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``df`` with the bytes of a column of ids."""
-        held = _unused(df)
-        bytes_ = _let(F.col(held), lambda v: _joined(F.transform(F.col(ids), lambda i: F.get(v, i))))
-        return df.withColumn(held, self.constant(df, "vocabulary")).withColumn(to, bytes_).drop(held)
+        (held,) = _unused(df, 1)
+        return df.withColumn(held, self.constant(df, "vocabulary")).withColumn(to, self.bytes_of(F.col(ids), F.col(held))).drop(held)
 
 
-def _unused(df: DataFrame) -> str:
-    """A name that no column has."""
-    return next(c for c in (f"_held{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
+def _unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column has."""
+    return [c for c in (f"_held{i}" for i in range(len(df.columns) + n)) if c not in df.columns][:n]
 
 
 def _list_of(piece: Column) -> Column:
@@ -246,16 +248,6 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
-def _joined(pieces: Column) -> Column:
-    """An array of binaries as one, by groups of groups."""
-    one = lambda parts: F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
-
-    def groups(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / JOINED)), lambda g: one(F.slice(parts, (g * JOINED + 1).cast("int"), F.lit(JOINED))))
-
-    return _let(pieces, lambda p: F.when(F.size(p) == 0, F.lit(b"")).otherwise(_let(groups(p), lambda g: one(groups(g)))))
-
-
 def _literal(values: list, kind: str) -> Column:
     """A bounded table as a literal: the optimizer folds the JSON into its value,
     so tasks get the value."""

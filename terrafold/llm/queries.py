@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, jaccard_join, licenses, line_rules, mixing, ngram_lm, quality, toxicity
@@ -70,13 +70,15 @@ def tokenizer() -> ByteBpe:
 
 def digests(documents: DataFrame, bpe: ByteBpe) -> DataFrame:
     """Encode, decode, and the digests of both."""
-    both = bpe.decode(bpe.encode(documents))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def of(ids: Column, decoded: Column) -> Column:
+        return F.struct(
+            F.size(ids).cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+            F.sha2(decoded, 256).alias("decoded_sha256"),
+        )
+
+    return bpe.both(documents.select("doc_id", "text"), of).drop("text")
 
 
 def _classified(scored: DataFrame, folds: int, held_out: int, limit: float) -> DataFrame:
