@@ -397,6 +397,24 @@ def test_byte_bpe_like_the_library(spark, memo):
         assert r.ids == library.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
 
 
+def test_digests_like_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    import hashlib
+
+    from terrafold.llm.queries import digests
+
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "one two two", "one two two", "Ünïcödé 汉字 🙂 zzqxv " * 50]
+    got = digests(docs_of(spark, texts), byte_bpe.ByteBpe(ranks, P.PATTERN, memo_pieces=3)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        ids = library.encode_ordinary(t or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 def test_votes_against_plain_cosines():
     rng = np.random.default_rng(3)
     rows = [np.unique(rng.integers(0, 50, 12), return_counts=True) for _ in range(40)]
@@ -479,6 +497,8 @@ def test_pipeline_run_against_brute_force(spark):
     """Models are the stages' own; everything that they decide is done again row by row."""
     import hashlib
 
+    from terrafold.llm.queries import digests
+
     import corpus_pipeline as C
 
     P = pytest.importorskip("public_tokenizers")
