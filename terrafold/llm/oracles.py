@@ -50,4 +50,34 @@ SELECT k.conv_id, k.turn, CAST(l.level AS BIGINT) AS level, y.turn IS NOT NULL A
   '{"calls":[' || coalesce(d.json, '') || '],"content":' || CAST(to_json(k.text) AS VARCHAR) || ',"result_of":' || CAST(to_json(coalesce(k.result_of, '')) AS VARCHAR) || ',"role":' || CAST(to_json(k.role) AS VARCHAR) || '}' AS json
 FROM k JOIN level l USING (conv_id, turn) LEFT JOIN cycle y USING (conv_id, turn) LEFT JOIN made d USING (conv_id, turn) LEFT JOIN answered a USING (conv_id, turn)
   LEFT JOIN owner o ON o.conv_id = k.conv_id AND o.id = k.result_of""",
+    "op11_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+f AS (SELECT k.r, k.doc_id, k.pos, k.line, often.key IS NOT NULL AND k.doc_id <> often.top AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r, doc_id""",
+    "op13_source_divergence": """
+WITH d AS (SELECT row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+ng AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS all_n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+nl AS (SELECT lang, sum(n) AS all_n FROM c GROUP BY ALL),
+p AS (SELECT kept.lang, ng.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // CAST(ng.all_n + 2 * v.v AS BIGINT) AS p
+  FROM kept JOIN v ON v.lang = kept.lang JOIN ng ON ng.lang = kept.lang LEFT JOIN c ON c.lang = kept.lang AND c.source = ng.source AND c.term = kept.term),
+q AS (SELECT x.lang, x.term, 1 + (1000000000 * (x.n + 2)) // CAST(nl.all_n + 2 * v.v AS BIGINT) AS q
+  FROM (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) x JOIN nl ON nl.lang = x.lang JOIN v ON v.lang = x.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS BIGINT) AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

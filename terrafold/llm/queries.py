@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, licenses, line_rules, mixing, ngram_lm, quality, toxicity
+from . import alignment, ann, chat, divergence, jaccard_join, licenses, line_dedup, line_rules, mixing, ngram_lm, quality, toxicity
 from .byte_bpe import ByteBpe, read_ranks
 from .common import fold_of, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_FILES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 QUALITY_FOLDS, QUALITY_HELD_OUT = 3, 1
 TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_LIMIT = 4, 2, 0.3
 LM_FOLDS, LM_HELD_OUT = 7, 2
@@ -64,6 +65,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_documents=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Tokenizers(*map(public_tokenizers.path, ALIGNED_FILES))
+    return alignment.align(table(spark, sf_dir, "documents"), files, digest=True)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_documents=10, top=10)
+
+
 def tokenizer() -> ByteBpe:
     return ByteBpe(read_ranks(public_tokenizers.path(RANK_FILE)), public_tokenizers.PATTERN)
 
@@ -103,5 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_rules,
         op9_toxicity_machine,
         op10_byte_bpe,
+        op11_line_dedup,
+        op12_tokenizer_alignment,
+        op13_source_divergence,
     )
 }
