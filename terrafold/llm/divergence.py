@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 #: Bytes of text that a task holds before it closes its blocks.
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 #: Sources in a block of sources.
 SIDE = 128
 UNIT = 1_000_000_000
@@ -114,9 +114,12 @@ def postings(documents: DataFrame, min_documents: int) -> tuple[DataFrame, DataF
     told = cut(texts.mapInArrow(_first_pass, "block string, lang string, source string, term string, df long, text binary"))
     blobs = told.where(F.col("text").isNotNull()).select("block", "lang", "source", "text")
     own = told.where(F.col("term").isNotNull()).select("block", "lang", "term", "df")
-    kept = cut(own.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_documents).select("lang", "term"))
-    known = own.join(kept, ["lang", "term"]).select(F.col("block").alias("home"), "term")
-    counted = blobs.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_recount, "lang string, source string, term string, n long")
+    term = Window.partitionBy("lang", "term")
+    # a term has a row a block: its sum and one row of its own (``one``) need a single exchange
+    frequent = own.withColumn("all_df", F.sum("df").over(term)).withColumn("one", F.row_number().over(term.orderBy("block")) == 1)
+    known = cut(frequent.where(F.col("all_df") >= min_documents).select(F.col("block").alias("home"), "lang", "term", "one"))
+    kept = known.where("one").select("lang", "term")
+    counted = blobs.groupBy("block").cogroup(known.select("home", "term").groupBy("home")).applyInArrow(_recount, "lang string, source string, term string, n long")
     return blobs.select("lang", "source").distinct(), kept, cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
 
@@ -149,21 +152,45 @@ def _emit(cells: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
 MATRICES = 256
 
 
+def _entries(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, source, share and share of absence of all entries of a column of lists."""
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return row, *(flat.field(c).to_numpy() for c in ("s", "p", "q0"))
+
+
 def _shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(c): for sources that both have a term, what replaces the shares of absence."""
     cells: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for lang, x, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            (s, ps, qs), (t, pt, qt) = (np.array([(e["s"], e["p"], e["q0"]) for e in side], np.int64).T for side in (x, y))
-            ps, qs = ps[:, None], qs[:, None]
-            value = _f(ps, pt) - _f(ps, qt) - _f(qs, pt) + _f(qs, qt)
-            key = lang, int(s[0]) // SIDE, int(t[0]) // SIDE
+        langs = batch.column(0).dictionary_encode()
+        code, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+        (rx, sx, px, qx), (ry, sy, py, qy) = (_entries(batch.column(c)) for c in (1, 2))
+        # a list holds sources of one block of them
+        heads = [s[np.searchsorted(r, np.arange(batch.num_rows))] // SIDE for r, s in ((rx, sx), (ry, sy))]
+        where, which = np.unique(np.stack([code, *heads]), axis=1, return_inverse=True)
+        for k, (lang, a, b) in enumerate(where.T.tolist()):
+            key, mine = (names[lang], a, b), np.flatnonzero(which.reshape(-1) == k)
+            place = np.zeros(batch.num_rows, np.int64)
+            place[mine] = np.arange(len(mine))
+            at = np.isin(ry, mine)
+            # shares of a source that lacks the term are those of absence, and add nothing
+            absent = np.ones(SIDE, np.int64)
+            absent[sy[at] % SIDE] = qy[at]
+            shares = np.tile(absent, (len(mine), 1))
+            shares[place[ry[at]], sy[at] % SIDE] = py[at]
+            used = np.unique(sy[at] % SIDE)
+            shares, absent = shares[:, used], absent[used]
             if key not in cells:
                 if len(cells) >= MATRICES:
                     yield from _emit(cells)
                     cells = {}
                 cells[key] = np.zeros((SIDE, SIDE), np.int64)
-            cells[key][np.ix_(s % SIDE, t % SIDE)] += value
+            in_x = np.isin(rx, mine)
+            for s in np.unique(sx[in_x]):
+                own = in_x & (sx == s)
+                p, q, other = px[own][:, None], qx[own][:1], shares[place[rx[own]]]
+                cells[key][s % SIDE, used] += (_f(p, other) - _f(p, absent) - _f(q, other)).sum(axis=0) + _f(q, absent) * len(other)
     yield from _emit(cells)
 
 
