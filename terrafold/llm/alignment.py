@@ -2,21 +2,23 @@
 
 Tokenizer A is byte-level BPE (it reads a space and the text), B is a piece model
 (it adds that space itself).  Both start a new token at a space that follows
-another character than a space and stands before one that isn't white space; a
-text is cut there, and equal segments are tokenized and aligned once.
-
-1. Blocks of texts number their distinct segments, tokenize these, compare the
-   tokens' bytes with the segment, and write for each text its segment numbers,
-   for each segment its tokens with their lengths and its count in sound texts.
-2. Over the distinct segments of the corpus the alignment is relational: tokens
+another character than a space and stands before one that isn't white space, and
+at one of ``,.;:!?`` behind a Latin letter; a text is cut there, and equal
+segments are tokenized and aligned once.
+
+1. Blocks of texts number their distinct segments, compare the bytes of their
+   tokens with the segment, and write for each text its segment numbers, for each
+   segment its count in sound texts.
+2. The distinct segments of the corpus are tokenized, many as one text, as both
+   tokenizers cut between them.  The alignment is relational: tokens
    are exploded by position, windowed sums of lengths are ends, an equi-join on
    segment and end gives links and cuts, a running count of cuts numbers groups.
    Links of an id pair are summed with the segments' counts.
 3. Each block gets the figures of its own segments back, and sums and strings
    them in the order of each text.
 
-B's pieces must not hold a space behind another character, or B could merge over
-a cut: ``Tokenizers`` raises there.  Edges: texts that are null, empty, or whose
+B's pieces must hold no space behind another character and none of the marks
+behind a letter, or B could merge over a cut: loading such a model raises.  Edges: texts that are null, empty, or whose
 joined bytes of A or B differ from space and text have zeros and an empty string,
 and add nothing to counts; rows that repeat are aligned and counted each; other
 columns aren't read; an empty table gives no rows.
@@ -29,22 +31,30 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Numbering, blocks, cut, release
 
 #: Bytes of text in a block.
 BLOCK = 24 << 20
-#: Segments tokenized at once.
-CHUNK = 4096
+#: Id pairs that are sent to every task instead of shuffled: 24 bytes each.
+BROADCAST_PAIRS = 1_000_000
+#: Segments tokenized as one text.
+CHUNK = 2000
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
-TOKENS = "array<struct<id:int,size:int>>"
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
+MARK_CUT = re.compile(rf"(?<=[{LATIN}])(?=[{MARKS}])")
+#: Goes before a segment without a space, where that needs something to follow.
+FILLER = " a"
+#: Columns of a segment: ids and lengths in bytes of its tokens.
+TOKENS = "a array<int>, a_size array<int>, b array<int>, b_size array<int>"
 
 
 class Tokenizers(NamedTuple):
@@ -70,23 +80,88 @@ def _loaded(files: Tokenizers):
     a_bytes = {i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode() for s, i in a.get_vocab().items()}
     b = sentencepiece.SentencePieceProcessor(model_file=files.b)
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-    if any("▁" in p.lstrip("▁") for p in pieces):
-        raise ValueError("a piece of tokenizer B holds a space behind another character")
+    over = re.compile(rf"[^▁]▁|[{LATIN}][{MARKS}]")
+    if any(over.search(p) for p in pieces):
+        raise ValueError("a piece of tokenizer B holds a space or a mark behind another character")
     b_bytes = {i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
     return a, a_bytes, b, b_bytes
 
 
-def tokenized(segments: list[str], files: Tokenizers) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
-    """Of each segment (a space goes before it): ids and lengths of A, ids and
-    lengths of B, and whether both give its bytes back."""
+def _units(segments: list[str], numbers: list[int]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts as lists of segments with their numbers (-1: a filler).  Segments
+    that end or go on with white space have a text of their own."""
+    plain: list[str] = []
+    own: list[int] = []
+    for k in numbers:
+        s = segments[k]
+        before = [] if s[0] == " " else [FILLER]
+        if s[-1] == " " or s[0] == " " and s[1:2].strip() == "":
+            yield [*before, s], [-1, k][1 - len(before) :]
+            continue
+        plain += [*before, s]
+        own += [-1, k][1 - len(before) :]
+        if len(own) >= CHUNK:
+            yield plain, own
+            plain, own = [], []
+    if own:
+        yield plain, own
+
+
+def tokenized(segments: list[str], files: Tokenizers, keep: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Whether both tokenizers give a segment's bytes back; and with ``keep`` for
+    each of them (number of the segment, id, length) of all tokens in order."""
     a, a_bytes, b, b_bytes = _loaded(files)
-    for at in range(0, len(segments), CHUNK):
-        part = segments[at : at + CHUNK]
-        of_a = a.encode_batch([" " + s for s in part], add_special_tokens=False)
-        for s, x, ids_b in zip(part, of_a, b.encode(part, num_threads=1), strict=True):
-            ids_a, whole = x.ids, b" " + s.encode()
-            bytes_a, bytes_b = [a_bytes[i] for i in ids_a], [b_bytes[i] for i in ids_b]
-            yield ids_a, [len(t) for t in bytes_a], ids_b, [len(t) for t in bytes_b], b"".join(bytes_a) == whole == b"".join(bytes_b)
+    sound = np.ones(len(segments), bool)
+    found: list[list[tuple[np.ndarray, ...]]] = [[], []]
+
+    def encode(parts: list[str], numbers: list[int]) -> bool:
+        text = "".join(parts)
+        whole, given = text.encode(), (a.encode(text, add_special_tokens=False).ids, b.encode(text[1:]))
+        tokens = [[*map(of.__getitem__, ids)] for of, ids in zip((a_bytes, b_bytes), given, strict=True)]
+        if any(b"".join(t) != whole for t in tokens):
+            return False
+        if keep:
+            ends = np.cumsum([len(p.encode()) for p in parts])
+            for side, ids, own in zip(found, given, tokens, strict=True):
+                size = np.fromiter(map(len, own), np.int32, len(own))
+                number = np.array(numbers)[np.searchsorted(ends, np.cumsum(size))]
+                side.append((number[number >= 0], np.array(ids, np.int32)[number >= 0], size[number >= 0]))
+        return True
+
+    for parts, numbers in _units(segments, [*range(len(segments))]):
+        if not encode(parts, numbers):
+            for k in (n for n in numbers if n >= 0):
+                for alone, own in _units(segments, [k]):
+                    sound[k] = encode(alone, own)
+    joined = [tuple(np.concatenate([x[c] for x in side]) if side else np.zeros(0, np.int32) for c in range(3)) for side in found]
+    return sound, [tuple(x[np.argsort(side[0], kind="stable")] for x in side) for side in joined]
+
+
+class _Odd(Exception):
+    """A word that isn't a segment's beginning."""
+
+
+class _Words(dict):
+    """word between spaces -> numbers of the segments of a space and the word."""
+
+    def __init__(self) -> None:
+        self.number = Numbering()
+
+    def of(self, word: str) -> tuple[int, ...]:
+        return tuple(map(self.number.__getitem__, MARK_CUT.split(" " + word)))
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if not word or word[0].isspace():
+            raise _Odd
+        got = self[word] = self.of(word)
+        return got
+
+    def numbers(self, text: str) -> np.ndarray:
+        try:
+            found = [*map(self.__getitem__, text.split(" "))]
+        except _Odd:
+            found = [*map(self.of, CUT.split(text))]
+        return np.fromiter(chain.from_iterable(found), np.int64)
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -98,26 +173,20 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
 
 
-def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of texts (``numbers`` is null without tokens) and rows of segments (``k`` isn't null)."""
-    tokens = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
-    schema = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("k", pa.int32()), ("segment", pa.string()), ("n", pa.int64()), ("a", tokens), ("b", tokens)])
+def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    def listed(ids: list[list[int]], sizes: list[list[int]]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = [np.fromiter((x for own in side for x in own), np.int32, ends[-1]) for side in (ids, sizes)]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["id", "size"])).cast(tokens)
 
-    def rows(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of texts (``numbers`` is null without tokens) and rows of segments (``k`` isn't null)."""
+    schema = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("k", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, texts in blocks(batches, BLOCK):
-            number = Numbering()
-            told = [np.fromiter(map(number.__getitem__, CUT.split(t.decode())), np.int64) if t else None for t in texts]
-            of = [*number]
-            made = [*tokenized(of, files)]
-            sound = np.array([m[4] for m in made], bool)
+            words = _Words()
+            told = [words.numbers(t.decode()) if t else None for t in texts]
+            of = [*words.number]
+            sound, _ = tokenized(of, files, keep=False)
             counts = np.zeros(len(of), np.int64)
             for k, own in enumerate(told):
                 if own is None or not sound[own].all():
@@ -128,60 +197,75 @@ def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for at in range(0, len(ids), 1000):
                 part = slice(at, at + 1000)
                 blobs = [None if x is None else pack(x) for x in told[part]]
-                yield rows(len(blobs), block=pa.array([name] * len(blobs)), doc_id=pa.array(ids[part], pa.int64()), numbers=pa.array(blobs, pa.binary()))
+                yield _rows(schema, len(blobs), block=pa.array([name] * len(blobs)), doc_id=pa.array(ids[part], pa.int64()), numbers=pa.array(blobs, pa.binary()))
             used = np.flatnonzero(counts)
-            for at in range(0, len(used), 20_000):
-                part = used[at : at + 20_000].tolist()
-                picked = [made[k] for k in part]
-                yield rows(
-                    len(part),
-                    block=pa.array([name] * len(part)),
-                    k=pa.array(part, pa.int32()),
-                    segment=pa.array([of[k] for k in part]),
-                    n=pa.array(counts[part]),
-                    a=listed([m[0] for m in picked], [m[1] for m in picked]),
-                    b=listed([m[2] for m in picked], [m[3] for m in picked]),
-                )
+            for at in range(0, len(used), 50_000):
+                part = used[at : at + 50_000]
+                segments = pa.array([of[k] for k in part.tolist()])
+                yield _rows(schema, len(part), block=pa.array([name] * len(part)), k=pa.array(part, pa.int32()), segment=segments, n=pa.array(counts[part]))
+
+    return run
+
+
+def _with_tokens(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(segment, n, homes) with the columns of its tokens."""
+
+    def listed(size: int, number: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=size))]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, sides = tokenized(batch.column(0).to_pylist(), files)
+            lists = [c for side in sides for c in listed(batch.num_rows, *side)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["segment", "n", "homes", "a", "a_size", "b", "b_size"])
 
     return run
 
 
 def _ends(segments: DataFrame, side: str) -> DataFrame:
-    """(id, pos, token, end) of the tokens of one side."""
-    tokens = segments.select("id", F.posexplode(side).alias("pos", "t"))
+    """(id, n, end, pos, token) of the tokens of one side; pos from 1."""
+    # dealt by segment before the tokens are rows: the window needs no other exchange
+    both = F.arrays_zip(F.col(side).alias("token"), F.col(f"{side}_size").alias("size"))
+    tokens = segments.select("id", "n", side, f"{side}_size").repartition("id").select("id", "n", F.posexplode(both).alias("pos", "t"))
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select("id", "pos", F.col("t.id").alias("token"), F.sum("t.size").over(before).alias("end"))
+    return tokens.select("id", "n", F.sum("t.size").over(before).alias("end"), (F.col("pos") + 1).alias("pos"), "t.token")
+
+
+def _ids(tokens: Column, cuts: Column, side: str) -> Column:
+    """For each cut the ids of one side from the cut before it on, joined by commas."""
+    text = tokens.cast("array<string>")
 
+    def of(cut: Column, k: Column) -> Column:
+        since = F.when(k > 0, F.get(cuts, k - 1)[side]).otherwise(0)
+        return F.array_join(F.slice(text, since + 1, cut[side] - since), ",")
 
-def _grouped(ends: DataFrame, cuts: DataFrame, side: str) -> DataFrame:
-    """(id, g, <side>): the ids of each group of one side, joined by commas."""
-    order = Window.partitionBy("id").orderBy("pos")
-    flagged = ends.join(cuts.withColumn("cut", F.lit(1)), ["id", "end"], "left")
-    # a token closes a group where a cut lies at its end and the next token ends elsewhere
-    closes = F.when(F.col("cut").isNotNull() & ~F.lead("end").over(order).eqNullSafe(F.col("end")), 1).otherwise(0)
-    group = F.coalesce(F.sum("closes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = flagged.withColumn("closes", closes).select("id", group.alias("g"), "pos", "token")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"].cast("string"))
-    return numbered.groupBy("id", "g").agg(F.array_join(ids, ",").alias(side))
+    return F.transform(cuts, of)
 
 
 def aligned_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, n, a, b): figures of each segment (id, n_a, n_b, n_groups,
-    n_links, n_best, count_sum, groups), and the id pairs (a, b, n, best) with the
-    count of their links and whether it is the highest of b."""
-    a, b = _ends(segments, "a"), _ends(segments, "b")
-    links = cut(a.select("id", "end", F.col("token").alias("a")).join(b.select("id", "end", F.col("token").alias("b")), ["id", "end"]))
-    weighted = links.join(segments.select("id", "n"), "id")
-    pairs = weighted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """From (id, n, homes) and the columns of tokens: figures of each segment
+    (homes, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), and the id
+    pairs (a, b, n, best) with the count of their links and whether it is the
+    highest of b."""
+    a = _ends(segments, "a").select("id", "n", "end", F.col("pos").alias("at_a"), F.col("token").alias("a"))
+    b = _ends(segments, "b").select("id", "end", F.col("pos").alias("at_b"), F.col("token").alias("b"))
+    links = cut(a.join(b, ["id", "end"]))
+    pairs = links.groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = cut(pairs.join(pairs.groupBy("b").agg(F.max("n").alias("highest")), "b").select("a", "b", "n", (F.col("n") == F.col("highest")).alias("best")))
-    # a frequent pair may be split again by Spark, as nothing above the join needs its rows together
-    linked = links.join(pairs, ["a", "b"]).groupBy("id").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    cuts = links.select("id", "end").distinct()
-    both = _grouped(a, cuts, "a").join(_grouped(b, cuts, "b"), ["id", "g"])
-    strings = both.groupBy("id").agg(F.count("*").alias("n_groups"), F.array_sort(F.collect_list(F.struct("g", F.concat_ws("|", "a", "b").alias("s")))).alias("each"))
-    strings = strings.select("id", "n_groups", F.array_join(F.col("each.s"), ";").alias("groups"))
-    sizes = segments.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    return sizes.join(linked, "id").join(strings, "id"), pairs
+    # pairs of ids soon stop growing with the corpus; where there are more, a frequent one may be split by Spark,
+    # as nothing above the join needs its rows together
+    known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    counted = links.drop("n").join(known, ["a", "b"]).select("id", "end", "at_a", "at_b", "n", "best").repartition("id")
+    # the running count of cuts is the number of the group that ends there; tokens without bytes end with the last one
+    group = F.dense_rank().over(Window.partitionBy("id").orderBy("end"))
+    each = counted.withColumn("g", group).groupBy("id", "g").agg(F.count("*").alias("n"), F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("sum"), F.max("at_a").alias("a"), F.max("at_b").alias("b"))
+    sums = [F.count("*").alias("n_groups"), F.sum("n").alias("n_links"), F.sum("best").alias("n_best"), F.sum("sum").alias("count_sum")]
+    cuts = each.groupBy("id").agg(*sums, F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("cuts"))
+    met = cuts.join(segments.select("id", "homes", "a", "b"), "id")
+    both = F.zip_with(_ids(F.col("a"), F.col("cuts"), "a"), _ids(F.col("b"), F.col("cuts"), "b"), lambda x, y: F.concat_ws("|", x, y))
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("a", "b")]
+    return met.select("homes", *sizes, "n_groups", "n_links", "n_best", "count_sum", F.array_join(both, ";").alias("groups")), pairs
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -209,28 +293,24 @@ def _restored(texts: pa.Table, own: pa.Table, column: str, finish: Callable[[str
     return pa.Table.from_arrays(out, names=["doc_id", *SUMS, column])
 
 
-def segment_table(documents: DataFrame, files: Tokenizers) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(block, doc_id, numbers) of every text, (home, k, segment) of the blocks'
-    segments, and the distinct ones as (id, segment, n, a, b)."""
-    told = cut(
-        documents.select("doc_id", "text").mapInArrow(
-            _segmented(files), f"block string, doc_id long, numbers binary, k int, segment string, n long, a {TOKENS}, b {TOKENS}"
-        )
-    )
+def segment_table(documents: DataFrame, files: Tokenizers) -> tuple[DataFrame, DataFrame]:
+    """(block, doc_id, numbers) of every text, and the distinct segments: ``id``,
+    ``n``, the tokens, and ``homes``, the blocks that hold it with its number
+    there, so an entry for ``BLOCK`` bytes of text at most."""
+    told = cut(documents.select("doc_id", "text").mapInArrow(_segmented(files), "block string, doc_id long, numbers binary, k int, segment string, n long"))
     texts = told.where(F.col("k").isNull()).select("block", "doc_id", "numbers")
-    own = told.where(F.col("k").isNotNull())
-    # equal segments have equal tokens
-    merged = own.groupBy("segment").agg(F.sum("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    distinct = cut(merged.select(F.monotonically_increasing_id().alias("id"), "segment", "n", "a", "b"))
-    return texts, own.select(F.col("block").alias("home"), "k", "segment"), distinct
+    homes = F.collect_list(F.struct(F.col("block").alias("home"), "k")).alias("homes")
+    merged = told.where(F.col("k").isNotNull()).groupBy("segment").agg(F.sum("n").alias("n"), homes)
+    made = merged.mapInArrow(_with_tokens(files), f"segment string, n long, homes array<struct<home:string,k:int>>, {TOKENS}")
+    return texts, cut(made.select(F.monotonically_increasing_id().alias("id"), "n", "homes", "a", "a_size", "b", "b_size"))
 
 
 def align(documents: DataFrame, files: Tokenizers, digest: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every
     row; with ``digest`` the last column is ``groups_sha256``."""
-    texts, own, distinct = segment_table(documents, files)
-    figures, _ = aligned_segments(distinct.select("id", "n", "a", "b"))
-    back = own.join(distinct.select("id", "segment").join(figures, "id").drop("id"), "segment").select("home", "k", *SUMS, "groups")
+    texts, distinct = segment_table(documents, files)
+    figures, _ = aligned_segments(distinct)
+    back = figures.select(F.inline("homes"), *SUMS, "groups")
     column = "groups_sha256" if digest else "groups"
     finish = (lambda s: sha256(s.encode()).hexdigest()) if digest else (lambda s: s)
 
@@ -243,5 +323,5 @@ def align(documents: DataFrame, files: Tokenizers, digest: bool = False) -> Data
 
 def id_links(documents: DataFrame, files: Tokenizers) -> DataFrame:
     """(a, b, n, best): how often two ids are linked in the corpus."""
-    return aligned_segments(segment_table(documents, files)[2].select("id", "n", "a", "b"))[1]
+    return aligned_segments(segment_table(documents, files)[1])[1]
 

@@ -123,7 +123,7 @@ class ByteBpe:
         subquery can't stand inside a higher-order function; as a column of its own, used
         once, the optimizer puts it there."""
         if self._written is None:
-            self._written = cut(df.sparkSession.range(1).select(self.rank_map().alias("ranks"), self.vocabulary().alias("vocabulary")), tidy=True)
+            self._written = cut(df.sparkSession.range(1).select(self.rank_map().alias("ranks"), self.vocabulary().alias("vocabulary")))
         return self._written.select(name).scalar()
 
     # -- the fold ---------------------------------------------------------
@@ -182,7 +182,7 @@ class ByteBpe:
             .select("piece")
         )
         # written first, so that the plan with the literals is small and planned once
-        spread = cut(top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), tidy=True)
+        spread = cut(top.repartition(4 * df.sparkSession.sparkContext.defaultParallelism))
         held = spread.withColumn("ranks", self.constant(df, "ranks"))
         return held.select("piece", _let(F.col("ranks"), lambda table: self.fold(F.col("piece"), table)).alias("ids"))
 
@@ -193,7 +193,7 @@ class ByteBpe:
         every = df.sparkSession.range(MEMO_LISTS).join(lists, "id", "left")
         # maps have no order, so the lists are ordered by their numbers alone
         lists = F.array_sort(F.collect_list(F.struct("id", "known")), lambda a, b: (a["id"] - b["id"]).cast("int"))
-        return cut(every.agg(lists.alias("lists")).select(F.col("lists.known").alias("memo")), tidy=True).scalar()
+        return cut(every.agg(lists.alias("lists")).select(F.col("lists.known").alias("memo"))).scalar()
 
     def ids_of(self, text: Column, held: Column) -> Column:
         """The ids of a text; ``held`` has the ``memo`` and the ``ranks``."""

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,19 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+#: With this setting Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start
-    from files that survive a lost executor instead of from its lineage.  With
-    ``tidy`` the driver collects its garbage, on which Spark deletes the shuffle
-    files that only led to this table."""
+    from files that survive a lost executor instead of from its lineage.  Shuffle
+    files that only led to the table go as soon as it is written; the session's
+    own setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if tidy:
-        for _ in range(2):  # what listeners still hold is free at the second time
-            time.sleep(0.5)
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

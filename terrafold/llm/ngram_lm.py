@@ -309,7 +309,7 @@ def score_texts(documents: DataFrame, folds: int, held_out: int, strength: tuple
     held = (fold_of("doc_id", folds) == held_out).alias("held_out")
     rows = documents.select("doc_id", held, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    added = lambda asked: cut(asked.groupBy("fragment").applyInArrow(_add_up(fragments), TOLD), tidy=True)
+    added = lambda asked: cut(asked.groupBy("fragment").applyInArrow(_add_up(fragments), TOLD))
     told = added(rows.groupBy("block").applyInArrow(_ask_pairs(fragments), ASK))
     whole = told.agg(F.coalesce(F.sum("n_types"), F.lit(0)).alias("v"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()
     totals = told.select("block", "fragment", "counts")

@@ -161,6 +161,7 @@ def test_alignment_plain(spark):
 def test_alignment_blocks(spark, monkeypatch):
     """Segments of many blocks meet again."""
     monkeypatch.setattr(alignment, "BLOCK", 500)
+    monkeypatch.setattr(alignment, "BROADCAST_PAIRS", 10)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
     rows = list(enumerate(texts))
     assert spark_alignment(spark, rows) == plain_alignment(rows)[0]
@@ -175,8 +176,7 @@ def test_alignment_query(spark):
 
 def test_alignment_zero_lengths(spark):
     """Tokens without bytes end together with the one before them and stay in its group."""
-    t = lambda *x: [{"id": i, "size": n} for i, n in x]
-    segments = spark.createDataFrame([(1, 2, t((1, 2), (2, 0), (3, 1)), t((7, 2), (8, 1)))], f"id long, n long, a {alignment.TOKENS}, b {alignment.TOKENS}")
+    segments = spark.createDataFrame([(1, 2, [], [1, 2, 3], [2, 0, 1], [7, 8], [2, 1])], f"id long, n long, homes array<struct<home:string,k:int>>, {alignment.TOKENS}")
     figures, pairs = alignment.aligned_segments(segments)
     r = figures.first()
     assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups) == (3, 2, 2, 3, "1,2|7;3|8")
