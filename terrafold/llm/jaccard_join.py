@@ -26,8 +26,8 @@ their 64-bit hashes, which is cut into ranges: the fragments.  The join goes lik
 
 Defined results: texts that are null or hold no word have an empty set and link with
 nothing, each its own component; texts shorter than n words are one n-gram;
-rows that repeat a doc_id are returned as often as they stand (with different
-texts, the least of them stands for the id); rows without a doc_id have the size of
+rows that repeat a doc_id are returned as often as they stand, and with different
+texts each row is a document of its own, linked by its own text; rows without a doc_id have the size of
 their set, link with nothing and have no component; very long texts are read whole;
 other columns don't matter; an empty table gives an empty table.
 """
@@ -402,11 +402,17 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, coun
     everything = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = everything.where(F.col("doc_id").isNotNull())
     classes = cut(rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same")))
-    first = classes.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    # a class goes by its smallest doc_id; where two classes share that (an id with several texts), all but one by a negative number
+    least = classes.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    owner = least.groupBy("least").agg(F.min("same").alias("owner"))
+    own = F.when(F.col("same") == F.col("owner"), F.col("least")).otherwise(-F.abs(F.xxhash64("same") % (1 << 62)) - 1)
+    first = cut(least.join(owner, "least").select("same", own.alias("doc_id"), "least", "rows"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     fragments = max(LEAST_FRAGMENTS, -(-size // FRAGMENT_BYTES))
-    # one text an id, in an order of its own: a task that is run again makes the same blocks
-    texts = rows.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).sortWithinPartitions("doc_id")
+    # one text a class, in an order of its own: a task that is run again makes the same blocks
+    same = F.md5(F.col("text").cast("binary"))
+    of_first = rows.withColumn("same", same).join(first.select(F.col("doc_id").alias("key"), F.col("least").alias("doc_id"), "same"), ["doc_id", "same"])
+    texts = of_first.groupBy("doc_id", "same").agg(F.min("key").alias("key"), F.min("text").alias("text")).select(F.col("key").alias("doc_id"), "text").sortWithinPartitions("doc_id")
     sent = texts.mapInArrow(_send(n, fragments), "fragment int, block string, docs binary, sizes binary, grams binary")
     told = sent.groupBy("fragment").applyInArrow(_count, TOLD)
     kept = cut(told.groupBy("block").applyInArrow(_gather(fragments, percent), KEPT))
@@ -465,9 +471,12 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, coun
     final = components(all_links) if more.limit(1).count() else found
 
     # classes and repeated rows take over from their smallest document
-    of_first = kept.select(F.col("doc_id").alias("first"), "n_shingles").dropDuplicates(["first"]).join(final.withColumnRenamed("node", "first"), "first", "left")
+    # a component may go by a negative number: those that do, and their smallest doc_id
+    named = final.join(first.select("doc_id", "least"), F.col("node") == F.col("doc_id")).groupBy("component").agg(F.min("least").alias("smallest")).where("smallest <> component")
+    final = cut(final.join(named, "component", "left").select("node", "component", F.coalesce("smallest", "component").alias("smallest")))
+    of_first = kept.select(F.col("doc_id").alias("first"), "n_shingles").dropDuplicates(["first"]).join(final.select(F.col("node").alias("first"), "smallest"), "first", "left")
     if count_links:
-        of_first = of_first.join(_link_counts(sets, final, percent).withColumnRenamed("node", "first"), "first", "left")
+        of_first = of_first.join(_link_counts(sets, final.select("node", "component"), percent).withColumnRenamed("node", "first"), "first", "left")
     counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     of_class = cut(first.withColumnRenamed("doc_id", "first").join(of_first, "first", "left"))
     # a class may hold a third of all rows: the few large ones meet their rows by broadcast
@@ -476,7 +485,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, coun
     joined = classes.join(F.broadcast(hot), "same").unionByName(cold).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first")).alias("component_id"),
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "least")).alias("component_id"),
         *counts,
     )
     sized = everything.where(F.col("doc_id").isNull()).mapInArrow(_set_sizes(n), "doc_id long, n_shingles long")

@@ -94,6 +94,22 @@ def test_fragments_are_ranges_that_keep_whole_hashes():
         assert np.array_equal(jaccard_join.unpack7(jaccard_join.pack7(g - least)) + least, g)
 
 
+def test_jaccard_where_ids_repeat_with_other_texts(spark):
+    z = " ".join(f"z{k}" for k in range(40))
+    rows = [(1, "a b c"), (1, z), (5, z), (7, z + " more")]
+    rng = np.random.default_rng(4)
+    rows += [(int(rng.integers(20, 45)), t) for t in near_copies(11) + EDGE]
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(*r, None, None, None, None, None, None) for r in rows], DOCS), 4, 85, count_links=False).collect()
+    # brute force by rows: the smallest doc_id of a row's component
+    plain = components([t for _, t in rows], 4, 85)
+    least = {}
+    for (doc_id, _), (_, n, c) in zip(rows, plain, strict=True):
+        least[c] = min(least.get(c, doc_id), doc_id)
+    want = sorted((doc_id, n, least[c]) for (doc_id, _), (_, n, c) in zip(rows, plain, strict=True))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert {(5, 37, 1), (7, 38, 1), (1, 1, 1)} <= set(want)
+
+
 def test_jaccard_of_a_hot_class(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT_SHARE", 3)
     texts = ["a b c d e f"] * 30 + random_texts(6, 12) + ["a b c d e f"]
