@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
 from terrafold.functions import kernels as K
+from terrafold.operators import rings
 from terrafold.plans.lineage import cut
 
 ROUNDS, NODATA = 30, -999
@@ -206,24 +207,23 @@ def boundary_lines(thin: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return lines.withColumn("length", G.line_length(F.col("points"))).where((F.size("points") >= 2) & (F.col("length") > 0))
 
 
-def region_polygons(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(district_id, building_id, geometry, area): the exterior ring, in cell
-    corners, of each 4-connected component; an id may have several."""
+@F.pandas_udf(G.GEOMETRY_TYPE.elementType.elementType)
+def _simplified(points: pd.Series, tolerance: pd.Series) -> pd.Series:
+    return pd.Series([[{"x": x, "y": y} for x, y in K.simplify(np.array([(p["x"], p["y"]) for p in ring]), t).tolist()] for ring, t in zip(points, tolerance, strict=True)])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        labels, _, r0, c0 = _dense(group)
-        parts = K.components4(labels)
-        rows = []
-        for k, part in K.components_at(parts):
-            own = parts[part] == k
-            ring = np.array(K.trace_exterior(own), float) + [c0 + part[1].start, r0 + part[0].start]
-            if tolerance:
-                ring = K.simplify(ring, tolerance)
-            rows.append((group["district_id"].iloc[0], int(labels[part][own][0]), [[[{"x": x, "y": y} for x, y in ring.tolist()]]]))
-        return pd.DataFrame(rows, columns=["district_id", "building_id", "geometry"])
-
-    out = cells.where(F.col("label") > 0).groupBy("district_id").applyInPandas(run, f"district_id long, building_id long, geometry {G.GEOMETRY}")
-    return out.withColumn("area", G.area(F.col("geometry")))
+
+def region_polygons(cells: DataFrame, tolerance: float = 0.0, tile: int = rings.TILE) -> DataFrame:
+    """(district_id, building_id, geometry, area): the exterior ring, in cell
+    corners, of each 4-connected component; an id may have several.  Rings are
+    traced by tiles, so a district of any size takes many tasks."""
+    outer = rings.region_rings(cells, tile).where("area > 0")
+    # from the leftmost, then topmost corner on, and closed
+    start = F.array_position("points", F.array_min("points")).cast("int")
+    ring = F.concat(F.slice("points", start, F.size("points")), F.slice("points", F.lit(1), start))
+    closed = outer.select("district_id", F.col("label").alias("building_id"), ring.alias("ring"))
+    if tolerance:
+        closed = closed.withColumn("ring", _simplified("ring", F.lit(float(tolerance))))
+    return closed.select("district_id", "building_id", F.array(F.array("ring")).cast(G.GEOMETRY).alias("geometry")).withColumn("area", G.area(F.col("geometry")))
 
 
 def segment_polygons(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:

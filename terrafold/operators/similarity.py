@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions import geometry as G
+from terrafold.operators import spectral
+from terrafold.plans.lineage import cut
 
 
 def unit_vectors(nodes: DataFrame) -> DataFrame:
@@ -107,9 +108,13 @@ def spectral_labels(matrix: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     return np.array([number[c] for c in own])
 
 
-def spectral_clusters(affinities: DataFrame, clusters: int | None = None, most_nodes: int = 20_000) -> DataFrame:
-    """(district_id, building_id, spectral_cluster, error).  A district whose
-    dense matrix would not fit gets an error row a node, and no clusters."""
+#: Districts of up to this many nodes are solved in one task each, as a dense matrix (32 MB).
+DENSE_NODES = 2_000
+
+
+def spectral_clusters(affinities: DataFrame, clusters: int | None = None, dense_nodes: int = DENSE_NODES) -> DataFrame:
+    """(district_id, building_id, spectral_cluster, error).  Larger districts are
+    solved by tiles and blocks over the cluster, with the same definition."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([group["i"], group["j"]]))
@@ -124,11 +129,15 @@ def spectral_clusters(affinities: DataFrame, clusters: int | None = None, most_n
         return out
 
     schema = "district_id long, building_id long, spectral_cluster long, error string"
-    sizes = affinities.groupBy("district_id").agg(F.count("*").alias("n"))
-    fits = sizes.where(F.col("n") <= most_nodes * (most_nodes + 1) // 2).select("district_id")
-    done = affinities.join(fits, "district_id", "left_semi").groupBy("district_id").applyInPandas(run, schema)
-    over = affinities.where(F.col("i") == F.col("j")).join(fits, "district_id", "left_anti")
-    return done.unionByName(over.select("district_id", F.col("i").alias("building_id"), F.lit(None).cast("long").alias("spectral_cluster"), F.lit("district too large for a dense matrix").alias("error")))
+    affinities = cut(affinities)
+    sizes = cut(affinities.groupBy("district_id").agg(F.count_if(F.col("i") == F.col("j")).alias("n"), F.count("*").alias("pairs")))
+    # as many pairs may stand without their diagonal
+    large = sizes.where((F.col("n") > dense_nodes) | (F.col("pairs") > dense_nodes * (dense_nodes + 1) // 2)).select("district_id")
+    if not large.limit(1).count():
+        return affinities.groupBy("district_id").applyInPandas(run, schema)
+    done = affinities.join(large, "district_id", "left_anti").groupBy("district_id").applyInPandas(run, schema)
+    tiled = spectral.block_clusters(affinities.join(large, "district_id", "left_semi"), clusters)
+    return done.unionByName(tiled.withColumn("error", F.lit(None).cast("string")))
 
 
 def majority_vote(assigned: DataFrame, cluster: str = "spectral_cluster", label: str = "gat_label") -> DataFrame:

@@ -25,12 +25,12 @@ class TrainConfig:
     patience: int = 100
     rate: float = 5e-4
     clip: float = 1.0
-    lambda_smooth: float = 0.0
+    lambda_smooth: float = 0.5
     temperature: float = 1.0
     seed: int = 42
-    dropout: float = 0.0
-    weight_decay: float = 0.0
-    min_delta: float = 0.0
+    dropout: float = 0.6
+    weight_decay: float = 5e-4
+    min_delta: float = 1e-4
     fan_out: tuple[int, ...] = (15, 10)
     node_threshold: int = 2000
     batch_size: int = 1024

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators import adjacency, attention, features, graph, metrics, raster, results, similarity, spatial
+from terrafold.operators import adjacency, attention, features, graph, metrics, raster, results, rings, similarity, spatial, spectral
 from terrafold.plans import fixtures as X
 from terrafold.plans.lineage import cut
 
@@ -169,6 +169,20 @@ def voronoi_polygons(spark, sf_dir):
     return rounded(raster.region_polygons(_grown(spark, sf_dir)).select("district_id", "building_id", "area", G.vertex_count(F.col("geometry")).alias("vertices")))
 
 
+@query(
+    f"""WITH RECURSIVE {GROWN_SQL},
+    -- a corner of a label for each window of 2 x 2 cells that holds it once or three times, two where it lies on a diagonal
+    win AS (SELECT a.district_id, a.label, a."row" + dr AS wr, a.col + dc AS wc, (1 - dr) * 2 + (1 - dc) AS place FROM v a, (VALUES (0,0),(0,1),(1,0),(1,1)) s(dr, dc) WHERE a.label > 0),
+    pat AS (SELECT district_id, label, wr, wc, count(*) AS n, sum(place) AS places FROM win GROUP BY ALL),
+    corner AS (SELECT district_id, label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND places = 3 THEN 2 ELSE 0 END) AS corners FROM pat GROUP BY ALL),
+    size AS (SELECT district_id, label, count(*) AS area FROM v WHERE label > 0 GROUP BY ALL)
+    SELECT district_id, label AS building_id, CAST(area AS BIGINT) AS area, CAST(corners AS BIGINT) AS corners FROM size JOIN corner USING (district_id, label)"""
+)
+def region_rings(spark, sf_dir):
+    found = rings.region_rings(_grown(spark, sf_dir), tile=16)
+    return found.groupBy("district_id", F.col("label").alias("building_id")).agg(F.sum("area").alias("area"), F.sum(F.size("points").cast("long")).alias("corners"))
+
+
 @query()
 def voronoi_boundary_lines(spark, sf_dir):
     burnt = cut(_burnt(spark, sf_dir))
@@ -272,6 +286,22 @@ def spectral_clusters(spark, sf_dir):
     return similarity.spectral_clusters(similarity.affinity(similarity.pairwise_cosine(n), X.edges(spark, sf_dir), labels))
 
 
+@query(
+    """WITH b AS (SELECT CAST(FLOOR(p_partkey/500) AS BIGINT) AS district_id, p_partkey AS building_id, p_size % 4 AS g FROM part),
+    f AS (SELECT district_id, g, row_number() OVER (PARTITION BY district_id ORDER BY min(building_id)) - 1 AS k FROM b GROUP BY ALL)
+    SELECT district_id, building_id, CAST(k AS BIGINT) AS spectral_cluster FROM b JOIN f USING (district_id, g)"""
+)
+def planted_clusters(spark, sf_dir):
+    """Groups that are known beforehand, solved by tiles and blocks."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    group = F.col("p_size") % 4
+    # four directions, each with a little of a node's own
+    own = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == group, 1.0).otherwise(0.0) + (F.col("p_partkey") % 7) * F.lit(0.01))
+    n = part.select(F.floor(F.col("p_partkey") / 500).cast("long").alias("district_id"), F.col("p_partkey").cast("long").alias("building_id"), own.alias("features"))
+    no_edges = spark.createDataFrame([], "district_id long, src long, dst long, distance double")
+    return spectral.block_clusters(cut(similarity.affinity(similarity.pairwise_cosine(n), no_edges)), clusters=4, block=128)
+
+
 @query(
     f"""WITH {X.SQL_BUILDING}, v AS (SELECT district_id, building_id % 4 AS spectral_cluster, CAST(label AS BIGINT) AS gat_label, count(*) AS votes FROM b GROUP BY ALL)
     SELECT district_id, spectral_cluster, gat_label, votes FROM v QUALIFY row_number() OVER (PARTITION BY district_id, spectral_cluster ORDER BY votes DESC, gat_label) = 1"""

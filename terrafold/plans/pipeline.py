@@ -19,7 +19,7 @@ def extract(districts: DataFrame, buildings: DataFrame, resolution: float = 1.0,
     none = F.lit(None).cast("long")
     failed = bad_districts.withColumn("building_id", none).select("district_id", "building_id", "error").unionByName(bad_buildings.withColumn("district_id", none).select("district_id", "building_id", "error"))
     wanted = districts
-    sound = lambda df, bad, key: df.join(bad.select(key), key, "left_anti").withColumn("geometry", spatial.repair("geometry")).where(F.col("geometry").isNotNull())
+    sound = lambda df, bad, key: df.join(bad.select(key), key, "left_anti").where(F.size("geometry") > 0).withColumn("geometry", spatial.repair("geometry")).where(F.col("geometry").isNotNull())
     districts, buildings = cut(sound(districts, bad_districts, "district_id")), cut(sound(buildings, bad_buildings, "building_id"))
     clipped = cut(spatial.clip_to_districts(buildings, districts).join(buildings.select("building_id", F.col("row_pos").alias("position"), *(["label"] if "label" in buildings.columns else [])), "building_id"))
     gridded = districts.select("district_id", "geometry", raster.grid(G.bounds(F.col("geometry")), resolution, buffer).alias("grid"))

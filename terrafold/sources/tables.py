@@ -18,13 +18,25 @@ def first_column(df: DataFrame, names: list[str]) -> str | None:
 
 
 def normal_id(df: DataFrame, position: str = "row_pos") -> Column:
-    """The id column as a number, else the row's position + 1."""
+    """The id column as a number; a text that is none by a stable hash; without an
+    id (or NaN) the row's position + 1."""
     place = F.col(position).cast("long") + 1
     found = first_column(df, ID_COLUMNS)
     if found is None:
         return place
-    number = F.col(f"`{found}`").cast("double")
-    return F.coalesce(F.when(~F.isnan(number), number).cast("long"), place)
+    value = F.col(f"`{found}`").cast("string")
+    number = value.try_cast("double")
+    text = F.when((F.trim(value) != "") & number.isNull(), text_id(value))
+    return F.coalesce(F.when(~F.isnan(number), number.try_cast("long")), text, place)
+
+
+def normal_label(df: DataFrame) -> Column:
+    """The label column as a number, null for texts that are none."""
+    found = first_column(df, LABEL_COLUMNS)
+    if found is None:
+        return F.lit(None).cast("int")
+    number = F.col(f"`{found}`").cast("string").try_cast("double")
+    return F.when(~F.isnan(number), number.try_cast("int"))
 
 
 def text_id(value: Column) -> Column:
@@ -33,18 +45,16 @@ def text_id(value: Column) -> Column:
 
 
 def load_shapes(df: DataFrame, id_name: str, crs: str | None = None) -> DataFrame:
-    """Canonical rows: id, geometry, box, label, row_pos.  ``crs`` other than None
-    and EPSG:32650 must be EPSG:4326, and is projected."""
+    """Canonical rows: id, geometry, box, label, row_pos; rows without a geometry
+    stay, and a run lists them as failed.  ``crs`` other than None and EPSG:32650
+    must be EPSG:4326, and is projected."""
     if "geometry" not in df.columns:
         raise ValueError("the table has no geometry")
     if crs not in (None, "EPSG:32650", "EPSG:4326"):
         raise ValueError(f"can't project from {crs}")
     shape = G.reproject(F.col("geometry")) if crs == "EPSG:4326" else F.col("geometry")
-    label = first_column(df, LABEL_COLUMNS)
-    out = df.select(
-        normal_id(df).alias(id_name), shape.alias("geometry"), (F.col(label).cast("int") if label else F.lit(None).cast("int")).alias("label"), "row_pos"
-    )
-    return out.where(F.size("geometry") > 0).withColumn("box", G.bounds(F.col("geometry")))
+    out = df.select(normal_id(df).alias(id_name), shape.alias("geometry"), normal_label(df).alias("label"), "row_pos")
+    return out.withColumn("box", F.when(F.size("geometry") > 0, G.bounds(F.col("geometry"))))
 
 
 def crs_of(spark: SparkSession, path: str) -> str | None:

@@ -117,7 +117,7 @@ def test_training_lowers_the_loss_and_resumes(spark, tmp_path):
     rows = [(d, i, (rng.normal(size=4) + 3 * np.eye(4)[i % 2]).tolist(), i % 2) for d in (1, 2) for i in range(8)]
     n = spark.createDataFrame(rows, "district_id long, building_id long, features array<double>, y int")
     e = spark.createDataFrame([(d, i, (i + 2) % 8, 1.0) for d in (1, 2) for i in range(8)], "district_id long, src long, dst long, distance double")
-    config = training.TrainConfig(hidden=4, heads=1, layers=2, classes=2, epochs=3, rate=0.05)
+    config = training.TrainConfig(hidden=4, heads=1, layers=2, classes=2, epochs=3, rate=0.05, dropout=0.0, weight_decay=0.0, min_delta=0.0, lambda_smooth=0.0)
     state = training.train(n, e, config)
     assert state["history"][-1]["train_loss"] < state["history"][0]["train_loss"]
     training.save_checkpoint(spark, state, features.feature_stats(n), config, str(tmp_path / "c"))
