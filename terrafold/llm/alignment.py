@@ -179,10 +179,13 @@ def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
 
 def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of texts (``numbers`` is null without tokens) and rows of segments (``k`` isn't null)."""
-    schema = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("k", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("k", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, texts in blocks(batches, BLOCK):
+            # its partition and its number there, in one number
+            place = [int(x) for x in name.split("-")]
+            block = (place[0] << 32) + place[1]
             words = _Words()
             told = [words.numbers(t.decode()) if t else None for t in texts]
             of = [*words.number]
@@ -197,12 +200,12 @@ def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for at in range(0, len(ids), 1000):
                 part = slice(at, at + 1000)
                 blobs = [None if x is None else pack(x) for x in told[part]]
-                yield _rows(schema, len(blobs), block=pa.array([name] * len(blobs)), doc_id=pa.array(ids[part], pa.int64()), numbers=pa.array(blobs, pa.binary()))
+                yield _rows(schema, len(blobs), block=pa.array([block] * len(blobs), pa.int64()), doc_id=pa.array(ids[part], pa.int64()), numbers=pa.array(blobs, pa.binary()))
             used = np.flatnonzero(counts)
             for at in range(0, len(used), 50_000):
                 part = used[at : at + 50_000]
                 segments = pa.array([of[k] for k in part.tolist()])
-                yield _rows(schema, len(part), block=pa.array([name] * len(part)), k=pa.array(part, pa.int32()), segment=segments, n=pa.array(counts[part]))
+                yield _rows(schema, len(part), block=pa.array([block] * len(part), pa.int64()), k=pa.array(part, pa.int32()), segment=segments, n=pa.array(counts[part]))
 
     return run
 
@@ -250,7 +253,7 @@ def aligned_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     highest of b."""
     a = _ends(segments, "a").select("id", "n", "end", F.col("pos").alias("at_a"), F.col("token").alias("a"))
     b = _ends(segments, "b").select("id", "end", F.col("pos").alias("at_b"), F.col("token").alias("b"))
-    links = cut(a.join(b, ["id", "end"]))
+    links = cut(a.join(b, ["id", "end"]), "zstd")
     pairs = links.groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = cut(pairs.join(pairs.groupBy("b").agg(F.max("n").alias("highest")), "b").select("a", "b", "n", (F.col("n") == F.col("highest")).alias("best")))
     # pairs of ids soon stop growing with the corpus; where there are more, a frequent one may be split by Spark,
@@ -297,12 +300,12 @@ def segment_table(documents: DataFrame, files: Tokenizers) -> tuple[DataFrame, D
     """(block, doc_id, numbers) of every text, and the distinct segments: ``id``,
     ``n``, the tokens, and ``homes``, the blocks that hold it with its number
     there, so an entry for ``BLOCK`` bytes of text at most."""
-    told = cut(documents.select("doc_id", "text").mapInArrow(_segmented(files), "block string, doc_id long, numbers binary, k int, segment string, n long"))
+    told = cut(documents.select("doc_id", "text").mapInArrow(_segmented(files), "block long, doc_id long, numbers binary, k int, segment string, n long"), "zstd")
     texts = told.where(F.col("k").isNull()).select("block", "doc_id", "numbers")
     homes = F.collect_list(F.struct(F.col("block").alias("home"), "k")).alias("homes")
     merged = told.where(F.col("k").isNotNull()).groupBy("segment").agg(F.sum("n").alias("n"), homes)
-    made = merged.mapInArrow(_with_tokens(files), f"segment string, n long, homes array<struct<home:string,k:int>>, {TOKENS}")
-    return texts, cut(made.select(F.monotonically_increasing_id().alias("id"), "n", "homes", "a", "a_size", "b", "b_size"))
+    made = merged.mapInArrow(_with_tokens(files), f"segment string, n long, homes array<struct<home:long,k:int>>, {TOKENS}")
+    return texts, cut(made.select(F.monotonically_increasing_id().alias("id"), "n", "homes", "a", "a_size", "b", "b_size"), "zstd")
 
 
 def align(documents: DataFrame, files: Tokenizers, digest: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start
     from files that survive a lost executor instead of from its lineage.  Shuffle
     files that only led to the table go as soon as it is written; the session's
@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
