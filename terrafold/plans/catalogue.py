@@ -288,7 +288,8 @@ def spectral_clusters(spark, sf_dir):
 
 @query(
     """WITH b AS (SELECT CAST(FLOOR(p_partkey/500) AS BIGINT) AS district_id, p_partkey AS building_id, p_size % 4 AS g FROM part),
-    f AS (SELECT district_id, g, row_number() OVER (PARTITION BY district_id ORDER BY min(building_id)) - 1 AS k FROM b GROUP BY ALL)
+    m AS (SELECT district_id, g, min(building_id) AS first FROM b GROUP BY ALL),
+    f AS (SELECT district_id, g, row_number() OVER (PARTITION BY district_id ORDER BY first) - 1 AS k FROM m)
     SELECT district_id, building_id, CAST(k AS BIGINT) AS spectral_cluster FROM b JOIN f USING (district_id, g)"""
 )
 def planted_clusters(spark, sf_dir):
