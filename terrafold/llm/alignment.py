@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, blocks, cut, release
+from .common import Numbering, blocks, cut, discard, release
 
 #: Bytes of text in a block.
 BLOCK = 24 << 20
@@ -246,11 +246,11 @@ def _ids(tokens: Column, cuts: Column, side: str) -> Column:
     return F.transform(cuts, of)
 
 
-def aligned_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+def aligned_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (id, n, homes) and the columns of tokens: figures of each segment
     (homes, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), and the id
     pairs (a, b, n, best) with the count of their links and whether it is the
-    highest of b."""
+    highest of b; last the table of links that the figures are made of."""
     a = _ends(segments, "a").select("id", "n", "end", F.col("pos").alias("at_a"), F.col("token").alias("a"))
     b = _ends(segments, "b").select("id", "end", F.col("pos").alias("at_b"), F.col("token").alias("b"))
     links = cut(a.join(b, ["id", "end"]), "zstd")
@@ -268,7 +268,7 @@ def aligned_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = cuts.join(segments.select("id", "homes", "a", "b"), "id")
     both = F.zip_with(_ids(F.col("a"), F.col("cuts"), "a"), _ids(F.col("b"), F.col("cuts"), "b"), lambda x, y: F.concat_ws("|", x, y))
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("a", "b")]
-    return met.select("homes", *sizes, "n_groups", "n_links", "n_best", "count_sum", F.array_join(both, ";").alias("groups")), pairs
+    return met.select("homes", *sizes, "n_groups", "n_links", "n_best", "count_sum", F.array_join(both, ";").alias("groups")), pairs, links
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -312,7 +312,11 @@ def align(documents: DataFrame, files: Tokenizers, digest: bool = False) -> Data
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every
     row; with ``digest`` the last column is ``groups_sha256``."""
     texts, distinct = segment_table(documents, files)
-    figures, _ = aligned_segments(distinct)
+    lazy, _, links = aligned_segments(distinct)
+    figures = cut(lazy, "zstd")
+    # what led to the figures takes no room beside the exchange of the blocks
+    for done in (links, distinct):
+        discard(done)
     back = figures.select(F.inline("homes"), *SUMS, "groups")
     column = "groups_sha256" if digest else "groups"
     finish = (lambda s: sha256(s.encode()).hexdigest()) if digest else (lambda s: s)

@@ -57,6 +57,14 @@ def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``cut`` from the shared folder: for one that only led to another written table."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def releasing(work: Callable) -> Callable:
     """``work`` on the driver, after which memory that it has freed goes back to
     the system (the C library would keep it); nothing is done where that's unknown."""

@@ -177,7 +177,7 @@ def test_alignment_query(spark):
 def test_alignment_zero_lengths(spark):
     """Tokens without bytes end together with the one before them and stay in its group."""
     segments = spark.createDataFrame([(1, 2, [], [1, 2, 3], [2, 0, 1], [7, 8], [2, 1])], f"id long, n long, homes array<struct<home:long,k:int>>, {alignment.TOKENS}")
-    figures, pairs = alignment.aligned_segments(segments)
+    figures, pairs, _ = alignment.aligned_segments(segments)
     r = figures.first()
     assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups) == (3, 2, 2, 3, "1,2|7;3|8")
     assert {(p.a, p.b, p.n) for p in pairs.collect()} == {(1, 7, 2), (2, 7, 2), (3, 8, 2)}
