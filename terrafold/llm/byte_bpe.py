@@ -15,7 +15,10 @@ Defined results: a null or empty text has no ids and decodes to no bytes; other
 columns and repeated rows pass through (a column named as the result is
 replaced); an empty table gives an empty table; very long texts are encoded
 whole, in one task.  A fold of an n-byte piece takes at most n - 1 steps over at
-most n + 2 elements, so one unbroken run of letters costs the square of its length.
+most n + 2 elements.  A piece over ``LONG`` bytes is folded by rounds instead: a
+round joins all pairs of the smallest rank, as the leftmost first would, so its
+steps are the distinct ranks that occur.  Where joining one of them makes a pair of a still
+smaller rank, which would come before the others, the round joins the leftmost alone.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ BUCKETS, PLACES = 50_021, 150_001
 #: input, found in about so many documents.  It saves time only: ids don't depend on it.
 MEMO_LISTS = 1 << 17
 MEMO_PIECES, MEMO_BYTES, MEMO_DOCUMENTS = 400_000, 64, 32_000
+#: Pieces of more bytes are folded by rounds: the same ids, other costs.
+LONG = 1000
+#: The sign of an element that a round has joined.
+JOINED = -(1 << 63)
 #: The setting that bounds descriptions of plans.
 PLAN_LENGTH = "spark.sql.maxPlanStringLength"
 
@@ -151,17 +158,59 @@ class ByteBpe:
             at = _let(bits(least, LOW), lambda low: F.size(F.filter(parts, lambda e: bits(e, LOW) < low)) + 1)
             return F.when(least >= F.lit(NONE << 45), parts).otherwise(_let(at, lambda at: merge(parts, at, least)))
 
+        def chosen(parts: Column, least: Column) -> Column:
+            # the pairs of the least rank that are joined, going left to right: of two that share a part the first
+            rank = F.shiftright(least, 45)
+            hit = lambda e: F.shiftright(e, 45) == rank
+            shared = F.exists(F.transform(parts, lambda e, i: hit(e) & hit(F.get(parts, i - 1))), lambda x: x)
+            marks = F.array_join(F.transform(parts, lambda e: F.when(hit(e), "1").otherwise("0")), "")
+            apart = F.transform(F.split(F.replace(marks, F.lit("11"), F.lit("10")), ""), lambda c: c == "1")
+            return F.when(shared, apart).otherwise(F.transform(parts, hit))
+
+        def at_once(parts: Column, least: Column, taken: Column) -> Column:
+            # all chosen pairs joined; null where one of them makes a pair that comes before the others
+            joined, floor = F.shiftright(least, 45), bits(least, NONE << 45)
+            # until the next pair is joined, too, a part stands before that pair's first half
+            early = F.exists(
+                F.transform(parts, lambda e, i: F.get(taken, i) & (element(F.shiftleft(joined, BITS).bitwiseOR(bits(F.get(parts, i + 2), NONE))) < floor)),
+                lambda x: x,
+            )
+            marked = F.transform(parts, lambda e, i: F.when(F.get(taken, i), bits(e, OFFSET).bitwiseOR(joined).bitwiseOR(F.lit(JOINED))).otherwise(e))
+            left = F.filter(marked, lambda e, i: ~F.coalesce(F.get(taken, i - 1), F.lit(False)))
+
+            def again(left: Column) -> Column:
+                def one(e: Column, i: Column) -> Column:
+                    after = F.coalesce(F.get(left, i + 1), F.lit(NONE).cast("long"))
+                    return F.when((e < 0) | (after < 0), element(F.shiftleft(bits(e, LOW), BITS).bitwiseOR(bits(after, NONE)))).otherwise(e)
+
+                return F.transform(left, one)
+
+            whole = _let(left, again)
+            return F.when(early, None).otherwise(_let(whole, lambda out: F.when(F.array_min(out) >= floor, out)))
+
+        def round_of(state: Column) -> Column:
+            def on(parts: Column, least: Column) -> Column:
+                every = _let(chosen(parts, least), lambda taken: at_once(parts, least, taken))
+                return F.struct(F.coalesce(every, step(parts, least)).alias("parts"), F.lit(False).alias("done"))
+
+            def open_(parts: Column) -> Column:
+                least = F.array_min(parts)
+                ended = F.struct(parts.alias("parts"), F.lit(True).alias("done"))
+                return _let(least, lambda least: F.when(least >= F.lit(NONE << 45), ended).otherwise(on(parts, least)))
+
+            return F.when(state["done"], state).otherwise(open_(state["parts"]))
+
         chars = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
         mark = F.lit(NONE).cast("long")
         ids = F.concat(F.array(mark), F.transform(chars, lambda c: F.get(table["byte"], F.ascii(c))), F.array(mark, mark))
         pair = lambda ids, i: F.shiftleft(F.shiftleft(i.cast("long"), BITS).bitwiseOR(F.get(ids, i)), BITS).bitwiseOR(F.get(ids, i + 1))
         start = _let(ids, lambda ids: F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: element(pair(ids, i))))
-        return F.aggregate(
-            F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2))),
-            start,
-            lambda parts, _: _let(F.array_min(parts), lambda least: step(parts, least)),
-            lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda e: bits(e, NONE).cast("int")),
-        )
+        steps = F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2)))
+        inner = lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda e: bits(e, NONE).cast("int"))
+        short = F.aggregate(steps, start, lambda parts, _: _let(F.array_min(parts), lambda least: step(parts, least)), inner)
+        begun = F.struct(start.alias("parts"), F.lit(False).alias("done"))
+        long = F.aggregate(steps, begun, lambda state, _: round_of(state), lambda state: inner(state["parts"]))
+        return F.when(F.octet_length(piece) > LONG, long).otherwise(short)
 
     # -- operators --------------------------------------------------------
     def pieces(self, text: Column) -> Column:

@@ -413,6 +413,22 @@ def test_byte_bpe_like_the_library(spark, memo):
         assert r.ids == library.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
 
 
+def test_folds_by_rounds_like_the_library(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    import random
+
+    monkeypatch.setattr(byte_bpe, "LONG", 0)
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = random.Random(3)
+    texts = ["".join(some.choices("abetnhi", k=some.randint(1, 80))) for _ in range(100)]
+    texts += [w * k for w in ("a", "ab", "aba", "é", "汉字") for k in (1, 2, 3, 5, 16, 33, 70)] + ["".join(some.choices("abcdefghij", k=1500))]
+    out = byte_bpe.ByteBpe(ranks, P.PATTERN, memo_pieces=1).encode(docs_of(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(out, texts, strict=True):
+        assert r.ids == library.encode_ordinary(t)
+
+
 def test_digests_like_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
