@@ -1,5 +1,5 @@
-"""Training of the attention network: gradients of district graphs are computed
-where the graphs are, and summed; the driver takes Adam steps."""
+"""Training of the attention network: gradients of district graphs, or of sampled batches
+of large ones, are computed where the graphs are, and summed; the driver takes Adam steps."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.operators.attention import SLOPE, Layer, Network, forward_numpy
+from terrafold.operators import batches, graph
+from terrafold.operators.attention import SLOPE, Layer, Network, cross_entropy, forward, forward_numpy, smoothness_loss, weighted_loss
+from terrafold.plans.lineage import cut, passing
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class TrainConfig:
     batch_size: int = 1024
     graph_batches: int = 1
     accumulation: int = 1
+    parallel_batches: int = 1
     checkpoint_interval: int = 50
 
 
@@ -118,70 +121,38 @@ def dropped(net: Network, n: int, rate: float, rng: np.random.Generator) -> list
     return [(rng.random((n, layer.weight.shape[1])) >= rate) / (1 - rate) for layer in net.layers]
 
 
-def neighbourhood(seeds: np.ndarray, edges: np.ndarray, fan_out: tuple[int, ...], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, places of edges) of a sampled batch: each hop takes at most so many
-    in-edges of each node that the hop before reached."""
-    order = rng.permutation(len(edges))
-    order = order[np.argsort(edges[order, 1], kind="stable")]  # by target, shuffled within
-    target = edges[order, 1]
-    start = np.searchsorted(target, target)
-    rank = np.arange(len(order)) - start
-    frontier, taken = np.unique(seeds), []
-    for limit in fan_out:
-        pick = order[np.isin(target, frontier) & (rank < limit)]
-        taken.append(pick)
-        frontier = np.unique(edges[pick, 0])
-    places = np.unique(np.concatenate(taken)) if taken else np.zeros(0, int)
-    return np.unique(np.concatenate([seeds, edges[places].ravel()])), places
-
-
-def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig, number: int = 0, training: bool = True) -> DataFrame:
-    """(district_id, n, loss, correct, gradient) of each graph.  In training, graphs
-    over ``node_threshold`` nodes are taken in sampled batches of ``batch_size`` seeds:
-    the loss is that of the seeds, the smoothness that of all nodes of a batch."""
+def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig, number: int = 0, training: bool = True, by: tuple[str, ...] = ("district_id",)) -> DataFrame:
+    """(district_id, n, loss, correct, gradient) of each graph, a group of ``by``.  Where
+    nodes have ``is_seed``, the loss is that of the seeds, the smoothness that of all nodes."""
+    seeded = "is_seed" in nodes.columns
 
     def run(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["building_id"].to_numpy()
-        order = np.argsort(ids)
-        rows, ids = rows.iloc[order], ids[order]
-        x, y = np.stack(rows["features"].to_list()).astype(float), rows["y"].to_numpy()
+        columns = ["district_id", "n", "loss", "correct", "gradient"]
+        rows = rows.sort_values("building_id")
+        # sums don't depend on the order in which edges arrive
+        links = links.sort_values(["src", "dst", "distance"])
+        ids, y = rows["building_id"].to_numpy(), rows["y"].to_numpy()
+        seeds = np.flatnonzero(rows["is_seed"].to_numpy(bool)) if seeded else None
+        if not len(ids) or (seeded and not len(seeds)):
+            return pd.DataFrame(columns=columns)
+        x = np.stack(rows["features"].to_list()).astype(float)
         e = np.stack([np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])], 1) if len(links) else np.zeros((0, 2), int)
-        distance = links["distance"].to_numpy()
-        rng = np.random.default_rng((config.seed, number, int(key[0]) % 2**32))
-        out = []
-
-        def one(x, e, distance, y, seeds):
-            masks = dropped(net, len(x), config.dropout, rng) if training else None
-            loss, correct, grad = loss_and_gradient(net, x, e, distance, y, config.lambda_smooth, config.temperature, seeds, masks)
-            if not np.isfinite(loss):
-                raise ValueError(f"district {key[0]}: the loss is not finite")
-            out.append((key[0], len(x) if seeds is None else len(seeds), loss, correct, grad))
-
-        if training and len(x) > config.node_threshold:
-            # the order of edges doesn't depend on how they arrived
-            known = np.lexsort((distance, e[:, 1], e[:, 0]))
-            e, distance = e[known], distance[known]
-            dealt = rng.permutation(len(x))
-            for at in range(0, len(x), config.batch_size):
-                seeds = np.sort(dealt[at : at + config.batch_size])
-                own, places = neighbourhood(seeds, e, config.fan_out, rng)
-                one(x[own], np.searchsorted(own, e[places]), distance[places], y[own], np.searchsorted(own, seeds))
-            total = sum(n for _, n, *_ in out)
-            mean = [sum(row[1] * row[k] for row in out) / total for k in (2, 4)]
-            out[:] = [(key[0], total, mean[0], sum(row[3] for row in out), mean[1])]
-        else:
-            one(x, e, distance, y, None)
-        return pd.DataFrame([(d, n, loss, correct, grad.tolist()) for d, n, loss, correct, grad in out], columns=["district_id", "n", "loss", "correct", "gradient"])
+        rng = np.random.default_rng((config.seed, number, *(int(k) % 2**32 for k in key)))
+        masks = dropped(net, len(x), config.dropout, rng) if training else None
+        loss, correct, grad = loss_and_gradient(net, x, e, links["distance"].to_numpy(), y, config.lambda_smooth, config.temperature, seeds, masks)
+        if not np.isfinite(loss):
+            raise ValueError(f"district {key[0]}: the loss is not finite")
+        return pd.DataFrame([(key[0], len(x) if seeds is None else len(seeds), loss, correct, grad.tolist())], columns=columns)
 
-    return nodes.groupBy("district_id").cogroup(edges.groupBy("district_id")).applyInPandas(run, "district_id long, n long, loss double, correct long, gradient array<double>")
+    return nodes.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(run, "district_id long, n long, loss double, correct long, gradient array<double>")
 
 
 #: Rows of the model's size that the driver gets from an epoch.
 SUMS = 8
 
 
-def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray]:
-    """(loss, accuracy, gradient) over all graphs, weighted by their nodes, in one
+def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray, int]:
+    """(loss, accuracy, gradient, nodes) over all graphs, weighted by their nodes, in one
     action: each task adds its graphs up, SUMS tasks add these up, the driver the rest."""
     schema = "n long, loss double, correct long, gradient array<double>"
 
@@ -201,12 +172,58 @@ def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray]:
     if not n:
         raise ValueError("there are no graphs to train on")
     gradient = sum(np.array(r["gradient"]) * (r["n"] / n) for r in rows)
-    return sum(r["loss"] * r["n"] for r in rows) / n, sum(r["correct"] for r in rows) / n, gradient
+    return sum(r["loss"] * r["n"] for r in rows) / n, sum(r["correct"] for r in rows) / n, gradient, n
 
 
 def evaluate(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig) -> tuple[float, float]:
-    """(loss, accuracy) of whole graphs, without dropout."""
-    return summed(epoch(nodes, edges, net, config, training=False))[:2]
+    """(loss, accuracy) of whole graphs, without dropout.  Districts over
+    ``node_threshold`` nodes go through the network by joins, the others a task each."""
+    return _evaluated(_by_size(nodes, edges, config), net, config)
+
+
+def _evaluated(parts: tuple[tuple[DataFrame, DataFrame] | None, Large | None], net: Network, config: TrainConfig) -> tuple[float, float]:
+    (small, large), found = parts, []
+    if small is not None:
+        loss, accuracy, _, n = summed(epoch(*small, net, config, training=False))
+        found.append((n, loss, accuracy))
+    if large is not None:
+        found.append(_evaluated_by_joins(large.nodes, large.edges, net, config))
+    n, loss, accuracy = zip(*found, strict=True)
+    return float(np.average(loss, weights=n)), float(np.average(accuracy, weights=n))
+
+
+def _evaluated_by_joins(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig) -> tuple[int, float, float]:
+    """(nodes, loss, accuracy) of districts of any size."""
+    key = ["district_id", "building_id"]
+    out = cut(forward(nodes, edges, net).join(nodes.select(*key, "y"), key))
+    smooth = smoothness_loss(out, edges, config.temperature).withColumnRenamed("loss", "smooth")
+    each = cross_entropy(out).join(smooth, "district_id").withColumn("loss", F.col("loss") + config.lambda_smooth * F.col("smooth"))
+    hits = out.agg(F.count("*").alias("n"), F.avg((F.col("gat_label") == F.col("y")).cast("double")).alias("accuracy")).first()
+    return hits["n"], weighted_loss(each).first()["loss"], hits["accuracy"]
+
+
+@dataclass(frozen=True)
+class Large:
+    """Districts that are trained in sampled batches: ``steps`` numbers all batches."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    plan: DataFrame
+    steps: DataFrame
+
+
+def _by_size(nodes: DataFrame, edges: DataFrame, config: TrainConfig) -> tuple[tuple[DataFrame, DataFrame] | None, Large | None]:
+    """The districts that are taken whole, and those over ``node_threshold`` nodes."""
+    sizes = cut(graph.sampling_plan(nodes, config.node_threshold, config.batch_size))
+    whole = sizes.where("is_full").limit(1).count() > 0
+    plan = sizes.where("not is_full")
+    if not plan.limit(1).count():
+        if not whole:
+            raise ValueError("there are no graphs to train on")
+        return (nodes, edges), None
+    own = lambda df, how: cut(df.join(plan.select("district_id"), "district_id", how))
+    large = Large(own(nodes, "left_semi"), own(edges, "left_semi"), plan, cut(batches.numbered_batches(plan)))
+    return (own(nodes, "left_anti"), own(edges, "left_anti")) if whole else None, large
 
 
 class EarlyStopping:
@@ -240,6 +257,22 @@ def _stepped(state: dict, gradient: np.ndarray, config: TrainConfig) -> None:
     state["params"] = state["params"] - state["rate"] * (state["m"] / (1 - 0.9**at)) / (np.sqrt(state["v"] / (1 - 0.999**at)) + 1e-8)
 
 
+def _graphs_of_epoch(groups: list[tuple[DataFrame, DataFrame]], large: Large | None, config: TrainConfig, at: int) -> Iterator[tuple[DataFrame, DataFrame, tuple[str, ...]]]:
+    """(nodes, edges, keys of a graph) of all that makes a gradient each: the groups of
+    whole districts, then the sampled batches in another order each epoch."""
+    for own, links in groups:
+        yield own, links, ("district_id",)
+    if large is None:
+        return
+    own, links = batches.stepped(large.nodes, large.edges, large.plan, large.steps, config.fan_out, config.seed, at)
+    # the driver makes a step each, so it knows their numbers; a batch may have got no seed
+    found = sorted(r["step"] for r in own.where("is_seed").select("step").distinct().collect())
+    order = np.random.default_rng((config.seed, at)).permutation(found).tolist()
+    for k in range(0, len(order), config.parallel_batches):
+        taken = F.col("step").isin(order[k : k + config.parallel_batches])
+        yield own.where(taken), links.where(taken), ("district_id", "step")
+
+
 def train(
     nodes: DataFrame,
     edges: DataFrame,
@@ -249,31 +282,40 @@ def train(
     saved: Callable[[dict, bool], None] | None = None,
 ) -> dict:
     """Trains and returns a state: parameters, Adam moments, epoch, history.  A
-    state given as ``start`` is continued at its next epoch.  An epoch goes through
-    ``graph_batches`` groups of districts; every ``accumulation`` groups their mean
-    gradient makes a step.  ``saved`` is called with the state and whether it is the best
-    so far, each time it is and every ``checkpoint_interval`` epochs."""
+    state given as ``start`` is continued at its next epoch.  Districts up to
+    ``node_threshold`` nodes are taken whole, in ``graph_batches`` groups; larger ones in
+    batches of about ``batch_size`` seeds that joins sample anew each epoch, ``parallel_batches``
+    at a time.  Every ``accumulation`` of these their mean gradient makes a step.  ``saved``
+    is called with the state and whether it is the best so far, each time it is and every
+    ``checkpoint_interval`` epochs."""
     inputs = len(nodes.select("features").first()["features"])
     net = Network.random(inputs, config.hidden, config.classes, config.layers, config.heads, config.seed)
     state = start or {"params": flat(net), "m": 0.0, "v": 0.0, "epoch": 0, "rate": config.rate, "history": [], "best": None, "best_params": None}
     state.setdefault("steps", state["epoch"])
     stop, stale = EarlyStopping(config.patience, gain=config.min_delta), 0
     stop.best = state["best"]
-    of_batch = lambda df, b: df if config.graph_batches == 1 else df.where(F.pmod(F.xxhash64("district_id"), F.lit(config.graph_batches)) == b)
-    batches = [(of_batch(nodes, b), of_batch(edges, b)) for b in range(config.graph_batches)]
-    batches = [b for b in batches if config.graph_batches == 1 or b[0].limit(1).count()]
+    small, large = _by_size(nodes, edges, config)
+    checks = None if val is None else _by_size(*val, config)
+    of_group = lambda df, b: df if config.graph_batches == 1 else df.where(F.pmod(F.xxhash64("district_id"), F.lit(config.graph_batches)) == b)
+    groups = [] if small is None else [tuple(of_group(df, b) for df in small) for b in range(config.graph_batches)]
+    groups = [g for g in groups if config.graph_batches == 1 or g[0].limit(1).count()]
     for at in range(state["epoch"] + 1, config.epochs + 1):
         seen, kept = [], []
-        for k, (own, links) in enumerate(batches):
-            loss, accuracy, gradient = summed(epoch(own, links, unflat(net, state["params"]), config, at))
-            seen.append((loss, accuracy))
-            kept.append(gradient)
-            if len(kept) == config.accumulation or k == len(batches) - 1:
-                _stepped(state, sum(kept) / len(kept), config)
-                kept = []
-        loss, accuracy = np.mean(seen, axis=0).tolist()
+        with passing(nodes.sparkSession):
+            for own, links, by in _graphs_of_epoch(groups, large, config, at):
+                loss, accuracy, gradient, n = summed(epoch(own, links, unflat(net, state["params"]), config, at, by=by))
+                seen.append((n, loss, accuracy))
+                kept.append(gradient)
+                if len(kept) == config.accumulation:
+                    _stepped(state, sum(kept) / len(kept), config)
+                    kept = []
+        if kept:
+            _stepped(state, sum(kept) / len(kept), config)
+        sizes = [n for n, *_ in seen]
+        loss, accuracy = (float(np.average([s[k] for s in seen], weights=sizes)) for k in (1, 2))
         state["epoch"] = at
-        checked, checked_accuracy = (loss, accuracy) if val is None else evaluate(*val, unflat(net, state["params"]), config)
+        with passing(nodes.sparkSession):
+            checked, checked_accuracy = (loss, accuracy) if checks is None else _evaluated(checks, unflat(net, state["params"]), config)
         state["history"].append({"epoch": at, "train_loss": loss, "train_accuracy": accuracy, "val_loss": checked, "val_accuracy": checked_accuracy, "lr": state["rate"]})
         better = stop.is_better(checked)
         if better:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators import adjacency, attention, features, graph, metrics, raster, results, rings, similarity, spatial, spectral
+from terrafold.operators import adjacency, attention, batches, features, graph, metrics, raster, results, rings, similarity, spatial, spectral, training
 from terrafold.plans import fixtures as X
 from terrafold.plans.lineage import cut
 
@@ -244,6 +244,46 @@ def neighbor_sample(spark, sf_dir):
     return graph.sampled_edges(X.edges(spark, sf_dir))
 
 
+#: The batches of the first epoch: districts over 40 nodes, 16 seeds a batch, fan-outs 5 and 3.
+BATCH_PLAN = (40, 16)
+BATCH_SQL = f"""WITH {X.SQL_NODE}, plan AS (SELECT district_id, CAST(ceil(count(*) / 16.0) AS BIGINT) AS k FROM n GROUP BY ALL HAVING count(*) > 40),
+    own AS (SELECT district_id, building_id, ((building_id % 1000003) * {batches.factor(1)} + 42) % 1000003 % k AS batch FROM n JOIN plan USING (district_id)),
+    r AS (SELECT district_id, src, dst, row_number() OVER (PARTITION BY district_id, dst
+      ORDER BY ((src % 1000003) * {batches.factor(1)} + 42 + (dst % 1000003) * 104729) % 1000003, src) AS place FROM e JOIN plan USING (district_id)),
+    h0 AS (SELECT DISTINCT r.district_id, batch, src, dst FROM own JOIN r ON r.district_id = own.district_id AND dst = building_id AND place <= 5),
+    f AS (SELECT DISTINCT district_id, batch, src AS building_id FROM h0),
+    h1 AS (SELECT DISTINCT r.district_id, batch, src, dst FROM f JOIN r ON r.district_id = f.district_id AND dst = building_id AND place <= 3),
+    links AS (SELECT * FROM h0 UNION SELECT * FROM h1)"""
+
+
+def _batches(spark, sf_dir):
+    n = X.nodes(spark, sf_dir)
+    plan = cut(graph.sampling_plan(n, *BATCH_PLAN).where("not is_full"))
+    return batches.sampled(n, X.edges(spark, sf_dir), plan, (5, 3), number=1)
+
+
+@query(f"{BATCH_SQL} SELECT district_id, batch, src, dst FROM links")
+def batch_links(spark, sf_dir):
+    return _batches(spark, sf_dir)[1].drop("distance")
+
+
+@query(
+    f"""{BATCH_SQL}, m AS (SELECT district_id, batch, building_id, true AS is_seed FROM own
+      UNION ALL SELECT district_id, batch, src, false FROM links UNION ALL SELECT district_id, batch, dst, false FROM links)
+    SELECT district_id, batch, building_id, bool_or(is_seed) AS is_seed FROM m GROUP BY ALL"""
+)
+def batch_members(spark, sf_dir):
+    return _batches(spark, sf_dir)[0]
+
+
+@query()
+def train_history(spark, sf_dir):
+    """Two epochs over all vectors: districts over 48 nodes in batches, a step each."""
+    n = X.nodes(spark, sf_dir).withColumn("y", (F.col("building_id") % 9).cast("int"))
+    config = training.TrainConfig(hidden=8, heads=2, layers=2, epochs=2, node_threshold=48, batch_size=128, rate=0.01)
+    return rounded(training.history_rows(spark, training.train(n, X.edges(spark, sf_dir), config)))
+
+
 @query(
     f"""WITH {X.SQL_NODE}, s AS (SELECT district_id, count(*) AS num_nodes FROM n GROUP BY ALL)
     SELECT district_id, num_nodes, num_nodes <= 2000 AS is_full, CAST(CASE WHEN num_nodes <= 2000 THEN 1 ELSE ceil(num_nodes / 1024.0) END AS BIGINT) AS n_batches, district_id % 4 AS graph_batch FROM s"""

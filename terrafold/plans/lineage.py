@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The folders written inside each open ``passing``, innermost last.
+_passing: list[list[str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,5 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = f"{tempfile.gettempdir()}/terrafold-checkpoints"
     path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``cut`` writes inside go at the end, so that rounds without end
+    don't fill the shared folder.  Nothing lazy that reads them may be used later."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
