@@ -1,4 +1,4 @@
-"""Spatial joins by tiles: an equi-join on tile numbers, then exact tests."""
+"""Spatial joins by cells: an equi-join on cell numbers, then exact tests."""
 
 from __future__ import annotations
 
@@ -9,32 +9,16 @@ from pyspark.sql import types as T
 
 from terrafold.functions import geometry as G
 from terrafold.functions import kernels as K
+from terrafold.operators import curve
 from terrafold.plans.lineage import cut
 
 
-def with_tiles(df: DataFrame, tile: float, geometry: str = "geometry") -> DataFrame:
-    """A row for each tile that the bounds meet, with ``box`` and ``tile``."""
-    b = G.bounds(F.col(geometry))
-    along = lambda lo, hi: F.sequence(F.floor(lo / tile), F.floor(hi / tile))
-    boxed = df.where(F.size(geometry) > 0).withColumn("box", b)
-    return boxed.withColumn("tx", F.explode(along(F.col("box.minx"), F.col("box.maxx")))).withColumn(
-        "ty", F.explode(along(F.col("box.miny"), F.col("box.maxy")))
-    )
-
-
 def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tile: float = 64.0) -> DataFrame:
-    """Pairs whose bounds meet, once each, with ``a`` and ``b`` geometries.  A pair
-    is kept in the tile that holds the lower left corner of its common bounds."""
-    a = with_tiles(left.select(left_id, F.col("geometry").alias("a")), tile, "a").withColumnRenamed("box", "abox")
-    b = with_tiles(right.select(right_id, F.col("geometry").alias("b")), tile, "b").withColumnRenamed("box", "bbox")
-    meet = (
-        (F.col("abox.minx") <= F.col("bbox.maxx"))
-        & (F.col("bbox.minx") <= F.col("abox.maxx"))
-        & (F.col("abox.miny") <= F.col("bbox.maxy"))
-        & (F.col("bbox.miny") <= F.col("abox.maxy"))
-    )
-    own = (F.floor(F.greatest("abox.minx", "bbox.minx") / tile) == F.col("tx")) & (F.floor(F.greatest("abox.miny", "bbox.miny") / tile) == F.col("ty"))
-    return a.join(b, ["tx", "ty"]).where(meet & own).select(left_id, right_id, "a", "b")
+    """Pairs whose bounds meet, once each, with ``a`` and ``b`` geometries: boxes are
+    joined by cells that fit their sizes, and shapes are fetched for pairs only."""
+    a, b = curve.boxed(left, left_id, tile), curve.boxed(right, right_id, tile)
+    named = lambda df, side, key: df.select(F.col("row").alias(f"{side}row"), key, F.col("geometry").alias(side))
+    return curve.pairs(a, b, tile).join(named(a, "a", left_id), "arow").join(named(b, "b", right_id), "brow").select(left_id, right_id, "a", "b")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators import adjacency, attention, batches, features, graph, metrics, raster, results, rings, similarity, spatial, spectral, training
+from terrafold.operators import adjacency, attention, batches, curve, features, graph, metrics, raster, results, rings, similarity, spatial, spectral, training
 from terrafold.plans import fixtures as X
 from terrafold.plans.lineage import cut
 
@@ -480,6 +480,26 @@ def segment_building_count(spark, sf_dir):
     return spatial.count_in_segments(segments, X.buildings(spark, sf_dir, X.SPREAD))
 
 
+@query(
+    f"""WITH {X.SQL_BUILDING}, s AS (SELECT DISTINCT n * 1000000 + district_id // n AS segment_id, 200 * n * (district_id // n) AS x0, 200 * n FROM d, (VALUES (1), (10), (100)) v(n)),
+    w AS (SELECT segment_id, x0, x0 + 200 * (segment_id // 1000000) - 150 AS x1 FROM s)
+    SELECT segment_id, count(building_id) AS n_buildings FROM w LEFT JOIN b ON minx + 200*district_id <= x1 AND maxx + 200*district_id >= x0 AND miny <= 60 AND maxy >= 0 GROUP BY ALL"""
+)
+def blocks_of_many_sizes(spark, sf_dir):
+    """Buildings in strips of 50 m, 1,850 m and 19,850 m."""
+    n = F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))).alias("n")
+    strips = X.districts(spark, sf_dir).select("district_id", n).select("n", F.floor(F.col("district_id") / F.col("n")).alias("j")).distinct()
+    x0 = X.SPREAD * F.col("n") * F.col("j")
+    segments = strips.select((F.col("n") * 1000000 + F.col("j")).alias("segment_id"), G.rectangle(x0, F.lit(0), x0 + X.SPREAD * F.col("n") - 150, F.lit(60)).alias("geometry"))
+    return spatial.count_in_segments(segments, X.buildings(spark, sf_dir, X.SPREAD))
+
+
+@query(f"WITH {X.SQL_BUILDING} SELECT district_id, building_id FROM b WHERE minx + 200*district_id <= 1230 AND maxx + 200*district_id >= 210 AND miny <= 40 AND maxy >= 10")
+def window_buildings(spark, sf_dir):
+    laid = cut(curve.laid_out(X.buildings(spark, sf_dir, X.SPREAD)))
+    return curve.in_window(laid, 210, 10, 1230, 40).select("district_id", "building_id")
+
+
 @query(f"WITH {X.SQL_NODE}, i AS (SELECT district_id, building_id, CAST(row_number() OVER (PARTITION BY district_id ORDER BY building_id) - 1 AS INT) AS k FROM n) SELECT e.district_id, e.src, e.dst, a.k AS src_idx, o.k AS dst_idx FROM e JOIN i a ON a.district_id = e.district_id AND a.building_id = src JOIN i o ON o.district_id = e.district_id AND o.building_id = dst")
 def graph_construction(spark, sf_dir):
     own = graph.indexed_nodes(X.nodes(spark, sf_dir).select("district_id", "building_id"))
