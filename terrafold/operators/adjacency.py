@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.operators.raster import enclosures
+from terrafold.operators.raster import _framed, enclosures
+from terrafold.operators.rings import TILE, tiled
 from terrafold.operators.spatial import shortest_distance
 
 #: Half of the neighbourhood: each pair of cells meets once.
 HALF = [(0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def touching_regions(cells: DataFrame, holes: bool = True) -> DataFrame:
+def _touching(group: pa.Table) -> pa.Table:
+    labels, _, (r, c), _, _ = _framed(group)
+    a = np.tile(labels[r, c], len(HALF))
+    b = np.concatenate([labels[r + dr, c + dc] for dr, dc in HALF])
+    met = (b > 0) & (a != b)
+    src, dst = np.unique(np.stack([np.minimum(a, b)[met], np.maximum(a, b)[met]]), axis=1)
+    return pa.table({"district_id": pa.array(np.full(len(src), group["district_id"][0].as_py())), "src": src, "dst": dst})
+
+
+def touching_regions(cells: DataFrame, holes: bool = True, tile: int = TILE) -> DataFrame:
     """(district_id, src < dst): labels on neighbouring cells, corners included,
-    and regions inside another's hole."""
-    own = cells.where(F.col("label") > 0)
-    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in HALF])
-    moved = own.withColumn("s", F.explode(steps)).select(
-        "district_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("label").alias("other")
-    )
-    pairs = (
-        own.join(moved, ["district_id", "row", "col"])
-        .where(F.col("label") != F.col("other"))
-        .select("district_id", F.least("label", "other").alias("src"), F.greatest("label", "other").alias("dst"))
-        .distinct()
-    )
+    and regions inside another's hole.  Neighbours are found by tiles with a halo."""
+    pairs = tiled(cells.where(F.col("label") > 0), tile).groupBy("district_id", "tr", "tc").applyInArrow(_touching, "district_id long, src long, dst long").distinct()
     return pairs.unionByName(enclosures(cells)).distinct() if holes else pairs
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,9 @@ def cell_centre(g: Column, row: Column, col: Column) -> Column:
     return F.struct((g["x0"] + (col + 0.5) * g["xres"]).alias("x"), (g["y1"] - (row + 0.5) * g["yres"]).alias("y"))
 
 
-def covered_cells(shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, col) of the cells whose inside the geometry meets; ``shapes``
-    has keys, ``geometry`` and ``grid``."""
+def covered_rows(shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, cols): for each row of the raster the columns of the cells whose
+    inside the geometry meets; ``shapes`` has keys, ``geometry`` and ``grid``."""
     b = G.bounds(F.col("geometry"))
     g = F.col("grid")
     clamp = lambda v, top: F.least(F.greatest(v, F.lit(0)), top - 1).cast("int")
@@ -64,10 +65,16 @@ def covered_cells(shapes: DataFrame, keys: list[str]) -> DataFrame:
     cols = span(F.col("b.minx") - g["x0"], F.col("b.maxx") - g["x0"], g["xres"], g["width"])
     # a shape that fills its bounds needs no test of its cells
     fills = F.abs(G.area(F.col("geometry")) - (F.col("b.maxx") - F.col("b.minx")) * (F.col("b.maxy") - F.col("b.miny"))) < 1e-9
-    ready = sized.select(*keys, "grid", "b", fills.alias("fills"), G.edges(F.col("geometry")).alias("segments"))
-    cells = ready.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
-    x0, y1 = g["x0"] + F.col("col") * g["xres"], g["y1"] - F.col("row") * g["yres"]
-    return cells.where(F.col("fills") | G.meets_open_box(F.col("segments"), x0, y1 - g["yres"], x0 + g["xres"], y1)).select(*keys, "row", "col")
+    ready = sized.select(*keys, "grid", fills.alias("fills"), G.edges(F.col("geometry")).alias("segments"), rows.alias("rows"), cols.alias("cols"))
+    lines = ready.withColumn("row", F.explode("rows"))
+    x0, y1 = lambda c: g["x0"] + c * g["xres"], g["y1"] - F.col("row") * g["yres"]
+    met = F.filter("cols", lambda c: G.meets_open_box(F.col("segments"), x0(c), y1 - g["yres"], x0(c) + g["xres"], y1))
+    return lines.select(*keys, "row", F.when(F.col("fills"), F.col("cols")).otherwise(met).alias("cols"))
+
+
+def covered_cells(shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col) of the cells whose inside the geometry meets."""
+    return covered_rows(shapes, keys).select(*keys, "row", F.explode("cols").alias("col"))
 
 
 def burn(buildings: DataFrame, districts: DataFrame) -> DataFrame:
@@ -75,14 +82,18 @@ def burn(buildings: DataFrame, districts: DataFrame) -> DataFrame:
 
     ``districts`` has district_id, geometry, grid; ``buildings`` district_id,
     building_id, geometry and ``position`` (on overlap the last one wins).  Ids of
-    0 or less leave their cells free.
+    0 or less leave their cells free.  Only rows of shapes are exchanged: their cells
+    meet in the partition of their row.
     """
-    mask = covered_cells(districts, ["district_id"])
-    placed = buildings.where(F.col("building_id") > 0).join(districts.select("district_id", "grid"), "district_id")
-    burnt = covered_cells(placed, ["district_id", "building_id", "position"]).groupBy("district_id", "row", "col").agg(
-        F.max_by("building_id", F.struct("position", "building_id")).alias("label")
-    )
-    return mask.join(burnt, ["district_id", "row", "col"], "left").select("district_id", "row", "col", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+    mask = covered_rows(districts, ["district_id"]).select("district_id", "row", "cols", F.lit(True).alias("inside"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("building_id"))
+    placed = buildings.where(F.col("building_id") > 0).join(districts.select("district_id", "grid").hint("merge"), "district_id")
+    lines = covered_rows(placed, ["district_id", "building_id", "position"]).select("district_id", "row", "cols", F.lit(False).alias("inside"), F.col("position").cast("long"), "building_id")
+    # a number of its own: rows of shapes are small before their cells come, and few partitions would be left
+    n = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = mask.unionByName(lines).repartition(n, "district_id", "row").withColumn("col", F.explode("cols"))
+    # without a position comes before any
+    found = each.groupBy("district_id", "row", "col").agg(F.max(F.struct("position", "building_id")).alias("top"), F.max("inside").alias("inside"))
+    return found.where("inside").select("district_id", "row", "col", F.coalesce("top.building_id", F.lit(0)).cast("long").alias("label"))
 
 
 def rejected_ids(buildings: DataFrame) -> DataFrame:
@@ -99,11 +110,24 @@ def _dense(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return labels, mask, r0, c0
 
 
+def _framed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], int, int]:
+    """Labels and mask with one cell of frame, the cells' places in them, and the raster's place of their corner."""
+    row, col = group["row"].to_numpy(), group["col"].to_numpy()
+    r0, c0 = int(row.min()) - 1, int(col.min()) - 1
+    at = row - r0, col - c0
+    labels = np.zeros((int(at[0].max()) + 2, int(at[1].max()) + 2), np.int64)
+    mask = np.zeros(labels.shape, bool)
+    labels[at], mask[at] = group["label"].to_numpy(), True
+    return labels, mask, at, r0, c0
+
+
 def _grow_kernel(rounds: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        labels, mask, r0, c0 = _dense(group)
-        grown = K.grow(labels, mask, rounds)
-        return group.assign(label=grown[group["row"].to_numpy() - r0, group["col"].to_numpy() - c0])
+    def run(group: pa.Table) -> pa.Table:
+        labels, mask, at, _, _ = _framed(group)
+        grown = K.grow(labels, mask, rounds)[at]
+        if grown.max() > 0:
+            grown[grown == 0] = NODATA
+        return pa.table({"district_id": group["district_id"], "row": group["row"], "col": group["col"], "label": grown})
 
     return run
 
@@ -122,7 +146,7 @@ def grow_by_joins(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .agg(F.max("heard").alias("heard"))
         )
         step = cut(
-            known.join(told, ["district_id", "row", "col"], "left").select(
+            known.join(told.hint("merge"), ["district_id", "row", "col"], "left").select(
                 "district_id", "row", "col", F.when(F.col("label") == 0, F.coalesce("heard", F.lit(0))).otherwise(F.col("label")).alias("label"), ((F.col("label") == 0) & (F.col("heard") > 0)).alias("new")
             )
         )
@@ -136,16 +160,14 @@ def grow(cells: DataFrame, rounds: int = ROUNDS, kernel_cells: int = KERNEL_CELL
     """Voronoi cells: labels grown for so many rounds, the rest -999.  A district
     without any label stays 0 throughout."""
     cells = cut(cells)
-    sizes = cut(cells.groupBy("district_id").agg(F.count("*").alias("n"), F.max("label").alias("top")))
-    sized = cells.join(sizes, "district_id")
-    small = sized.where(F.col("n") <= kernel_cells)
-    grown = small.drop("n").groupBy("district_id").applyInPandas(_grow_kernel(rounds), CELL + ", top long")
-    if sizes.where(F.col("n") > kernel_cells).limit(1).count():
-        large = cut(sized.where(F.col("n") > kernel_cells).drop("n"))
-        tops = large.select("district_id", "top").distinct()
-        grown = grown.unionByName(grow_by_joins(large.drop("top"), rounds).join(tops, "district_id"))
+    sizes = cells.groupBy("district_id").agg(F.count("*").alias("n"), F.max("label").alias("top"))
+    large = cut(sizes.where(F.col("n") > kernel_cells).select("district_id", "top"))
+    run = lambda small: small.groupBy("district_id").applyInArrow(_grow_kernel(rounds), CELL)
+    if not large.limit(1).count():
+        return run(cells)
+    by_joins = grow_by_joins(cells.join(large.select("district_id"), "district_id", "left_semi"), rounds).join(large, "district_id")
     label = F.when((F.col("label") == 0) & (F.col("top") > 0), F.lit(NODATA)).otherwise(F.col("label"))
-    return grown.select("district_id", "row", "col", label.cast("long").alias("label"))
+    return run(cells.join(large, "district_id", "left_anti")).unionByName(by_joins.select("district_id", "row", "col", label.cast("long").alias("label")))
 
 
 def region_areas(cells: DataFrame, cell_area: float = 1.0) -> DataFrame:
@@ -160,26 +182,43 @@ def coverage(cells: DataFrame) -> DataFrame:
     )
 
 
-def boundary_cells(cells: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
+EDGE = "district_id long, row int, col int, label long, sure boolean, gaps array<int>"
+
+
+def _edge_kernel(group: pa.Table) -> pa.Table:
+    """Own cells whose window holds two labels (``sure``), or whose window has places
+    without a cell (``gaps``, as numbers in OFFSETS)."""
+    labels, mask, at, _, _ = _framed(group)
+    own = group["own"].to_numpy(zero_copy_only=False)
+    r, c = at[0][own], at[1][own]
+    label = labels[r, c]
+    there = np.stack([mask[r + dr, c + dc] for dr, dc in OFFSETS], 1)
+    other = np.stack([labels[r + dr, c + dc] != label for dr, dc in OFFSETS], 1)
+    sure, gap = (there & other).any(1), ~there
+    told = sure | gap.any(1)
+    gap[sure] = False
+    ends = np.r_[0, gap[told].sum(1).cumsum()].astype(np.int32)
+    gaps = pa.ListArray.from_arrays(ends, np.nonzero(gap[told])[1].astype(np.int32))
+    of = group.filter(pa.array(own)).filter(pa.array(told))
+    return pa.table({"district_id": of["district_id"], "row": of["row"], "col": of["col"], "label": of["label"], "sure": sure[told], "gaps": gaps})
+
+
+def boundary_cells(cells: DataFrame, buildings: DataFrame | None = None, tile: int = rings.TILE) -> DataFrame:
     """(district_id, row, col) whose 3 x 3 window holds different labels.  Cells
     outside the district count as -999; at the edge of the raster the window
-    repeats its own edge cells.  Cells of ``buildings`` are left out."""
+    repeats its own edge cells.  Cells of ``buildings`` are left out.  Windows are
+    taken by tiles with a halo of one cell."""
+    seen = rings.tiled(cells, tile).groupBy("district_id", "tr", "tc").applyInArrow(_edge_kernel, EDGE)
     box = cells.groupBy("district_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in [*OFFSETS, (0, 0)]])
-    # each cell tells its label to its window; a window with fewer labels than places inside the raster also saw -999
-    told = (
-        cells.withColumn("s", F.explode(steps))
-        .select("district_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "label")
-        .groupBy("district_id", "row", "col")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    )
-    places = (F.least(F.col("row") + 1, "r1") - F.greatest(F.col("row") - 1, "r0") + 1) * (F.least(F.col("col") + 1, "c1") - F.greatest(F.col("col") - 1, "c0") + 1)
-    out = cells.select("district_id", "row", "col").join(told, ["district_id", "row", "col"]).join(box, "district_id")
-    lo = F.when(F.col("n") < places, F.least("lo", F.lit(NODATA))).otherwise(F.col("lo"))
-    hi = F.when(F.col("n") < places, F.greatest("hi", F.lit(NODATA))).otherwise(F.col("hi"))
-    out = out.where(lo != hi).select("district_id", "row", "col")
+    # a place without a cell inside the raster is -999, one beside it repeats a cell of the window
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in OFFSETS])
+    place = lambda k: (F.col("row") + F.get(steps, k)["dr"], F.col("col") + F.get(steps, k)["dc"])
+    inside = lambda r, c: r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
+    maybe = seen.join(box, "district_id").where(F.col("sure") | (F.col("label") != NODATA) & F.exists("gaps", lambda k: inside(*place(k))))
+    out = maybe.select("district_id", "row", "col")
     if buildings is not None:
-        out = out.join(buildings.where(F.col("label") > 0).select("district_id", "row", "col"), ["district_id", "row", "col"], "left_anti")
+        taken = buildings.where(F.col("label") > 0).select("district_id", "row", "col")
+        out = out.join(taken.hint("merge"), ["district_id", "row", "col"], "left_anti")
     return out
 
 
@@ -254,7 +293,12 @@ def enclosures(cells: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         labels, _, _, _ = _dense(group)
         parts, out = K.components4(labels), set()
-        for k, part in K.components_at(parts):
+        at = K.components_at(parts)
+        lo, hi = (np.array([[getattr(side, end) for side in part] for _, part in at]) for end in ("start", "stop"))
+        for k, part in at:
+            # what lies in a hole has its own window well within
+            if not ((lo > [s.start for s in part]) & (hi < [s.stop for s in part])).all(1).any():
+                continue
             own = parts[part] == k
             holes = K.filled(own) & ~own
             if holes.any():

@@ -86,12 +86,16 @@ def _pieces(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")]).astype({"next": "Int64"})
 
 
-def ring_pieces(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pieces of rings (columns PIECE); ``next`` is null where a ring is closed within its tile."""
+def tiled(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Cells with their tile (``tr``, ``tc``), and once more, not ``own``, for each tile within one cell of them."""
     tiles = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(c) + d) / tile))))
-    near = cells.where(F.col("label") > 0).select("district_id", "row", "col", "label").withColumn("tr", tiles("row")).withColumn("tc", tiles("col"))
     own = (F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc"))
-    return near.withColumn("own", own).groupBy("district_id", "tr", "tc").applyInPandas(_pieces, PIECE)
+    return cells.select("district_id", "row", "col", "label").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).withColumn("own", own)
+
+
+def ring_pieces(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pieces of rings (columns PIECE); ``next`` is null where a ring is closed within its tile."""
+    return tiled(cells.where(F.col("label") > 0), tile).groupBy("district_id", "tr", "tc").applyInPandas(_pieces, PIECE)
 
 
 RING = "district_id long, label long, area long, points array<struct<x:double,y:double>>"

@@ -47,6 +47,22 @@ def test_burn(spark):
     assert raster.rejected_ids(b).count() == 1
 
 
+def test_cells_are_not_broadcast(spark, capsys):
+    """Tables of cells are far larger than Spark expects from the shapes that they come from."""
+    grid = F.struct(F.lit(0.0).alias("x0"), F.lit(4.0).alias("y1"), F.lit(1.0).alias("xres"), F.lit(1.0).alias("yres"), F.lit(4).alias("width"), F.lit(4).alias("height"))
+    d = shapes(spark, "district_id", [(1, 0, 0, 4, 4)]).withColumn("grid", grid)
+    b = shapes(spark, "building_id", [(5, 0, 0, 2, 2)]).withColumns({"district_id": F.lit(1).cast("long"), "position": F.lit(1)})
+    burnt = raster.burn(b, d)
+    written = raster.cut(burnt)
+    for df in (burnt, raster.grow(written), adjacency.touching_regions(written)):
+        df.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+    near = raster.boundary_cells(written, written)
+    near.explain()
+    assert capsys.readouterr().out.count("BroadcastHashJoin") <= 1  # a row a district
+    assert {(r.row, r.col) for r in near.collect()} == {(r, c) for r in range(1, 4) for c in range(3)} - {(r, c) for r in (2, 3) for c in (0, 1)}
+
+
 def test_growth_forms_agree(spark):
     rng = np.random.default_rng(3)
     rows = [[None if rng.random() < 0.2 else int(rng.random() < 0.05) * int(rng.integers(1, 9)) for _ in range(15)] for _ in range(12)]
