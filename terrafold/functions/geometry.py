@@ -29,10 +29,8 @@ def rectangle(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
 def _edges(ring: Column) -> Column:
     """array<struct<p, q>> of the ring's segments."""
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))),
-        lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, i + 1).alias("q")),
-    )
+    n = F.greatest(F.size(ring) - 1, F.lit(1))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
 def edges(geometry: Column) -> Column:

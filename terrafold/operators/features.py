@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +18,46 @@ NAMES = [
 ]
 
 
+def hulls(xs: list, ys: list) -> np.ndarray:
+    """Orientation and hull area of each row's points.  Rows that go round a strictly convex
+    shape once are their own hull and are taken together, by their number of points."""
+    out = np.zeros((len(xs), 2))
+    sizes = np.array([0 if x is None else len(x) for x in xs])
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        p = np.stack([np.stack([xs[i] for i in at]), np.stack([ys[i] for i in at])], 2).astype(float)
+        convex = np.zeros(len(at), bool)
+        if n > 2:
+            d = np.roll(p, -1, 1) - p
+            e = np.roll(d, -1, 1)
+            cross, dot = K.cross2(d, e), (d * e).sum(2)
+            around = np.abs(np.arctan2(cross, dot).sum(1))
+            convex = ((cross > 0).all(1) | (cross < 0).all(1)) & (np.abs(around - 2 * np.pi) < 1e-6)
+        if convex.any():
+            q, d = p[convex], d[convex]
+            u = d / np.hypot(d[..., 0], d[..., 1])[..., None]
+            along, across = q @ u.transpose(0, 2, 1), q @ np.stack([-u[..., 1], u[..., 0]], 1)
+            w, h = np.ptp(along, 1), np.ptp(across, 1)
+            longer = np.where((w >= h)[..., None], u, np.stack([-u[..., 1], u[..., 0]], 2))
+            angle = np.abs(np.arctan2(longer[..., 1], longer[..., 0])) % (np.pi / 2)
+            angle[np.pi / 2 - angle < 1e-12] = 0.0
+            size = np.round(w * h, 9)
+            # the least angle of the least rectangles
+            out[at[convex], 0] = np.where(size == size.min(1)[:, None], angle, np.inf).min(1)
+            out[at[convex], 1] = np.abs(K.cross2(q, np.roll(q, -1, 1)).sum(1)) / 2
+        for i, points in zip(at[~convex], p[~convex], strict=True):
+            out[i] = K.orientation(points), K.polygon_area(K.convex_hull(points))
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("angle", T.DoubleType()), T.StructField("hull", T.DoubleType())]))
-def _hull(geometry: pd.Series) -> pd.DataFrame:
-    rows = []
-    for g in geometry:
-        if g is None or not len(g):
-            rows.append((0.0, 0.0))
-            continue
-        segments = K.segments_of(g)[:, 0]
-        rows.append((K.orientation(segments), K.polygon_area(K.convex_hull(segments))))
-    return pd.DataFrame(rows, columns=["angle", "hull"])
+def _hull(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(hulls(xs.to_list(), ys.to_list()), columns=["angle", "hull"])
+
+
+def _hull_of(geometry: Column) -> Column:
+    open_ = F.flatten(F.transform(F.flatten(geometry), lambda ring: F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))))
+    return _hull(F.transform(open_, lambda p: p["x"]), F.transform(open_, lambda p: p["y"]))
 
 
 def building_features(buildings: DataFrame, spatial: bool = True) -> DataFrame:
@@ -36,9 +67,10 @@ def building_features(buildings: DataFrame, spatial: bool = True) -> DataFrame:
     shape = F.col("geometry")
     full = F.size(shape) > 0
     b = G.bounds(shape)
-    base = buildings.withColumns({"box": F.when(full, b), "h": _hull("geometry")})
+    # dealt anew: a small file of many shapes would be one task's
+    base = buildings.repartition("district_id", "building_id").withColumns({"box": F.when(full, b), "h": _hull_of(shape)})
     if spatial:
-        total = base.groupBy("district_id").agg(*(getattr(F, f)(f"box.{c}").alias(f"t_{c}") for f, c in (("min", "minx"), ("min", "miny"), ("max", "maxx"), ("max", "maxy"))))
+        total = buildings.withColumn("box", F.when(full, b)).groupBy("district_id").agg(*(getattr(F, f)(f"box.{c}").alias(f"t_{c}") for f, c in (("min", "minx"), ("min", "miny"), ("max", "maxx"), ("max", "maxy"))))
         base = base.join(total, "district_id")
     w, h = F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")
     base = base.withColumns({"a": F.when(full, G.area(shape)), "p": F.when(full, G.perimeter(shape)), "w": w, "hh": h})

@@ -96,6 +96,19 @@ def test_features(spark):
     assert all(abs(sum(x.features[k] for x in out)) < 1e-9 for k in range(13))
 
 
+def test_hulls_together(monkeypatch):
+    """Convex shapes are taken in one go, all others as before."""
+    rng, k = np.random.default_rng(8), np.arange(5)
+    star = [(np.cos(4 * np.pi * i / 5), np.sin(4 * np.pi * i / 5)) for i in k]
+    rows = [[(0, 0), (4, 0), (4, 1), (0, 1)], [(0, 1), (4, 1), (4, 0), (0, 0)], [(0, 0), (2, 0), (4, 0), (4, 3), (0, 3)], star, star[::-1], [(0, 0), (3, 1), (1, 4)], [(1, 1)], [(1, 1), (3, 4)], [(0, 0)] * 4]
+    rows += [[(0, 0), (5, 1), (1, 1), (0, 4)], *rng.normal(size=(20, 4, 2)).tolist(), *rng.normal(size=(20, 6, 2)).tolist()]
+    got = features.hulls([[p[0] for p in r] for r in rows] + [None, []], [[p[1] for p in r] for r in rows] + [None, []])
+    want = [(features.K.orientation(p), features.K.polygon_area(features.K.convex_hull(p))) for p in (np.array(r, float) for r in rows)]
+    assert np.allclose(got, [*want, (0, 0), (0, 0)], atol=1e-9)
+    monkeypatch.setattr(features.K, "convex_hull", None)
+    assert features.hulls([[0, 4, 4, 0]] * 3, [[0, 0, 1, 1]] * 3).tolist() == [[0.0, 4.0]] * 3
+
+
 def test_graph(spark):
     n = spark.createDataFrame([(1, i) for i in range(5)], "district_id long, building_id long")
     e = spark.createDataFrame([(1, 0, 1, 2.0), (1, 1, 0, 2.0), (1, 3, 4, 2.0), (1, 4, 3, 2.0)], "district_id long, src long, dst long, weight double")
