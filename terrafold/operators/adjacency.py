@@ -20,7 +20,11 @@ def _touching(group: pa.Table) -> pa.Table:
     a = np.tile(labels[r, c], len(HALF))
     b = np.concatenate([labels[r + dr, c + dc] for dr, dc in HALF])
     met = (b > 0) & (a != b)
-    src, dst = np.unique(np.stack([np.minimum(a, b)[met], np.maximum(a, b)[met]]), axis=1)
+    src, dst = np.minimum(a, b)[met], np.maximum(a, b)[met]
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    first = np.r_[True, (np.diff(src) != 0) | (np.diff(dst) != 0)][: len(src)]
+    src, dst = src[first], dst[first]
     return pa.table({"district_id": pa.array(np.full(len(src), group["district_id"][0].as_py())), "src": src, "dst": dst})
 
 
@@ -40,8 +44,12 @@ def adjacency_edges(pairs: DataFrame, buildings: DataFrame) -> DataFrame:
     adjacent regions; ids without a footprint are left out.  A distance of 0
     stays an edge: ``distance > 0`` gives the matrix view."""
     shape = lambda name: buildings.select("district_id", F.col("building_id").alias(name), F.col("geometry").alias(f"{name}_shape"))
-    joined = pairs.join(shape("src"), ["district_id", "src"]).join(shape("dst"), ["district_id", "dst"])
-    return both_ways(joined.select("district_id", "src", "dst", shortest_distance("src_shape", "dst_shape").alias("distance")))
+    # a merge: tables of shapes are far larger than their files, by which Spark would send them through the driver
+    joined = pairs.join(shape("src").hint("merge"), ["district_id", "src"]).join(shape("dst").hint("merge"), ["district_id", "dst"])
+    found = joined.select("district_id", "src", "dst", shortest_distance("src_shape", "dst_shape").alias("distance"))
+    # not a union of both ways, which would find the pairs twice
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return found.select("district_id", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e"), "distance").select("district_id", "e.src", "e.dst", "distance")
 
 
 def missing_footprints(pairs: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def adjacency_stats(edges: DataFrame) -> DataFrame:
 def adjacency_faults(edges: DataFrame) -> DataFrame:
     """Edges that break a property: no self edges, symmetric, not negative."""
     back = edges.select("district_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("distance").alias("back"))
-    both = edges.join(back, ["district_id", "src", "dst"], "left")
+    both = edges.join(back.hint("merge"), ["district_id", "src", "dst"], "left")
     fault = (
         F.when((F.col("src") == F.col("dst")) & (F.col("distance") != 0), "self edge")
         .when(F.col("distance") < 0, "negative")

@@ -214,7 +214,7 @@ def boundary_cells(cells: DataFrame, buildings: DataFrame | None = None, tile: i
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in OFFSETS])
     place = lambda k: (F.col("row") + F.get(steps, k)["dr"], F.col("col") + F.get(steps, k)["dc"])
     inside = lambda r, c: r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
-    maybe = seen.join(box, "district_id").where(F.col("sure") | (F.col("label") != NODATA) & F.exists("gaps", lambda k: inside(*place(k))))
+    maybe = seen.join(box.hint("merge"), "district_id").where(F.col("sure") | (F.col("label") != NODATA) & F.exists("gaps", lambda k: inside(*place(k))))
     out = maybe.select("district_id", "row", "col")
     if buildings is not None:
         taken = buildings.where(F.col("label") > 0).select("district_id", "row", "col")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.plans.lineage import cut
@@ -88,7 +88,13 @@ def _pieces(group: pd.DataFrame) -> pd.DataFrame:
 
 def tiled(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """Cells with their tile (``tr``, ``tc``), and once more, not ``own``, for each tile within one cell of them."""
-    tiles = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(c) + d) / tile))))
+    at = lambda c, d=0: F.floor((F.col(c) + d) / tile)
+
+    def tiles(c: str) -> Column:
+        # nearly all cells have one tile
+        edge = (F.pmod(F.col(c), F.lit(tile)) == 0) | (F.pmod(F.col(c) + 1, F.lit(tile)) == 0)
+        return F.explode(F.when(edge, F.array_distinct(F.array(at(c, -1), at(c), at(c, 1)))).otherwise(F.array(at(c))))
+
     own = (F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc"))
     return cells.select("district_id", "row", "col", "label").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).withColumn("own", own)
 

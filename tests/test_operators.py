@@ -63,6 +63,22 @@ def test_cells_are_not_broadcast(spark, capsys):
     assert {(r.row, r.col) for r in near.collect()} == {(r, c) for r in range(1, 4) for c in range(3)} - {(r, c) for r in (2, 3) for c in (0, 1)}
 
 
+def test_shapes_are_not_broadcast(spark, tmp_path, capsys):
+    """Shapes take far more room than the files that they come from, and pairs are found once for both ways."""
+    b = shapes(spark, "building_id", [(k, 3 * k, 0, 3 * k + 1, 1) for k in range(4)]).withColumn("district_id", F.lit(1).cast("long"))
+    b.write.parquet(f"{tmp_path}/b")
+    b = spark.read.parquet(f"{tmp_path}/b")
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 1, 3), (1, 1, 9)], "district_id long, src long, dst long")
+    edges = adjacency.adjacency_edges(pairs, b)
+    for df in (edges, adjacency.adjacency_faults(edges)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "Broadcast" not in plan
+    edges.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in edges.collect()) == [(1, 0, 1, 2.0), (1, 1, 0, 2.0), (1, 1, 3, 5.0), (1, 3, 1, 5.0)]
+
+
 def test_growth_forms_agree(spark):
     rng = np.random.default_rng(3)
     rows = [[None if rng.random() < 0.2 else int(rng.random() < 0.05) * int(rng.integers(1, 9)) for _ in range(15)] for _ in range(12)]
