@@ -10,7 +10,7 @@ on the cluster.  Nothing of a district's size meets in one task or the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,10 +90,27 @@ def _partial(kind: str, width: int):
     return run
 
 
-def _multiplied(tiles: DataFrame, vectors: DataFrame, kind: str, width: int) -> DataFrame:
+def _sent(kind: str, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            v = [(_searched(r, width) * (_root(r.d) if kind == NORMAL else 1)).ravel() for r in rows.itertuples()]
+            yield rows[["district_id", "b"]].assign(v=v)
+
+    return run
+
+
+#: Tiles as rows, or what gives the shares (district_id, b, ids, y) of a product with vectors (district_id, b, v) of a width.
+Tiles = DataFrame | Callable[[DataFrame, int], DataFrame]
+
+
+def _multiplied(tiles: Tiles, vectors: DataFrame, kind: str, width: int) -> DataFrame:
     """``vectors`` with the searched ones ``w`` and their products ``mw``."""
-    sent = vectors.select("district_id", F.col("b").alias("bj"), "ids", "d", "x", "mx", "lam")
-    parts = tiles.join(sent, ["district_id", "bj"]).mapInPandas(_partial(kind, width), "district_id long, b long, ids array<long>, y array<double>")
+    if callable(tiles):
+        sent = vectors.select("district_id", "b", "d", "x", "mx", "lam").mapInPandas(_sent(kind, width), "district_id long, b long, v array<double>")
+        parts = tiles(sent, width)
+    else:
+        sent = vectors.select("district_id", F.col("b").alias("bj"), "ids", "d", "x", "mx", "lam")
+        parts = tiles.join(sent, ["district_id", "bj"]).mapInPandas(_partial(kind, width), "district_id long, b long, ids array<long>, y array<double>")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())
@@ -168,7 +185,7 @@ def _moved(width: int):
     return run
 
 
-def leading(tiles: DataFrame, nodes: DataFrame, kind: str, width: int, rounds: int = ROUNDS, wanted: int | None = None) -> DataFrame:
+def leading(tiles: Tiles, nodes: DataFrame, kind: str, width: int, rounds: int = ROUNDS, wanted: int | None = None) -> DataFrame:
     """Blocks of vectors (columns VECTORS): ``x`` holds by rows the leading
     eigenvectors of the normalised affinity, or of ``top`` - Laplacian, with their
     values in ``lam`` (0 where a district has fewer).  Ends when the first
@@ -185,7 +202,7 @@ def leading(tiles: DataFrame, nodes: DataFrame, kind: str, width: int, rounds: i
         solved = cut(sums.groupBy("district_id").applyInPandas(_solved(width), "district_id long, c array<double>, next array<double>"))
         vectors = cut(searched.join(solved, "district_id").mapInPandas(_moved(width), VECTORS))
         # a few numbers a district
-        now = {r.district_id: np.nan_to_num(np.array(r.next))[: wanted or width] for r in solved.select("district_id", "next").collect()}
+        now = {r.district_id: np.nan_to_num(np.array(r.next, float))[: wanted or width] for r in solved.select("district_id", "next").collect()}
         if not now or before and all(np.abs(v - before[k]).max() <= SETTLED * max(1.0, np.abs(v).max()) for k, v in now.items()):
             break
         before = now
@@ -262,7 +279,11 @@ def numbered_clusters(assigned: DataFrame) -> DataFrame:
 
 def block_clusters(affinities: DataFrame, clusters: int | None = None, most: int = 15, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(district_id, building_id, spectral_cluster) of districts of any size."""
-    tiles, nodes = tiled(affinities, block)
+    return clusters_by(*tiled(affinities, block), clusters, most, rounds)
+
+
+def clusters_by(tiles: Tiles, nodes: DataFrame, clusters: int | None = None, most: int = 15, rounds: int = ROUNDS) -> DataFrame:
+    """The same from tiles and their nodes (district_id, node, b, degree)."""
     if clusters is None:
         width = most + 3
         k = cut(gap_clusters(leading(tiles, nodes, LAPLACE, width, rounds, most + 1), nodes, most))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import graph, similarity, spectral
+from terrafold.operators import blocks, graph, similarity, spectral
 
 
 def planted(seed, groups, between, noise=0.05):
@@ -108,3 +108,29 @@ def test_edges_by_parts(spark):
     want = {(d, a, b) for (d, b), v in took.items() for _, a in sorted(v)[:2]}
     got = [tuple(r) for r in graph.sampled_edges(e, (2,)).select("district_id", "src", "dst").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.fixture(scope="module")
+def dealt(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, 3 * k, (rng.normal(size=4) * 0.4 + 3 * np.eye(4)[k % 3]).tolist(), int(k % 3)) for d, n in ((1, 43), (2, 5)) for k in range(n)]
+    return spark.createDataFrame(rows, "district_id long, building_id long, features array<double>, gat_label long")
+
+
+def test_affinity_of_nodes_equals_that_of_rows(spark, dealt):
+    """Pairs of blocks give the rows that pairs joined with written edges give."""
+    links = similarity.linked_pairs(dealt, 0.3, 7)
+    e = links.select("district_id", F.col("i").alias("src"), F.col("j").alias("dst"), (1 - F.col("cosine")).alias("distance"))
+    as_set = lambda df: sorted((r.district_id, r.i, r.j, round(r.affinity, 9)) for r in df.collect())
+    want = as_set(similarity.affinity(similarity.pairwise_cosine(dealt), e, dealt.select("district_id", "building_id", "gat_label")))
+    assert as_set(similarity.node_affinity(dealt, blocks.Rule(0.3), block=9)) == want
+    bare = as_set(similarity.affinity(similarity.pairwise_cosine(dealt), e.limit(0)))
+    assert as_set(similarity.node_affinity(dealt.drop("gat_label"), block=9)) == bare
+
+
+def test_clusters_without_rows_of_pairs(spark, dealt, monkeypatch):
+    """Large districts are solved though no row a pair is made."""
+    as_set = lambda df: {tuple(r) for r in df.select("district_id", "building_id", "spectral_cluster").collect()}
+    want = as_set(similarity.spectral_clusters(similarity.node_affinity(dealt, blocks.Rule(0.3), 9)))
+    monkeypatch.setattr(blocks, "affinity_rows", None)
+    assert as_set(similarity.node_clusters(dealt, blocks.Rule(0.3), block=9)) == want
