@@ -7,6 +7,10 @@ a batch is a group of its own, of at most its seeds times the product of the fan
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,13 +40,51 @@ def dealt(nodes: DataFrame, plan: DataFrame, seed: int = 42, number: int = 0) ->
     return nodes.select("district_id", "building_id").join(plan.select("district_id", "n_batches"), "district_id").select("district_id", place.alias("batch"), "building_id")
 
 
+#: Edges that a task gathers before it leaves only the foremost of them.
+GATHERED = 1_000_000
+
+
+def foremost(edges: DataFrame, most: int, seed: int = 42, number: int = 0, gathered: int = GATHERED) -> DataFrame:
+    """Edges without loops, of which each task leaves out what can't be among the ``most``
+    in-edges of a node: so few are put in order that any number of edges may come."""
+
+    def first(d: np.ndarray, src: np.ndarray, dst: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, ...]:
+        key = (src % PRIME * factor(number) + seed + dst % PRIME * STRIDE) % PRIME
+        order = np.lexsort((src, key, dst, d))
+        d, src, dst, distance = d[order], src[order], dst[order], distance[order]
+        start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (dst[1:] != dst[:-1])])
+        place = np.arange(len(d)) - np.repeat(start, np.diff(np.r_[start, len(d)]))
+        return tuple(v[place < most] for v in (d, src, dst, distance))
+
+    names = ("district_id", "src", "dst", "distance")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, limit = [], 0, gathered
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch[c].to_numpy(zero_copy_only=False) for c in names))
+            n += batch.num_rows
+            if n >= limit:
+                held = [first(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                limit = n + gathered
+                if n > gathered:  # nodes enough for a task: these go on
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, held[0], strict=True)))
+                    held, n, limit = [], 0, gathered
+        if n:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, first(*map(np.concatenate, zip(*held, strict=True))), strict=True)))
+
+    return edges.where((F.col("src") != F.col("dst")) & F.col("district_id").isNotNull()).select(*names).mapInArrow(run, "district_id long, src long, dst long, distance double")
+
+
 def ranked(edges: DataFrame, most: int, seed: int = 42, number: int = 0) -> DataFrame:
     """(district_id, src, dst, distance, place): at most ``most`` in-edges of each node, in
     the order of an arithmetic key.  The limit is known before the exchange, so that a
     node with any number of in-edges sends only so many from each task."""
     key = F.pmod(_key("src", number, seed) + F.pmod(F.col("dst"), F.lit(PRIME)) * STRIDE, F.lit(PRIME))
     place = F.row_number().over(Window.partitionBy("district_id", "dst").orderBy(key, "src"))
-    return edges.where(F.col("src") != F.col("dst")).select("district_id", "src", "dst", "distance", place.alias("place")).where(F.col("place") <= most)
+    return foremost(edges, most, seed, number).select("district_id", "src", "dst", "distance", place.alias("place")).where(F.col("place") <= most)
 
 
 def sampled(nodes: DataFrame, edges: DataFrame, plan: DataFrame, fan_out: tuple[int, ...] = (15, 10), seed: int = 42, number: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import blocks, graph, similarity, spectral
+from terrafold.operators import attention, batches, blocks, graph, similarity, spectral
 
 
 def planted(seed, groups, between, noise=0.05):
@@ -134,3 +134,26 @@ def test_clusters_without_rows_of_pairs(spark, dealt, monkeypatch):
     want = as_set(similarity.spectral_clusters(similarity.node_affinity(dealt, blocks.Rule(0.3), 9)))
     monkeypatch.setattr(blocks, "affinity_rows", None)
     assert as_set(similarity.node_clusters(dealt, blocks.Rule(0.3), block=9)) == want
+
+
+def test_attention_without_edges(spark, dealt):
+    """Shares of pairs of blocks give the softmax over written edges; heads are concatenated or averaged."""
+    links = similarity.linked_pairs(dealt, 0.3)
+    way = lambda a, b: links.select("district_id", F.col(a).alias("src"), F.col(b).alias("dst"))
+    e = way("i", "j").unionByName(way("j", "i"))
+    as_map = lambda df: {(r.district_id, r.building_id): r.features for r in df.collect()}
+    for layer in attention.Network.random(4, 3, 2, 1, 2).layers + attention.Network.random(4, 3, 2, 2, 2).layers[:1]:
+        want, got = as_map(attention.attention_layer(dealt, e, layer)), as_map(attention.linked_layer(dealt, layer, 0.3, block=9))
+        assert want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
+
+
+def test_tasks_leave_few_edges(spark):
+    """What goes on to be put in order is bounded by the nodes, not the edges."""
+    e = spark.range(400, numPartitions=1).select(F.lit(1).cast("long").alias("district_id"), F.col("id").alias("src"), (F.col("id") % 2).alias("dst"), F.lit(1.0).alias("distance"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    kept = batches.foremost(e, 3, gathered=60).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    f = batches.factor(0)
+    key = lambda s, d: ((s * f + 42 + d * batches.STRIDE) % batches.PRIME, s)
+    want = {(s, d) for d in (0, 1) for s in sorted((s for s in range(400) if s % 2 == d and s != d), key=lambda s: key(s, d))[:3]}
+    assert {(r.src, r.dst) for r in kept} == want and len(kept) == 6
