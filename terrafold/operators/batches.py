@@ -112,12 +112,13 @@ def numbered_batches(plan: DataFrame) -> DataFrame:
     return spatial.numbered(every.withColumn("_key", F.struct(*BATCH)), "_key", "step").drop("_key")
 
 
-def stepped(nodes: DataFrame, edges: DataFrame, plan: DataFrame, steps: DataFrame, fan_out: tuple[int, ...], seed: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """The batches of an epoch with the columns of their nodes, written in the order of
-    ``step``, so that reading one step prunes the files by their statistics."""
+def stepped(nodes: DataFrame, edges: DataFrame, plan: DataFrame, steps: DataFrame, fan_out: tuple[int, ...], seed: int, number: int) -> DataFrame:
+    """The batches of an epoch, a row each (step, district_id, members, links), with the
+    columns of their nodes; a step has a folder of its own, so that reading it takes one
+    task and no exchange."""
     members, links = sampled(nodes, edges, plan, fan_out, seed, number)
-
-    def laid(rows: DataFrame) -> DataFrame:
-        return cut(rows.join(steps, BATCH).repartitionByRange("step").sortWithinPartitions("step"))
-
-    return laid(members.join(nodes, ["district_id", "building_id"])), laid(links)
+    pack = lambda rows, name, columns: rows.groupBy(*BATCH).agg(F.collect_list(F.struct(*columns)).alias(name))
+    own = pack(members.join(nodes.hint("merge"), ["district_id", "building_id"]), "members", ["building_id", "is_seed", "y", "features"])
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.join(pack(links, "links", ["src", "dst", "distance"]).hint("merge"), BATCH, "left").join(steps.hint("merge"), BATCH)
+    return cut(both.where(F.exists("members", lambda m: m["is_seed"])).select("step", "district_id", "members", "links").repartition(n, "step"), by="step")

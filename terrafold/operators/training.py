@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,39 +122,61 @@ def dropped(net: Network, n: int, rate: float, rng: np.random.Generator) -> list
     return [(rng.random((n, layer.weight.shape[1])) >= rate) / (1 - rate) for layer in net.layers]
 
 
+GRAPH = "district_id long, n long, loss double, correct long, gradient array<double>"
+
+
+def _graph(key: tuple, rows: pd.DataFrame, links: pd.DataFrame, net: Network, config: TrainConfig, number: int, training: bool, seeded: bool) -> pd.DataFrame:
+    """The row (columns GRAPH) of one graph or batch; none without nodes or seeds."""
+    columns = ["district_id", "n", "loss", "correct", "gradient"]
+    rows = rows.sort_values("building_id")
+    # sums don't depend on the order in which edges arrive
+    links = links.sort_values(["src", "dst", "distance"])
+    ids, y = rows["building_id"].to_numpy(), rows["y"].to_numpy()
+    seeds = np.flatnonzero(rows["is_seed"].to_numpy(bool)) if seeded else None
+    if not len(ids) or (seeded and not len(seeds)):
+        return pd.DataFrame(columns=columns)
+    x = np.stack(rows["features"].to_list()).astype(float)
+    e = np.stack([np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])], 1) if len(links) else np.zeros((0, 2), int)
+    rng = np.random.default_rng((config.seed, number, *(int(k) % 2**32 for k in key)))
+    masks = dropped(net, len(x), config.dropout, rng) if training else None
+    loss, correct, grad = loss_and_gradient(net, x, e, links["distance"].to_numpy(float), y, config.lambda_smooth, config.temperature, seeds, masks)
+    if not np.isfinite(loss):
+        raise ValueError(f"district {key[0]}: the loss is not finite")
+    return pd.DataFrame([(key[0], len(x) if seeds is None else len(seeds), loss, correct, grad.tolist())], columns=columns)
+
+
 def epoch(nodes: DataFrame, edges: DataFrame, net: Network, config: TrainConfig, number: int = 0, training: bool = True, by: tuple[str, ...] = ("district_id",)) -> DataFrame:
     """(district_id, n, loss, correct, gradient) of each graph, a group of ``by``.  Where
     nodes have ``is_seed``, the loss is that of the seeds, the smoothness that of all nodes."""
     seeded = "is_seed" in nodes.columns
 
     def run(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        columns = ["district_id", "n", "loss", "correct", "gradient"]
-        rows = rows.sort_values("building_id")
-        # sums don't depend on the order in which edges arrive
-        links = links.sort_values(["src", "dst", "distance"])
-        ids, y = rows["building_id"].to_numpy(), rows["y"].to_numpy()
-        seeds = np.flatnonzero(rows["is_seed"].to_numpy(bool)) if seeded else None
-        if not len(ids) or (seeded and not len(seeds)):
-            return pd.DataFrame(columns=columns)
-        x = np.stack(rows["features"].to_list()).astype(float)
-        e = np.stack([np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"])], 1) if len(links) else np.zeros((0, 2), int)
-        rng = np.random.default_rng((config.seed, number, *(int(k) % 2**32 for k in key)))
-        masks = dropped(net, len(x), config.dropout, rng) if training else None
-        loss, correct, grad = loss_and_gradient(net, x, e, links["distance"].to_numpy(), y, config.lambda_smooth, config.temperature, seeds, masks)
-        if not np.isfinite(loss):
-            raise ValueError(f"district {key[0]}: the loss is not finite")
-        return pd.DataFrame([(key[0], len(x) if seeds is None else len(seeds), loss, correct, grad.tolist())], columns=columns)
-
-    return nodes.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(run, "district_id long, n long, loss double, correct long, gradient array<double>")
+        return _graph(key, rows, links, net, config, number, training, seeded)
+
+    return nodes.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(run, GRAPH)
+
+
+def batch_epoch(packed: DataFrame, net: Network, config: TrainConfig, number: int = 0) -> DataFrame:
+    """``epoch`` of batches that are a row each, as ``batches.stepped`` writes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, links = (pa.Table.from_struct_array(v).to_pandas() if (v := batch[c][i].values) is not None else pd.DataFrame(columns=["src", "dst", "distance"]) for c in ("members", "links"))
+                key = batch["district_id"][i].as_py(), batch["step"][i].as_py()
+                yield pa.RecordBatch.from_pandas(_graph(key, rows, links, net, config, number, True, True), preserve_index=False)
+
+    return packed.mapInArrow(run, GRAPH)
 
 
 #: Rows of the model's size that the driver gets from an epoch.
 SUMS = 8
 
 
-def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray, int]:
+def summed(graphs: DataFrame, few: bool = False) -> tuple[float, float, np.ndarray, int]:
     """(loss, accuracy, gradient, nodes) over all graphs, weighted by their nodes, in one
-    action: each task adds its graphs up, SUMS tasks add these up, the driver the rest."""
+    action: each task adds its graphs up, SUMS tasks add these up, the driver the rest.
+    Where the graphs are ``few``, no more than SUMS, the driver gets them at once."""
     schema = "n long, loss double, correct long, gradient array<double>"
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +190,7 @@ def summed(graphs: DataFrame) -> tuple[float, float, np.ndarray, int]:
             yield pd.DataFrame({"n": [n], "loss": [loss / n], "correct": [correct], "gradient": [gradient / n]})
 
     partial = graphs.select("n", "loss", "correct", "gradient").mapInPandas(add, schema)
-    rows = partial.repartition(SUMS).mapInPandas(add, schema).collect()
+    rows = (graphs.select("n", "loss", "correct", "gradient") if few else partial.repartition(SUMS).mapInPandas(add, schema)).collect()
     n = sum(r["n"] for r in rows)
     if not n:
         raise ValueError("there are no graphs to train on")
@@ -257,20 +280,20 @@ def _stepped(state: dict, gradient: np.ndarray, config: TrainConfig) -> None:
     state["params"] = state["params"] - state["rate"] * (state["m"] / (1 - 0.9**at)) / (np.sqrt(state["v"] / (1 - 0.999**at)) + 1e-8)
 
 
-def _graphs_of_epoch(groups: list[tuple[DataFrame, DataFrame]], large: Large | None, config: TrainConfig, at: int) -> Iterator[tuple[DataFrame, DataFrame, tuple[str, ...]]]:
-    """(nodes, edges, keys of a graph) of all that makes a gradient each: the groups of
-    whole districts, then the sampled batches in another order each epoch."""
+def _graphs_of_epoch(groups: list[tuple[DataFrame, DataFrame]], large: Large | None, net: Callable[[], Network], config: TrainConfig, at: int) -> Iterator[tuple[DataFrame, bool]]:
+    """(graphs, few) of all that makes a gradient each, by the network of the moment: the
+    groups of whole districts, then the sampled batches in another order each epoch."""
     for own, links in groups:
-        yield own, links, ("district_id",)
+        yield epoch(own, links, net(), config, at), False
     if large is None:
         return
-    own, links = batches.stepped(large.nodes, large.edges, large.plan, large.steps, config.fan_out, config.seed, at)
+    packed = batches.stepped(large.nodes, large.edges, large.plan, large.steps, config.fan_out, config.seed, at)
     # the driver makes a step each, so it knows their numbers; a batch may have got no seed
-    found = sorted(r["step"] for r in own.where("is_seed").select("step").distinct().collect())
+    found = sorted(r["step"] for r in packed.select("step").collect())
     order = np.random.default_rng((config.seed, at)).permutation(found).tolist()
     for k in range(0, len(order), config.parallel_batches):
-        taken = F.col("step").isin(order[k : k + config.parallel_batches])
-        yield own.where(taken), links.where(taken), ("district_id", "step")
+        taken = order[k : k + config.parallel_batches]
+        yield batch_epoch(packed.where(F.col("step").isin(taken)), net(), config, at), len(taken) <= SUMS
 
 
 def train(
@@ -302,8 +325,8 @@ def train(
     for at in range(state["epoch"] + 1, config.epochs + 1):
         seen, kept = [], []
         with passing(nodes.sparkSession):
-            for own, links, by in _graphs_of_epoch(groups, large, config, at):
-                loss, accuracy, gradient, n = summed(epoch(own, links, unflat(net, state["params"]), config, at, by=by))
+            for graphs, few in _graphs_of_epoch(groups, large, lambda: unflat(net, state["params"]), config, at):
+                loss, accuracy, gradient, n = summed(graphs, few)
                 seen.append((n, loss, accuracy))
                 kept.append(gradient)
                 if len(kept) == config.accumulation:

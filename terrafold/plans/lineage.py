@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 _passing: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to ``spark.checkpoint.dir`` (a temporary folder only on one
     machine, where that is unset) and read it back, so that a lost executor costs no
-    recomputing of earlier steps."""
+    recomputing of earlier steps.  With ``by``, each value of that column has a folder,
+    so that reading one value opens no other file."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -26,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     if _passing:
         _passing[-1].append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -101,3 +101,19 @@ def test_tables_of_an_epoch_go(spark):
         assert inner.count() == 5 and os.path.isdir(folder)
     kept = lineage.cut(spark.range(3))
     assert not os.path.isdir(folder) and kept.count() == 3
+
+
+def test_a_batch_needs_no_exchange(graphs):
+    """A step reads one row and gives what the batch's group of tables gives."""
+    n, e, _ = graphs
+    plan = plan_of(n)
+    steps = lineage.cut(batches.numbered_batches(plan))
+    packed = batches.stepped(n, e, plan, steps, (3, 2), 42, 1)
+    config, net = training.TrainConfig(dropout=0.3), attention.Network.random(4, 3, 2, layers=2, heads=2)
+    one = training.batch_epoch(packed.where("step = 2"), net, config, 1)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    members, links = batches.sampled(n, e, plan, (3, 2), 42, 1)
+    own, links = (lineage.cut(t.join(steps, batches.BATCH)) for t in (members.join(n, ["district_id", "building_id"]), links))
+    grouped = training.epoch(own, links, net, config, 1, by=("district_id", "step"))
+    want = sorted((r.n, round(r.loss, 9), r.correct, np.round(r.gradient, 9).tolist()) for r in grouped.collect())
+    assert sorted((r.n, round(r.loss, 9), r.correct, np.round(r.gradient, 9).tolist()) for r in training.batch_epoch(packed, net, config, 1).collect()) == want
