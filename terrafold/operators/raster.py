@@ -5,9 +5,12 @@ No row means outside the district; label 0 is free, -999 not reached.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ ROUNDS, NODATA = 30, -999
 #: Districts up to this many cells grow in one task each; larger ones cell by cell over the cluster.
 KERNEL_CELLS = 4_000_000
 CELL = "district_id long, row int, col int, label long"
+GRID = {"x0": "double", "y1": "double", "xres": "double", "yres": "double", "width": "int", "height": "int"}
 #: The eight neighbours.
 OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
@@ -43,38 +47,87 @@ def cell_centre(g: Column, row: Column, col: Column) -> Column:
     return F.struct((g["x0"] + (col + 0.5) * g["xres"]).alias("x"), (g["y1"] - (row + 0.5) * g["yres"]).alias("y"))
 
 
-def covered_rows(shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, cols): for each row of the raster the columns of the cells whose
-    inside the geometry meets; ``shapes`` has keys, ``geometry`` and ``grid``."""
-    b = G.bounds(F.col("geometry"))
-    g = F.col("grid")
-    clamp = lambda v, top: F.least(F.greatest(v, F.lit(0)), top - 1).cast("int")
-    sized = (
-        shapes.where(F.size("geometry") > 0)
-        .withColumn("b", b)
-        .where(
-            (F.col("b.maxx") >= g["x0"])
-            & (F.col("b.minx") <= g["x0"] + g["width"] * g["xres"])
-            & (F.col("b.miny") <= g["y1"])
-            & (F.col("b.maxy") >= g["y1"] - g["height"] * g["yres"])
-        )
-    )
+def _points(geometry: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """x, y, ring and shape of each point, and the shape of each ring."""
+    parts = geometry.flatten()
+    rings = parts.flatten()
+    owner = pc.list_parent_indices(geometry).take(pc.list_parent_indices(parts)).to_numpy()
+    ring = pc.list_parent_indices(rings).to_numpy()
+    x, y = (c.to_numpy(zero_copy_only=False) for c in rings.flatten().flatten())
+    return x, y, ring, owner[ring], owner
+
+
+#: Rows of the raster that a task holds before it passes them on.
+LINES = 1 << 17
+
+
+def _covered_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of covered cells of shapes with a ``geometry`` and a ``grid``, the last two columns."""
+    for batch in batches:
+        keyed = batch.select(batch.schema.names[:-2])
+        for of, row, first, last in _runs(batch.column("geometry"), batch.column("grid")):
+            runs = [pa.array(c.astype(np.int32)) for c in (row, first, last)]
+            yield pa.RecordBatch.from_arrays([*keyed.take(pa.array(of)).columns, *runs], names=[*keyed.schema.names, "row", "first", "last"])
+
+
+def _runs(geometry: pa.ListArray, grid: pa.StructArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place of the shape, row, first and last column) of runs."""
+    x, y, ring, shape, owner = _points(geometry)
+    if not len(x):
+        return
+    at = np.flatnonzero(np.r_[True, shape[1:] != shape[:-1]])
+    of = shape[at]
+    x0, y1, xres, yres, width, height = (c.to_numpy(zero_copy_only=False)[of] for c in grid.flatten())
+    minx, miny, maxx, maxy = np.minimum.reduceat(x, at), np.minimum.reduceat(y, at), np.maximum.reduceat(x, at), np.maximum.reduceat(y, at)
     # first and last cell whose inside the bounds meet
-    span = lambda lo, hi, step, n: F.sequence(clamp(F.floor(lo / step), n), F.greatest(clamp(F.floor(lo / step), n), clamp(F.ceil(hi / step) - 1, n)))
-    rows = span(g["y1"] - F.col("b.maxy"), g["y1"] - F.col("b.miny"), g["yres"], g["height"])
-    cols = span(F.col("b.minx") - g["x0"], F.col("b.maxx") - g["x0"], g["xres"], g["width"])
-    # a shape that fills its bounds needs no test of its cells
-    fills = F.abs(G.area(F.col("geometry")) - (F.col("b.maxx") - F.col("b.minx")) * (F.col("b.maxy") - F.col("b.miny"))) < 1e-9
-    ready = sized.select(*keys, "grid", fills.alias("fills"), G.edges(F.col("geometry")).alias("segments"), rows.alias("rows"), cols.alias("cols"))
-    lines = ready.withColumn("row", F.explode("rows"))
-    x0, y1 = lambda c: g["x0"] + c * g["xres"], g["y1"] - F.col("row") * g["yres"]
-    met = F.filter("cols", lambda c: G.meets_open_box(F.col("segments"), x0(c), y1 - g["yres"], x0(c) + g["xres"], y1))
-    return lines.select(*keys, "row", F.when(F.col("fills"), F.col("cols")).otherwise(met).alias("cols"))
+    clamp = lambda v, top: np.clip(v, 0, top - 1)
+    span = lambda lo, hi, step, n: (clamp(np.floor(lo / step), n), np.maximum(clamp(np.floor(lo / step), n), clamp(np.ceil(hi / step) - 1, n)))
+    near = (maxx >= x0) & (minx <= x0 + width * xres) & (miny <= y1) & (maxy >= y1 - height * yres)
+    spans = [np.where(near, v, 0).astype(np.int64) for v in (*span(y1 - maxy, y1 - miny, yres, height), *span(minx - x0, maxx - x0, xres, width))]
+    r0, r1, c0, c1 = spans
+    # a shape of one ring that fills its bounds needs no test of its cells
+    dx, dy = x - np.repeat(x[at], np.diff(np.r_[at, len(x)])), y - np.repeat(y[at], np.diff(np.r_[at, len(x)]))
+    cross = np.r_[np.where(ring[1:] == ring[:-1], dx[:-1] * dy[1:] - dx[1:] * dy[:-1], 0), 0]
+    fills = (np.bincount(owner, minlength=len(geometry))[of] == 1) & (np.abs(np.abs(np.add.reduceat(cross, at)) / 2 - (maxx - minx) * (maxy - miny)) < 1e-9)
+
+    full = np.flatnonzero(near & fills)
+    lines = np.cumsum(r1[full] - r0[full] + 1)
+    for some in np.split(full, np.flatnonzero(np.diff(lines // LINES)) + 1):
+        n = r1[some] - r0[some] + 1
+        which = np.repeat(some, n)
+        yield of[which], r0[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), c0[which], c1[which]
+
+    ends = np.r_[at, len(x)]
+    for k in np.flatnonzero(near & ~fills):
+        points = np.stack([x[ends[k] : ends[k + 1]], y[ends[k] : ends[k + 1]]], 1)
+        same = np.flatnonzero(ring[ends[k] : ends[k + 1] - 1] == ring[ends[k] + 1 : ends[k + 1]])
+        segments = np.stack([points[same], points[same + 1]], 1)
+        left = lambda c: x0[k] + c * xres[k]  # noqa: E731, B023
+        found = []
+        for r in range(r0[k], r1[k] + 1):
+            top = y1[k] - r * yres[k]
+            cols = np.arange(c0[k], c1[k] + 1)
+            cols = cols[K.meet_open_boxes(segments, left(cols), left(cols) + xres[k], top - yres[k], top)]
+            if len(cols):
+                new = np.flatnonzero(np.diff(cols) > 1)
+                first, last = cols[np.r_[0, new + 1]], cols[np.r_[new, len(cols) - 1]]
+                found.append((np.full(len(first), of[k]), np.full(len(first), r), first, last))
+        if found:
+            yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def covered_rows(shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, first, last): for each row of the raster the runs of columns of the cells
+    whose inside the geometry meets; ``shapes`` has keys, ``geometry`` and ``grid``.  A kernel,
+    as all these tests in one expression make the driver plan, compile and keep many times as much."""
+    held = shapes.where((F.size("geometry") > 0) & F.col("grid").isNotNull()).select(*keys, "geometry", F.struct(*(F.col(f"grid.{c}").cast(kind).alias(c) for c, kind in GRID.items())).alias("grid"))
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in held.select(*keys).dtypes)
+    return held.mapInArrow(_covered_kernel, f"{kinds}, row int, first int, last int")
 
 
 def covered_cells(shapes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, col) of the cells whose inside the geometry meets."""
-    return covered_rows(shapes, keys).select(*keys, "row", F.explode("cols").alias("col"))
+    return covered_rows(shapes, keys).select(*keys, "row", F.explode(F.sequence("first", "last")).alias("col"))
 
 
 def burn(buildings: DataFrame, districts: DataFrame) -> DataFrame:
@@ -85,12 +138,12 @@ def burn(buildings: DataFrame, districts: DataFrame) -> DataFrame:
     0 or less leave their cells free.  Only rows of shapes are exchanged: their cells
     meet in the partition of their row.
     """
-    mask = covered_rows(districts, ["district_id"]).select("district_id", "row", "cols", F.lit(True).alias("inside"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("building_id"))
+    mask = covered_rows(districts, ["district_id"]).select("district_id", "row", "first", "last", F.lit(True).alias("inside"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("building_id"))
     placed = buildings.where(F.col("building_id") > 0).join(districts.select("district_id", "grid").hint("merge"), "district_id")
-    lines = covered_rows(placed, ["district_id", "building_id", "position"]).select("district_id", "row", "cols", F.lit(False).alias("inside"), F.col("position").cast("long"), "building_id")
+    lines = covered_rows(placed, ["district_id", "building_id", "position"]).select("district_id", "row", "first", "last", F.lit(False).alias("inside"), F.col("position").cast("long"), "building_id")
     # a number of its own: rows of shapes are small before their cells come, and few partitions would be left
     n = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = mask.unionByName(lines).repartition(n, "district_id", "row").withColumn("col", F.explode("cols"))
+    each = mask.unionByName(lines).repartition(n, "district_id", "row").withColumn("col", F.explode(F.sequence("first", "last")))
     # without a position comes before any
     found = each.groupBy("district_id", "row", "col").agg(F.max(F.struct("position", "building_id")).alias("top"), F.max("inside").alias("inside"))
     return found.where("inside").select("district_id", "row", "col", F.coalesce("top.building_id", F.lit(0)).cast("long").alias("label"))

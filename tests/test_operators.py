@@ -47,6 +47,32 @@ def test_burn(spark):
     assert raster.rejected_ids(b).count() == 1
 
 
+def test_covered_cells_meet_the_geometry(spark):
+    """The kernel's cells are those of the expression, for shapes with slopes, holes, parts and places beside the raster."""
+    rng = np.random.default_rng(3)
+    star = lambda n, x, y, size: [(x + s * math.cos(a), y + s * math.sin(a)) for a, s in zip(np.linspace(0, 2 * math.pi, n, endpoint=False), rng.uniform(0.3, 1, n) * size, strict=True)]
+    closed = lambda ring: [tuple(map(float, p)) for p in [*ring, ring[0]]]
+    made = [[[closed(star(int(rng.integers(3, 9)), *rng.uniform(-2, 14, 2), rng.uniform(0.2, 5)))] for _ in range(int(rng.integers(1, 3)))] for _ in range(60)]
+    square = closed([(1, 1), (9, 1), (9, 9), (1, 9)])
+    made += [[[square, closed([(3, 3), (6, 3), (6, 7), (3, 7)])]], [[square]], [[closed([(40, 40), (41, 40), (41, 41)])]], [[]]]
+    g = {"x0": 0.0, "y1": 12.0, "xres": 0.75, "yres": 1.0, "width": 14, "height": 12}
+    grid = F.struct(*(F.lit(v).alias(k) for k, v in g.items()))
+    s = spark.createDataFrame(list(enumerate(made)), f"id long, geometry {G.GEOMETRY}").withColumn("grid", grid)
+    got = {tuple(r) for r in raster.covered_cells(s, ["id"]).collect()}
+    every = s.where(F.size(G.points(F.col("geometry"))) > 0).join(spark.range(12).select(F.col("id").cast("int").alias("row"))).join(spark.range(14).select(F.col("id").cast("int").alias("col")))
+    x, y = F.col("col") * 0.75, 12.0 - F.col("row")
+    assert got == {tuple(r) for r in every.where(G.meets_open_box(G.edges(F.col("geometry")), x, y - 1, x + 0.75, y)).select("id", "row", "col").collect()}
+    assert {k for k, *_ in got} >= {60, 61} and not {62, 63} & {k for k, *_ in got}
+
+
+def test_plan_of_covered_cells_is_small(spark):
+    grid = F.struct(F.lit(0.0).alias("x0"), F.lit(4.0).alias("y1"), F.lit(1.0).alias("xres"), F.lit(1.0).alias("yres"), F.lit(4).alias("width"), F.lit(4).alias("height"))
+    d = shapes(spark, "district_id", [(1, 0, 0, 4, 4)]).withColumn("grid", grid)
+    plan = raster.coverage(raster.burn(d.drop("grid").withColumns({"building_id": F.lit(5), "position": F.lit(1)}), d))._jdf.queryExecution().optimizedPlan()
+    # arrays of runs, not the arrays of cells and segments that were in the plan itself
+    assert len(plan.toString()) < 15_000
+
+
 def test_cells_are_not_broadcast(spark, capsys):
     """Tables of cells are far larger than Spark expects from the shapes that they come from."""
     grid = F.struct(F.lit(0.0).alias("x0"), F.lit(4.0).alias("y1"), F.lit(1.0).alias("xres"), F.lit(1.0).alias("yres"), F.lit(4).alias("width"), F.lit(4).alias("height"))
