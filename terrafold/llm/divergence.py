@@ -64,7 +64,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, n = [*df], [*df.values()]
             for k in range(0, len(terms), 50_000):
                 some = pa.array(terms[k : k + 50_000], pa.binary()).cast(pa.string())
-                yield rows(len(some), block=pa.array([block] * len(some)), lang=pa.array([lang] * len(some)), term=some, df=pa.array(n[k : k + 50_000], pa.int64()))
+                yield rows(len(some), block=pa.repeat(block, len(some)), lang=pa.repeat(lang, len(some)), term=some, df=pa.array(n[k : k + 50_000], pa.int64()))
 
     for batch in batches:
         texts, langs, sources = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -93,13 +93,15 @@ def _recount(texts: pa.Table, terms: pa.Table) -> pa.Table:
         automaton.make_automaton()
         for lang, source, blob in zip(*(texts.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
             # neighbours share their delimiter: the automaton reports overlapping matches too
-            seen = Counter(map(itemgetter(1), automaton.iter(zstandard.ZstdDecompressor().decompress(blob).decode())))
-            out.append((lang, source, np.fromiter(seen.keys(), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))))
+            n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(zstandard.ZstdDecompressor().decompress(blob).decode())), np.int32))
+            seen = np.flatnonzero(n)
+            out.append((lang, source, seen, n[seen]))
     found = np.concatenate([x[2] for x in out]) if out else np.zeros(0, np.int64)
+    times = pa.array(np.repeat(np.arange(len(out)), np.array([len(x[2]) for x in out], np.int64)))
     table = pa.table(
         {
-            "lang": pa.array([x[0] for x in out for _ in range(len(x[2]))], pa.string()),
-            "source": pa.array([x[1] for x in out for _ in range(len(x[2]))], pa.string()),
+            "lang": pa.array([x[0] for x in out], pa.string()).take(times),
+            "source": pa.array([x[1] for x in out], pa.string()).take(times),
             "term": terms.column("term").combine_chunks().cast(pa.string()).take(pa.array(found)),
             "n": pa.array(np.concatenate([x[3] for x in out]) if out else found, pa.int64()),
         }
@@ -114,13 +116,14 @@ def postings(documents: DataFrame, min_documents: int) -> tuple[DataFrame, DataF
     told = cut(texts.mapInArrow(_first_pass, "block string, lang string, source string, term string, df long, text binary"))
     blobs = told.where(F.col("text").isNotNull()).select("block", "lang", "source", "text")
     own = told.where(F.col("term").isNotNull()).select("block", "lang", "term", "df")
-    term = Window.partitionBy("lang", "term")
+    # a hash first: sorts compare rows by the beginning of the first column, and languages are few
+    term = Window.partitionBy(F.xxhash64("term", "lang"), "term", "lang")
     # a term has a row a block: its sum and one row of its own (``one``) need a single exchange
     frequent = own.withColumn("all_df", F.sum("df").over(term)).withColumn("one", F.row_number().over(term.orderBy("block")) == 1)
     known = cut(frequent.where(F.col("all_df") >= min_documents).select(F.col("block").alias("home"), "lang", "term", "one"))
     kept = known.where("one").select("lang", "term")
     counted = blobs.groupBy("block").cogroup(known.select("home", "term").groupBy("home")).applyInArrow(_recount, "lang string, source string, term string, n long")
-    return blobs.select("lang", "source").distinct(), kept, cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    return blobs.select("lang", "source").distinct(), kept, cut(counted.groupBy("term", "lang", "source").agg(F.sum("n").alias("n")).select("lang", "source", "term", "n"))
 
 
 def _share(n: Column, all_n: Column, terms: Column) -> Column:
@@ -221,8 +224,8 @@ def divergence(documents: DataFrame, min_documents: int = 10, top: int = 10) ->
 
     entry = F.collect_list(F.struct("s", "p", "q0"))
     block = F.expr(f"s div {SIDE}")
-    sides = shares.groupBy("lang", "term", block.alias("side")).agg(entry.alias("x"))
-    met = sides.join(sides.select("lang", "term", F.col("side").alias("other"), F.col("x").alias("y")), ["lang", "term"]).select("lang", "x", "y")
+    sides = shares.groupBy("term", "lang", block.alias("side")).agg(entry.alias("x"))
+    met = sides.join(sides.select("lang", "term", F.col("side").alias("other"), F.col("x").alias("y")), ["term", "lang"]).select("lang", "x", "y")
     cells = "lang string, s long, t long, value long"
     both = met.mapInArrow(_shared_terms, cells)
 
@@ -238,10 +241,10 @@ def divergence(documents: DataFrame, min_documents: int = 10, top: int = 10) ->
     named = pairs.join(names, ["lang", "s"]).join(names.select("lang", F.col("s").alias("t"), F.col("source").alias("item")), ["lang", "t"])
     pair = named.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("term", "lang").agg(F.sum("n").alias("n"))
     all_n = whole.groupBy("lang").agg(F.sum("n").alias("all_n"))
     general = whole.join(all_n.join(size, "lang"), "lang").select("lang", "term", _share(F.col("n"), F.col("all_n"), F.col("v")).alias("q"))
-    above = shares.join(general, ["lang", "term"]).where(F.col("p") > F.col("q"))
+    above = shares.join(general, ["term", "lang"]).where(F.col("p") > F.col("q"))
     term = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")

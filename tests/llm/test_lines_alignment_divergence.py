@@ -6,7 +6,9 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from terrafold.llm import alignment, divergence, line_dedup
@@ -251,6 +253,19 @@ def test_divergence_empty(spark):
     assert divergence.divergence(docs_of(spark, [])).collect() == []
 
 
+def test_divergence_sorts_by_terms_first(spark, monkeypatch, capsys):
+    """Languages are few, so sorts that begin with them compare whole strings; and a block without any kept term has no counts."""
+    monkeypatch.setattr(divergence, "cut", lambda df: df)
+    divergence.divergence(docs_of(spark, sources_corpus(3)), 2).explain()
+    plan = capsys.readouterr().out
+    assert "Sort [term#" in plan and not re.search(r"Sort \[lang#\d+L? ASC NULLS FIRST, term#", plan)
+    kept = pa.table({"home": ["b"], "term": ["absent"]})
+    blob = zstandard.ZstdCompressor().compress(b" other words ")
+    for texts in ([("b", "en", "s", blob)], []):
+        table = pa.table([pa.array([t[i] for t in texts], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.binary()))], names=["block", "lang", "source", "text"])
+        assert divergence._recount(table, kept).num_rows == 0
+
+
 def test_shares_of_large_counts(spark):
     """Counts whose product with a billionth leaves 64 bits."""
     n, all_n, v = 40_000_000_000, 90_000_000_000, 1000
