@@ -81,6 +81,20 @@ U = shape([(0, 0), (10, 0), (10, 10), (7, 10), (7, 3), (3, 3), (3, 10), (0, 10)]
 RING = shape([(1, 1), (9, 1), (9, 9), (1, 9)], [(3, 3), (7, 3), (7, 7), (3, 7)])
 
 
+def test_clip_of_rectangles_needs_no_overlay(monkeypatch):
+    rng, overlay = np.random.default_rng(4), K.overlaid
+    box = lambda a, b, c, d, k, way: shape(np.roll([(a, b), (c, b), (c, d), (a, d)], k, 0)[::way].tolist())
+    for _ in range(200):
+        p, q = (np.sort(rng.choice([rng.integers(-5, 6, 4), rng.uniform(-5, 5, 4)]).reshape(2, 2), 0) for _ in range(2))
+        if (p[0] < p[1]).all() and (q[0] < q[1]).all():
+            a, b = (box(*r[0], *r[1], int(rng.integers(0, 4)), int(rng.choice([1, -1]))) for r in (p, q))
+            assert K.clip_geometry(a, b) == overlay(a, b)
+    monkeypatch.setattr(K, "overlaid", None)
+    assert area_of(K.clip_geometry(box(0, 0, 2, 2, 0, 1), box(1, 1, 9, 9, 2, -1))) == 1 and K.clip_geometry(box(0, 0, 2, 2, 0, 1), box(2, 0, 3, 3, 0, 1)) is None
+    bow = shape([(0, 0), (2, 2), (2, 0), (0, 2)])
+    assert K.box_of(bow) is None and K.box_of(shape([(0, 0), (2, 0), (1, 2), (0, 2)])) is None
+
+
 def test_clip_to_concave_holed_and_multi_part():
     box = shape([(0, 4), (10, 4), (10, 10), (0, 10)])
     got = K.clip_geometry(box, U)
