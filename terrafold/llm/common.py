@@ -80,6 +80,7 @@ def releasing(work: Callable) -> Callable:
 
 def release() -> None:
     """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, cut, fold_of, hash64, mix, pack7, pack_counts, unpack7, unpack_counts, utf8
+from .common import Numbering, cut, fold_of, hash64, mix, pack7, pack_counts, release, unpack7, unpack_counts, utf8
 
 #: Hashes of the start and end marks: they hold spaces, so they are no words.
 START, END = hash64(b" start "), hash64(b" end ")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Text bytes that a fragment stands for, and the least number of fragments: with 256, what is left of a hash has seven bytes.
 FRAGMENT_BYTES, LEAST_FRAGMENTS = 12 << 20, 256
 #: Training occurrences that make a pair a state, and K of the contexts of one and two words.
@@ -65,19 +65,22 @@ class Block:
         for text in texts:
             own = text.lower().split()
             lengths.append(len(own) + 1)
-            out.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-            out.append(np.array([-2]))
+            out.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+            out.append(np.array([-2], np.int32))
         hashes = np.fromiter(map(hash64, number), np.uint64, len(number))
         self.words, place = np.unique(np.append(hashes, np.array([END, START], np.uint64)), return_inverse=True)
-        self.ids = place[np.concatenate(out)] if out else np.zeros(0, np.int64)  # -2 is the end mark
+        place = place.astype(np.int32)
+        del number, hashes
+        self.ids = place[np.concatenate(out)] if out else np.zeros(0, np.int32)  # -2 is the end mark
+        del out
         self.end, self.start = int(place[-2]), int(place[-1])
         self.lengths = np.array(lengths, np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[self.begin] = self.start
-        keys, self.pair = np.unique(before * len(self.words) + self.ids, return_inverse=True)
-        self.first, self.second = keys // len(self.words), keys % len(self.words)
+        keys, self.pair = _numbered(_key(before, len(self.words), self.ids))
+        self.first, self.second = (keys // len(self.words)).astype(np.int32), (keys % len(self.words)).astype(np.int32)
 
     @property
     def pairs(self) -> np.ndarray:
@@ -86,20 +89,38 @@ class Block:
     def triples(self, pair_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each token's triple, -1 where no state of two words is before it;
         keys pair * words + word of the distinct triples)."""
-        before = np.full(len(self.ids), -1)
+        before = np.full(len(self.ids), -1, np.int32)
         before[1:] = self.pair[:-1]
         before[self.begin] = -1
-        on = np.flatnonzero(before >= 0)
-        on = on[pair_n[before[on]] >= LEAST]
-        keys, number = np.unique(before[on] * len(self.words) + self.ids[on], return_inverse=True)
-        out = np.full(len(self.ids), -1)
-        out[on] = number
-        return out, keys
+        on = (before >= 0) & (pair_n >= LEAST)[before]  # the last pair stands in for none
+        keys, number = _numbered(_key(before[on], len(self.words), self.ids[on]))
+        before.fill(-1)
+        before[on] = number
+        return before, keys
 
     def triple_grams(self, keys: np.ndarray) -> np.ndarray:
         return _longer(self.pairs[keys // len(self.words)], self.words[keys % len(self.words)])
 
 
+def _key(high: np.ndarray, size: int, low: np.ndarray) -> np.ndarray:
+    """One number of two, the second below ``size``."""
+    key = high.astype(np.int64)
+    key *= size
+    key += low
+    return key
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse in 32 bits: a block has far fewer tokens."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], number
+
+
 def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of n-grams from those of their contexts and last words."""
     with np.errstate(over="ignore"):
@@ -138,7 +159,7 @@ def _trained(block: Block, texts: pa.Table) -> np.ndarray:
 
 
 def _ask_pairs(fragments: int):
-    def run(key: tuple, texts: pa.Table) -> pa.Table:
+    def asked(key: tuple, texts: pa.Table) -> pa.Table:
         block = Block(_texts(texts))
         token = _trained(block, texts)
         word_n = np.bincount(block.ids[token], minlength=len(block.words))
@@ -146,6 +167,11 @@ def _ask_pairs(fragments: int):
         pair_n = np.bincount(block.pair[token], minlength=len(block.first))
         return _asked(key, fragments, block.words, word_n, block.pairs, pair_n)
 
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        out = asked(key, texts)
+        release()  # else workers keep what their largest block took, beside the JVM
+        return out
+
     return run
 
 
@@ -163,19 +189,24 @@ def _totals(block: Block, told: pa.Table, fragments: int) -> tuple[np.ndarray, n
 def _ask_triples(fragments: int):
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+    def asked(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(_texts(texts))
         number, keys = block.triples(_totals(block, told, fragments)[1])
         own = number[_trained(block, texts) & (number >= 0)]
         return _asked(key, fragments, *none, block.triple_grams(keys), np.bincount(own, minlength=len(keys)))
 
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        out = asked(key, texts, told)
+        release()
+        return out
+
     return run
 
 
 def _add_up(fragments: int):
     start = START // fragments
 
-    def run(group: pa.Table) -> pa.Table:
+    def totals_of(group: pa.Table) -> pa.Table:
         """One fragment: totals of its n-grams, told to each block that asked."""
         grams = [unpack7(blob) for blob in group["grams"].to_pylist()]
         counts = [unpack_counts(blob, len(g)) for blob, g in zip(group["counts"].to_pylist(), grams, strict=True)]
@@ -208,6 +239,11 @@ def _add_up(fragments: int):
             }
         )
 
+    def run(group: pa.Table) -> pa.Table:
+        out = totals_of(group)
+        release()
+        return out
+
     return run
 
 
@@ -234,8 +270,8 @@ class BackoffAutomaton:
             self.arc2 = np.where(pair_n > 0, np.log10(p2), np.nan)
             # a triple's last two words are a pair of the block
             context, last = triples // words, triples % words
-            keys = block.first * words + block.second
-            shorter = np.searchsorted(keys, block.second[context] * words + last) if len(triples) else np.zeros(0, np.int64)
+            keys = _key(block.first, words, block.second)
+            shorter = np.searchsorted(keys, _key(block.second[context], words, last)) if len(triples) else np.zeros(0, np.int64)
             p3 = (triple_n + k2 * p2[shorter]) / (pair_n[context] + k2)
             self.arc3 = np.where(triple_n > 0, np.log10(p3), np.nan)
 
@@ -275,7 +311,7 @@ def walk(block: Block, automaton: BackoffAutomaton, triple: np.ndarray) -> np.nd
 
 
 def _scores(fragments: int, n_tokens: int, n_types: int, strength: tuple[float, float]):
-    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+    def scores(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(_texts(texts))
         longer = np.array(told["longer"].to_pylist(), bool)
         counts, pair_n = _totals(block, told.filter(pa.array(~longer)), fragments)
@@ -298,6 +334,11 @@ def _scores(fragments: int, n_tokens: int, n_types: int, strength: tuple[float,
             }
         )
 
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        out = scores(key, texts, told)
+        release()
+        return out
+
     return run
 
 
