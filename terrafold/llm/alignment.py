@@ -6,11 +6,12 @@ another character than a space and stands before one that isn't white space, and
 at one of ``,.;:!?`` behind a Latin letter; a text is cut there, and equal
 segments are tokenized and aligned once.
 
-1. Blocks of texts number their distinct segments, compare the bytes of their
-   tokens with the segment, and write for each text its segment numbers, for each
-   segment its count in sound texts.
+1. Blocks of texts number their distinct segments, find those whose tokens don't
+   have the segment's bytes, and write for each text its segment numbers, for each
+   segment its count in sound texts.  Where the files show that only U+2581 can change
+   bytes (``_kept``), only segments with it are tokenized for that, else all.
 2. The distinct segments of the corpus are tokenized, many as one text, as both
-   tokenizers cut between them.  The alignment is relational: tokens
+   tokenizers cut between them, and their bytes compared once more.  The alignment is relational: tokens
    are exploded by position, windowed sums of lengths are ends, an equi-join on
    segment and end gives links and cuts, a running count of cuts numbers groups.
    Links of an id pair are summed with the segments' counts.
@@ -27,11 +28,13 @@ columns aren't read; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import chain
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +56,8 @@ LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
 MARK_CUT = re.compile(rf"(?<=[{LATIN}])(?=[{MARKS}])")
 #: Goes before a segment without a space, where that needs something to follow.
 FILLER = " a"
+#: B writes a space so; a text's own becomes a space.
+SPACE = "\u2581"
 #: Columns of a segment: ids and lengths in bytes of its tokens.
 TOKENS = "a array<int>, a_size array<int>, b array<int>, b_size array<int>"
 
@@ -73,20 +78,64 @@ def _loaded(files: Tokenizers):
 
     a = Tokenizer.from_file(files.a)
     a.encode_special_tokens = True
-    # byte-level pieces write each byte as one character: printable ones as they are, the others from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [x for x in range(256) if x not in set(plain)]
-    byte_of = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(other)}
+    byte_of = _byte_letters()
     a_bytes = {i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode() for s, i in a.get_vocab().items()}
     b = sentencepiece.SentencePieceProcessor(model_file=files.b)
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
     over = re.compile(rf"[^▁]▁|[{LATIN}][{MARKS}]")
     if any(over.search(p) for p in pieces):
         raise ValueError("a piece of tokenizer B holds a space or a mark behind another character")
-    b_bytes = {i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+    b_bytes = {i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
     return a, a_bytes, b, b_bytes
 
 
+@functools.lru_cache(maxsize=2)
+def _kept(files: Tokenizers) -> bool:
+    """Whether the files show that both tokenizers keep all bytes of a text without
+    U+2581: A is byte-level with all bytes and normalizes nothing, its added tokens are
+    special ones; B normalizes nothing, too, and has a piece for each byte."""
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    a, b = json.loads(Path(files.a).read_bytes()), ModelProto.FromString(Path(files.b).read_bytes())
+    split, model, norm = a["pre_tokenizer"] or {}, a["model"], b.normalizer_spec
+    kinds = ModelProto.SentencePiece
+    return (
+        a["normalizer"] is None
+        and a["truncation"] is None
+        and split.get("type") == "ByteLevel"
+        and not split["add_prefix_space"]
+        and all(t["special"] for t in a["added_tokens"])
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and _byte_letters().keys() <= model["vocab"].keys()
+        and not norm.precompiled_charsmap
+        and norm.add_dummy_prefix
+        and norm.escape_whitespaces
+        and not norm.remove_extra_whitespaces
+        and not b.trainer_spec.treat_whitespace_as_suffix
+        and {p.piece for p in b.pieces if p.type == kinds.BYTE} == {f"<0x{x:02X}>" for x in range(256)}
+        and all(p.type in (kinds.NORMAL, kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN) for p in b.pieces)
+    )
+
+
+def _byte_letters() -> dict[str, int]:
+    """Byte-level pieces write each byte as one character: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [x for x in range(256) if x not in set(plain)]
+    return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(other)}
+
+
+def sound(segments: list[str], files: Tokenizers) -> np.ndarray:
+    """Whether both tokenizers give a segment's bytes back."""
+    if not _kept(files):
+        return tokenized(segments, files, keep=False)[0]
+    out = np.ones(len(segments), bool)
+    odd = [k for k, s in enumerate(segments) if SPACE in s]
+    if odd:
+        out[odd] = tokenized([segments[k] for k in odd], files, keep=False)[0]
+    return out
+
+
 def _units(segments: list[str], numbers: list[int]) -> Iterator[tuple[list[str], list[int]]]:
     """Texts as lists of segments with their numbers (-1: a filler).  Segments
     that end or go on with white space have a text of their own."""
@@ -189,10 +238,10 @@ def _segmented(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             words = _Words()
             told = [words.numbers(t.decode()) if t else None for t in texts]
             of = [*words.number]
-            sound, _ = tokenized(of, files, keep=False)
+            good = sound(of, files)
             counts = np.zeros(len(of), np.int64)
             for k, own in enumerate(told):
-                if own is None or not sound[own].all():
+                if own is None or not good[own].all():
                     told[k] = None
                 else:
                     once, times = np.unique(own, return_counts=True)
@@ -219,7 +268,9 @@ def _with_tokens(files: Tokenizers) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, sides = tokenized(batch.column(0).to_pylist(), files)
+            good, sides = tokenized(batch.column(0).to_pylist(), files)
+            if not good.all():
+                raise ValueError("a segment that was taken as sound isn't")
             lists = [c for side in sides for c in listed(batch.num_rows, *side)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["segment", "n", "homes", "a", "a_size", "b", "b_size"])
 
