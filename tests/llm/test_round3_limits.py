@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from terrafold.llm import alignment, ngram_lm
+from terrafold.llm import alignment, common, ngram_lm
 from terrafold.llm.queries import ALIGNED_FILES
 
 
@@ -49,3 +49,10 @@ def test_alignment_tokenizes_all_where_files_promise_nothing(tmp_path, monkeypat
     changed = alignment.Tokenizers(str(tmp_path / "a.json"), files.b)
     assert not alignment._kept(changed)
     assert alignment.sound([" é", " e"], changed).tolist() == [False, True]
+
+
+def test_written_tables_have_the_driver_trimmed(spark, monkeypatch):
+    said, whole = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: said.append(whole(s)))
+    assert common.cut(spark.range(3)).count() == 3
+    assert len(said) == 1 and said[0].startswith("Trim native heap")
