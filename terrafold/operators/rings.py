@@ -12,7 +12,7 @@ component where its area is positive, else a hole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,13 +34,9 @@ def _key(row: np.ndarray, col: np.ndarray, side: np.ndarray) -> np.ndarray:
     return (row.astype(np.int64) << 32) + (col.astype(np.int64) << 2) + side
 
 
-def _pieces(group: pd.DataFrame) -> pd.DataFrame:
-    r0, c0 = int(group["row"].min()) - 1, int(group["col"].min()) - 1
-    row, col = group["row"].to_numpy() - r0, group["col"].to_numpy() - c0
-    labels = np.zeros((row.max() + 2, col.max() + 2), np.int64)
-    own = np.zeros(labels.shape, bool)
-    labels[row, col] = group["label"].to_numpy()
-    own[row, col] = group["own"].to_numpy()
+def _linked(labels: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges of own cells (row, column, side, label), the edge that follows each (row, column,
+    side), and whether that is of an own cell."""
 
     def same(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
         return labels[r, c] == label
@@ -60,7 +56,61 @@ def _pieces(group: pd.DataFrame) -> pd.DataFrame:
         edges.append(np.stack([er, ec, np.full(len(er), side), el]))
         follows.append(np.stack([nr, nc, turn]))
         mine.append(own[nr, nc])
-    (er, ec, side, el), (nr, nc, turn), mine = np.hstack(edges), np.hstack(follows), np.hstack(mine)
+    return (*np.hstack(edges), *np.hstack(follows), np.hstack(mine))
+
+
+def closed(labels: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """All rings of a framed array: (ring of each point; row of a cell, label and area of each ring;
+    x and y of the points, from the array's corner), split where they pass a corner twice."""
+    er, ec, side, el, nr, nc, turn, _ = _linked(labels, np.ones(labels.shape, bool))
+    if not len(er):
+        return None
+    key = _key(er, ec, side)
+    order = np.argsort(key)
+    place = np.searchsorted(key[order], _key(nr, nc, turn)[order]).tolist()
+    seen, chain, starts = bytearray(len(place)), [], []
+    for start in range(len(place)):
+        if seen[start]:
+            continue
+        starts.append(len(chain))
+        at = start
+        while not seen[at]:
+            seen[at] = 1
+            chain.append(at)
+            at = place[at]
+    starts = np.array(starts)
+    by = order[chain]
+    er, ec, side, el, turn = (v[by] for v in (er, ec, side, el, turn))
+    row, label = er[starts], el[starts]
+    area = np.add.reduceat(np.where(side == 1, ec + 1, 0) - np.where(side == 3, ec, 0), starts)
+    corner = side != turn
+    ends = np.array(END)[side[corner]]
+    ring = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(by)]))[corner]
+    x, y = ec[corner] + ends[:, 1], er[corner] + ends[:, 0]
+    spot = (ring * (labels.shape[0] + 1) + y) * (labels.shape[1] + 1) + x
+    spots, times = np.unique(spot, return_counts=True)
+    twice = np.zeros(len(starts), bool)
+    twice[spots[times > 1] // ((labels.shape[0] + 1) * (labels.shape[1] + 1))] = True
+    if twice.any():
+        parts = [(k, loop) for k in np.flatnonzero(twice).tolist() for loop in _loops(zip(x[ring == k].tolist(), y[ring == k].tolist(), strict=True))]
+        once = ~twice[ring]
+        number = np.cumsum(~twice) - 1
+        of = np.array([k for k, _ in parts])
+        ring = np.r_[number[ring[once]], np.repeat((~twice).sum() + np.arange(len(parts)), [len(loop) for _, loop in parts])]
+        x, y = (np.r_[v[once], [p[i] for _, loop in parts for p in loop]] for i, v in enumerate((x, y)))
+        row, label, area = np.r_[row[~twice], row[of]], np.r_[label[~twice], label[of]], np.r_[area[~twice], [_area(loop) for _, loop in parts]]
+    return ring, row, label, area, x, y
+
+
+def _pieces(group: pd.DataFrame) -> pd.DataFrame:
+    r0, c0 = int(group["row"].min()) - 1, int(group["col"].min()) - 1
+    row, col = group["row"].to_numpy() - r0, group["col"].to_numpy() - c0
+    labels = np.zeros((row.max() + 2, col.max() + 2), np.int64)
+    own = np.zeros(labels.shape, bool)
+    labels[row, col] = group["label"].to_numpy()
+    own[row, col] = group["own"].to_numpy()
+    er, ec, side, el, nr, nc, turn, mine = _linked(labels, own)
+    mine = mine.astype(bool)
     key, then = _key(er + r0, ec + c0, side), _key(nr + r0, nc + c0, turn)
     order = np.argsort(key)
     key, then, mine, er, ec, side, el, turn = (x[order] for x in (key, then, mine, er, ec, side, el, turn))
@@ -107,29 +157,36 @@ def ring_pieces(cells: DataFrame, tile: int = TILE) -> DataFrame:
 RING = "district_id long, label long, area long, points array<struct<x:double,y:double>>"
 
 
+def _loops(points: Iterable[tuple]) -> list[list[tuple]]:
+    """A ring cut at the corners that it passes twice."""
+    way: list[tuple] = []
+    at: dict[tuple, int] = {}
+    loops = []
+    for point in points:
+        if point in at:
+            since = at[point]
+            loops.append(way[since:])
+            for gone in way[since + 1 :]:
+                del at[gone]
+            del way[since + 1 :]
+        else:
+            at[point] = len(way)
+            way.append(point)
+    return [*loops, way]
+
+
+def _area(loop: list[tuple]) -> int:
+    x, y = np.array(loop).T
+    return int(round((x * (np.roll(y, -1) - np.roll(y, 1))).sum() / 2))
+
+
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rings cut at the corners that they pass twice."""
     for rows in batches:
         out = []
         for row in rows.itertuples():
-            way: list[tuple] = []
-            at: dict[tuple, int] = {}
-            loops = []
-            for p in row.points:
-                point = (p["x"], p["y"])
-                if point in at:
-                    since = at[point]
-                    loops.append(way[since:])
-                    for gone in way[since + 1 :]:
-                        del at[gone]
-                    del way[since + 1 :]
-                else:
-                    at[point] = len(way)
-                    way.append(point)
-            for loop in [*loops, way]:
-                x, y = np.array(loop).T
-                area = int(round((x * (np.roll(y, -1) - np.roll(y, 1))).sum() / 2))
-                out.append((row.district_id, row.label, area, [{"x": a, "y": b} for a, b in loop]))
+            for loop in _loops((p["x"], p["y"]) for p in row.points):
+                out.append((row.district_id, row.label, _area(loop), [{"x": a, "y": b} for a, b in loop]))
         if out:
             yield pd.DataFrame(out, columns=["district_id", "label", "area", "points"])
 
