@@ -105,11 +105,16 @@ def feature_vectors(features: DataFrame, names: list[str] = NAMES) -> DataFrame:
     return features.select("district_id", "building_id", F.array(*names).alias("features"))
 
 
+#: Deviations up to this are those of equal values.
+SAME = 1e-12
+
+
 def feature_stats(vectors: DataFrame, *keys: str) -> DataFrame:
-    """(keys, place, mean, sd): the population deviation, 1 where it is 0."""
+    """(keys, place, mean, sd): the population deviation, 1 where it is 0.  Equal values have
+    one of about 1e-16 where the sums of many tasks meet, which counts as 0."""
     each = vectors.select(*keys, F.posexplode("features").alias("place", "value"))
     sd = F.stddev_pop("value")
-    return each.groupBy(*keys, "place").agg(F.avg("value").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+    return each.groupBy(*keys, "place").agg(F.avg("value").alias("mean"), F.when(sd > SAME, sd).otherwise(1.0).alias("sd"))
 
 
 def standardize(vectors: DataFrame, stats: DataFrame) -> DataFrame:
