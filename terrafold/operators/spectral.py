@@ -293,3 +293,58 @@ def clusters_by(tiles: Tiles, nodes: DataFrame, clusters: int | None = None, mos
     width = wanted + 3
     found = leading(tiles, nodes, NORMAL, width, rounds, wanted)
     return numbered_clusters(nearest_centres(embedded(found, k, width)))
+
+
+# The same where a district's nodes are one block: its rounds need no exchange
+
+
+def _leading_of(matrix: np.ndarray, ids: np.ndarray, degree: np.ndarray, kind: str, width: int, rounds: int, wanted: int):
+    """The row of ``leading`` of one block that is its whole district."""
+    plain = pd.DataFrame({"district_id": [0], "b": [0], "ids": [ids], "d": [degree], "top": [2 * degree.max()]})
+    vectors, before = next(_start(width)(iter([plain]))), None
+    for _ in range(rounds):
+        row = next(vectors.itertuples())
+        w = _searched(row, width)
+        total = matrix @ (w * _root(degree) if kind == NORMAL else w)
+        mw = total * _root(degree) if kind == NORMAL else (row.top - degree)[:, None] * w + total
+        searched = vectors.assign(w=[w.ravel()], mw=[mw.ravel()])
+        solved = _solved(width)(next(_moments(width)(iter([searched]))))
+        vectors = next(_moved(width)(iter([searched.assign(c=solved["c"], next=solved["next"])])))
+        now = np.nan_to_num(np.asarray(solved["next"].iloc[0], float))[:wanted]
+        if before is not None and np.abs(now - before).max() <= SETTLED * max(1.0, np.abs(now).max()):
+            break
+        before = now
+    return next(vectors.itertuples())
+
+
+def _nearest(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """``nearest_centres`` of the points of one district, in the order of their nodes."""
+    gaps = lambda centres: ((x[:, None] - centres) ** 2).sum(2)
+    # the first of the farthest is the one of the smallest node
+    centres = x[[np.argmax(np.round(gaps(x.mean(0)[None])[:, 0], 12))]]
+    while len(centres) < k:
+        centres = np.vstack([centres, x[np.argmax(np.round(gaps(centres).min(1), 12))]])
+    for _ in range(rounds):
+        own = gaps(centres).argmin(1)
+        new = np.stack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        step, centres = ((new - centres) ** 2).sum(1).max(), new
+        if step <= 1e-16:
+            break
+    return gaps(centres).argmin(1)
+
+
+def block_labels(matrix: np.ndarray, ids: np.ndarray, clusters: int | None = None, most: int = 15, least: int = 2, rounds: int = ROUNDS) -> np.ndarray:
+    """Clusters of one district, as ``clusters_by`` finds and numbers them; ``ids`` ascend."""
+    n, degree = len(ids), matrix.sum(1)
+    if clusters is not None:
+        k = min(n, clusters)
+    elif n <= 2:
+        k = n
+    else:
+        top = min(most, n - 1)
+        lam = np.asarray(_leading_of(matrix, ids, degree, LAPLACE, most + 3, rounds, most + 1).lam)
+        k = min(max(int(np.argmax(lam[:top] - lam[1 : top + 1])) + 1, least), top)
+    row = _leading_of(matrix, ids, degree, NORMAL, k + 3, rounds, k)
+    own = _nearest(np.asarray(row.x).reshape(-1, k + 3)[:, :k] * _root(degree), k)
+    _, first, number = np.unique(own, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[number]

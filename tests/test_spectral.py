@@ -157,3 +157,21 @@ def test_tasks_leave_few_edges(spark):
     key = lambda s, d: ((s * f + 42 + d * batches.STRIDE) % batches.PRIME, s)
     want = {(s, d) for d in (0, 1) for s in sorted((s for s in range(400) if s % 2 == d and s != d), key=lambda s: key(s, d))[:3]}
     assert {(r.src, r.dst) for r in kept} == want and len(kept) == 6
+
+
+@pytest.mark.parametrize("dense_nodes, block", [(8, 4096), (8, 16), (4096, 4096)])
+def test_one_block_needs_no_rounds(spark, monkeypatch, dense_nodes, block):
+    """The same groups from a dense matrix, from a block alone, and from pairs of blocks."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(3, 6)
+    rows = [(d, i, (centres[i % (2 + d)] + 0.05 * rng.random(6)).tolist(), i % (2 + d)) for d in (0, 1) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "district_id long, building_id long, features array<double>, gat_label int")
+    calls = []
+    plain = similarity.node_clusters
+    monkeypatch.setattr(similarity, "node_clusters", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = similarity.spectral_clusters_of(nodes, blocks.Rule(0.15), dense_nodes=dense_nodes, block=block).collect()
+    assert bool(calls) == (block == 16)
+    want = similarity.spectral_clusters(similarity.node_affinity(nodes, blocks.Rule(0.15))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    # two groups of equal ones, the gap of which is found
+    assert {(r.building_id, r.spectral_cluster) for r in got if r.district_id == 0} == {(i, i % 2) for i in range(40)}
