@@ -291,11 +291,16 @@ def boundary_lines(thin: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         _, mask, r0, c0 = _dense(group.assign(label=1))
-        lines = K.merge_lines([K.simplify(x.astype(float), tolerance) for x in K.trace_lines(mask)])
+        lines = K.merge_lines(K.simplify_all([x.astype(float) for x in K.trace_lines(mask)], tolerance))
         rows = [[{"x": float(c + c0 + 0.5), "y": float(r + r0 + 0.5)} for r, c in x] for x in lines if len(x) > 1]
         return pd.DataFrame({"district_id": group["district_id"].iloc[0], "line_id": range(len(rows)), "points": rows}) if rows else pd.DataFrame({"district_id": [], "line_id": [], "points": []})
 
     lines = thin.groupBy("district_id").applyInPandas(run, "district_id long, line_id int, points array<struct<x:double,y:double>>")
+    return measured(lines)
+
+
+def measured(lines: DataFrame) -> DataFrame:
+    """Lines with their ``length``, without those that have none."""
     return lines.withColumn("length", G.line_length(F.col("points"))).where((F.size("points") >= 2) & (F.col("length") > 0))
 
 
@@ -308,7 +313,11 @@ def region_polygons(cells: DataFrame, tolerance: float = 0.0, tile: int = rings.
     """(district_id, building_id, geometry, area): the exterior ring, in cell
     corners, of each 4-connected component; an id may have several.  Rings are
     traced by tiles, so a district of any size takes many tasks."""
-    outer = rings.region_rings(cells, tile).where("area > 0")
+    return polygons_of(rings.region_rings(cells, tile).where("area > 0"), tolerance)
+
+
+def polygons_of(outer: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(district_id, building_id, geometry, area) of exterior rings."""
     # from the leftmost, then topmost corner on, and closed
     start = F.array_position("points", F.array_min("points")).cast("int")
     ring = F.concat(F.slice("points", start, F.size("points")), F.slice("points", F.lit(1), start))

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import kernels as K
-from terrafold.operators import raster, rings
-from terrafold.operators.raster import GRID, KERNEL_CELLS, ROUNDS, _runs
+from terrafold.operators import adjacency, raster, rings
+from terrafold.operators.adjacency import HALF
+from terrafold.operators.raster import GRID, KERNEL_CELLS, NODATA, ROUNDS, _runs
 from terrafold.operators.rings import RING, TILE, closed
 from terrafold.plans.lineage import cut
 
@@ -211,3 +212,162 @@ def region_rings(buildings: DataFrame, districts: DataFrame, tile: int = TILE, k
         return read(b, d, _ring_kernel, RING)
 
     return by_size(buildings, districts, small, lambda b, d: rings.region_rings(_grown(b, d), tile), kernel_cells)
+
+
+def region_polygons(buildings: DataFrame, districts: DataFrame) -> DataFrame:
+    """``raster.region_polygons`` of the grown labels."""
+    return raster.polygons_of(region_rings(buildings, districts).where("area > 0"))
+
+
+# Adjacency
+
+
+def _touching(sheet: Sheet) -> tuple[np.ndarray, ...]:
+    """(strip, src < dst) of numbers of labels on neighbouring cells, once each."""
+    flat, width = sheet.labels.ravel(), sheet.labels.shape[1]
+    some = np.flatnonzero(flat)
+    met = []
+    for dr, dc in HALF:
+        a, b = flat[some], flat[some + dr * width + dc]
+        k = np.flatnonzero((b > 0) & (a != b))
+        met.append((sheet.strip[some[k] // width], np.minimum(a[k], b[k]), np.maximum(a[k], b[k])))
+    return tuple(map(np.concatenate, zip(*met, strict=True)))
+
+
+def _holed(parts: np.ndarray) -> np.ndarray:
+    """Numbers of the 4-connected components with a hole, by the Euler number of their windows of 2 x 2."""
+    n = int(parts.max()) + 1
+    a, b, c, d = w = parts[:-1, :-1], parts[:-1, 1:], parts[1:, 1:], parts[1:, :-1]
+    total = np.zeros(n)
+    for k in range(4):
+        p, q, r, s = (w[(k + i) % 4] for i in range(4))
+        q, r, s = p == q, p == r, p == s
+        same = q.view(np.uint8) + r.view(np.uint8) + s.view(np.uint8)
+        # one of a window counts 1, three count -1 together, two on a diagonal -2
+        for kind, value in ((same == 0, 1.0), (same == 2, -1 / 3), ((same == 1) & r, -1.0)):
+            total += value * np.bincount(p[kind], minlength=n)
+    return np.flatnonzero(np.round(total / 4)[1:] < 1) + 1
+
+
+def _enclosed(sheet: Sheet) -> list[tuple[int, int, int]]:
+    """(strip, src < dst) of numbers of labels of which one lies in a hole of the other."""
+    parts, out = K.components4(sheet.labels), set()
+    holed = _holed(parts) if parts.any() else []
+    if not len(holed):
+        return []
+    places = dict(K.components_at(parts))
+    for k in holed.tolist():
+        own = parts[places[k]] == k
+        labels = sheet.labels[places[k]]
+        a, strip = int(labels[own][0]), int(sheet.strip[places[k][0].start])
+        out |= {(strip, min(a, int(b)), max(a, int(b))) for b in np.unique(labels[K.filled(own) & ~own]) if b > 0 and b != a}
+    return sorted(out)
+
+
+def _edge_kernel(holes: bool):
+    def run(table: pa.Table, sheet: Sheet) -> pa.RecordBatch | None:
+        found = _touching(sheet)
+        if holes and (inner := _enclosed(sheet)):
+            found = tuple(np.r_[v, w] for v, w in zip(found, zip(*inner, strict=True), strict=True))
+        n = len(sheet.names)
+        key = np.unique((found[0].astype(np.int64) * n + found[1]) * n + found[2])
+        strip, src, dst = key // (n * n), sheet.names[key // n % n], sheet.names[key % n]
+        # shapes by district and id; more than one may have the same
+        rows = np.flatnonzero(~table["is_frame"].to_numpy() & pc.is_valid(_column(table, "building_id")).to_numpy(zero_copy_only=False))
+        rows = rows[np.isin(table["district_id"].to_numpy()[rows], sheet.ids)]
+        d, own = table["district_id"].to_numpy()[rows], pc.fill_null(_column(table, "building_id"), 0).to_numpy()[rows]
+        ids = np.unique(own)
+        keys = np.searchsorted(sheet.ids, d) * len(ids) + np.searchsorted(ids, own)
+        order = np.argsort(keys, kind="stable")
+
+        def shapes(at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            wanted = at * len(ids) + np.searchsorted(ids, of)
+            lo = np.searchsorted(keys[order], wanted)
+            pair, k = _spread(np.searchsorted(keys[order], wanted, "right") - lo)
+            return pair, order[lo[pair] + k]
+
+        pair, i = shapes(strip, src)
+        strip, src, dst = strip[pair], src[pair], dst[pair]
+        pair, j = shapes(strip, dst)
+        strip, src, dst, i = strip[pair], src[pair], dst[pair], i[pair]
+        if not len(src):
+            return None
+        distance = K.distances(_column(table, "geometry").take(pa.array(rows)), i, j)
+        both = lambda a, b: np.stack([a, b], 1).ravel()
+        return pa.RecordBatch.from_pydict({"district_id": np.repeat(sheet.ids[strip], 2), "src": both(src, dst), "dst": both(dst, src), "distance": np.repeat(distance, 2)})
+
+    return run
+
+
+def adjacency_edges(buildings: DataFrame, districts: DataFrame, holes: bool = True, kernel_cells: int = KERNEL_CELLS) -> DataFrame:
+    """``adjacency.adjacency_edges`` of ``adjacency.touching_regions`` of the grown labels."""
+
+    def small(b: DataFrame, d: DataFrame) -> DataFrame:
+        return read(b, d, _edge_kernel(holes), "district_id long, src long, dst long, distance double")
+
+    def large(b: DataFrame, d: DataFrame) -> DataFrame:
+        return adjacency.adjacency_edges(adjacency.touching_regions(_grown(b, d), holes), b)
+
+    return by_size(buildings, districts, small, large, kernel_cells)
+
+
+# Boundaries
+
+
+def _boundary(sheet: Sheet) -> np.ndarray:
+    """Cells without a building whose window holds different labels, as ``raster.boundary_cells`` has them."""
+    some = np.zeros(len(sheet.ids), bool)
+    some[sheet.strip[(sheet.labels > 0).any(1)]] = True
+    # as there, what isn't reached is as what lies outside; without any label it is free
+    value = np.where(sheet.mask, np.where(sheet.labels > 0, sheet.labels, np.where(some, -1, 0)[sheet.strip][:, None]), -1)
+    within = np.zeros(sheet.mask.shape, bool)
+    for first, h, w in zip(sheet.first, sheet.height, sheet.width, strict=True):
+        within[first : first + h, 1 : 1 + w] = True
+
+    def window(v: np.ndarray, pick) -> np.ndarray:
+        v = np.pad(v, 1, mode="edge")
+        v = pick(pick(v[:, :-2], v[:, 1:-1]), v[:, 2:])
+        return pick(pick(v[:-2], v[1:-1]), v[2:])
+
+    top, low = window(np.where(within, value, -2), np.maximum), window(np.where(within, value, np.iinfo(np.int32).max), np.minimum)
+    return sheet.mask & (top != low) & (sheet.burnt == 0)
+
+
+def _line_kernel(tolerance: float):
+    def run(table: pa.Table, sheet: Sheet) -> pa.RecordBatch | None:
+        thin = K.thin(_boundary(sheet))
+        cells = np.stack(np.nonzero(thin))
+        if not cells.size:
+            return None
+        origin = np.full((len(sheet.ids), 2), max(thin.shape))
+        np.minimum.at(origin, sheet.strip[cells[0]], cells.T)
+        # rows go strip by strip, and so do lines; equal distances are told as in the strip alone
+        lines = K.trace_lines(thin)
+        origins = [origin[sheet.strip[x[0][0]]] for x in lines]
+        simple = K.simplify_all([(x - o).astype(float) for x, o in zip(lines, origins, strict=True)], tolerance)
+        lines = K.merge_lines([x + o for x, o in zip(simple, origins, strict=True)])
+        lines = [x for x in lines if len(x) > 1]
+        if not lines:
+            return None
+        n = np.array([len(x) for x in lines])
+        points, strip = np.concatenate(lines), sheet.strip[[int(x[0][0]) for x in lines]]
+        of = np.repeat(strip, n)
+        x, y = points[:, 1] - 1 + sheet.c0[of] + 0.5, points[:, 0] + (sheet.r0 - sheet.first)[of] + 0.5
+        number = np.arange(len(n)) - np.searchsorted(strip, strip)
+        shape = _list(pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]), n)
+        return pa.RecordBatch.from_pydict({"district_id": sheet.ids[strip], "line_id": number.astype(np.int32), "points": shape})
+
+    return run
+
+
+def boundary_lines(buildings: DataFrame, districts: DataFrame, tolerance: float = 0.5, kernel_cells: int = KERNEL_CELLS) -> DataFrame:
+    """``raster.boundary_lines`` of the thin boundaries of the grown labels."""
+
+    def small(b: DataFrame, d: DataFrame) -> DataFrame:
+        return raster.measured(read(b, d, _line_kernel(tolerance), "district_id long, line_id int, points array<struct<x:double,y:double>>"))
+
+    def large(b: DataFrame, d: DataFrame) -> DataFrame:
+        burnt = cut(raster.burn(b, d))
+        return raster.boundary_lines(raster.thin_boundaries(raster.boundary_cells(cut(raster.grow(burnt)), burnt)), tolerance)
+
+    return by_size(buildings, districts, small, large, kernel_cells)

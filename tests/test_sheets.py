@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
-from terrafold.operators import raster, rings, sheets
+from terrafold.operators import adjacency, raster, rings, sheets
 
 GRID = "struct<x0:double,y1:double,xres:double,yres:double,width:int,height:int>"
 
@@ -71,3 +71,49 @@ def test_rings_make_no_table_of_cells(spark):
 
     plan = QUERIES["region_rings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "FlatMapGroupsIn" not in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize("kernel_cells", [500, 1 << 22])
+def test_edges_without_cells(spark, kernel_cells, monkeypatch):
+    monkeypatch.setattr(sheets, "SHEET", 2000)
+    buildings, districts = drawn(spark)
+    got = rows(sheets.adjacency_edges(buildings, districts, kernel_cells=kernel_cells), "district_id", "src", "dst", F.round("distance", 9))
+    cells = raster.grow(raster.burn(buildings, districts))
+    want = rows(adjacency.adjacency_edges(adjacency.touching_regions(cells), buildings), "district_id", "src", "dst", F.round("distance", 9))
+    assert got == want
+    # what lies in the yard meets the building around it and nothing else does it with what lies outside
+    assert {(1, 2), (1, 3), (2, 3), (1, 4)} == {(r[1], r[2]) for r in got if r[0] == 4 and r[1] < r[2]}
+
+
+@pytest.mark.parametrize("kernel_cells", [500, 1 << 22])
+def test_lines_without_cells(spark, kernel_cells, monkeypatch):
+    monkeypatch.setattr(sheets, "SHEET", 2000)
+    buildings, districts = drawn(spark)
+    got = rows(sheets.boundary_lines(buildings, districts, kernel_cells=kernel_cells), "district_id", "line_id", "points", "length")
+    burnt = raster.burn(buildings, districts)
+    want = rows(raster.boundary_lines(raster.thin_boundaries(raster.boundary_cells(raster.grow(burnt), burnt))), "district_id", "line_id", "points", "length")
+    assert got == want and len({r[0] for r in got}) == 3
+
+
+def test_holes_without_touching():
+    labels = np.zeros((9, 9), np.int32)
+    labels[1:8, 1:8] = 1
+    labels[2:7, 2:7] = 0
+    labels[4, 4] = 2
+    one = np.ones(1, int)
+    sheet = sheets.Sheet(one, one, 7 * one, 7 * one, 0 * one, 0 * one, np.zeros(9, int), np.array([0, 1, 2]), labels, labels, labels > 0)
+    assert sheets._enclosed(sheet) == [(0, 1, 2)]
+    labels[1, 4] = 0
+    assert sheets._enclosed(sheet) == []
+
+
+@pytest.mark.parametrize("name", ["adjacency_stats", "voronoi_polygons", "adjacency_faults", "voronoi_adjacency", "voronoi_boundary_lines"])
+def test_no_table_of_cells(spark, name):
+    from terrafold.plans import lineage
+    from terrafold.plans.catalogue import QUERIES
+
+    written = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lineage, "_passing", [written])
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert all("col" not in spark.read.parquet(path).columns for path in written)
